@@ -152,3 +152,75 @@ ODD_TITLE = """concat(CASE id % 13 WHEN 1 THEN 'Public events ' WHEN 2 THEN 'Eve
 
 def odd_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings(spark, sf_dir, "id", "name").selectExpr("id", f"{ODD_TITLE} AS title")
+
+
+def with_repeats(ev: DataFrame) -> DataFrame:
+    """Every fortieth listing once more under a new id: guaranteed duplicates."""
+    return ev.unionByName(ev.where("id % 40 = 0").withColumn("id", F.col("id") + 10000000))
+
+
+def venue_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configured venues: named like the sources the listings carry."""
+    suppliers = table(spark, sf_dir, "supplier")
+    nations = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS s_nationkey", "n_name AS neighborhood")
+    return suppliers.join(nations, "s_nationkey").selectExpr(
+        "s_suppkey AS id", "CAST(s_suppkey AS STRING) AS name", "neighborhood",
+        "CASE s_suppkey % 4 WHEN 0 THEN 'music' WHEN 1 THEN 'events' WHEN 2 THEN 'arts & crafts' ELSE 'comedy' END AS category",
+        "s_name AS venue_name")
+
+
+LINK_CODE = "CASE id % 12 WHEN 0 THEN 404 WHEN 1 THEN 410 WHEN 2 THEN 301 WHEN 3 THEN 403 WHEN 4 THEN 429 WHEN 5 THEN 500 ELSE 200 END"
+LINK_RECHECK = "CASE id % 12 WHEN 0 THEN CASE WHEN id % 5 = 0 THEN 200 ELSE 404 END WHEN 1 THEN 410 ELSE 200 END"
+
+
+def link_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two recorded checks per listing link."""
+    rows = listings(spark, sf_dir, "id", "origination_url", "source").selectExpr(
+        "origination_url AS url", "source", f"{LINK_CODE} AS first_code", f"{LINK_RECHECK} AS second_code")
+    return rows.selectExpr("url", "source", "stack(2, 1, first_code, 2, second_code) AS (attempt, code)")
+
+
+PARK_X = "CAST(s_suppkey * 7 % 48 AS DOUBLE) / 8"
+PARK_Y = "CAST(s_suppkey * 11 % 44 AS DOUBLE) / 8"
+
+
+def parks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One square park per supplier; some lie outside every neighborhood."""
+    corner = "struct({0} {2} 0.125D AS x, {1} {3} 0.125D AS y)"
+    ring = ", ".join(corner.format(PARK_X, PARK_Y, a, b) for a, b in ("--", "+-", "++", "-+"))
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey AS ord", "concat(s_name, ' Park (North)') AS label", "concat('Field ', CAST(s_suppkey AS STRING)) AS park",
+        "CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE concat(CAST(100 + s_suppkey % 900 AS STRING), ' N. Main Street Chicago, IL 60608') END AS location",
+        f"array(array(array({ring}))) AS polygons")
+
+
+FEATURE_NAME = """CASE c_custkey % 5 WHEN 0 THEN 'Wrigleyville' WHEN 1 THEN ' Printers Row ' WHEN 3 THEN concat('NATION_', CAST(c_custkey % 30 AS STRING))
+    WHEN 4 THEN concat('Area ', CAST(c_custkey % 40 AS STRING)) END"""
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed boundary features: one triangle per customer, a second one for every third."""
+    ring = "array(struct(0D AS x, 0D AS y), struct(1D AS x, 0D AS y), struct(0D AS x, 1D AS y))"
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS ord", f"{FEATURE_NAME} AS name",
+        f"CASE WHEN c_custkey % 3 = 0 THEN array(array({ring}), array({ring}, {ring})) ELSE array(array({ring})) END AS polygons")
+
+
+CACHE_ROWS = """SELECT mid AS id, concat(lower(address), CASE WHEN address LIKE '%Chicago%' THEN '' ELSE ', chicago, il' END) AS query,
+    CASE WHEN mid % 3 = 0 THEN NULL ELSE CAST(mid * 7 % 600 AS DOUBLE) / 100 END AS latitude,
+    CASE WHEN mid % 3 = 0 THEN NULL ELSE CAST(mid * 11 % 600 AS DOUBLE) / 100 END AS longitude, mid % 3 <> 0 AS resolved
+    FROM (SELECT address, min(id) AS mid FROM {rel} GROUP BY address) t WHERE mid % 4 <> 1"""
+
+
+def geocode_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cached answers for most addresses, a third of them misses."""
+    rows = listings(spark, sf_dir, "id", "address").groupBy("address").agg(F.min("id").alias("mid")).where("mid % 4 <> 1")
+    return rows.selectExpr(
+        "mid AS id", "concat(lower(address), CASE WHEN address LIKE '%Chicago%' THEN '' ELSE ', chicago, il' END) AS query",
+        "CASE WHEN mid % 3 = 0 THEN NULL ELSE CAST(mid * 7 % 600 AS DOUBLE) / 100 END AS latitude",
+        "CASE WHEN mid % 3 = 0 THEN NULL ELSE CAST(mid * 11 % 600 AS DOUBLE) / 100 END AS longitude", "mid % 3 <> 0 AS resolved")
+
+
+ODD_ADDRESS = """CASE id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'Come and see us! What a night' WHEN 2 THEN '  ' ELSE address END"""
+WANTED_PLACE = """CASE id % 4 WHEN 0 THEN concat(' NATION_', CAST(id % 30 AS STRING)) WHEN 1 THEN 'Wrigleyville' WHEN 2 THEN ' '
+    ELSE concat('Area ', CAST(id % 40 AS STRING)) END"""

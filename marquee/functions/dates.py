@@ -21,3 +21,29 @@ def ntz(value) -> Column:
 
 def days_later(as_of, days: int) -> datetime:
     return moment(as_of) + timedelta(days=days)
+
+
+def to_local(c: Column, offset: Column) -> Column:
+    """A wall clock time at a UTC offset ("Z", "+05:30", "-0600") as naive Chicago time."""
+    sign = F.when(offset.startswith("-"), -1).otherwise(1)
+    digits = F.regexp_replace(offset, "[^0-9]", "")
+    hours = F.coalesce(F.substring(digits, 1, 2).try_cast("int"), F.lit(0))
+    minutes = F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
+    return utc_to_local(c - F.make_dt_interval(F.lit(0), sign * hours, sign * minutes))
+
+
+def utc_to_local(c: Column) -> Column:
+    """A naive value that is really UTC as naive Chicago time, daylight saving included."""
+    return F.convert_timezone(F.lit("UTC"), F.lit("America/Chicago"), c)
+
+
+ISO_STAMP = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(?::(\d{2})(?:\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+
+
+def iso_local(c) -> Column:
+    """An ISO date or stamp as naive Chicago time: aware values converted, naive ones untouched, else null."""
+    text = F.trim(F.col(c) if isinstance(c, str) else c)
+    day, clock, second, offset = [F.nullif(F.regexp_extract(text, ISO_STAMP, i), F.lit("")) for i in (1, 2, 3, 4)]
+    stamp = F.concat(day, F.lit(" "), F.coalesce(clock, F.lit("00:00")), F.lit(":"), F.coalesce(second, F.lit("00")))
+    naive = stamp.try_cast("timestamp_ntz")
+    return F.when(offset.isNull(), naive).otherwise(to_local(naive, offset))

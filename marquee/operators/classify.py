@@ -1,0 +1,138 @@
+"""Classification jobs: label columns, the repair passes over stored labels, and the nearest-exemplar model."""
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from marquee import vocab
+from marquee.functions.labels import (classify_single, concepts_in, informative_subtags, labels_to_parents,
+                                      normalize_label, source_labels, source_slug, title_rule, venue_key, venue_of,
+                                      with_hint, with_labels)
+from marquee.functions.vectors import nearest_exemplar
+
+ALL_PASSES = ["normalize", "venue", "undefined", "generic", "parents"]
+
+
+@dataclass
+class Context:
+    """What the passes look up: `declared` (source, label), `priors` (venue_key, category), `guesses` (id, label)."""
+
+    declared: DataFrame | None = None
+    priors: DataFrame | None = None
+    guesses: DataFrame | None = None
+
+
+def declared_labels(config: DataFrame) -> DataFrame:
+    """The category each configured venue's source carries, where it says something."""
+    silent = [vocab.PLACEHOLDER, "other", vocab.GENERIC_CATEGORY.lower(), ""]
+    label = normalize_label("category")
+    rows = config.select(source_slug("name").alias("source"), label.alias("label"), "id").where(
+        F.col("label").isNotNull() & ~F.lower("label").isin(silent))
+    return rows.groupBy("source").agg(F.max_by("label", "id").alias("label"))
+
+
+def _claims(ev: DataFrame) -> Column:
+    return source_labels("category", "categories", "subcategories")
+
+
+def _pass_normalize(ev: DataFrame, ctx: Context) -> DataFrame:
+    fallback = F.coalesce(normalize_label("category"), F.lit(vocab.GENERIC_CATEGORY))
+    empty = F.expr("CAST(array() AS ARRAY<STRING>)")
+    labelled = with_labels(ev, "name", fallback, F.lit(None).cast("string"), "_labels")
+    return labelled.withColumn("_labels", F.array_distinct(F.concat("_labels", F.coalesce("subcategories", empty))))
+
+
+def _pass_venue(ev: DataFrame, ctx: Context) -> DataFrame:
+    declared = ctx.declared.select("source", F.col("label").alias("_declared"))
+    labelled = with_labels(ev.join(declared, "source", "left"), "name", "_declared", F.lit(None).cast("string"), "_labels")
+    return labelled.withColumn("_labels", F.when(F.col("_declared").isNotNull(), F.col("_labels"))).drop("_declared")
+
+
+def _pass_undefined(ev: DataFrame, ctx: Context) -> DataFrame:
+    placeholder = F.exists(_claims(ev), lambda x: F.lower(F.trim(x)) == vocab.PLACEHOLDER)
+    venue = venue_of("venue_name", "details")
+    marked = ev.withColumns({"_placeholder": placeholder, "_venue": venue}).withColumn("_venue_key", venue_key("_venue"))
+    priors = ctx.priors.select(F.col("venue_key").alias("_venue_key"), F.col("category").alias("_prior"))
+    generic = F.lit(vocab.GENERIC_CATEGORY)
+    # the name of the venue is the weakest source, used only when nothing is known about the venue
+    guessed = classify_single("_venue", generic, F.lit(None).cast("string"))
+    known = marked.join(priors, "_venue_key", "left").withColumn("_prior", F.coalesce("_prior", guessed, generic))
+    labelled = with_labels(known, "name", "_prior", F.lit(None).cast("string"), "_labels")
+    return labelled.withColumn("_labels", F.when(F.col("_placeholder"), F.col("_labels"))).drop(
+        "_placeholder", "_venue", "_venue_key", "_prior")
+
+
+def _pass_generic(ev: DataFrame, ctx: Context) -> DataFrame:
+    only_generic = ~F.exists(_claims(ev), lambda x: ~x.isin(vocab.GENERIC_PARENT, vocab.GENERIC_CATEGORY))
+    marked = ev.withColumn("_only_generic", only_generic)
+    if ctx.guesses is not None:
+        marked = marked.join(ctx.guesses.select("id", F.col("label").alias("_guess")), "id", "left")
+    else:
+        marked = marked.withColumn("_guess", F.lit(None).cast("string"))
+    labelled = with_labels(marked, "name", F.lit(vocab.GENERIC_CATEGORY), F.lit(None).cast("string"), "_labels")
+    says = F.size(F.array_remove(labels_to_parents("_labels"), vocab.GENERIC_PARENT)) > 0
+    return labelled.withColumn("_labels", F.when(F.col("_only_generic"), F.when(says, F.col("_labels")).when(
+        F.col("_guess").isNotNull(), F.array("_guess")))).drop("_only_generic", "_guess")
+
+
+def _pass_parents(ev: DataFrame, ctx: Context) -> DataFrame:
+    return ev.withColumn("_labels", _claims(ev))
+
+
+PASSES = {"normalize": _pass_normalize, "venue": _pass_venue, "undefined": _pass_undefined,
+          "generic": _pass_generic, "parents": _pass_parents}
+
+
+def _marked(ev: DataFrame, name: str, ctx: Context) -> DataFrame:
+    """The rows with the labels a pass wants for them and whether that changes anything."""
+    rows = PASSES[name](ev, ctx).withColumn("_parents", labels_to_parents("_labels"))
+    finer = informative_subtags("_labels", "_parents")
+    rows = rows.withColumn("_finer", F.when(F.size(finer) > 0, finer))
+    empty = F.expr("CAST(array() AS ARRAY<STRING>)")
+    same = (F.col("category").eqNullSafe(F.get("_parents", F.lit(0)))
+            & (F.coalesce("categories", empty) == F.col("_parents"))
+            & F.when(F.size("subcategories") > 0, F.col("subcategories")).eqNullSafe(F.col("_finer")))
+    found = F.coalesce(F.size("_parents") > 0, F.lit(False))
+    if name == "generic":
+        found = found & (F.col("_parents") != F.array(F.lit(vocab.GENERIC_PARENT)))
+    return rows.withColumn("_changed", found & ~same)
+
+
+def recategorize(ev: DataFrame, name: str, ctx: Context) -> DataFrame:
+    """The rows one pass would rewrite, with their new labels and the old primary."""
+    rows = _marked(ev, name, ctx).where("_changed")
+    return rows.select("id", F.col("category").alias("old_category"), F.get("_parents", F.lit(0)).alias("category"),
+                       F.col("_parents").alias("categories"), F.col("_finer").alias("subcategories"))
+
+
+def recategorize_all(ev: DataFrame, ctx: Context, passes=tuple(ALL_PASSES)) -> DataFrame:
+    """The table after the passes in order. Each rewrites its rows in place: no join back on the id."""
+    columns = ev.columns
+    for name in passes:
+        rows = _marked(ev, name, ctx)
+        changed = F.col("_changed")
+        ev = rows.withColumns({
+            "category": F.when(changed, F.get("_parents", F.lit(0))).otherwise(F.col("category")),
+            "categories": F.when(changed, F.col("_parents")).otherwise(F.col("categories")),
+            "subcategories": F.when(changed, F.col("_finer")).otherwise(F.col("subcategories")),
+        }).select(*columns)
+    return ev
+
+
+def semantic_category(titles: DataFrame, exemplars: DataFrame, floor: float = 0.45) -> DataFrame:
+    """The parent of the nearest exemplar phrase, null below the floor.
+
+    `titles` has (id, embedding), `exemplars` (ord, parent, embedding); ties go to the lower ord. The exemplars are
+    a fixed vocabulary of some dozen phrases and travel as one value, so titles are read once and never shuffled.
+    """
+    best = nearest_exemplar(titles, exemplars)
+    return best.withColumn("label", F.when(F.col("similarity") >= floor, F.col("parent")))
+
+
+def hybrid_category(titles: DataFrame, guesses: DataFrame) -> DataFrame:
+    """The rules' label, else the model's; `guesses` has (id, label) already above the floor."""
+    ruled = with_labels(titles, "name", F.lit(vocab.GENERIC_CATEGORY), F.lit(None).cast("string"))
+    says = F.get(F.array_remove(labels_to_parents("labels"), vocab.GENERIC_PARENT), F.lit(0))
+    out = ruled.withColumn("ruled", says).join(guesses.select("id", F.col("label").alias("guess")), "id", "left")
+    return out.withColumn("category", F.coalesce("ruled", "guess")).drop("labels")

@@ -70,3 +70,18 @@ def with_views(*views: str, body: str) -> str:
 
 def listing_query(body: str, *more: str) -> str:
     return with_views(LISTINGS, *more, body=body)
+
+
+REPEATED = """
+repeated AS (SELECT * FROM listings UNION ALL BY NAME SELECT * REPLACE (id + 10000000 AS id) FROM listings WHERE id % 40 = 0)"""
+CONFIG = """
+venue_config AS (SELECT s_suppkey AS id, CAST(s_suppkey AS STRING) AS name, n_name AS neighborhood,
+ CASE s_suppkey % 4 WHEN 0 THEN 'music' WHEN 1 THEN 'events' WHEN 2 THEN 'arts & crafts' ELSE 'comedy' END AS category, s_name AS venue_name
+ FROM supplier JOIN nation ON n_nationkey = s_nationkey)"""
+
+
+def checks_view() -> str:
+    from marquee.adapters import LINK_CODE, LINK_RECHECK
+    return f"""
+checks AS (SELECT origination_url AS url, source, 1 AS attempt, {LINK_CODE} AS code FROM listings
+ UNION ALL SELECT origination_url, source, 2, {LINK_RECHECK} FROM listings)"""

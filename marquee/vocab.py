@@ -103,7 +103,6 @@ STOP_WORDS = (
 ).split()
 CONTRACTIONS = ["'s", "'ll", "'re", "'ve", "'d", "'m", "n't", "'t"]
 MAX_KEYWORDS = 5
-CITY_WORDS = r"(?:chicago|chi-town|chitown|windy city)"
 
 # --- Fixed values: place names ------------------------------------------------------------------------
 PLACE_ALIASES = {
@@ -196,3 +195,65 @@ MAX_SAFE_INPUT = 5000
 TOKEN_BUDGET = 20000
 TURN_BUDGET = 12
 WARN_SHARE = 0.25
+
+# --- Fixed values: boundary names folded into known places --------------------------------------------
+BOUNDARY_ALIASES = {
+    "wrigleyville": "Lake View",
+    "boystown": "Lake View",
+    "sheffield & depaul": "Lincoln Park",
+    "united center": "Near West Side",
+    "printers row": "Loop",
+    "millenium park": "Loop",
+    "grant park": "Loop",
+    "museum campus": "Loop",
+    "little italy, uic": "Little Italy",
+    "sauganash,forest glen": "Forest Glen",
+    "lower west side": "Pilsen",
+    "douglas": "Bronzeville",
+    "grand boulevard": "Bronzeville",
+}
+
+# --- Fixed values: street suffixes in their shortest form ---------------------------------------------
+STREET_SUFFIXES = {
+    "ave": "av", "avenue": "av", "av": "av", "st": "st", "street": "st", "rd": "rd", "road": "rd", "dr": "dr",
+    "drive": "dr", "blvd": "bl", "boulevard": "bl", "pl": "pl", "place": "pl", "pkwy": "pk", "parkway": "pk",
+    "ct": "ct", "court": "ct", "ter": "te", "terrace": "te", "ln": "ln", "lane": "ln", "hwy": "hw", "highway": "hw",
+}
+
+# --- Fixed values: geocoder key limits ----------------------------------------------------------------
+MAX_ADDRESS_CHARS = 120
+MAX_ADDRESS_WORDS = 12
+MAX_KEY_CHARS = 400
+
+# --- Fixed values: answers that mean a page is gone ---------------------------------------------------
+GONE_CODES = [404, 410]
+
+# --- Fixed values: broad directions and the neighborhoods they mean -----------------------------------
+REGIONS = {
+    "northwest side": ["Albany Park", "Avondale", "Belmont Cragin", "Dunning", "Forest Glen", "Galewood", "Hermosa",
+                       "Irving Park", "Jefferson Park", "Logan Square", "Montclare", "North Park", "Norwood Park",
+                       "O'Hare", "Portage Park"],
+    "north side": ["Andersonville", "Edgewater", "Lake View", "Lincoln Park", "Lincoln Square", "North Center",
+                   "North Park", "Rogers Park", "Uptown", "West Ridge"],
+    "west side": ["Austin", "Garfield Park", "Humboldt Park", "Little Village", "Near West Side", "North Lawndale",
+                  "Ukrainian Village", "West Loop", "West Town"],
+    "south side": ["Armour Square", "Avalon Park", "Beverly", "Bridgeport", "Bronzeville", "Burnside", "Chatham",
+                   "Chicago Lawn", "East Side", "Englewood", "Fuller Park", "Greater Grand Crossing", "Hegewisch",
+                   "Hyde Park", "Kenwood", "New City", "Pullman", "Riverdale", "Roseland", "South Chicago",
+                   "South Deering", "South Shore", "Washington Heights", "Washington Park", "West Pullman",
+                   "Woodlawn"],
+    "downtown": ["Loop", "Near South Side", "River North", "Streeterville", "West Loop"],
+}
+
+# --- Fixed values: what makes a request plainly about events in the city ------------------------------
+EVENT_REQUEST_WORDS = (r"(?:concerts?|live music|shows?|events?|festivals?|performances?|workshops?|classes?|markets?"
+                       r"|exhibitions?|plays?|games?|things to do|happening|comedy|theatre?)")
+
+# --- Fixed values: candidate ceilings and confidence gates --------------------------------------------
+CEILING_PLACED = 100
+CEILING_OPEN = 50
+TOP_RESULTS = 5
+CONFIDENCE_FLOOR = 0.3
+SEMANTIC_FLOOR = 0.25
+SEMANTIC_K = 20
+CATEGORY_FLOOR = 0.45
