@@ -4,6 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marquee import vocab
+from marquee.functions.labels import literal_map
 from marquee.functions.text import blank_as_null, col, collapse
 
 
@@ -51,7 +52,7 @@ def street_key(c) -> Column:
     """A street address without city, ZIP and punctuation, suffixes in their shortest form."""
     text = F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), r"(?s),?\s*chicago\b.*", "")
     text = F.regexp_replace(F.regexp_replace(text, r"\b\d{5}(?:-\d{4})?\b", " "), "[^a-z0-9 ]", " ")
-    lookup = F.create_map(*[F.lit(x) for pair in vocab.STREET_SUFFIXES.items() for x in pair])
+    lookup = literal_map(vocab.STREET_SUFFIXES)
     words = F.split(collapse(text), " ")
     return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(lookup, w), w)), " ")
 
@@ -68,5 +69,5 @@ def canonical_place(name, aliases=vocab.PLACE_ALIASES) -> Column:
     clean = blank_as_null(name)
     if not aliases:
         return clean
-    lookup = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+    lookup = literal_map(aliases)
     return F.coalesce(F.try_element_at(lookup, F.lower(clean)), clean)

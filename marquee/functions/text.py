@@ -1,6 +1,6 @@
 """Text columns shared by several operators."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,12 @@ def first_words(c, n: int) -> Column:
     words = F.split(collapse(F.coalesce(col(c), F.lit(""))), " ")
     return F.concat(F.array_join(F.slice(words, 1, n), " "),
                     F.when(F.size(words) > n, F.lit("...")).otherwise(F.lit("")))
+
+
+def keep_flagged(df: DataFrame, flag: str) -> DataFrame:
+    """Rows whose computed flag is true.
+
+    A plain filter would be pushed below the columns the flag is made of and repeat their expressions, once per
+    mention; read back through a one-element explode the flag is evaluated where it was computed.
+    """
+    return df.withColumn("_kept", F.explode(F.array(F.col(flag)))).where("_kept").drop("_kept")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from marquee import vocab
 from marquee.functions.labels import (classify_single, concepts_in, informative_subtags, labels_to_parents,
-                                      normalize_label, source_labels, source_slug, title_rule, venue_key, venue_of,
+                                      no_labels, normalize_label, source_labels, source_slug, title_rule, venue_key, venue_of,
                                       with_hint, with_labels)
+from marquee.functions.text import keep_flagged
 from marquee.functions.vectors import nearest_exemplar
 
 ALL_PASSES = ["normalize", "venue", "undefined", "generic", "parents"]
@@ -38,7 +39,7 @@ def _claims(ev: DataFrame) -> Column:
 
 def _pass_normalize(ev: DataFrame, ctx: Context) -> DataFrame:
     fallback = F.coalesce(normalize_label("category"), F.lit(vocab.GENERIC_CATEGORY))
-    empty = F.expr("CAST(array() AS ARRAY<STRING>)")
+    empty = no_labels()
     labelled = with_labels(ev, "name", fallback, F.lit(None).cast("string"), "_labels")
     return labelled.withColumn("_labels", F.array_distinct(F.concat("_labels", F.coalesce("subcategories", empty))))
 
@@ -89,7 +90,7 @@ def _marked(ev: DataFrame, name: str, ctx: Context) -> DataFrame:
     rows = PASSES[name](ev, ctx).withColumn("_parents", labels_to_parents("_labels"))
     finer = informative_subtags("_labels", "_parents")
     rows = rows.withColumn("_finer", F.when(F.size(finer) > 0, finer))
-    empty = F.expr("CAST(array() AS ARRAY<STRING>)")
+    empty = no_labels()
     same = (F.col("category").eqNullSafe(F.get("_parents", F.lit(0)))
             & (F.coalesce("categories", empty) == F.col("_parents"))
             & F.when(F.size("subcategories") > 0, F.col("subcategories")).eqNullSafe(F.col("_finer")))
@@ -101,7 +102,7 @@ def _marked(ev: DataFrame, name: str, ctx: Context) -> DataFrame:
 
 def recategorize(ev: DataFrame, name: str, ctx: Context) -> DataFrame:
     """The rows one pass would rewrite, with their new labels and the old primary."""
-    rows = _marked(ev, name, ctx).where("_changed")
+    rows = keep_flagged(_marked(ev, name, ctx), "_changed")
     return rows.select("id", F.col("category").alias("old_category"), F.get("_parents", F.lit(0)).alias("category"),
                        F.col("_parents").alias("categories"), F.col("_finer").alias("subcategories"))
 

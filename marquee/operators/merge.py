@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marquee import vocab
 from marquee.functions.dates import iso_local
 from marquee.functions.labels import with_labels
+from marquee.lineage import settled
 from marquee.operators.ordering import top_rows, unique_urls
 from marquee.operators.places import dense_ids
 from marquee.operators.predicates import looks_like_event
@@ -50,27 +51,29 @@ def merge_by_url(ev: DataFrame, batch: DataFrame, policy: dict[str, str], positi
     names; an unknown URL is inserted under the next ids.
     """
     first = top_rows(batch, ["origination_url"], [F.asc(position)], 1, "_n").drop("_n", position)
-    old, new = ev.alias("old"), first.alias("new")
-    both = old.join(new, F.col("old.origination_url") == F.col("new.origination_url"), "full")
-    stored, arrived = F.col("old.id").isNotNull(), F.col("new.origination_url").isNotNull()
-    settled = {}
+    known = ev.select("origination_url", F.lit(True).alias("_known"))
+    tagged = settled(first.join(known, "origination_url", "left"))
+    new = tagged.where(F.col("_known")).drop("_known").alias("new")
+    old = ev.alias("old")
+    arrived = F.col("new.origination_url").isNotNull()
+    columns = []
     for field in ev.schema:
         c = field.name
-        if c == "id":
-            continue
-        o = F.col(f"old.{c}")
-        if c not in first.columns:
-            settled[c] = o
-            continue
-        n = F.col(f"new.{c}")
         rule = "overwrite" if c == "date_retrieved" else policy.get(c)
-        kept = _settle(rule, o, n, field.dataType.typeName()) if rule else o
-        settled[c] = F.when(stored & arrived, kept).when(stored, o).otherwise(n)
-    change = F.when(stored & arrived, "updated").when(stored, "kept").otherwise("inserted")
-    merged = both.select(F.col("old.id").alias("id"), *[e.alias(c) for c, e in settled.items()], change.alias("change"))
-    known = merged.where(F.col("change") != "inserted")
-    inserted = dense_ids(merged.where(F.col("change") == "inserted").drop("id"), "origination_url", _highest(ev))
-    return known.unionByName(inserted)
+        value = F.col(f"old.{c}")
+        if rule and c in first.columns:
+            value = F.when(arrived, _settle(rule, value, F.col(f"new.{c}"), field.dataType.typeName())).otherwise(value)
+        columns.append(value.alias(c))
+    stored = old.join(new, F.col("old.origination_url") == F.col("new.origination_url"), "left").select(
+        *columns, F.when(arrived, "updated").otherwise("kept").alias("change"))
+    return stored.unionByName(_inserted(tagged.where(F.col("_known").isNull()), ev, "origination_url"))
+
+
+def _inserted(rows: DataFrame, ev: DataFrame, key: str) -> DataFrame:
+    """New rows in the shape of the table, under ids after its highest."""
+    placed = dense_ids(rows, key, _highest(ev)).withColumn("change", F.lit("inserted"))
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in ev.schema if f.name not in placed.columns}
+    return placed.withColumns(missing).select(*ev.columns, "change")
 
 
 def _highest(ev: DataFrame) -> Column:
@@ -105,22 +108,20 @@ def merge_venue_batch(ev: DataFrame, batch: DataFrame, position: str = "position
     """
     keys = ["name", "source", "date"]
     folded = fold_venue_batch(batch, position)
-    hits = ev.select("id", *keys).join(folded.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.min("id").alias("id"))
-    news = folded.join(hits.select(*keys), keys, "left_anti")
+    hits = ev.select("id", *keys).join(folded.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.min("id").alias("_id"))
+    tagged = settled(folded.join(hits, keys, "left"))
     fields = [c for c in ("date_end", "time", "time_end", "date_retrieved") if c in batch.columns]
     filled = ["cost", "neighborhood_id"]
-    updates = hits.join(folded, keys).select(
-        "id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in (*fields, *filled)])
-    stored = ev.join(updates, "id", "left")
+    updates = tagged.where(F.col("_id").isNotNull()).select(
+        F.col("_id").alias("id"), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in (*fields, *filled)])
     hit = F.coalesce(F.col("_hit"), F.lit(False))
-    stored = stored.withColumns({
+    stored = ev.join(updates, "id", "left").withColumns({
         **{c: F.when(hit, F.col(f"_new_{c}")).otherwise(F.col(c)) for c in fields},
         **{c: F.coalesce(F.col(f"_new_{c}"), F.col(c)) for c in filled},
         "change": F.when(hit, "updated").otherwise("kept"),
     }).select(*ev.columns, "change")
-    placed = dense_ids(unique_urls(news, ev, position), position, _highest(ev)).withColumn("change", F.lit("inserted"))
-    missing = {c: F.lit(None).cast(ev.schema[c].dataType) for c in ev.columns if c not in placed.columns}
-    return stored.unionByName(placed.withColumns(missing).select(*ev.columns, "change"))
+    news = settled(unique_urls(tagged.where(F.col("_id").isNull()), ev, position))
+    return stored.unionByName(_inserted(news, ev, position))
 
 
 def _card_status(cards: DataFrame) -> DataFrame:

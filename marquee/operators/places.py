@@ -11,6 +11,7 @@ from marquee import vocab
 from marquee.functions.dates import ntz
 from marquee.functions.geo import canonical_place, edges, geocode_key, in_ring, mean_point, park_key, street_key
 from marquee.functions.text import folded
+from marquee.lineage import settled
 from marquee.operators.predicates import runs_on_or_after
 
 
@@ -182,10 +183,10 @@ def dense_ids(df: DataFrame, key: str, start: Column, out: str = "id") -> DataFr
 def get_or_create_dim(names: DataFrame, nb: DataFrame, aliases=vocab.PLACE_ALIASES) -> DataFrame:
     """The neighborhood row of every name; a name not seen before gets the next id."""
     wanted = names.select(canonical_place("name", aliases).alias("name")).where("name IS NOT NULL").distinct()
-    existing = wanted.join(nb.select("name", "id"), "name").withColumn("is_new", F.lit(False))
-    new = wanted.join(nb.select("name"), "name", "left_anti")
+    tagged = settled(wanted.join(nb.select("name", "id"), "name", "left"))
+    existing = tagged.where(F.col("id").isNotNull()).withColumn("is_new", F.lit(False))
     highest = nb.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
-    created = dense_ids(new, "name", highest).withColumn("is_new", F.lit(True))
+    created = dense_ids(tagged.where(F.col("id").isNull()).drop("id"), "name", highest).withColumn("is_new", F.lit(True))
     return existing.unionByName(created)
 
 
