@@ -23,7 +23,7 @@ def understand(queries: DataFrame, as_of, nb: DataFrame | None = None, text: str
                                "window_start": start, "window_end": end})
     if nb is None:
         return out.withColumn("places", F.expr("CAST(array() AS ARRAY<STRING>)"))
-    out = out.withColumn("places", extract_places(text, nb))
+    out = extract_places(out, text, nb)
     return out.withColumn("keywords", strip_places("keywords", "places", text))
 
 
