@@ -257,3 +257,44 @@ CONFIDENCE_FLOOR = 0.3
 SEMANTIC_FLOOR = 0.25
 SEMANTIC_K = 20
 CATEGORY_FLOOR = 0.45
+
+# --- Fixed values: price sentences of sources that print them, (pattern, mode) in order ---------------
+# one: one amount; range: two amounts; all: every match's amount as one span
+SOURCE_PRICE_RULES = {
+    "chicago_park_district": [(r"(?i)Event Fee\s*\$(\d+(?:\.\d{2})?)", "one")],
+    "chicago_venue_jazz_showcase": [(r"(?i)General Admission\s*\$(\d+)", "one"),
+                                    (r"(?i)\$(\d+)\s*(?:-|—|–)?\s*general admission", "one")],
+    "chicago_venue_old_town_school_of_folk_music": [(r"(?i)\$(\d+)\s+General Public", "one")],
+    "chicago_venue_sleeping_village": [(r"(?i)(?:TIER\s*\d|EARLY BIRD|General Admission)\s*\$(\d+)(?:\.\d{2})?", "all")],
+    "chicago_venue_goodman_theatre": [(r"(?i)\$(\d+)(?:\.\d{2})?\s+to\s+\$(\d+)(?:\.\d{2})?", "range")],
+    "chicago_venue_den_theatre": [(r"(?i)Tickets:\s*\$(\d+)", "one")],
+    "chicago_venue_beverly_arts_center": [(r"(?i)Tickets:\s*\$(\d+)", "one")],
+    "chicago_venue_martyrss": [(r"(?i)\$(\d+)\s*adv\s*/\s*\$(\d+)\s*doors?", "range")],
+    "chicago_venue_navy_pier": [(r"(?i)General admission is \$(\d+)", "one")],
+}
+
+# --- Fixed values: dates as venues print them ---------------------------------------------------------
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october",
+          "november", "december"]
+MONTH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]*\.?"
+DATE_RUN = (rf"(?i)({MONTH})\s*(\d{{1,2}})\s*[–—-]\s*(?:[A-Za-z]{{3,9}},\s*)?"
+            rf"(?:({MONTH})\s*)?(\d{{1,2}})(?:,?\s*(\d{{4}}))?")
+DATE_ONE = rf"(?i)({MONTH})\s*(\d{{1,2}})(?:,?\s*(\d{{4}}))?"
+WEEKDAY = (r"(?i)\b(?:Mon|Tue|Tues|Wed|Weds|Thu|Thur|Thurs|Fri|Sat|Sun)"
+           r"(?:day|sday|nesday|rsday|urday)?\b")
+CLOCK = r"(?i)\d{1,2}(?::\d{2})?\s*[ap]\.?m\.?"
+
+# --- Fixed values: lines of a card that are not its title ---------------------------------------------
+BOILERPLATE = ["tickets", "buy tickets", "more info", "learn more", "details", "sold out", "rsvp", "doors",
+               "on sale", "free", "info", "read more", "get tickets"]
+SECTION_HEADINGS = [
+    "events", "all events", "upcoming events", "events & public programs", "public programs", "whats on",
+    "calendar", "event calendar", "more events", "today", "tomorrow", "month", "week", "day", "list", "agenda",
+    "view", "next", "prev", "previous", "filter", "filters", "search", "clear", "reset", "apply", "submit",
+    "select date", "all", "close", "confirm", "cancel", "ok", "done", "more info", "sold out", "tickets", "time",
+    "event details", "details", "venue", "location", "price", "multiday event", "multi day event",
+    "single day event", "recurring event",
+]
+PICKER_LEADS = ["today ", "tomorrow ", "this week", "this month"]
+TITLE_CUT = r"\s*[►▶‣]\s*|\s+DATE:\s*|\s+TIME:\s*"
+GLUED_WEEKDAY = r"(?:Mon|Tues?|Wed(?:nes)?|Thu(?:rs)?|Fri|Sat(?:ur)?|Sun)(?:day)?\.?$"
