@@ -1,19 +1,28 @@
 """Reliable checkpoints for results that several branches of a job read."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows written once to the cluster's checkpoint folder, so branches reread files instead of recomputing.
-
-    The folder is what `spark.checkpoint.dir` names. Where nothing is set, a local session (a test) gets a folder
-    of its own; a cluster has to name a shared one, because executors may be lost.
-    """
-    context = df.sparkSession.sparkContext
+def _folder(spark: SparkSession) -> str:
+    """The folder `spark.checkpoint.dir` names. Where nothing is set, a local session (a test) gets one of its own;
+    a cluster has to name a shared one, because executors may be lost."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="marquee-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint_root(spark: SparkSession) -> str:
+    """A new folder under the checkpoint folder."""
+    return f"{_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows written once to the checkpoint folder, so branches reread files instead of recomputing."""
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
