@@ -89,7 +89,8 @@ def _ranked(s, d):
     return S.rank_candidates(candidates, AS_OF)
 
 
-_PLACES = F.expr("array(concat('NATION_', CAST(id % 30 AS STRING)), 'Lake View')")
+def _named():
+    return F.expr("array(concat('NATION_', CAST(id % 30 AS STRING)), 'Lake View')")
 
 
 def _window(s, d):
@@ -107,7 +108,7 @@ QUERIES = {
         {"downtown": ["NATION_2", "NATION_9", "Loop"], "south side": ["NATION_8"]}).select(
         "id", F.array_join("places", "; ").alias("places")),
     "strip_places": lambda s, d: _texts(s, d).select(
-        "id", F.array_join(Q.strip_places(Q.extract_keywords("text"), _PLACES, "text"), " ").alias("keywords")),
+        "id", F.array_join(Q.strip_places(Q.extract_keywords("text"), _named(), "text"), " ").alias("keywords")),
     "extract_window": _window,
     "search_feed": lambda s, d: S.search_feed(_catalog(s, d), neighborhoods(s, d), _requests(s), AS_OF, 5, 40).select(
         "query_id", "id", "name", "position"),
