@@ -37,13 +37,12 @@ def utc_to_local(c: Column) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit("America/Chicago"), c)
 
 
-ISO_STAMP = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(?::(\d{2})(?:\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+ISO_STAMP = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
+OFFSET = r"[T ]\d{2}:\d{2}.*(Z|[+-]\d{2}:?\d{2})$"
 
 
 def iso_local(c) -> Column:
     """An ISO date or stamp as naive Chicago time: aware values converted, naive ones untouched, else null."""
     text = F.trim(F.col(c) if isinstance(c, str) else c)
-    day, clock, second, offset = [F.nullif(F.regexp_extract(text, ISO_STAMP, i), F.lit("")) for i in (1, 2, 3, 4)]
-    stamp = F.concat(day, F.lit(" "), F.coalesce(clock, F.lit("00:00")), F.lit(":"), F.coalesce(second, F.lit("00")))
-    naive = stamp.try_cast("timestamp_ntz")
-    return F.when(offset.isNull(), naive).otherwise(to_local(naive, offset))
+    wall = F.when(text.rlike(ISO_STAMP), text.try_cast("timestamp_ntz"))
+    return F.when(text.rlike(OFFSET), to_local(wall, F.regexp_extract(text, OFFSET, 1))).otherwise(wall)

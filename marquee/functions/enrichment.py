@@ -4,19 +4,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marquee import vocab
-from marquee.functions.text import col, collapse, found
+from marquee.functions.text import col, collapse, first_group
 
 
 def cost_in(text) -> Column:
     t = col(text)
     return (F.when(t.rlike(vocab.COST_FREE), "Free").when(t.rlike(vocab.COST_DONATION), "Donation")
-            .when(t.rlike(vocab.COST_AMOUNT), F.trim(F.regexp_extract(t, vocab.COST_AMOUNT, 0)))
+            .when(t.contains("$") & t.rlike(vocab.COST_AMOUNT), F.trim(F.regexp_extract(t, vocab.COST_AMOUNT, 0)))
             .when(t.rlike(vocab.COST_PAID), "Paid"))
 
 
 def age_in(text) -> Column:
     t = col(text)
-    number = F.coalesce(*[found(t, p, 1) for p in vocab.AGE_NUMBER])
+    number = F.when(t.rlike(r"\d"), F.coalesce(*[first_group(t, p, 1) for p in vocab.AGE_NUMBER]))
     return F.coalesce(F.concat(number, F.lit("+")), F.when(t.rlike(vocab.AGE_ALL), "All ages").when(
         t.rlike(vocab.AGE_KIDS), "Kids friendly"))
 
@@ -39,11 +39,11 @@ def extract_setting(text) -> Column:
 
 
 def extract_address(text) -> Column:
-    return found(text, vocab.STREET_ADDRESS)
+    return F.trim(first_group(text, vocab.STREET_ADDRESS))
 
 
 def extract_venue(name) -> Column:
-    venue = found(name, vocab.VENUE_AFTER_AT, 1)
+    venue = F.trim(first_group(name, vocab.VENUE_AFTER_AT, 1))
     return F.when((F.length(venue) > 2) & ~F.lower(venue).isin("the", "chicago"), venue)
 
 

@@ -28,6 +28,19 @@ def found(c, pattern: str, group: int = 0) -> Column:
     return F.nullif(F.trim(F.regexp_extract(col(c), pattern, group)), F.lit(""))
 
 
+def first_group(c, pattern: str, group: int = 0) -> Column:
+    """First match of a pattern, null when there is none. For groups that cannot match nothing."""
+    return F.get(F.regexp_extract_all(col(c), F.lit(pattern), F.lit(group)), F.lit(0))
+
+
+def let(value, body) -> Column:
+    """body(value) with the value computed once.
+
+    Inside a lambda or a conditional branch Spark computes an expression again at every mention.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank_as_null(c) -> Column:
     return F.nullif(F.trim(col(c)), F.lit(""))
 
@@ -39,6 +52,15 @@ def first_words(c, n: int) -> Column:
                     F.when(F.size(words) > n, F.lit("...")).otherwise(F.lit("")))
 
 
+def each(df: DataFrame, keep, array, position: str = "position", value: str = "e") -> DataFrame:
+    """One row per element of a computed array.
+
+    A plain explode makes the optimizer add a filter on the array's size, which computes the array a second time; the
+    outer form does not, and rows without elements are dropped afterwards.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(position, value)).where(F.col(position).isNotNull())
+
+
 def keep_flagged(df: DataFrame, flag: str) -> DataFrame:
     """Rows whose computed flag is true.
 

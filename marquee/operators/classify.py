@@ -44,24 +44,28 @@ def _pass_normalize(ev: DataFrame, ctx: Context) -> DataFrame:
     return labelled.withColumn("_labels", F.array_distinct(F.concat("_labels", F.coalesce("subcategories", empty))))
 
 
+# A pass that leaves most rows alone hands the classifier no title for those, so their patterns are not run.
 def _pass_venue(ev: DataFrame, ctx: Context) -> DataFrame:
     declared = ctx.declared.select("source", F.col("label").alias("_declared"))
-    labelled = with_labels(ev.join(declared, "source", "left"), "name", "_declared", F.lit(None).cast("string"), "_labels")
-    return labelled.withColumn("_labels", F.when(F.col("_declared").isNotNull(), F.col("_labels"))).drop("_declared")
+    joined = ev.join(declared, "source", "left").withColumn("_title", F.when(F.col("_declared").isNotNull(), F.col("name")))
+    labelled = with_labels(joined, "_title", "_declared", F.lit(None).cast("string"), "_labels")
+    return labelled.withColumn("_labels", F.when(F.col("_declared").isNotNull(), F.col("_labels"))).drop("_declared", "_title")
 
 
 def _pass_undefined(ev: DataFrame, ctx: Context) -> DataFrame:
     placeholder = F.exists(_claims(ev), lambda x: F.lower(F.trim(x)) == vocab.PLACEHOLDER)
     venue = venue_of("venue_name", "details")
-    marked = ev.withColumns({"_placeholder": placeholder, "_venue": venue}).withColumn("_venue_key", venue_key("_venue"))
+    marked = ev.withColumn("_placeholder", placeholder).withColumns({
+        "_venue": F.when(F.col("_placeholder"), venue), "_title": F.when(F.col("_placeholder"), F.col("name"))})
+    marked = marked.withColumn("_venue_key", venue_key("_venue"))
     priors = ctx.priors.select(F.col("venue_key").alias("_venue_key"), F.col("category").alias("_prior"))
     generic = F.lit(vocab.GENERIC_CATEGORY)
     # the name of the venue is the weakest source, used only when nothing is known about the venue
     guessed = classify_single("_venue", generic, F.lit(None).cast("string"))
     known = marked.join(priors, "_venue_key", "left").withColumn("_prior", F.coalesce("_prior", guessed, generic))
-    labelled = with_labels(known, "name", "_prior", F.lit(None).cast("string"), "_labels")
+    labelled = with_labels(known, "_title", "_prior", F.lit(None).cast("string"), "_labels")
     return labelled.withColumn("_labels", F.when(F.col("_placeholder"), F.col("_labels"))).drop(
-        "_placeholder", "_venue", "_venue_key", "_prior")
+        "_placeholder", "_venue", "_venue_key", "_prior", "_title")
 
 
 def _pass_generic(ev: DataFrame, ctx: Context) -> DataFrame:
@@ -71,10 +75,11 @@ def _pass_generic(ev: DataFrame, ctx: Context) -> DataFrame:
         marked = marked.join(ctx.guesses.select("id", F.col("label").alias("_guess")), "id", "left")
     else:
         marked = marked.withColumn("_guess", F.lit(None).cast("string"))
-    labelled = with_labels(marked, "name", F.lit(vocab.GENERIC_CATEGORY), F.lit(None).cast("string"), "_labels")
+    marked = marked.withColumn("_title", F.when(F.col("_only_generic"), F.col("name")))
+    labelled = with_labels(marked, "_title", F.lit(vocab.GENERIC_CATEGORY), F.lit(None).cast("string"), "_labels")
     says = F.size(F.array_remove(labels_to_parents("_labels"), vocab.GENERIC_PARENT)) > 0
     return labelled.withColumn("_labels", F.when(F.col("_only_generic"), F.when(says, F.col("_labels")).when(
-        F.col("_guess").isNotNull(), F.array("_guess")))).drop("_only_generic", "_guess")
+        F.col("_guess").isNotNull(), F.array("_guess")))).drop("_only_generic", "_guess", "_title")
 
 
 def _pass_parents(ev: DataFrame, ctx: Context) -> DataFrame:

@@ -7,7 +7,7 @@ from marquee import vocab
 from marquee.functions.dates import days_later, midnight, ntz
 from marquee.functions.labels import concepts_in
 from marquee.functions.query import extract_keywords, extract_places, extract_window, strip_places
-from marquee.functions.text import blank_as_null, col
+from marquee.functions.text import col, each, let
 from marquee.functions.vectors import cosine, nearest_in_batches, norm, query_blocks, unit
 from marquee.operators.ordering import feed_keys, top_rows
 from marquee.operators.places import with_neighborhood
@@ -38,13 +38,13 @@ def search_hits(ev: DataFrame, nb: DataFrame, queries: DataFrame, as_of) -> Data
     tokens, a request the first piece of each keyword and its concepts. Pairs meet on a token, are then checked in
     full, and are kept only at the request's first token the listing has, so each pair comes out once.
     """
-    low = F.lower("name")
+    low = F.col("_low")
     pieces = F.when(F.length(low) >= 3, F.transform(
         F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))).otherwise(
         F.expr("CAST(array() AS ARRAY<STRING>)"))
-    rows = with_neighborhood(upcoming(ev, as_of), nb).withColumn("_concepts", _row_concepts())
-    offered = F.concat(F.array_distinct(pieces), F.transform("_concepts", lambda c: F.concat(F.lit("#"), c)),
-                       F.array(F.lit(EVERYTHING)))
+    rows = with_neighborhood(upcoming(ev, as_of), nb).withColumns({"_low": F.lower("name"), "_concepts": _row_concepts()})
+    rows = rows.withColumn("_marks", F.transform("_concepts", lambda c: F.concat(F.lit("#"), c)))
+    offered = F.concat(F.array_distinct(pieces), F.col("_marks"), F.array(F.lit(EVERYTHING)))
     wanted = F.concat(F.transform("keywords", lambda k: F.substring(k, 1, 3)),
                       F.transform("concepts", lambda c: F.concat(F.lit("#"), c)))
     asked = queries.withColumn("_tokens", F.when(F.size(wanted) > 0, F.array_distinct(wanted)).otherwise(
@@ -53,11 +53,10 @@ def search_hits(ev: DataFrame, nb: DataFrame, queries: DataFrame, as_of) -> Data
         "_category", F.lit(None).cast("string"))
     asked = asked.select("query_id", "keywords", "concepts", "places", "window_start", "window_end", "_category",
                          "_tokens", F.explode("_tokens").alias("_token"))
-    pairs = rows.withColumn("_token", F.explode(offered)).join(asked, "_token")
+    pairs = each(rows, ["*"], offered, "_at", "_token").drop("_at").join(asked, "_token")
 
     def has(t: Column) -> Column:
-        return (t == EVERYTHING) | low.contains(t) | F.array_contains(
-            F.transform("_concepts", lambda c: F.concat(F.lit("#"), c)), t)
+        return (t == EVERYTHING) | low.contains(t) | F.array_contains("_marks", t)
 
     first = F.get(F.filter("_tokens", has), F.lit(0)) == F.col("_token")
     said = F.exists("keywords", lambda k: low.contains(k)) | F.arrays_overlap("concepts", "_concepts")
@@ -70,7 +69,7 @@ def search_hits(ev: DataFrame, nb: DataFrame, queries: DataFrame, as_of) -> Data
     within = F.col("window_start").isNull() | ((F.col("date") <= F.col("window_end")) & (
         (F.col("date_end") >= opens) | (F.col("date_end").isNull() & (F.col("date") >= opens))))
     return pairs.where(first & (said | unsaid) & labelled & placed & within).drop(
-        "_token", "_tokens", "_concepts", "_category")
+        "_token", "_tokens", "_concepts", "_category", "_low", "_marks")
 
 
 def search_feed(ev: DataFrame, nb: DataFrame, queries: DataFrame, as_of, skip: int = 0, limit: int = 20) -> DataFrame:
@@ -112,7 +111,7 @@ def embed_static(docs: DataFrame, vectors: DataFrame, dims: int, text: str = "te
     The mean is one sum per dimension, combined map-side; a token every document holds is joined by broadcast while
     the table is small and by AQE's split of the hot key beyond that.
     """
-    tokens = docs.select("id", F.explode(tokens_of(text)).alias("token")).join(vectors, "token")
+    tokens = each(docs, ["id"], tokens_of(text), "_at", "token").drop("_at").join(vectors, "token")
     pooled = tokens.groupBy("id").agg(*[F.avg(F.get("vector", F.lit(j))).alias(f"d{j}") for j in range(dims)])
     return pooled.select("id", unit(F.array(*[F.col(f"d{j}") for j in range(dims)])).alias("embedding"))
 
@@ -159,9 +158,10 @@ def relevance(as_of, name="name", category="category", keywords="keywords", conc
     stored = F.coalesce(col(category), F.lit(""))
     words = F.transform(F.split(F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", col(name), stored)), r"\s+", " ")), " "),
                         lambda w: F.regexp_replace(w, _STRIP, ""))
-    stems = F.transform(F.filter(words, lambda w: w != ""), lambda w: F.regexp_replace(w, "s+$", ""))
-    hits = F.size(F.filter(col(keywords), lambda k: F.array_contains(words, k) | F.array_contains(
-        stems, F.regexp_replace(k, "s+$", ""))))
+    both = let(words, lambda ws: F.struct(ws.alias("words"), F.transform(
+        F.filter(ws, lambda w: w != ""), lambda w: F.regexp_replace(w, "s+$", "")).alias("stems")))
+    hits = let(both, lambda b: F.size(F.filter(col(keywords), lambda k: F.array_contains(b["words"], k) | F.array_contains(
+        b["stems"], F.regexp_replace(k, "s+$", "")))))
     by_word = F.when(hits > 0, F.least(F.lit(0.4), F.lit(0.15) + hits / F.greatest(F.size(col(keywords)), F.lit(1)) * 0.25))
     by_meaning = F.when(col(similarity) > 0, F.least(F.lit(0.4), col(similarity) * 0.9))
     # concept keys, not labels: the label "Arts" does not equal the key "art"

@@ -11,7 +11,7 @@ from marquee.functions.dates import iso_local
 from marquee.functions.enrichment import (extract_address, extract_age, extract_cost, extract_setting, extract_venue,
                                           name_and_details)
 from marquee.functions.money import range_price
-from marquee.functions.text import blank_as_null
+from marquee.functions.text import blank_as_null, each
 from marquee.operators.ordering import top_rows
 
 TICKETING = """STRUCT<_embedded: STRUCT<events: ARRAY<STRUCT<id: STRING, name: STRING, url: STRING, info: STRING, pleaseNote: STRING,
@@ -68,7 +68,7 @@ def _priced(df: DataFrame, cost=None) -> DataFrame:
 
 def flatten_ticketing_api(raw: DataFrame, event_url: str = "https://tickets.example/event/") -> DataFrame:
     body = F.from_json("payload", TICKETING)
-    e = raw.select(F.posexplode(body["_embedded"]["events"]).alias("position", "e"))
+    e = each(raw, [], body["_embedded"]["events"])
     start = F.col("e.dates.start")
     local = iso_local(F.concat(_text(start["localDate"]), F.lit("T"), F.coalesce(_text(start["localTime"]), F.lit("00:00:00"))))
     first, venue = F.get("e.classifications", F.lit(0)), F.get("e._embedded.venues", F.lit(0))
@@ -169,7 +169,7 @@ def flatten_blog_posts(raw: DataFrame) -> DataFrame:
 def flatten_search_cards(raw: DataFrame, top: int = 10) -> DataFrame:
     """The first cards of each search answer; an address list starts with the venue."""
     cards = F.slice(F.from_json("payload", CARDS)["events_results"], 1, top)
-    e = raw.select("query_id", F.posexplode(cards).alias("position", "e")).select("query_id", "position", "e.*")
+    e = each(raw, ["query_id"], cards).select("query_id", "position", "e.*")
     listed = F.col("address").startswith("[")
     parts = F.filter(F.transform(F.from_json("address", "ARRAY<STRING>"), lambda x: F.trim(x)), lambda x: x != "")
     address = F.when(listed, F.array_join(parts, ", ")).otherwise(F.col("address"))
