@@ -5,6 +5,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marquee.functions.text import let
+
 
 def moment(as_of) -> datetime:
     return as_of if isinstance(as_of, datetime) else datetime.fromisoformat(str(as_of))
@@ -43,6 +45,10 @@ OFFSET = r"[T ]\d{2}:\d{2}.*(Z|[+-]\d{2}:?\d{2})$"
 
 def iso_local(c) -> Column:
     """An ISO date or stamp as naive Chicago time: aware values converted, naive ones untouched, else null."""
-    text = F.trim(F.col(c) if isinstance(c, str) else c)
-    wall = F.when(text.rlike(ISO_STAMP), text.try_cast("timestamp_ntz"))
-    return F.when(text.rlike(OFFSET), to_local(wall, F.regexp_extract(text, OFFSET, 1))).otherwise(wall)
+
+    def read(text: Column) -> Column:
+        wall = text.try_cast("timestamp_ntz")
+        local = F.when(text.rlike(OFFSET), let(F.regexp_extract(text, OFFSET, 1), lambda o: to_local(wall, o))).otherwise(wall)
+        return F.when(text.rlike(ISO_STAMP), local)
+
+    return let(F.trim(F.col(c) if isinstance(c, str) else c), read)

@@ -61,6 +61,11 @@ def each(df: DataFrame, keep, array, position: str = "position", value: str = "e
     return df.select(*keep, F.posexplode_outer(array).alias(position, value)).where(F.col(position).isNotNull())
 
 
+def keep_present(df: DataFrame, c: str) -> DataFrame:
+    """Rows that have a computed value, see keep_flagged."""
+    return keep_flagged(df.withColumn("_has", F.col(c).isNotNull()), "_has").drop("_has")
+
+
 def keep_flagged(df: DataFrame, flag: str) -> DataFrame:
     """Rows whose computed flag is true.
 

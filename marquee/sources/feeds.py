@@ -11,7 +11,7 @@ from marquee.functions.dates import iso_local
 from marquee.functions.enrichment import (extract_address, extract_age, extract_cost, extract_setting, extract_venue,
                                           name_and_details)
 from marquee.functions.money import range_price
-from marquee.functions.text import blank_as_null, each
+from marquee.functions.text import blank_as_null, each, keep_present
 from marquee.operators.ordering import top_rows
 
 TICKETING = """STRUCT<_embedded: STRUCT<events: ARRAY<STRUCT<id: STRING, name: STRING, url: STRING, info: STRING, pleaseNote: STRING,
@@ -86,7 +86,7 @@ def flatten_ticketing_api(raw: DataFrame, event_url: str = "https://tickets.exam
         venue["location"]["latitude"].try_cast("double").alias("_lat"),
         venue["location"]["longitude"].try_cast("double").alias("_lon"), F.col("e.priceRanges").alias("_ranges"))
     both = F.col("_lat").isNotNull() & F.col("_lon").isNotNull()
-    rows = rows.where((F.col("name") != "") & (F.col("source_id") != "") & F.col("date").isNotNull()).withColumns({
+    rows = keep_present(rows.where((F.col("name") != "") & (F.col("source_id") != "")), "date").withColumns({
         "latitude": F.when(both, F.col("_lat")), "longitude": F.when(both, F.col("_lon"))})
     return _priced(rows, range_price("_ranges")).drop("_lat", "_lon", "_ranges", "source_id")
 
@@ -117,7 +117,7 @@ def flatten_city_api(raw: DataFrame, site: str = "https://city.example") -> Data
         _joined(_text("excerpt"), _text("description"), by=" ").alias("details"),
         F.concat(F.lit(site), _text("permalink")).alias("origination_url"), "is_free", "venue",
         F.when(both, lat).alias("latitude"), F.when(both, lon).alias("longitude"))
-    flat = flat.where((F.col("name") != "") & F.col("date").isNotNull() & F.col("origination_url").isNotNull())
+    flat = keep_present(flat.where((F.col("name") != "") & F.col("origination_url").isNotNull()), "date")
     text = name_and_details("name", "details")
     flat = flat.withColumns({
         "date_end": F.when(F.to_date("_end") > F.to_date("date"), F.col("_end")),
@@ -136,7 +136,7 @@ def flatten_ticket_search_api(raw: DataFrame, event_url: str = "https://search.e
         F.coalesce("category.name", F.lit("Other")).alias("category"),
         _joined(_cut("description.text", 500), _labelled("Venue", F.col("venue.name"))).alias("details"),
         F.coalesce(_text("url"), F.concat(F.lit(event_url), F.col("id"))).alias("origination_url"))
-    return _priced(rows.where((F.col("name") != "") & F.col("date").isNotNull()))
+    return _priced(keep_present(rows.where(F.col("name") != ""), "date"))
 
 
 def flatten_artist_api(raw: DataFrame, event_url: str = "https://artists.example/e/") -> DataFrame:
@@ -148,7 +148,7 @@ def flatten_artist_api(raw: DataFrame, event_url: str = "https://artists.example
         _joined(_labelled("Venue", F.col("venue.name")), _labelled("Location", _place("venue.city", "venue.region")),
                 _cut("description", 300)).alias("details"),
         F.coalesce(_text("url"), F.concat(F.lit(event_url), F.col("id"))).alias("origination_url"))
-    return _priced(rows.where(F.col("name").isNotNull() & F.col("date").isNotNull()))
+    return _priced(keep_present(rows.where(F.col("name").isNotNull()), "date"))
 
 
 def _rendered(c: str) -> Column:
@@ -163,7 +163,7 @@ def flatten_blog_posts(raw: DataFrame) -> DataFrame:
         excerpt = F.replace(excerpt, F.lit(tag), F.lit(text))
     rows = e.select(F.trim(_rendered("title")).alias("name"), iso_local("date").alias("date"), F.lit("Events").alias("category"),
                     F.nullif(F.trim(F.substring(excerpt, 1, 500)), F.lit("")).alias("details"), _text("link").alias("origination_url"))
-    return _priced(rows.where((F.length("name") >= 3) & F.col("date").isNotNull() & F.col("origination_url").isNotNull()))
+    return _priced(keep_present(rows.where((F.length("name") >= 3) & F.col("origination_url").isNotNull()), "date"))
 
 
 def flatten_search_cards(raw: DataFrame, top: int = 10) -> DataFrame:
