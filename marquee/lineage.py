@@ -11,9 +11,12 @@ def _folder(spark: SparkSession) -> str:
     a cluster has to name a shared one, because executors may be lost."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="marquee-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="marquee-checkpoint-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from marquee import vocab
 from marquee.functions.dates import midnight, ntz
 from marquee.functions.labels import (normalize_label, parents_map, source_labels, source_slug, venue_key, venue_of)
-from marquee.functions.text import folded
+from marquee.functions.text import each, folded
 from marquee.operators.ordering import top_rows
 from marquee.operators.predicates import (displayable_category, has_label, overlaps, upcoming)
 
@@ -240,7 +240,7 @@ def venue_priors(ev: DataFrame, config: DataFrame, excluded_source: str = "ticke
 
 def unmapped_labels(ev: DataFrame, taxonomy=vocab.TAXONOMY) -> DataFrame:
     """Labels in use that the taxonomy does not place."""
-    labels = ev.select(F.explode(source_labels("category", "categories", "subcategories")).alias("label")).distinct()
+    labels = each(ev, [], source_labels("category", "categories", "subcategories"), "_at", "label").select("label").distinct()
     clean = labels.select(normalize_label("label").alias("label")).where("label IS NOT NULL").distinct()
     return clean.where(F.try_element_at(parents_map(taxonomy), F.lower("label")).isNull())
 

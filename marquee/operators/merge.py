@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from marquee import vocab
 from marquee.functions.dates import iso_local
 from marquee.functions.labels import with_labels
+from marquee.functions.text import keep_flagged
 from marquee.lineage import settled
-from marquee.operators.ordering import top_rows, unique_urls
+from marquee.operators.ordering import stored_matches, top_rows, unique_urls
 from marquee.operators.places import dense_ids
 from marquee.operators.predicates import looks_like_event
 
@@ -51,7 +52,7 @@ def merge_by_url(ev: DataFrame, batch: DataFrame, policy: dict[str, str], positi
     names; an unknown URL is inserted under the next ids.
     """
     first = top_rows(batch, ["origination_url"], [F.asc(position)], 1, "_n").drop("_n", position)
-    known = ev.select("origination_url", F.lit(True).alias("_known"))
+    known = stored_matches(ev.select("origination_url"), first, ["origination_url"]).withColumn("_known", F.lit(True))
     tagged = settled(first.join(known, "origination_url", "left"))
     new = tagged.where(F.col("_known")).drop("_known").alias("new")
     old = ev.alias("old")
@@ -108,7 +109,7 @@ def merge_venue_batch(ev: DataFrame, batch: DataFrame, position: str = "position
     """
     keys = ["name", "source", "date"]
     folded = fold_venue_batch(batch, position)
-    hits = ev.select("id", *keys).join(folded.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.min("id").alias("_id"))
+    hits = stored_matches(ev.select("id", *keys), folded, keys).groupBy(*keys).agg(F.min("id").alias("_id"))
     tagged = settled(folded.join(hits, keys, "left"))
     fields = [c for c in ("date_end", "time", "time_end", "date_retrieved") if c in batch.columns]
     filled = ["cost", "neighborhood_id"]
@@ -134,10 +135,10 @@ def _card_status(cards: DataFrame) -> DataFrame:
 
 def insert_only(ev: DataFrame, cards: DataFrame, position: str = "position", source: str = "web_search") -> DataFrame:
     """Rows to append from search cards: real events with a link and a date whose URL is not stored yet."""
-    fresh = _card_status(cards).where("_status = 'event'").join(
-        ev.select(F.col("origination_url").alias("url")), "url", "left_anti")
-    once = with_labels(top_rows(fresh, ["url"], [F.asc(position)], 1, "_n"), "title", F.lit(vocab.GENERIC_CATEGORY),
-                       "type_hint")
+    real = settled(top_rows(keep_flagged(_card_status(cards).withColumn("_event", F.col("_status") == "event"), "_event"),
+                            ["url"], [F.asc(position)], 1, "_n"))
+    known = stored_matches(ev.select(F.col("origination_url").alias("url")), real, ["url"])
+    once = with_labels(real.join(known, "url", "left_anti"), "title", F.lit(vocab.GENERIC_CATEGORY), "type_hint")
     return once.select(
         F.col("title").alias("name"), F.col("event_date").alias("date"), F.col("location").alias("address"),
         F.col("venue").alias("venue_name"), F.col("labels").alias("categories"), F.col("url").alias("origination_url"),

@@ -39,6 +39,16 @@ def top_rows(df: DataFrame, keys, order, k: int, rank: str = "position") -> Data
     return numbered.where(F.col(rank) <= k)
 
 
+def stored_matches(ev: DataFrame, batch: DataFrame, keys) -> DataFrame:
+    """The stored rows a batch is about.
+
+    Written with the batch as the side a semi join builds from: while the batch is small it is broadcast and the table
+    is only scanned, where looking the batch up in the table would shuffle the table's keys.
+    """
+    keys = list(keys)
+    return ev.join(batch.select(*keys), keys, "left_semi")
+
+
 def dedupe_keep_first(ev: DataFrame) -> DataFrame:
     """Lowest id of each (source, name, date, time) group. An undated row is a group of its own, so it stays."""
     own = F.when(F.col("date").isNull(), F.col("id"))
@@ -123,7 +133,8 @@ def unique_urls(batch: DataFrame, ev: DataFrame, position: str = "position") ->
     joined back on the row's position, so one URL shared by most of the batch does not gather in a task.
     """
     claims = batch.groupBy(F.col("url").alias("_url")).agg(F.min(position).alias("_pos"))
-    free = claims.join(ev.select(F.col("origination_url").alias("_url")), "_url", "left_anti").select(
+    taken = stored_matches(ev.select(F.col("origination_url").alias("_url")), claims, ["_url"])
+    free = claims.join(taken, "_url", "left_anti").select(
         F.col("_pos"), F.lit(True).alias("_first"))
     named = batch.join(free, F.col(position) == F.col("_pos"), "left").drop("_pos")
     derived = F.concat(F.col("url"), F.lit("#"), F.col("source"), F.lit("-"),

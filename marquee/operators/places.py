@@ -12,6 +12,7 @@ from marquee.functions.dates import ntz
 from marquee.functions.geo import canonical_place, edges, geocode_key, in_ring, mean_point, park_key, street_key
 from marquee.functions.text import folded
 from marquee.lineage import settled
+from marquee.operators.ordering import stored_matches
 from marquee.operators.predicates import runs_on_or_after
 
 
@@ -193,7 +194,7 @@ def get_or_create_dim(names: DataFrame, nb: DataFrame, aliases=vocab.PLACE_ALIAS
 def match_existing(batch: DataFrame, ev: DataFrame, keys) -> DataFrame:
     """A batch with the id of the stored listing each row is about, null when it is new or a key is null."""
     keys = list(keys)
-    stored = ev.groupBy(*keys).agg(F.min("id").alias("existing_id"))
+    stored = stored_matches(ev.select("id", *keys), batch, keys).groupBy(*keys).agg(F.min("id").alias("existing_id"))
     return batch.join(stored, keys, "left")
 
 

@@ -138,7 +138,18 @@ def _by_reader(s, d):
     return G.read_pages(_pages(s, d, html), _config(s).withColumn("reader", F.expr(reader)), AS_OF)
 
 
+GEOJSON = """concat('{"type":"FeatureCollection","features":[{"properties":{"pri_neigh":"Area ', CAST(id % 40 AS STRING), '"},"geometry":{"type":"Polygon","coordinates":[[[',
+    CAST(id % 9 AS STRING), ',0],[9.5,0],[9.5,2]],[[1,1],[2,1],[2,2]]]}},{"properties":{"name":"Twin"},"geometry":{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[1,1]]],[[[5,5],[6,5],[6,', CAST(id % 7 AS STRING), ']]]]}},{"properties":{},"geometry":{"type":"Point","coordinates":[1,2]}}]}')"""
+
+
+def _geojson(s, d):
+    rows = S.flatten_geojson(_raw(s, d, GEOJSON).withColumnRenamed("id", "source_id"))
+    total = F.aggregate(F.flatten(F.flatten("polygons")), F.lit(0.0), lambda a, p: a + p["x"] + p["y"])
+    return rows.select("source_id", "ord", "name", F.size("polygons").alias("parts"), F.size(F.flatten("polygons")).alias("rings"), total.alias("total"))
+
+
 QUERIES = {
+    "flatten_geojson": _geojson,
     "read_catalog": _stored,
     "copy_tables": lambda s, d: C.copy_tables(s, _loose(s, d), checkpoint_root(s)),
     "coerce_table": _copied,
@@ -184,6 +195,8 @@ _INFO = """concat_ws(' | ', CASE WHEN id % 2 = 0 THEN 'Tickets $10-25' END, CASE
     CASE WHEN id % 8 <> 7 THEN 'Venue: Hall ' || (id % 40) || ' | Location: Chicago, Illinois' END)"""
 
 ORACLES = {
+    "flatten_geojson": listing_query("""SELECT id AS source_id, 0 AS ord, 'Area ' || (id % 40) AS name, 1 AS parts, 2 AS rings, CAST(id % 9 + 30 AS DOUBLE) AS total FROM listings
+        UNION ALL SELECT id, 1, 'Twin', 2, 2, CAST(3 + 27 + id % 7 AS DOUBLE) FROM listings UNION ALL SELECT id, 2, NULL, NULL, NULL, NULL FROM listings"""),
     "read_catalog": listing_query("""SELECT l.id, l.name, date, date_end, cost, latitude, n.name AS neighborhood, array_to_string(categories, '; ') AS categories
         FROM listings l LEFT JOIN neighborhoods n ON n.id = l.neighborhood_id""", NEIGHBORHOODS),
     "copy_tables": with_views(LISTINGS, AUDIT, NEIGHBORHOODS, body="""SELECT 'events' AS "table", count(*) AS source_rows, count(*) AS copied_rows FROM listings

@@ -178,3 +178,20 @@ def flatten_search_cards(raw: DataFrame, top: int = 10) -> DataFrame:
         F.coalesce(_text("date"), F.col("snippet")).alias("date"), F.coalesce(_text(address), F.col("displayed_link")).alias("location"),
         F.when(listed, F.get(parts, F.lit(0))).alias("venue"), F.coalesce("link", F.lit("")).alias("url"),
         F.col("type").alias("type_hint"))
+
+
+FEATURES = """STRUCT<features: ARRAY<STRUCT<properties: STRUCT<pri_neigh: STRING, name: STRING>,
+  geometry: STRUCT<type: STRING, coordinates: STRING>>>>"""
+
+
+def flatten_geojson(raw: DataFrame) -> DataFrame:
+    """Boundary features of landed feature collections as (ord, name, polygons); points and lines have no polygons."""
+    e = each(raw, ["source_id"], F.from_json("payload", FEATURES)["features"])
+    kind, text = F.col("e.geometry.type"), F.col("e.geometry.coordinates")
+    depth = "ARRAY<ARRAY<ARRAY<DOUBLE>>>"
+    polygons = F.when(kind == "Polygon", F.array(F.from_json(text, depth))).when(
+        kind == "MultiPolygon", F.from_json(text, f"ARRAY<{depth}>"))
+    shaped = F.transform(polygons, lambda rings: F.transform(rings, lambda ring: F.transform(
+        ring, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))))
+    return e.select("source_id", F.col("position").alias("ord"),
+                    F.coalesce("e.properties.pri_neigh", "e.properties.name").alias("name"), shaped.alias("polygons"))
