@@ -18,7 +18,7 @@ HEADLINE = [
     "upcoming", "display_fields", "facet_categories", "facet_neighborhoods", "catalog_facts", "catalog_manifest",
     "duplicate_groups", "dedupe_keep_first", "feed_page", "unique_urls", "price_distribution", "venue_priors",
     "point_in_polygon", "resolve_neighborhood", "merge_venue_batch", "merge_by_url_city_api", "insert_only",
-    "enrich", "card_price", "page_price", "parse_date_range", "classify_labels", "recategorize_all",
+    "enrich", "card_price", "page_price", "parse_date_range", "classify_labels", "recategorize",
     "semantic_category", "extract_keywords", "search_feed", "nearest", "rank_candidates", "flag_injection",
     "validate_messages", "metrics", "sessions", "flatten_ticketing_api", "pages_dated_links", "pages_time_tag_events",
     "page_visible_text", "sweep_floor",

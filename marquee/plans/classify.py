@@ -141,7 +141,7 @@ QUERIES = {
     "classify_labels": lambda s, d: L.with_labels(_titled(s, d), "title", "label", "hint").select(
         "id", F.array_join("labels", "; ").alias("labels")),
     **{f"recategorize_{p}": _pass(p) for p in K.ALL_PASSES},
-    "recategorize_all": lambda s, d: _joined(K.recategorize_all(_stored(s, d), _context(s, d)).select(
+    "recategorize": lambda s, d: _joined(K.recategorize_all(_stored(s, d), _context(s, d)).select(
         "id", "category", "categories", "subcategories"), "categories", "subcategories"),
     "label_moves": lambda s, d: A.label_moves(K.recategorize(_stored(s, d), "parents", K.Context())),
     "semantic_category": _semantic,
@@ -242,7 +242,7 @@ ORACLES = {
     "classify_labels": with_views(LISTINGS, TITLED, labels_ctes("titled", "title", "label", "hint", "lab"),
                                   body="SELECT id, array_to_string(labels, '; ') AS labels FROM lab"),
     **{f"recategorize_{p}": _pass_oracle(p) for p in K.ALL_PASSES},
-    "recategorize_all": _all_oracle(),
+    "recategorize": _all_oracle(),
     "label_moves": with_views(LISTINGS, STORED, _marked_ctes("parents", "stored", "m"), body="""
         SELECT coalesce(nullif(category, ''), '-') || ' -> ' || _parents[1] AS move, count(*) AS n FROM m
         WHERE _changed AND category IS DISTINCT FROM _parents[1] GROUP BY 1 ORDER BY n DESC, move LIMIT 12"""),

@@ -191,6 +191,14 @@ def _visible(html):
     return rf"trim(regexp_replace({text}, '[\s\x{{a0}}]+', ' ', 'g'))"
 
 
+def _reader_sql():
+    """The readers' own oracles, each on the pages its source's reader is given."""
+    names = {"jsonld": "pages_jsonld_events", "embedded_state": "pages_embedded_state_events", "dated_links": "pages_dated_links",
+             "time_tags": "pages_time_tag_events", "dated_blocks": "pages_dated_blocks"}
+    return " UNION ALL ".join(f"SELECT page_id, name, date, url, '{reader}' AS reader FROM ({ORACLES[query]}) WHERE page_id % 5 = {i}"
+                              for i, (reader, query) in enumerate(names.items()))
+
+
 _INFO = """concat_ws(' | ', CASE WHEN id % 2 = 0 THEN 'Tickets $10-25' END, CASE WHEN id % 5 = 0 THEN 'Note: 21+ only' END,
     CASE WHEN id % 8 <> 7 THEN 'Venue: Hall ' || (id % 40) || ' | Location: Chicago, Illinois' END)"""
 
@@ -256,3 +264,4 @@ ORACLES = {
     "landed_page_text": with_views(PAGES, body="SELECT page_id, 'Show ' || page_id || ' Tickets: $' || (page_id % 40) AS text FROM pages_events"),
     "write_catalog": listing_query("SELECT coalesce(strftime(date, '%Y-%m'), 'undated') AS event_month, count(*) AS n, min(id) AS first_id FROM listings GROUP BY 1"),
 }
+ORACLES["read_pages"] = _reader_sql()

@@ -11,8 +11,9 @@ from marquee.lineage import checkpoint_root
 from marquee.operators.merge import POLICIES
 from marquee.operators.safety import injection_pattern
 from marquee.plans.merge import CATALOG, NEW, URL_BATCH, _table, _url_merge_sql
-from marquee.plans.safety import LEAD
+from marquee.plans.safety import LEAD, PATTERN
 from marquee.plans.views import AUDIT, MESSAGES, THREADS, with_views
+from marquee.session import SETTINGS
 from marquee.streaming import jobs as T
 from marquee.streaming import state as ST
 
@@ -25,7 +26,20 @@ def _stream(s, d, name):
     return s.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
+def _stream_session(s):
+    """A session of its own for a stream: RocksDB state, and on one machine no more state stores than cores."""
+    own = s.newSession()
+    for key, value in SETTINGS.items():
+        if key.startswith("spark.sql.streaming"):
+            own.conf.set(key, value)
+    if s.sparkContext.master.startswith("local"):
+        stores = min(int(s.conf.get("spark.sql.shuffle.partitions")), s.sparkContext.defaultParallelism)
+        own.conf.set("spark.sql.shuffle.partitions", str(stores))
+    return own
+
+
 def _log_stream(s, d):
+    s = _stream_session(s)
     return T.event_time(audit_view(_stream(s, d, "events")), delay=f"{DELAY_MINUTES} minutes")
 
 
@@ -38,18 +52,19 @@ def _message_columns(rows):
 
 
 def _session_stream(s, d):
+    s = _stream_session(s)
     rows = _message_columns(_stream(s, d, "conversations")).withWatermark("created_at", "10 minutes")
     return T.run_available(T.stream_sessions(rows))
 
 
 def _limits(s, d):
+    s = _stream_session(s)
     rows = _message_columns(_stream(s, d, "conversations")).withColumn("suspicious", injection_pattern("content").isNotNull())
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return T.run_available(ST.stream_rate_limit(rows))
 
 
 def _budgets(s, d):
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    s = _stream_session(s)
     return T.run_available(ST.stream_budget(_message_columns(_stream(s, d, "conversations"))))
 
 
@@ -124,6 +139,20 @@ ORACLES = {
         AND (updated_at < TIMESTAMP '2024-01-30 18:00:00' OR turn_count = 0) THEN 'abandoned' ELSE status END AS status FROM chat_threads"""),
     "close_threads": with_views(THREADS, body="""SELECT id, CASE WHEN status = 'active' AND id >= 0 AND id < 60 AND id % 2 = 0 THEN 'closed' ELSE status END AS status,
         status = 'active' AND id >= 0 AND id < 60 AND id % 2 = 0 AS changed FROM chat_threads"""),
+    "stream_rate_limit": with_views(MESSAGES, body=f"""
+        , m AS (SELECT id, thread_id % 7 AS thread_id, created_at, concat({LEAD.format(id='id')}, content) AS content FROM chat_messages),
+        n AS (SELECT id, thread_id, coalesce({PATTERN} IS NOT NULL, false) AS bad, row_number() OVER (PARTITION BY thread_id ORDER BY created_at, id) AS n FROM m)
+        SELECT * FROM (WITH RECURSIVE f AS (SELECT DISTINCT thread_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, '' AS verdict, 0 AS attempts FROM n
+          UNION ALL SELECT f.thread_id, n.n, n.id, CASE WHEN f.attempts >= 3 THEN 'blocked' WHEN bad AND f.attempts = 2 THEN 'too_many_attempts' WHEN bad THEN 'injection' ELSE 'clean' END,
+            CASE WHEN f.attempts >= 3 THEN f.attempts WHEN bad THEN f.attempts + 1 ELSE greatest(0, f.attempts - 1) END
+          FROM f JOIN n ON n.thread_id = f.thread_id AND n.n = f.n + 1)
+        SELECT thread_id, id, verdict, attempts FROM f WHERE id IS NOT NULL)"""),
+    "stream_budget": with_views(MESSAGES, body=f"""
+        , m AS (SELECT id, thread_id % 7 AS thread_id, role, CAST(floor(length(content) / 4) AS INT) AS token_count, created_at FROM chat_messages),
+        r AS (SELECT thread_id, id, role, 20000 - CAST(sum(token_count) OVER w AS BIGINT) AS tokens, 12 - count(*) FILTER (role = 'assistant') OVER w AS turns FROM m
+          WINDOW w AS (PARTITION BY thread_id ORDER BY created_at, id ROWS UNBOUNDED PRECEDING))
+        SELECT thread_id, id, CASE WHEN tokens <= 0 OR turns <= 0 THEN 'ended' ELSE 'limit_approaching' END AS status, greatest(0, tokens) AS remaining_tokens, greatest(0, turns) AS remaining_turns
+        FROM r WHERE role = 'assistant' AND (tokens < 5000 OR turns <= 0)"""),
     "stream_upsert": "SELECT * EXCLUDE (change) FROM (" + _url_merge_sql("city_api") + ")",
     "security_alerts": with_views(AUDIT, body=ALERTS),
     "stream_security_alerts": with_views(AUDIT, f"a AS ({ALERTS})", body=f"SELECT * FROM a WHERE {CLOSED}"),

@@ -110,6 +110,11 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")
 
 
+def late_rows(query) -> int:
+    """Rows a stream dropped because they came after the watermark, over its recent progress."""
+    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])
+
+
 def start_catalog(ev: DataFrame, path: str) -> None:
     """Version 0 of a catalogue that a stream will keep up to date."""
     ev.write.mode("overwrite").parquet(f"{path}/version=0")

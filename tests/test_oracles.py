@@ -37,7 +37,6 @@ def test_query(name, spark, sf_dir, duck):
     columns = sorted(df.columns)
     rows = sorted(tuple(canon(r[c]) for c in columns) for r in df.collect())
     if name not in ORACLES:
-        assert rows
         return
     cursor = duck.execute(ORACLES[name])
     names = [d[0] for d in cursor.description]
