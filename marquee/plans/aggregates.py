@@ -18,18 +18,21 @@ PRIOR_VENUE = """CASE WHEN id % 5 = 0 OR venue_name IS NULL THEN NULL WHEN id %
     ELSE concat(venue_name, ' Theater - Chicago IL') END"""
 
 
+LATER_DATE = "CASE WHEN id % 11 = 0 THEN NULL ELSE date END"
+
+
 def _facets(s, d, *more):
     return listings(s, d, "id", "date", "date_end", "category", "categories", "neighborhood_id", *more)
 
 
 def _after(s, d):
     cols = ("id", "date", "source", "neighborhood_id", "cost")
-    return with_repeats(listings(s, d, *cols)).where("id % 11 <> 0")
+    return with_repeats(listings(s, d, *cols)).withColumn("date", F.expr(LATER_DATE))
 
 
 def _priors(s, d):
     ev = listings(s, d, "id", "source", "category", "details", "venue_name").withColumn("venue_name", F.expr(PRIOR_VENUE))
-    config = venue_config(s, d).where("id % 3 = 0").withColumn("name", F.col("venue_name"))
+    config = venue_config(s, d).withColumn("name", F.col("venue_name"))
     return A.venue_priors(ev, config)
 
 
@@ -132,7 +135,7 @@ ORACLES = {
     "cross_source_duplicates": listing_query("""SELECT lower(trim(name)) AS name, date, count(DISTINCT source) AS sources
         FROM listings GROUP BY 1, 2 HAVING count(DISTINCT source) > 1"""),
     "catalog_manifest": listing_query(manifest_sql("listings"), NEIGHBORHOODS),
-    "manifest_diff": listing_query(f""", later AS (SELECT * FROM repeated WHERE id % 11 <> 0),
+    "manifest_diff": listing_query(f""", later AS (SELECT * REPLACE ({LATER_DATE} AS date) FROM repeated),
         b AS ({manifest_sql('listings')}), a AS ({manifest_sql('later')})
         SELECT * FROM (SELECT kind, key, coalesce(b.n, 0) AS before, coalesce(a.n, 0) AS after,
           coalesce(a.n, 0) - coalesce(b.n, 0) AS delta, coalesce(a.n, 0) < coalesce(b.n, 0) AS lost
@@ -142,7 +145,7 @@ ORACLES = {
         WHERE source LIKE 'chicago\\_venue\\_%' ESCAPE '\\' GROUP BY source ORDER BY count(*) DESC, source LIMIT 15"""),
     "run_report": listing_query("""SELECT venue_name AS venue, count(*) AS events, count(date) AS dated,
         count(*) FILTER (cost <> '') AS priced FROM listings GROUP BY venue_name"""),
-    "run_totals": listing_query(f""", a AS (SELECT count(*) AS u, count(cost) AS p FROM repeated WHERE id % 11 <> 0 AND {AHEAD}),
+    "run_totals": listing_query(f""", a AS (SELECT count(*) AS u, count(cost) AS p FROM (SELECT * REPLACE ({LATER_DATE} AS date) FROM repeated) WHERE {AHEAD}),
         b AS (SELECT count(*) AS u, count(cost) AS p FROM listings WHERE {AHEAD})
         SELECT a.u AS upcoming, a.p AS priced, a.u - b.u AS upcoming_delta, a.p - b.p AS priced_delta FROM a, b""", REPEATED),
     "price_distribution": listing_query(""", c AS (SELECT source, cost, count(*) AS n FROM listings WHERE cost <> '' GROUP BY 1, 2),
@@ -156,7 +159,7 @@ ORACLES = {
         r AS (SELECT venue_key, category AS learned FROM (SELECT *, row_number() OVER (PARTITION BY venue_key ORDER BY n DESC, first_id) AS rn FROM t) WHERE rn = 1),
         c AS (SELECT {venue_key_sql('venue_name')} AS venue_key,
           CASE category WHEN 'music' THEN 'Music' WHEN 'arts & crafts' THEN 'Arts & Crafts' ELSE 'Comedy' END AS declared
-          FROM venue_config WHERE id % 3 = 0 AND category <> 'events')
+          FROM venue_config WHERE category <> 'events')
         SELECT venue_key, coalesce(declared, learned) AS category FROM r FULL JOIN c USING (venue_key)""", CONFIG),
     "unmapped_labels": listing_query(f""", raw AS (SELECT DISTINCT trim(x) AS x FROM (
           SELECT unnest(list_concat([category, substr(name, 1, 9)], coalesce(categories, []))) AS x FROM listings) WHERE x IS NOT NULL),

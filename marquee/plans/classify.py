@@ -100,10 +100,10 @@ def _stored(s, d):
 
 def _context(s, d):
     config = venue_config(s, d)
-    by_name = config.where("id % 3 = 0").withColumn("name", F.col("venue_name"))
+    by_name = config.withColumn("name", F.col("venue_name"))
     priors = A.venue_priors(listings(s, d, "id", "source", "category", "details", "venue_name"), by_name)
-    guesses = listings(s, d, "id").where("id % 4 = 0").selectExpr("id", "CASE WHEN id % 8 = 0 THEN 'Film' ELSE 'Other' END AS label")
-    return K.Context(K.declared_labels(config.where("id % 2 = 0")), priors, guesses)
+    guesses = listings(s, d, "id").selectExpr("id", "CASE id % 8 WHEN 0 THEN 'Film' WHEN 4 THEN 'Other' END AS label")
+    return K.Context(K.declared_labels(config), priors, guesses)
 
 
 def _joined(df, *cols):
@@ -158,13 +158,13 @@ def _ctx_sql():
     venue = r"coalesce(nullif(trim(venue_name), ''), trim(regexp_extract(coalesce(details, ''), 'Venue:\s*([^|]+)', 1)))"
     declared = "CASE category WHEN 'music' THEN 'Music' WHEN 'arts & crafts' THEN 'Arts & Crafts' ELSE 'Comedy' END"
     return f"""
-declared AS (SELECT 'chicago_venue_' || name AS source, {declared} AS declared FROM venue_config WHERE id % 2 = 0 AND category <> 'events'),
+declared AS (SELECT 'chicago_venue_' || name AS source, {declared} AS declared FROM venue_config WHERE category <> 'events'),
 votes AS (SELECT {venue_key_sql(venue)} AS venue_key, trim(category) AS category, count(*) AS n, min(id) AS f FROM listings
   WHERE source <> 'ticket_api' AND {venue} <> '' AND lower(trim(category)) NOT IN ('undefined', 'other', 'events', '') GROUP BY 1, 2),
 priors AS (SELECT venue_key, coalesce(c.declared, l.category) AS prior FROM
   (SELECT venue_key, category FROM (SELECT *, row_number() OVER (PARTITION BY venue_key ORDER BY n DESC, f) AS rn FROM votes) WHERE rn = 1) l
-  FULL JOIN (SELECT {venue_key_sql('venue_name')} AS venue_key, {declared} AS declared FROM venue_config WHERE id % 3 = 0 AND category <> 'events') c USING (venue_key)),
-guesses AS (SELECT id, CASE WHEN id % 8 = 0 THEN 'Film' ELSE 'Other' END AS guess FROM listings WHERE id % 4 = 0)"""
+  FULL JOIN (SELECT {venue_key_sql('venue_name')} AS venue_key, {declared} AS declared FROM venue_config WHERE category <> 'events') c USING (venue_key)),
+guesses AS (SELECT id, CASE id % 8 WHEN 0 THEN 'Film' WHEN 4 THEN 'Other' END AS guess FROM listings)"""
 
 
 def _pass_ctes(name, rel, out):

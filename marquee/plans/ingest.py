@@ -60,11 +60,15 @@ def _raw(s, d, payload):
     return listings(s, d, "id", "name").select("id", F.expr(payload).alias("payload"))
 
 
+# a third of the general feed's links are ones no team feed has
+GENERAL_URL = "CASE WHEN position % 3 = 0 THEN concat('http://general.example/', CAST(position AS STRING)) ELSE origination_url END"
+
+
 def _feeds(s, d):
     rows = listings(s, d, "id", "name", "details", "page_url").selectExpr(
         "id AS position", "name", "CASE WHEN id % 9 = 0 THEN NULL ELSE details END AS details", "page_url AS origination_url")
-    teams = rows.where("position % 3 = 0").selectExpr("position", "name", "details", "origination_url", "concat('Team ', CAST(position % 5 AS STRING)) AS team")
-    return S.union_tagged_feeds(rows.where("position % 3 = 1"), teams)
+    teams = rows.selectExpr("position", "name", "details", "origination_url", "concat('Team ', CAST(position % 5 AS STRING)) AS team")
+    return S.union_tagged_feeds(rows.withColumn("origination_url", F.expr(GENERAL_URL)), teams)
 
 
 def _stored(s, d):
@@ -219,9 +223,9 @@ ORACLES = {
         CASE WHEN id % 6 = 0 THEN '$20-$40.50' WHEN id % 2 = 0 THEN '$10-25' END AS cost, CASE WHEN id % 5 = 0 THEN '21+' END AS age_range
         FROM listings WHERE id % 4 <> 3"""),
     "union_tagged_feeds": listing_query("""SELECT position, name, details, origination_url FROM (SELECT *, row_number() OVER (PARTITION BY origination_url ORDER BY feed, position) AS rn FROM (
-        SELECT id AS position, name, CASE WHEN id % 3 = 1 THEN CASE WHEN id % 9 = 0 THEN NULL ELSE details END
-          WHEN id % 9 = 0 THEN 'Team ' || (id % 5) ELSE 'Team ' || (id % 5) || ' | ' || details END AS details,
-          page_url AS origination_url, CASE WHEN id % 3 = 1 THEN 0 ELSE 1 END AS feed FROM listings WHERE id % 3 <> 2)) WHERE rn = 1"""),
+        SELECT id AS position, name, CASE WHEN id % 9 = 0 THEN NULL ELSE details END AS details,
+          CASE WHEN id % 3 = 0 THEN 'http://general.example/' || id ELSE page_url END AS origination_url, 0 AS feed FROM listings
+        UNION ALL SELECT id, name, CASE WHEN id % 9 = 0 THEN 'Team ' || (id % 5) ELSE 'Team ' || (id % 5) || ' | ' || details END, page_url, 1 FROM listings)) WHERE rn = 1"""),
     "flatten_city_api": listing_query(f"""SELECT name, make_timestamp(1998, 6, {DAY}, 19, 0, 0) AS date, CASE WHEN id % 3 = 0 THEN make_timestamp(1998, 7, {DAY}, 2, 0, 0) END AS date_end,
         CASE WHEN id % 2 = 0 THEN 'Film' ELSE 'Other' END AS category, CASE WHEN id % 5 = 0 THEN 'Rooftop, all ages. ' ELSE '' END || 'Suggested donation at 12 West Oak Ave, Chicago' AS details,
         'https://city.example/e/' || id AS origination_url, CASE WHEN id % 3 = 0 THEN 41.25 END::DOUBLE AS latitude, CASE WHEN id % 3 = 0 THEN -87.5 END::DOUBLE AS longitude,

@@ -24,21 +24,21 @@ def _odd(s, d, *more):
 def _resolve(s, d):
     ev = listings(s, d, "id", "latitude", "longitude", "address", "venue_name", "neighborhood_id").withColumn(
         "longitude", F.expr("CASE WHEN latitude IS NULL THEN NULL WHEN id % 3 = 0 THEN longitude + 5 ELSE longitude END"))
-    config = venue_config(s, d).where("id % 3 = 0").withColumn("name", F.col("venue_name"))
+    config = venue_config(s, d).withColumn("name", F.expr("CASE WHEN id % 3 = 0 THEN venue_name ELSE concat('Hall ', name) END"))
     return J.resolve_neighborhood(ev, _boundaries(s, d), J.venue_to_neighborhood(config), geocode_cache(s, d), CELL).select(
         "id", "neighborhood", "how", "latitude", "longitude")
 
 
 def _match(s, d):
     ev = listings(s, d, "id", "name", "source", "date")
-    batch = ev.where("id % 3 = 0").selectExpr(
+    batch = ev.selectExpr(
         "id AS position", "CASE WHEN id % 2 = 0 THEN name ELSE concat(name, '!') END AS name", "source", "date")
     return J.match_existing(batch, ev, ["name", "source", "date"])
 
 
 def _transit(s, d):
-    lines = table(s, d, "nation").where("n_nationkey % 4 = 0").selectExpr(
-        "n_name AS neighborhood", "concat('Line ', CAST(n_nationkey AS STRING)) AS transit")
+    lines = table(s, d, "nation").selectExpr(
+        "n_name AS neighborhood", "CASE WHEN n_nationkey % 4 = 0 THEN concat('Line ', CAST(n_nationkey AS STRING)) END AS transit")
     return J.transit_hint(J.with_neighborhood(listings(s, d, "id", "neighborhood_id"), neighborhoods(s, d)), lines).select(
         "id", "neighborhood", "transit")
 
@@ -52,7 +52,7 @@ QUERIES = {
     "boundary_report": lambda s, d: J.boundary_report(J.load_boundaries(features(s, d)), neighborhoods(s, d)),
     "polygon_centroid": lambda s, d: J.polygon_centroid(parks(s, d)).select("ord", "longitude", "latitude"),
     "place_by_park": lambda s, d: J.place_by_park(
-        listings(s, d, "id", "address", "venue_name", "latitude", "longitude").where("id % 5 = 4 OR id % 3 = 0"),
+        listings(s, d, "id", "address", "venue_name", "latitude", "longitude"),
         parks(s, d), _boundaries(s, d), CELL).select("id", "status", "neighborhood", "latitude", "longitude"),
     "geocode_lookup": lambda s, d: J.geocode_lookup(_odd(s, d), geocode_cache(s, d)).select(
         "id", "geocode_key", "geocode_state", "cached_latitude", "cached_longitude"),
@@ -104,7 +104,7 @@ ORACLES = {
         kn AS (SELECT name_key, min_by(longitude, ord) AS x, min_by(latitude, ord) AS y FROM parks GROUP BY 1),
         e AS (SELECT id, latitude, longitude, coalesce(ka.x, kn.x) AS x, coalesce(ka.y, kn.y) AS y FROM listings l
           LEFT JOIN ka ON (CASE WHEN id % 8 > 1 THEN (100 + id % 900) || ' n main st' END) = ka.address_key
-          LEFT JOIN kn ON lower(replace(venue_name, '#', ' ')) = kn.name_key WHERE id % 5 = 4 OR id % 3 = 0)
+          LEFT JOIN kn ON lower(replace(venue_name, '#', ' ')) = kn.name_key)
         SELECT e.id, CASE WHEN x IS NULL THEN 'unmatched' WHEN n.name IS NULL THEN 'outside' ELSE 'placed' END AS status,
           n.name AS neighborhood, CASE WHEN n.name IS NOT NULL AND latitude IS NULL THEN y ELSE latitude END AS latitude,
           CASE WHEN n.name IS NOT NULL AND latitude IS NULL THEN x ELSE longitude END AS longitude
@@ -138,7 +138,7 @@ ORACLES = {
     "venue_to_neighborhood": with_views(CONFIG, body="""SELECT venue_key, min_by(neighborhood, id) AS neighborhood FROM (
         SELECT lower(CASE WHEN id % 3 = 0 THEN upper(venue_name) ELSE concat('Hall ', CAST(id % 20 AS STRING)) END) AS venue_key, neighborhood, id FROM venue_config) GROUP BY 1"""),
     "match_existing": listing_query(""", f AS (SELECT name, source, date, min(id) AS existing_id FROM listings GROUP BY ALL),
-        b AS (SELECT id AS position, CASE WHEN id % 2 = 0 THEN name ELSE concat(name, '!') END AS name, source, date FROM listings WHERE id % 3 = 0)
+        b AS (SELECT id AS position, CASE WHEN id % 2 = 0 THEN name ELSE concat(name, '!') END AS name, source, date FROM listings)
         SELECT position, b.name, b.source, b.date, existing_id FROM b LEFT JOIN f ON f.name = b.name AND f.source = b.source AND f.date = b.date"""),
     "prune_dead": listing_query(f"""SELECT id, origination_url FROM listings WHERE NOT coalesce({UP} AND origination_url IN (
         SELECT url FROM checks GROUP BY url HAVING count(*) >= 2 AND bool_and(code IN (404, 410))), false)""", checks_view()),

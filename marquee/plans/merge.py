@@ -15,19 +15,15 @@ CATALOG = ("id", "name", "source", "date", "date_end", "time", "category", "cost
 OLD, NEW = "1998-06-01 00:00:00", "1998-06-06 00:00:00"
 
 # one text for both engines: what the next run brings
-VENUE_BATCH = """SELECT id AS position, name, source, date, date + INTERVAL 3 DAY AS date_end, '9 pm' AS time,
+VENUE_BATCH = """SELECT id AS position, CASE WHEN id % 3 = 0 THEN name ELSE concat('New ', name) END AS name, source, date, date + INTERVAL 3 DAY AS date_end, '9 pm' AS time,
     CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE '$99' END AS cost,
-    CASE WHEN id % 5 = 0 THEN neighborhood_id END AS neighborhood_id, category, page_url AS url FROM {rel} WHERE id % 3 = 0
-  UNION ALL SELECT id + 20000000, concat('New ', name), source, date, NULL, time, cost, neighborhood_id, category,
-    CASE WHEN id % 2 = 0 THEN 'http://hot.example/' ELSE origination_url END FROM {rel} WHERE id % 97 = 0
+    CASE WHEN id % 5 = 0 THEN neighborhood_id END AS neighborhood_id, category, CASE WHEN id % 2 = 0 THEN 'http://hot.example/' ELSE page_url END AS url FROM {rel}
   UNION ALL SELECT id + 40000000, concat('New ', name), source, date, NULL, '11 pm', CASE WHEN id % 3 = 0 THEN '$1' END, NULL, category,
-    'http://hot.example/' FROM {rel} WHERE id % 97 = 0 AND id % 2 = 0"""
-URL_BATCH = """SELECT id AS position, origination_url, name, source, date + INTERVAL 1 DAY AS date, date + INTERVAL 3 DAY AS date_end,
+    'http://hot.example/' FROM {rel}"""
+URL_BATCH = """SELECT id AS position, CASE WHEN id % 3 = 0 THEN origination_url ELSE concat('http://new.example/', CAST(id - id % 2 AS STRING)) END AS origination_url, name, source, date + INTERVAL 1 DAY AS date, date + INTERVAL 3 DAY AS date_end,
     CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE '$99' END AS cost, CASE WHEN id % 2 = 0 THEN 'New address' END AS address,
     'New venue' AS venue_name, CASE WHEN id % 5 = 4 THEN 1.5D ELSE NULL END AS latitude, CASE WHEN id % 5 = 4 THEN 2.5D ELSE NULL END AS longitude,
-    CAST(7 AS BIGINT) AS neighborhood_id FROM {rel} WHERE id % 3 = 0
-  UNION ALL SELECT id + 20000000, concat('http://new.example/', CAST(id - id % 2 AS STRING)), concat('New ', name), source, date, NULL, cost,
-    address, venue_name, latitude, longitude, neighborhood_id FROM {rel} WHERE id % 97 < 2"""
+    CAST(7 AS BIGINT) AS neighborhood_id FROM {rel}"""
 CARD_DATE = """CASE id % 5 WHEN 0 THEN 'June 6' WHEN 1 THEN '1998-06-13' WHEN 2 THEN '1998-06-13T19:30:00'
     WHEN 3 THEN '1998-06-13T19:30:00-05:00' ELSE '1998-12-13T01:30:00Z' END"""
 CARDS = f"""SELECT id AS position, {ODD_TITLE} AS title, {CARD_DATE} AS date, address AS location, venue_name AS venue,
@@ -68,20 +64,20 @@ def _inserts(s, d):
 
 def _union(s, d):
     rows = listings(s, d, "id")
-    sql_hits = rows.where("id % 3 = 0").selectExpr("id % 20 AS query_id", "id", "id * 2 AS position")
-    near = rows.where("id % 2 = 0").selectExpr("id % 20 AS query_id", "id", "id + 1 AS position")
+    sql_hits = rows.selectExpr("id % 20 AS query_id", "id", "id * 2 AS position")
+    near = rows.selectExpr("(id + id % 2) % 20 AS query_id", "id", "id + 1 AS position")
     return M.candidate_union(sql_hits, near)
 
 
 def _prices(s, d):
-    found = listings(s, d, "id", "name").where("id % 2 = 0").selectExpr(
+    found = listings(s, d, "id").selectExpr(
         "id", "CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('$', CAST(id % 90 AS STRING)) END AS cost")
     return M.fill_prices(listings(s, d, "id", "cost"), found)
 
 
 def _apply(s, d):
     ev = _stored(s, d)
-    out = M.apply_changes(ev, K.recategorize(ev, "parents", K.Context()).where("id % 2 = 0"))
+    out = M.apply_changes(ev, K.recategorize(ev, "parents", K.Context()))
     return out.select("id", "category", F.array_join("categories", "; ").alias("categories"),
                       F.array_join("subcategories", "; ").alias("subcategories"))
 
@@ -154,11 +150,11 @@ ORACLES = {
         SELECT title AS name, event_date AS date, location AS address, venue AS venue_name, array_to_string(labels, '; ') AS categories,
           coalesce(labels[1], 'Events') AS category, url AS origination_url, 'web_search' AS source FROM lab"""),
     "insert_counts": with_views(LISTINGS, CARD_STATUS, body="SELECT status, count(*) AS n FROM cards GROUP BY status"),
-    "candidate_union": listing_query("""SELECT id % 20 AS query_id, id, CASE WHEN id % 3 = 0 THEN id * 2 ELSE id + 1 END AS position,
-        CASE WHEN id % 3 = 0 THEN 0 ELSE 1 END AS origin FROM listings WHERE id % 3 = 0 OR id % 2 = 0"""),
-    "fill_prices": listing_query("""SELECT id, coalesce(nullif(cost, ''), CASE WHEN id % 2 = 0 AND id % 3 = 2 THEN '$' || (id % 90) END, cost) AS cost FROM listings"""),
+    "candidate_union": listing_query("""SELECT id % 20 AS query_id, id, id * 2 AS position, 0 AS origin FROM listings
+        UNION ALL SELECT (id + 1) % 20, id, id + 1, 1 FROM listings WHERE id % 2 = 1"""),
+    "fill_prices": listing_query("""SELECT id, coalesce(nullif(cost, ''), CASE WHEN id % 3 = 2 THEN '$' || (id % 90) END, cost) AS cost FROM listings"""),
     "apply_changes": with_views(LISTINGS, STORED, _marked_ctes("parents", "stored", "m"), body="""
-        SELECT id, CASE WHEN _changed AND id % 2 = 0 THEN _parents[1] ELSE category END AS category,
-          array_to_string(CASE WHEN _changed AND id % 2 = 0 THEN _parents ELSE categories END, '; ') AS categories,
-          array_to_string(CASE WHEN _changed AND id % 2 = 0 THEN _finer ELSE subcategories END, '; ') AS subcategories FROM m"""),
+        SELECT id, CASE WHEN _changed THEN _parents[1] ELSE category END AS category,
+          array_to_string(CASE WHEN _changed THEN _parents ELSE categories END, '; ') AS categories,
+          array_to_string(CASE WHEN _changed THEN _finer ELSE subcategories END, '; ') AS subcategories FROM m"""),
 }

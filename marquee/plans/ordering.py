@@ -10,14 +10,14 @@ from marquee.plans.views import MESSAGES, REPEATED, listing_query, q, with_views
 
 AS_OF = LISTINGS_AS_OF
 FEED_DAY = "CASE WHEN date < TIMESTAMP '1998-06-06' THEN TIMESTAMP '1998-06-06' ELSE date END"
-HOT_URL = "CASE WHEN id % 3 = 0 THEN 'http://hot.example/' ELSE page_url END"
-BATCH = "id % 6 <> 0"
+# a third of the batch wants one free link, a third links the table holds, the rest new ones shared by pairs
+HOT_URL = "CASE id % 3 WHEN 0 THEN 'http://hot.example/' WHEN 1 THEN page_url ELSE replace(page_url, 'listings', 'new') END"
 BATCH_NAME = "CASE WHEN id > 10000000 THEN upper(name) ELSE name END"
 
 
 def _batch(s, d):
     rows = with_repeats(listings(s, d, "id", "name", "date", "time", "page_url", "source")).selectExpr(
-        "id AS position", "name", "date", "time", "source", f"{HOT_URL} AS url").where("position % 6 <> 0")
+        "id AS position", "name", "date", "time", "source", f"{HOT_URL} AS url")
     return rows
 
 
@@ -38,7 +38,7 @@ QUERIES = {
     "recent_messages": lambda s, d: R.recent_messages(
         chat_messages(s, d), _current(chat_messages(s, d))).select("thread_id", "id", "role", "content", "position"),
     "transcript": lambda s, d: R.transcript(chat_messages(s, d)),
-    "unique_urls": lambda s, d: R.unique_urls(_batch(s, d), listings(s, d, "id", "origination_url").where("id % 6 = 0")).select(
+    "unique_urls": lambda s, d: R.unique_urls(_batch(s, d), listings(s, d, "id", "origination_url")).select(
         "position", "origination_url"),
     "conversation_budget": lambda s, d: R.conversation_budget(chat_messages(s, d)).select(
         "thread_id", "id", "tokens", "turns", "remaining_tokens", "remaining_turns", "warning", "complete"),
@@ -70,8 +70,8 @@ ORACLES = {
     "transcript": with_views(MESSAGES, body="""SELECT thread_id, part, string_agg(line, chr(10) ORDER BY id) AS transcript FROM (
         SELECT thread_id, id, (row_number() OVER (PARTITION BY thread_id ORDER BY id) - 1) // 500 AS part,
         upper(role) || ': ' || substr(content, 1, 300) AS line FROM chat_messages) GROUP BY 1, 2"""),
-    "unique_urls": listing_query(f""", b AS (SELECT id AS position, name, date, source, {HOT_URL} AS url FROM repeated WHERE id % 6 <> 0),
-        taken AS (SELECT origination_url FROM listings WHERE id % 6 = 0),
+    "unique_urls": listing_query(f""", b AS (SELECT id AS position, name, date, source, {HOT_URL} AS url FROM repeated),
+        taken AS (SELECT origination_url FROM listings),
         c AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY position) = 1 AND url NOT IN (SELECT * FROM taken) AS keeps FROM b),
         e AS (SELECT *, url || '#' || source || '-' || coalesce(strftime(date, '%Y-%m-%d'), 'nodate') || '-' || substr(name, 1, 60) AS derived FROM c),
         r AS (SELECT *, row_number() OVER (PARTITION BY keeps, derived ORDER BY position) AS n FROM e)
