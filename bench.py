@@ -1,7 +1,7 @@
 """Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS] and prints one JSON line.
 
-Every query is run to a sink that takes all rows and columns, so nothing is pruned away. Each is run twice and the
-second time counts.
+Every query is run to a sink that takes all rows and columns, so nothing is pruned away. One query is run first, to
+start the workers; then each counts once, planning included.
 """
 
 import json
@@ -31,12 +31,12 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = local_session("bench", cores=cpus)
     queries = registry.queries()
+    queries["facet_neighborhoods"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in names:
-        for _ in range(2):
-            start = time.perf_counter()
-            queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            seconds[name] = round(time.perf_counter() - start, 3)
+        start = time.perf_counter()
+        queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        seconds[name] = round(time.perf_counter() - start, 3)
     spark.stop()
     print(json.dumps({"metric": "total wall time of the headline queries", "value": round(sum(seconds.values()), 3),
                       "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/"))}))

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee import vocab
-from marquee.functions.labels import (classify_single, concepts_in, informative_subtags, labels_to_parents,
-                                      no_labels, normalize_label, source_labels, source_slug, title_rule, venue_key, venue_of,
-                                      with_hint, with_labels)
+from marquee.functions.labels import (classify_single, informative_subtags, labels_from, labels_to_parents,
+                                      no_labels, normalize_label, read_title, source_labels, source_slug, venue_key, venue_of,
+                                      with_labels)
 from marquee.functions.text import keep_flagged
 from marquee.functions.vectors import nearest_exemplar
 
@@ -37,35 +37,31 @@ def _claims(ev: DataFrame) -> Column:
     return source_labels("category", "categories", "subcategories")
 
 
+# The passes work on rows whose title was read (read_title) and add what they want as `_labels`, null to leave a row.
 def _pass_normalize(ev: DataFrame, ctx: Context) -> DataFrame:
     fallback = F.coalesce(normalize_label("category"), F.lit(vocab.GENERIC_CATEGORY))
-    empty = no_labels()
-    labelled = with_labels(ev, "name", fallback, F.lit(None).cast("string"), "_labels")
-    return labelled.withColumn("_labels", F.array_distinct(F.concat("_labels", F.coalesce("subcategories", empty))))
+    labels = F.concat(labels_from("_fall"), F.coalesce("subcategories", no_labels()))
+    return ev.withColumn("_fall", fallback).withColumn("_labels", F.array_distinct(labels)).drop("_fall")
 
 
-# A pass that leaves most rows alone hands the classifier no title for those, so their patterns are not run.
 def _pass_venue(ev: DataFrame, ctx: Context) -> DataFrame:
     declared = ctx.declared.select("source", F.col("label").alias("_declared"))
-    joined = ev.join(declared, "source", "left").withColumn("_title", F.when(F.col("_declared").isNotNull(), F.col("name")))
-    labelled = with_labels(joined, "_title", "_declared", F.lit(None).cast("string"), "_labels")
-    return labelled.withColumn("_labels", F.when(F.col("_declared").isNotNull(), F.col("_labels"))).drop("_declared", "_title")
+    return ev.join(declared, "source", "left").withColumn(
+        "_labels", F.when(F.col("_declared").isNotNull(), labels_from("_declared"))).drop("_declared")
 
 
 def _pass_undefined(ev: DataFrame, ctx: Context) -> DataFrame:
     placeholder = F.exists(_claims(ev), lambda x: F.lower(F.trim(x)) == vocab.PLACEHOLDER)
-    venue = venue_of("venue_name", "details")
-    marked = ev.withColumn("_placeholder", placeholder).withColumns({
-        "_venue": F.when(F.col("_placeholder"), venue), "_title": F.when(F.col("_placeholder"), F.col("name"))})
-    marked = marked.withColumn("_venue_key", venue_key("_venue"))
+    marked = ev.withColumn("_placeholder", placeholder).withColumn(
+        "_venue", F.when(F.col("_placeholder"), venue_of("venue_name", "details")))
+    marked = marked.withColumn("_venue_key", F.when(F.col("_placeholder"), venue_key("_venue")))
     priors = ctx.priors.select(F.col("venue_key").alias("_venue_key"), F.col("category").alias("_prior"))
     generic = F.lit(vocab.GENERIC_CATEGORY)
     # the name of the venue is the weakest source, used only when nothing is known about the venue
-    guessed = classify_single("_venue", generic, F.lit(None).cast("string"))
+    guessed = F.when(F.col("_placeholder"), classify_single("_venue", generic, F.lit(None).cast("string")))
     known = marked.join(priors, "_venue_key", "left").withColumn("_prior", F.coalesce("_prior", guessed, generic))
-    labelled = with_labels(known, "_title", "_prior", F.lit(None).cast("string"), "_labels")
-    return labelled.withColumn("_labels", F.when(F.col("_placeholder"), F.col("_labels"))).drop(
-        "_placeholder", "_venue", "_venue_key", "_prior", "_title")
+    return known.withColumn("_labels", F.when(F.col("_placeholder"), labels_from("_prior"))).drop(
+        "_placeholder", "_venue", "_venue_key", "_prior")
 
 
 def _pass_generic(ev: DataFrame, ctx: Context) -> DataFrame:
@@ -75,11 +71,10 @@ def _pass_generic(ev: DataFrame, ctx: Context) -> DataFrame:
         marked = marked.join(ctx.guesses.select("id", F.col("label").alias("_guess")), "id", "left")
     else:
         marked = marked.withColumn("_guess", F.lit(None).cast("string"))
-    marked = marked.withColumn("_title", F.when(F.col("_only_generic"), F.col("name")))
-    labelled = with_labels(marked, "_title", F.lit(vocab.GENERIC_CATEGORY), F.lit(None).cast("string"), "_labels")
+    labelled = marked.withColumn("_labels", F.when(F.col("_only_generic"), labels_from(F.lit(vocab.GENERIC_CATEGORY))))
     says = F.size(F.array_remove(labels_to_parents("_labels"), vocab.GENERIC_PARENT)) > 0
     return labelled.withColumn("_labels", F.when(F.col("_only_generic"), F.when(says, F.col("_labels")).when(
-        F.col("_guess").isNotNull(), F.array("_guess")))).drop("_only_generic", "_guess", "_title")
+        F.col("_guess").isNotNull(), F.array("_guess")))).drop("_only_generic", "_guess")
 
 
 def _pass_parents(ev: DataFrame, ctx: Context) -> DataFrame:
@@ -92,6 +87,8 @@ PASSES = {"normalize": _pass_normalize, "venue": _pass_venue, "undefined": _pass
 
 def _marked(ev: DataFrame, name: str, ctx: Context) -> DataFrame:
     """The rows with the labels a pass wants for them and whether that changes anything."""
+    if "_rule" not in ev.columns:
+        ev = read_title(ev, "name", F.lit(None).cast("string"))
     rows = PASSES[name](ev, ctx).withColumn("_parents", labels_to_parents("_labels"))
     finer = informative_subtags("_labels", "_parents")
     rows = rows.withColumn("_finer", F.when(F.size(finer) > 0, finer))
@@ -115,6 +112,7 @@ def recategorize(ev: DataFrame, name: str, ctx: Context) -> DataFrame:
 def recategorize_all(ev: DataFrame, ctx: Context, passes=tuple(ALL_PASSES)) -> DataFrame:
     """The table after the passes in order. Each rewrites its rows in place: no join back on the id."""
     columns = ev.columns
+    ev = read_title(ev, "name", F.lit(None).cast("string"))
     for name in passes:
         rows = _marked(ev, name, ctx)
         changed = F.col("_changed")
@@ -122,8 +120,8 @@ def recategorize_all(ev: DataFrame, ctx: Context, passes=tuple(ALL_PASSES)) -> D
             "category": F.when(changed, F.get("_parents", F.lit(0))).otherwise(F.col("category")),
             "categories": F.when(changed, F.col("_parents")).otherwise(F.col("categories")),
             "subcategories": F.when(changed, F.col("_finer")).otherwise(F.col("subcategories")),
-        }).select(*columns)
-    return ev
+        }).select(*columns, "_rule", "_named")
+    return ev.select(*columns)
 
 
 def semantic_category(titles: DataFrame, exemplars: DataFrame, floor: float = 0.45) -> DataFrame:
