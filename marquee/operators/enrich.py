@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee import vocab
 from marquee.functions.enrichment import enriched, locality
 from marquee.functions.labels import (informative_subtags, labels_to_parents, normalize_label, title_rule, with_labels)
 from marquee.functions.money import (jsonld_blocks, offer_amounts, offers_in_blocks, render_price, rule_price,

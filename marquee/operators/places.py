@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee import vocab
-from marquee.functions.dates import ntz
 from marquee.functions.geo import canonical_place, edges, geocode_key, in_ring, mean_point, park_key, street_key
 from marquee.functions.text import folded
 from marquee.lineage import settled

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee import vocab
-from marquee.functions.dates import days_later, midnight, ntz
+from marquee.functions.dates import days_later, ntz
 from marquee.functions.labels import concepts_in
 from marquee.functions.query import extract_keywords, extract_places, extract_window, strip_places
 from marquee.functions.text import col, each, let

@@ -6,8 +6,7 @@ from marquee import vocab
 from marquee.adapters import (LISTINGS_AS_OF, audit_logs, chat_threads, link_checks, listings, neighborhoods,
                               venue_config, with_repeats)
 from marquee.operators import aggregates as A
-from marquee.operators import predicates as P
-from marquee.plans.predicates import IN_WEEKEND, UP, WEEKEND, has_label, no_match
+from marquee.plans.predicates import IN_WEEKEND, UP, has_label, no_match
 from marquee.plans.views import (AUDIT, CONFIG, NEIGHBORHOODS, REPEATED, THREADS, checks_view, listing_query, q, with_views)
 
 AS_OF = LISTINGS_AS_OF

@@ -1,7 +1,5 @@
 """Queries and oracles of the classification jobs, and the SQL text of the rules other oracles use."""
 
-import re
-
 from pyspark.sql import functions as F
 
 from marquee import vocab

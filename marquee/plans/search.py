@@ -10,7 +10,7 @@ from marquee.operators import search as S
 from marquee.plans.classify import COSINE, NO_LIST, concepts_sql, distinct_sql, words_sql
 from marquee.plans.ordering import FEED_DAY
 from marquee.plans.predicates import UP, concept_sql
-from marquee.plans.views import NEIGHBORHOODS, listing_query, q, with_views
+from marquee.plans.views import NEIGHBORHOODS, listing_query, q
 
 AS_OF = LISTINGS_AS_OF
 DIMS = 8
