@@ -1,11 +1,24 @@
 """What several operators of this folder share: written intermediate tables and connected components."""
 
+import sys
+import types
+from collections.abc import Callable, Hashable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.lineage import checkpoint_root
 
 
+def per_process(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What `make` returns, made once in each worker process: functions travel by value, so their globals don't last."""
+    kept = sys.modules.setdefault("_marquee_kept", types.ModuleType("_marquee_kept")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written once as Parquet under the shared checkpoint folder, and read from there by every later branch.
     A lost executor costs nothing that is written already."""

@@ -1,6 +1,8 @@
 """The registered queries of this folder, and the DuckDB texts of those SQL can express."""
 
-from marquee.llm import simhash
+import public_tokenizers
+
+from marquee.llm import bpe, covertree, pfor, simhash, warc
 from marquee.llm.common import table
 
 
@@ -8,5 +10,44 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash}
-ORACLES = {}
+def op2_token_blocks(spark, sf_dir):
+    return pfor.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op5_byte_bpe(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                          public_tokenizers.PATTERN)
+
+
+def op7_dual_tree(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return covertree.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_token_blocks": op2_token_blocks, "op3_warc": op3_warc, "op5_byte_bpe": op5_byte_bpe,
+           "op7_dual_tree": op7_dual_tree}
+
+ORACLES = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+        f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1),
+        m AS (SELECT d.*, CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to FROM d LEFT JOIN f USING (payload_digest))
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+               CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to,
+               (SELECT url FROM pages q WHERE q.page_id = m.page_id) AS requested,
+               (17 + length(payload_bytes::VARCHAR))::BIGINT AS metadata_bytes
+        FROM m""",
+    "op7_dual_tree": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS p FROM embeddings
+                   WHERE vec_id IS NOT NULL AND len(embedding) > 0
+                     AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.p::DOUBLE[], c.p::DOUBLE[])::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10""",
+}
