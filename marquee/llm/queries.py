@@ -2,7 +2,8 @@
 
 import public_tokenizers
 
-from marquee.llm import bpe, covertree, pfor, simhash, warc
+import corpus_pipeline
+from marquee.llm import bpe, covertree, decontaminate, linejoin, pfor, pii, quality, simhash, toxicity, warc
 from marquee.llm.common import table
 
 
@@ -18,18 +19,38 @@ def op3_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_quality(spark, sf_dir):
+    return quality.posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                           public_tokenizers.PATTERN)
 
 
+def op6_line_dedup(spark, sf_dir):
+    return linejoin.line_report(table(spark, sf_dir, "documents"))
+
+
 def op7_dual_tree(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return covertree.nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_token_blocks": op2_token_blocks, "op3_warc": op3_warc, "op5_byte_bpe": op5_byte_bpe,
-           "op7_dual_tree": op7_dual_tree}
+def op8_toxicity(spark, sf_dir):
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_decontamination(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_personal_data(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_blocks, op3_warc, op4_quality, op5_byte_bpe, op6_line_dedup, op7_dual_tree, op8_toxicity,
+                                   op9_decontamination, op10_personal_data)} | {"pipeline": corpus_pipeline.run}
 
 ORACLES = {
     "op3_warc": """
