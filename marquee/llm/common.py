@@ -1,5 +1,6 @@
 """What several operators of this folder share: written intermediate tables and connected components."""
 
+import re
 import sys
 import types
 from collections.abc import Callable, Hashable
@@ -11,6 +12,21 @@ from pyspark.sql import functions as F
 from marquee.lineage import checkpoint_root
 
 
+#: White space, letters and numbers up to U+00FF, as the public tokenizers' libraries see them.
+LATIN = {r"\s": r"\t\n\x0b\x0c\r \x85\xa0", r"\p{L}": "A-Za-zªµºÀ-ÖØ-öø-ÿ", r"\p{N}": "0-9²³¹¼½¾"}
+
+
+def with_classes(pattern: str, classes: dict[str, str]) -> str:
+    """The pattern with its classes spelled out."""
+    for name, members in classes.items():
+        if name == r"\s":
+            pattern = pattern.replace(r"\S", f"[^{members}]")
+        pattern = re.sub(r"(\[[^\]]*)" + re.escape(name), lambda m: m[1] + members, pattern)
+        pattern = re.sub(r"(\[[^\]]*)" + re.escape(name), lambda m: m[1] + members, pattern)
+        pattern = pattern.replace(name, f"[{members}]")
+    return pattern
+
+
 def per_process(key: Hashable, make: Callable[[], Any]) -> Any:
     """What `make` returns, made once in each worker process: functions travel by value, so their globals don't last."""
     kept = sys.modules.setdefault("_marquee_kept", types.ModuleType("_marquee_kept")).__dict__

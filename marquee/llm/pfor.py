@@ -14,6 +14,8 @@ exceptions u4, width u1; then the differences to the minimum, lowest bits first,
 the full differences u4 of the exceptions, whose packed bits are zero. The width is that of the `PERCENTILE` difference.
 """
 
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.common import checkpoint_root, per_process
+from marquee.llm.common import LATIN, checkpoint_root, per_process, with_classes
 
 BLOCK = 1024
 PERCENTILE = 95
 #: Ids after which a frame is closed; it ends with the document that reaches it.
 FRAME = 1 << 18
 #: Text pieces whose ids a worker remembers; more pieces start the memory anew.
-REMEMBERED = 150_000
+REMEMBERED = 600_000
 #: Characters that are looked up at a time.
 SLICE = 1 << 20
 #: The id that ends a document.
@@ -81,11 +83,14 @@ def unpack(payload: bytes, starts: list[int]) -> np.ndarray:
 class PieceEncoder:
     """Ids of texts by a `tokenizers` file, as little-endian u4 bytes.
 
-    Blanks and line breaks are boundaries to the tokenizer's normalizer and splitter, and leave no ids. So a text's ids are those
-    of the pieces between them, one after the other, and each piece is given to the library once while it is remembered.
+    A text's ids are those of its pieces, one after the other, and each piece is given to the library once while it is remembered.
+    Blanks and line breaks always are borders. If the file lower-cases and splits by a pattern, its matches in the lower-cased text
+    are pieces too, in texts where composition and case are sure to be one to one: those without characters beyond U+00FF
+    or the sign that begins special tokens.
     """
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -93,16 +98,31 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        steps = [s["type"] for s in (told["normalizer"] or {}).get("normalizers", [])]
+        splits = [s for s in (told["pre_tokenizer"] or {}).get("pretokenizers", []) if s["type"] == "Split" and s["invert"]]
+        sure = steps == ["NFC", "Replace", "Lowercase"] and len(splits) == 1 and splits[0]["behavior"] == "Removed"
+        self.pattern = re.compile(with_classes(splits[0]["pattern"]["Regex"], LATIN)) if sure else None
+
+    def split(self, text: str) -> list[str]:
+        if self.pattern and "<" not in text:
+            try:
+                text.encode("latin-1")
+                return self.pattern.findall(text.lower())
+            except UnicodeEncodeError:
+                pass
+        return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [self.split(t) for t in texts]
         wanted = set().union(*split)
         missing = list(wanted.difference(self.known))
         if len(self.known) + len(missing) > REMEMBERED:
             self.known.clear()
             missing = list(wanted)
         found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        self.known.update(zip(missing, (np.array(e.ids, dtype="<u4").tobytes() for e in found)))
+        self.known.update((m, array("I", e.ids).tobytes()) for m, e in zip(missing, found))
         get = self.known.__getitem__
         return [b"".join(map(get, pieces)) for pieces in split]
 

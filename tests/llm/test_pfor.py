@@ -50,7 +50,7 @@ def test_given_documents(spark, sf_dir):
 
 def test_awkward_rows(spark):
     texts = [None, "", " ", "\n\n", "Ünï  ́x\tTab\x0bVT\x1cFS LS", "<|endoftext|> x<|startoftext|>y", "İSTANBUL ΣΑΣ ǅ", "é ́e",
-             "it's we'll 12345 ½", "𝒜🤦🏽‍♂️", "word " * 50000, "a" * 30000]
+             "it's we'll 12345 ½", "\x85a\xa0b\x1cC\x1fd µßÿÀ×÷ª 10²³¹¼ IT'S ''s,", "".join(map(chr, range(1, 256))), "𝒜🤦🏽‍♂️", "word " * 50000, "a" * 30000]
     rows = [(i, t, "x", i) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id LONG, text STRING, ids STRING, part INT").repartition(5)
     assert sorted(tuple(r) for r in pfor.round_trip(df, VOCABULARY).collect()) == plain([r[:2] for r in rows])
