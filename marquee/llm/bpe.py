@@ -10,19 +10,20 @@ about `CHUNK` bytes of unknown matches at a time, and remembers the ids of at mo
 """
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marquee.llm.common import per_process
+from marquee.llm.common import LATIN, per_process, with_classes
 
-REMEMBERED = 150_000
+REMEMBERED = 500_000
 SLICE = 1 << 19
 CHUNK = 1 << 17
 
-#: White space as the pattern's library sees it.
+#: All white space, as the pattern's library sees it.
 SPACES = r"\t\n\x0b\x0c\r \x85\p{Zs}\p{Zl}\p{Zp}"
 
 MERGED = """
@@ -41,7 +42,7 @@ WITH RECURSIVE state(w, pos, id, live) AS (
 SELECT w, list(id ORDER BY pos) AS ids FROM state WHERE NOT live GROUP BY w
 """
 
-DECODED = "SELECT d, string_agg(hex, '' ORDER BY pos) AS hex FROM ids_in JOIN vocabulary USING (id) GROUP BY d"
+DECODED = "SELECT d, list(bytes ORDER BY pos) AS bytes FROM ids_in JOIN vocabulary USING (id) GROUP BY d"
 
 
 class Ranks:
@@ -53,7 +54,8 @@ class Ranks:
 
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.pattern = regex.compile(pattern.replace(r"\S", f"[^{SPACES}]").replace(r"[^\s", f"[^{SPACES}").replace(r"\s", f"[{SPACES}]"))
+        self.pattern = regex.compile(with_classes(pattern, {r"\s": SPACES}))
+        self.latin = re.compile(with_classes(pattern, LATIN))
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.known: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
@@ -61,7 +63,7 @@ class Ranks:
                   if t[:i] in self.ranks and t[i:] in self.ranks]
         a, b, rank = (pa.array(x) for x in zip(*merges))
         self._load("merges", {"a": a.cast(pa.int32()), "b": b.cast(pa.int32()), "rank": rank.cast(pa.int64())})
-        self._load("vocabulary", {"id": pa.array(self.ranks.values(), pa.int32()), "hex": pa.array([t.hex() for t in self.ranks])})
+        self._load("vocabulary", {"id": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array(self.ranks, pa.binary())})
 
     def _load(self, name: str, columns: dict[str, pa.Array]) -> None:
         self.db.register("given", pa.table(columns))
@@ -105,9 +107,17 @@ class Ranks:
         for w, ids in self._contract([data for _, data in rest]):
             self.known[rest[w][0]] = ids.tobytes()
 
+    def split(self, text: str) -> list[str]:
+        """The matches of the pattern; in texts without characters beyond U+00FF by plain classes, which is faster."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.pattern.findall(text)
+        return self.latin.findall(text)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian u4 bytes."""
-        words = [self.pattern.findall(t) for t in texts]
+        words = [self.split(t) for t in texts]
         wanted = set().union(*words)
         missing = wanted.difference(self.known)
         if len(self.known) + len(missing) > REMEMBERED:
@@ -125,8 +135,13 @@ class Ranks:
             found = self._query(DECODED, "ids_in", {
                 "d": np.repeat(np.arange(len(encoded), dtype=np.int32), lengths), "pos": np.arange(lengths.sum()),
                 "id": np.frombuffer(b"".join(encoded), "<u4").astype(np.int32)})
-            for d, text in zip(found.column("d").to_pylist(), found.column("hex").to_pylist()):
-                out[d] = bytes.fromhex(text)
+            tokens = found.column("bytes").combine_chunks()
+            flat = tokens.flatten()
+            _, starts, data = flat.buffers()
+            starts = np.frombuffer(starts, "<i4")[flat.offset:]
+            ends = np.cumsum(tokens.value_lengths().to_numpy())
+            for d, a, b in zip(found.column("d").to_pylist(), starts[np.concatenate([[0], ends[:-1]])].tolist(), starts[ends].tolist()):
+                out[d] = data[a:b].to_pybytes()
         return out
 
 
@@ -174,8 +189,9 @@ def decode(tokens: DataFrame, ranks: str, pattern: str) -> DataFrame:
                    lambda worker, ids: {"bytes": pa.array(worker.decode(ids), pa.binary())})
 
 
-def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """Encodes and decodes in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256, and same (the decoded bytes are the text's)."""
+def round_trip(docs: DataFrame, ranks: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+    """Encodes and decodes in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256, and same (the decoded bytes are the text's); with
+    `keep_ids` the ids as well."""
     from hashlib import sha256
 
     def made(worker, texts):
@@ -183,7 +199,7 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
         back = worker.decode(ids)
         return {"n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()),
                 "ids_sha256": [sha256(i).hexdigest() for i in ids], "decoded_sha256": [sha256(b).hexdigest() for b in back],
-                "same": [b == t.encode() for b, t in zip(back, texts)]}
+                "same": [b == t.encode() for b, t in zip(back, texts)]} | ({"ids": pa.array(ids, pa.binary())} if keep_ids else {})
 
-    return _mapped(docs, "text", "doc_id LONG, n_tokens LONG, ids_sha256 STRING, decoded_sha256 STRING, same BOOLEAN", ranks,
-                   pattern, made)
+    schema = "doc_id LONG, n_tokens LONG, ids_sha256 STRING, decoded_sha256 STRING, same BOOLEAN" + ", ids BINARY" * keep_ids
+    return _mapped(docs, "text", schema, ranks, pattern, made)
