@@ -64,7 +64,7 @@ def listings(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     out = table(spark, sf_dir, "orders")
     if "lineitem" in needs:
         lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-            F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"), F.min("l_shipdate").alias("ms"))
+            F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"), F.max("l_shipdate").alias("ms"))
         out = out.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     if "part" in needs:
         out = out.join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("pk"), "left")

@@ -40,7 +40,7 @@ def _place_key(c) -> Column:
     plausible = ((text != "") & (F.length(text) <= vocab.MAX_ADDRESS_CHARS)
                  & (F.size(F.split(text, " ")) <= vocab.MAX_ADDRESS_WORDS) & ~text.rlike("[?!;]") & (dots <= 2))
     full = F.when(text.contains("chicago"), text).otherwise(F.concat(text, F.lit(", chicago, il")))
-    return F.when(plausible, F.substring(full, 1, vocab.MAX_KEY_CHARS))
+    return F.when(plausible, full)
 
 
 def geocode_key(address, venue_name) -> Column:

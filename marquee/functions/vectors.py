@@ -1,11 +1,9 @@
 """Vector columns and nearest neighbours.
 
-One cosine per row is a column expression. Many vectors against many rows is a matrix product, done with numpy on
-Arrow batches inside the tasks; the small side goes along in blocks of a fixed number of vectors.
+One cosine per row is a column expression. Many vectors against many rows is a matrix product, done with numpy inside the
+tasks on pairs of blocks, each with a fixed number of vectors.
 """
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,7 +11,10 @@ from pyspark.sql import functions as F
 
 from marquee.functions.text import col
 
+#: Requests or exemplars of one block, rows of an index in one, and the shares blocks meet in.
 BLOCK = 1024
+ROWS = 4096
+SHARES = 16
 
 
 def dot(a, b) -> Column:
@@ -46,59 +47,66 @@ def _batch_matrix(column: pa.Array) -> np.ndarray:
     return _matrix(flat.reshape(len(column), -1))
 
 
-def query_blocks(queries: DataFrame, key: str, block: int = BLOCK):
-    """The queries as matrices of about `block` rows: one for an interactive set, more for a table of them."""
-    usable = queries.where(norm("embedding") > 0)
-    parts = max(1, math.ceil(usable.count() / block))
-    for part in range(parts):
-        rows = usable.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part).select(key, "embedding").collect()
-        if rows:
-            order = sorted(range(len(rows)), key=lambda i: rows[i][0])
-            yield [rows[i][0] for i in order], _matrix([rows[i][1] for i in order])
+def packed(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """(ids, matrix): up to `size` rows of (key, embedding) in one, the vectors at unit length."""
+    def pack(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([_batch_matrix(part.column(1)).tobytes()], pa.binary())],
+                    names=["ids", "matrix"])
+
+    return rows.where(F.col("embedding").isNotNull()).select(F.col(key).cast("bigint"), "embedding").mapInArrow(pack, "ids ARRAY<BIGINT>, matrix BINARY")
+
+
+def block_pairs(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Every block of `rows` with every block of `others` (other_ids, other_matrix): blocks meet in the shares of the first."""
+    shares = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share")
+    told = others.select(F.col("ids").alias("other_ids"), F.col("matrix").alias("other_matrix"), shares)
+    return rows.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(SHARES)).cast("int")).join(told, "share").drop("share")
 
 
-def nearest_in_batches(index: DataFrame, ids: list, matrix: np.ndarray, k: int, floor: float) -> DataFrame:
-    """Per Arrow batch the best k rows of every query at or above the floor."""
+def _pairs_of(batches):
+    """(ids, other ids, similarities) of every pair of blocks."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            ids, matrix, others, other = (batch.column(c)[i].as_py() for c in ("ids", "matrix", "other_ids", "other_matrix"))
+            left, right = (np.frombuffer(m).reshape(len(k), -1) for m, k in ((matrix, ids), (other, others)))
+            yield np.array(ids), np.array(others), np.round(left @ right.T, 6)
 
+
+def nearest_in_blocks(queries: DataFrame, index: DataFrame, k: int, floor: float) -> DataFrame:
+    """(query_id, id, similarity): per block of the index the best k rows of every query at or above the floor.
+
+    Queries and index are packed to blocks inside their own tasks; only blocks are joined, the index is read once, and neither
+    goes through the driver.
+    """
     def scan(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = batch.column(0).to_numpy(zero_copy_only=False)
-            sims = np.round(_batch_matrix(batch.column(1)) @ matrix.T, 6)
-            out_q, out_id, out_s = [], [], []
-            for j, query in enumerate(ids):
+        for rows, asked, sims in _pairs_of(batches):
+            found = []
+            for j, query in enumerate(asked):
                 keep = np.flatnonzero(sims[:, j] >= floor)
                 if len(keep) > k:
                     keep = keep[np.lexsort((rows[keep], -sims[keep, j]))[:k]]
-                out_q.append(np.full(len(keep), query, dtype=np.int64))
-                out_id.append(rows[keep])
-                out_s.append(sims[keep, j])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_id).astype(np.int64)),
-                 pa.array(np.concatenate(out_s))], names=["query_id", "id", "similarity"])
+                found.append((np.full(len(keep), query, dtype=np.int64), rows[keep], sims[keep, j]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["query_id", "id", "similarity"])
 
-    return index.where(F.col("embedding").isNotNull()).select("id", "embedding").mapInArrow(
-        scan, "query_id BIGINT, id BIGINT, similarity DOUBLE")
+    asked = packed(queries.where(norm("embedding") > 0), "query_id", BLOCK)
+    return block_pairs(packed(index, "id", ROWS), asked).mapInArrow(scan, "query_id BIGINT, id BIGINT, similarity DOUBLE")
 
 
 def nearest_exemplar(titles: DataFrame, exemplars: DataFrame) -> DataFrame:
-    """The best exemplar of every row: (id, parent, similarity), ties to the lower ord."""
-    rows = sorted(exemplars.select("ord", "parent", "embedding").limit(BLOCK + 1).collect(), key=lambda r: r["ord"])
-    if len(rows) > BLOCK:
-        raise ValueError(f"exemplars are a vocabulary of at most {BLOCK} phrases")
-    parents = np.array([r["parent"] for r in rows], dtype=object)
-    matrix = _matrix([r["embedding"] for r in rows])
-
+    """The best exemplar of every row: (id, parent, similarity), ties to the lower ord. Any number of exemplars."""
     def scan(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sims = np.round(_batch_matrix(batch.column(1)) @ matrix.T, 6)
-            best = sims.argmax(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(parents[best], pa.string()), pa.array(sims[np.arange(len(best)), best])],
-                names=["id", "parent", "similarity"])
-
-    return titles.where(F.col("embedding").isNotNull()).select("id", "embedding").mapInArrow(
-        scan, "id BIGINT, parent STRING, similarity DOUBLE")
+        for rows, ords, sims in _pairs_of(batches):
+            order = np.argsort(ords, kind="stable")
+            best = order[sims[:, order].argmax(axis=1)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(ords[best]), pa.array(sims[np.arange(len(rows)), best])],
+                                             names=["id", "ord", "similarity"])
+
+    pairs = block_pairs(packed(titles, "id", ROWS), packed(exemplars, "ord", BLOCK))
+    best = pairs.mapInArrow(scan, "id BIGINT, ord BIGINT, similarity DOUBLE").groupBy("id").agg(
+        F.max(F.struct("similarity", (-F.col("ord")).alias("turn"))).alias("best"))
+    return best.join(exemplars.select((-F.col("ord")).cast("bigint").alias("_turn"), "parent"), F.col("best.turn") == F.col("_turn")).select(
+        "id", "parent", "best.similarity")

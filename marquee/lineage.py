@@ -1,5 +1,6 @@
-"""Reliable checkpoints for results that several branches of a job read."""
+"""Written intermediate results, under the folder `spark.checkpoint.dir` names."""
 
+import os
 import tempfile
 import uuid
 
@@ -7,16 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _folder(spark: SparkSession) -> str:
-    """The folder `spark.checkpoint.dir` names. Where nothing is set, a local session (a test) gets one of its own;
-    a cluster has to name a shared one, because executors may be lost."""
+    """The session's checkpoint folder. A cluster has to name one that all executors share, because executors may be lost; only
+    a local session where none is set, as in a test, gets one for its process."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="marquee-checkpoint-")
-        context.setCheckpointDir(folder)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), f"marquee-checkpoints-{os.getpid()}"))
     return context.getCheckpointDir()
 
 
@@ -26,6 +25,7 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The rows written once to the checkpoint folder, so branches reread files instead of recomputing."""
-    _folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows written once as Parquet, so branches read files, and of these only the columns they need, instead of recomputing."""
+    path = checkpoint_root(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

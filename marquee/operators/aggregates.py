@@ -147,9 +147,10 @@ def duplicate_groups(ev: DataFrame) -> DataFrame:
     """
     keyed = _duplicate_keys(ev)
     keys = ["source", "name", "date", "time"]
-    repeated = keyed.where(F.col("source").isNotNull() & F.col("name").isNotNull()).groupBy(*keys).agg(
+    repeated = keyed.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
         F.count("*").alias("copies"), F.min("id").alias("keep_id")).where(F.col("copies") > 1)
-    return keyed.join(repeated, keys)
+    # rows without source or name are copies of each other too, as for `dedupe_keep_first`
+    return keyed.join(repeated, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).drop(*[f"_{k}" for k in keys])
 
 
 def cross_source_duplicates(ev: DataFrame) -> DataFrame:

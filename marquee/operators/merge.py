@@ -49,10 +49,12 @@ def merge_by_url(ev: DataFrame, batch: DataFrame, policy: dict[str, str], positi
     """The table with a batch merged in by URL; `change` says what happened to each row.
 
     The first batch row per URL counts. A stored row takes the batch's `date_retrieved` and the columns the policy
-    names; an unknown URL is inserted under the next ids.
+    names; an unknown URL is inserted under the next ids. A row without URL matches nothing and is not inserted;
+    `merge_rejects` counts what a batch leaves out.
     """
-    first = top_rows(batch, ["origination_url"], [F.asc(position)], 1, "_n").drop("_n", position)
-    known = stored_matches(ev.select("origination_url"), first, ["origination_url"]).withColumn("_known", F.lit(True))
+    linked = batch.where(F.col("origination_url").isNotNull())
+    first = top_rows(linked, ["origination_url"], [F.asc(position)], 1, "_n").drop("_n", position)
+    known = stored_matches(ev.select("origination_url"), first, ["origination_url"]).distinct().withColumn("_known", F.lit(True))
     tagged = settled(first.join(known, "origination_url", "left"))
     new = tagged.where(F.col("_known")).drop("_known").alias("new")
     old = ev.alias("old")
@@ -70,6 +72,13 @@ def merge_by_url(ev: DataFrame, batch: DataFrame, policy: dict[str, str], positi
     return stored.unionByName(_inserted(tagged.where(F.col("_known").isNull()), ev, "origination_url"))
 
 
+def merge_rejects(batch: DataFrame) -> DataFrame:
+    """(reason, n): batch rows `merge_by_url` leaves out, because they have no URL or repeat an earlier row's."""
+    counts = batch.agg(F.count_if(F.col("origination_url").isNull()).alias("no_url"),
+                       (F.count("origination_url") - F.count_distinct("origination_url")).alias("repeated"))
+    return counts.selectExpr("stack(2, 'no_url', no_url, 'repeated', repeated) AS (reason, n)")
+
+
 def _inserted(rows: DataFrame, ev: DataFrame, key: str) -> DataFrame:
     """New rows in the shape of the table, under ids after its highest."""
     placed = dense_ids(rows, key, _highest(ev)).withColumn("change", F.lit("inserted"))

@@ -92,7 +92,10 @@ def running(df: DataFrame, keys, order: str, sums: dict[str, Column], width: int
     offsets = totals.select(*keys, "_block", *[
         F.coalesce(F.sum(t).over(before), F.lit(0)).alias(f"_o{t}") for t in terms])
     local = valued.withColumns({t: F.sum(t).over(inside) for t in terms})
-    out = local.join(offsets, [*keys, "_block"])
+    own = {k: f"_k{i}" for i, k in enumerate([*keys, "_block"])}
+    offsets = offsets.withColumnsRenamed(own)
+    # null keys are a group like any other
+    out = local.join(offsets, [F.col(k).eqNullSafe(F.col(o)) for k, o in own.items()]).drop(*own.values())
     return out.withColumns({name: F.col(f"_s_{name}") + F.col(f"_o_s_{name}") for name in sums}).drop(
         "_block", *terms, *[f"_o{t}" for t in terms])
 
@@ -112,25 +115,22 @@ def recent_messages(messages: DataFrame, current: DataFrame, n: int = 6) -> Data
         "position", F.row_number().over(in_order)).drop("_asked")
 
 
-def transcript(messages: DataFrame, lines_per_part: int = 500) -> DataFrame:
-    """"ROLE: text" lines per thread, in arrival order (ids are handed out on arrival).
+def transcript(messages: DataFrame) -> DataFrame:
+    """(thread_id, position, line): "ROLE: text" lines per thread, numbered in arrival order (ids are handed out on arrival).
 
-    A thread longer than `lines_per_part` comes in numbered parts, so one value stays bounded.
+    One row per line, whole, so a thread of any length is never one value. Messages without a thread are one of their own.
     """
-    placed = running(messages, ["thread_id"], "id", {"_pos": F.lit(1)})
-    line = F.concat(F.upper("role"), F.lit(": "), F.substring(F.coalesce("content", F.lit("")), 1, 300))
-    parts = placed.select("thread_id", "id", F.floor((F.col("_pos") - 1) / lines_per_part).alias("part"), line.alias("line"))
-    ordered = F.sort_array(F.collect_list(F.struct("id", "line")))
-    return parts.groupBy("thread_id", "part").agg(
-        F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("transcript"))
+    placed = running(messages, ["thread_id"], "id", {"position": F.lit(1)})
+    line = F.concat(F.upper("role"), F.lit(": "), F.coalesce("content", F.lit("")))
+    return placed.select("thread_id", "position", line.alias("line"))
 
 
 def unique_urls(batch: DataFrame, ev: DataFrame, position: str = "position") -> DataFrame:
     """A free URL for every new row of a batch.
 
     The first row of the batch to ask for a URL gets it if the table does not hold it. The others get one derived
-    from source, date and name; whoever finds that one claimed too appends its position. First claims are `min`s
-    joined back on the row's position, so one URL shared by most of the batch does not gather in a task.
+    from source, date and name; whoever finds that one claimed too, in the batch or the table, appends its position. First claims
+    are `min`s joined back on the row's position, so one URL shared by most of the batch does not gather in a task.
     """
     claims = batch.groupBy(F.col("url").alias("_url")).agg(F.min(position).alias("_pos"))
     taken = stored_matches(ev.select(F.col("origination_url").alias("_url")), claims, ["_url"])
@@ -139,10 +139,11 @@ def unique_urls(batch: DataFrame, ev: DataFrame, position: str = "position") ->
     named = batch.join(free, F.col(position) == F.col("_pos"), "left").drop("_pos")
     derived = F.concat(F.col("url"), F.lit("#"), F.col("source"), F.lit("-"),
                        F.coalesce(F.date_format("date", "yyyy-MM-dd"), F.lit("nodate")), F.lit("-"),
-                       F.substring("name", 1, 60))
+                       F.coalesce("name", F.lit("")))
     named = named.withColumn("_derived", F.when(F.col("_first").isNull(), derived))
-    second = named.where(F.col("_derived").isNotNull()).groupBy("_derived").agg(F.min(position).alias("_pos")).select(
-        F.col("_pos"), F.lit(True).alias("_second"))
+    wanted = named.where(F.col("_derived").isNotNull()).groupBy("_derived").agg(F.min(position).alias("_pos"))
+    held = stored_matches(ev.select(F.col("origination_url").alias("_derived")), wanted, ["_derived"])
+    second = wanted.join(held, "_derived", "left_anti").select(F.col("_pos"), F.lit(True).alias("_second"))
     out = named.join(second, F.col(position) == F.col("_pos"), "left").drop("_pos")
     return out.withColumn(
         "origination_url",

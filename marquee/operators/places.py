@@ -34,7 +34,7 @@ def boundary_cells(boundaries: DataFrame, cell: float) -> DataFrame:
 
     prepared = boundaries.where(F.size("polygon") > 0).select(
         "ord", "name", edges(outer).alias("outer"),
-        F.transform(F.slice("polygon", 2, 1000000), edges).alias("holes"), span("x").alias("cx"), "polygon")
+        F.transform(F.slice("polygon", 2, F.greatest(F.size("polygon") - 1, F.lit(0))), edges).alias("holes"), span("x").alias("cx"), "polygon")
     return prepared.select("ord", "name", "outer", "holes", "cx", span("y").alias("cy")).groupBy("cx", "cy").agg(
         F.sort_array(F.collect_list(F.struct("ord", "name", "outer", "holes"))).alias("candidates"))
 
@@ -171,7 +171,7 @@ def dense_ids(df: DataFrame, key: str, start: Column, out: str = "id") -> DataFr
     Rows are numbered inside 4096 hash blocks and each block is shifted by the rows of the blocks before it, so
     only 4096 counts ever meet in one task.
     """
-    block = F.substring(F.md5(F.col(key).cast("string")), 1, 3)
+    block = F.coalesce(F.substring(F.md5(F.col(key).cast("string")), 1, 3), F.lit(""))
     blocked = df.withColumn("_block", block)
     local = blocked.withColumn("_n", F.row_number().over(Window.partitionBy("_block").orderBy(key)))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,13 +7,16 @@ from marquee import vocab
 from marquee.functions.dates import days_later, ntz
 from marquee.functions.labels import concepts_in
 from marquee.functions.query import extract_keywords, extract_places, extract_window, strip_places
-from marquee.functions.text import col, each, let
-from marquee.functions.vectors import cosine, nearest_in_batches, norm, query_blocks, unit
+from marquee.functions.text import col, let
+from marquee.functions.vectors import cosine, nearest_in_blocks, norm, unit
 from marquee.operators.ordering import feed_keys, top_rows
 from marquee.operators.places import with_neighborhood
 from marquee.operators.predicates import concept_match, upcoming
 
-EVERYTHING = "*"
+#: Letters of the pieces names and keywords meet on.
+PIECE = 3
+#: Shares of the listings for requests that no piece narrows down.
+SALTS = 32
 
 
 def understand(queries: DataFrame, as_of, nb: DataFrame | None = None, text: str = "text") -> DataFrame:
@@ -35,31 +38,35 @@ def search_hits(ev: DataFrame, nb: DataFrame, queries: DataFrame, as_of) -> Data
     """Every (request, listing) pair that matches: a keyword in the name or a concept, and all the constraints.
 
     Substring matching as an equi-join: a listing offers the three-letter pieces of its name and its concepts as
-    tokens, a request the first piece of each keyword and its concepts. Pairs meet on a token, are then checked in
-    full, and are kept only at the request's first token the listing has, so each pair comes out once.
+    tokens, a request the first piece of each keyword and its concepts. Only (id, token) is exploded and meets the requests;
+    the distinct (request, id) pairs then take the listing and the request along and are checked in full. Requests that name
+    nothing, or a keyword shorter than a piece, are held against all listings, in `SALTS` shares of them.
     """
-    low = F.col("_low")
-    pieces = F.when(F.length(low) >= 3, F.transform(
-        F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))).otherwise(
+    low = F.lower("name")
+    pieces = F.when(F.length(low) >= PIECE, F.transform(
+        F.sequence(F.lit(1), F.length(low) - (PIECE - 1)), lambda i: F.substring(low, i, F.lit(PIECE)))).otherwise(
         F.expr("CAST(array() AS ARRAY<STRING>)"))
-    rows = with_neighborhood(upcoming(ev, as_of), nb).withColumns({"_low": F.lower("name"), "_concepts": _row_concepts()})
-    rows = rows.withColumn("_marks", F.transform("_concepts", lambda c: F.concat(F.lit("#"), c)))
-    offered = F.concat(F.array_distinct(pieces), F.col("_marks"), F.array(F.lit(EVERYTHING)))
-    wanted = F.concat(F.transform("keywords", lambda k: F.substring(k, 1, 3)),
-                      F.transform("concepts", lambda c: F.concat(F.lit("#"), c)))
-    asked = queries.withColumn("_tokens", F.when(F.size(wanted) > 0, F.array_distinct(wanted)).otherwise(
-        F.array(F.lit(EVERYTHING))))
-    asked = asked.withColumnsRenamed({"category": "_category"}) if "category" in asked.columns else asked.withColumn(
-        "_category", F.lit(None).cast("string"))
-    asked = asked.select("query_id", "keywords", "concepts", "places", "window_start", "window_end", "_category",
-                         "_tokens", F.explode("_tokens").alias("_token"))
-    pairs = each(rows, ["*"], offered, "_at", "_token").drop("_at").join(asked, "_token")
+    rows = with_neighborhood(upcoming(ev, as_of), nb).withColumn("_concepts", _row_concepts())
 
-    def has(t: Column) -> Column:
-        return (t == EVERYTHING) | low.contains(t) | F.array_contains("_marks", t)
+    def marks(concepts) -> Column:
+        return F.transform(concepts, lambda c: F.concat(F.lit("#"), c))
 
-    first = F.get(F.filter("_tokens", has), F.lit(0)) == F.col("_token")
-    said = F.exists("keywords", lambda k: low.contains(k)) | F.arrays_overlap("concepts", "_concepts")
+    asked = queries.withColumnsRenamed({"category": "_category"}) if "category" in queries.columns else queries.withColumn(
+        "_category", F.lit(None).cast("string"))
+    asked = asked.select("query_id", "keywords", "concepts", "places", "window_start", "window_end", "_category")
+    wanted = F.array_distinct(F.concat(F.transform("keywords", lambda k: F.substring(k, 1, PIECE)), marks("concepts")))
+    broad = F.coalesce((F.size(wanted) == 0) | F.exists("keywords", lambda k: F.length(k) < PIECE), F.lit(True))
+
+    tokens = asked.where(~broad).select("query_id", F.explode(wanted).alias("_token"))
+    offered = rows.select("id", F.explode(F.array_distinct(F.concat(pieces, marks("_concepts")))).alias("_token"))
+    met = offered.join(tokens, "_token").select("query_id", "id").distinct()
+    named = rows.join(met, "id").join(asked, "query_id")
+    share = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_share")
+    everywhere = rows.withColumn("_share", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(
+        asked.where(broad).select("*", share), "_share").drop("_share")
+    pairs = named.unionByName(everywhere)
+
+    said = F.exists("keywords", lambda k: F.lower("name").contains(k)) | F.arrays_overlap("concepts", "_concepts")
     unsaid = (F.size("keywords") == 0) & (F.size("concepts") == 0)
     want = F.lower(F.trim("_category"))
     labelled = F.col("_category").isNull() | F.coalesce(F.lower(F.trim("category")) == want, F.lit(False)) | F.coalesce(
@@ -68,8 +75,7 @@ def search_hits(ev: DataFrame, nb: DataFrame, queries: DataFrame, as_of) -> Data
     opens = F.date_trunc("day", F.col("window_start")).cast("timestamp_ntz")
     within = F.col("window_start").isNull() | ((F.col("date") <= F.col("window_end")) & (
         (F.col("date_end") >= opens) | (F.col("date_end").isNull() & (F.col("date") >= opens))))
-    return pairs.where(first & (said | unsaid) & labelled & placed & within).drop(
-        "_token", "_tokens", "_concepts", "_category", "_low", "_marks")
+    return pairs.where((said | unsaid) & labelled & placed & within).drop("_concepts", "_category")
 
 
 def search_feed(ev: DataFrame, nb: DataFrame, queries: DataFrame, as_of, skip: int = 0, limit: int = 20) -> DataFrame:
@@ -119,15 +125,10 @@ def embed_static(docs: DataFrame, vectors: DataFrame, dims: int, text: str = "te
 def nearest(queries: DataFrame, index: DataFrame, k: int = vocab.SEMANTIC_K, floor: float = vocab.SEMANTIC_FLOOR) -> DataFrame:
     """The k most similar rows of each request at or above the floor, exact.
 
-    Cutting at the floor first leaves the same rows as cutting after the top k. Each batch of the index keeps its own
-    best k per request, so what is shuffled is k rows per request and batch.
+    Cutting at the floor first leaves the same rows as cutting after the top k. Each block of the index keeps its own
+    best k per request, so what is shuffled after the products is k rows per request and block.
     """
-    found = None
-    for ids, matrix in query_blocks(queries, "query_id"):
-        part = nearest_in_batches(index, ids, matrix, k, floor)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = index.where("false").select(F.lit(0).cast("bigint").alias("query_id"), "id", F.lit(0.0).alias("similarity"))
+    found = nearest_in_blocks(queries, index, k, floor)
     return top_rows(found, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
 
 

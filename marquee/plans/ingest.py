@@ -242,7 +242,7 @@ ORACLES = {
     "flatten_search_cards": listing_query("""SELECT id AS query_id, CAST(i - 1 AS INTEGER) AS position, CASE i % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'Untitled' END AS title,
         CASE i % 3 WHEN 0 THEN 'Jun 6' WHEN 1 THEN 'soon' END AS date, CASE i % 3 WHEN 0 THEN 'Bar, 5 Elm St' WHEN 1 THEN '9 Oak Ave' ELSE 'c.example' END AS location,
         CASE WHEN i % 3 = 0 THEN 'Bar' END AS venue, 'http://c.example/' || i AS url, CASE WHEN i % 3 = 2 THEN 'Concert' END AS type_hint
-        FROM (SELECT id, unnest(range(1, least(10, 1 + id % 14) + 1)) AS i FROM listings)"""),
+        FROM (SELECT id, unnest(range(1, 1 + id % 14 + 1)) AS i FROM listings)"""),
     "pages_jsonld_events": with_views(PAGED, body=f"""
         , e AS (SELECT *, 0 AS item, 0 AS place, 'Show ' || page_id || '!' AS name, TIMESTAMP '1998-06-09 20:30:00' AS date, TIMESTAMP '1998-06-11' AS date_end, 'http://v0.example#show-' || page_id AS url, '$0-$40' AS cost FROM p WHERE page_id % 5 = 0
           UNION ALL SELECT *, 1, 0, 'Graph', TIMESTAMP '1998-06-10 19:30:00', NULL, 'http://u.example/', '$20-$25.50' FROM p WHERE page_id % 5 = 1

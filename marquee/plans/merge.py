@@ -132,7 +132,7 @@ ORACLES = {
       h AS (SELECT min(o.id) AS id, f.position FROM o JOIN f ON o.name = f.name AND o.source = f.source AND o.date = f.date GROUP BY f.position),
       news AS (SELECT * FROM f WHERE position NOT IN (SELECT position FROM h)),
       c AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY position) = 1 AND url NOT IN (SELECT origination_url FROM o) AS keeps FROM news),
-      e AS (SELECT *, url || '#' || source || '-' || coalesce(strftime(date, '%Y-%m-%d'), 'nodate') || '-' || substr(name, 1, 60) AS derived FROM c),
+      e AS (SELECT *, url || '#' || source || '-' || coalesce(strftime(date, '%Y-%m-%d'), 'nodate') || '-' || coalesce(name, '') AS derived FROM c),
       r AS (SELECT *, row_number() OVER (PARTITION BY keeps, derived ORDER BY position) AS n FROM e)
       SELECT o.id, o.name, o.source, o.date, CASE WHEN f.position IS NULL THEN o.date_end ELSE f.date_end END AS date_end,
         CASE WHEN f.position IS NULL THEN o.time ELSE f.time END AS time, o.category, coalesce(f.cost, o.cost) AS cost,

@@ -67,13 +67,11 @@ ORACLES = {
         f AS (SELECT thread_id, min(id) AS first_user FROM kept WHERE role = 'user' GROUP BY 1)
         SELECT thread_id, id, role, content, row_number() OVER (PARTITION BY thread_id ORDER BY created_at, id) AS position
         FROM kept JOIN f USING (thread_id) WHERE id >= first_user"""),
-    "transcript": with_views(MESSAGES, body="""SELECT thread_id, part, string_agg(line, chr(10) ORDER BY id) AS transcript FROM (
-        SELECT thread_id, id, (row_number() OVER (PARTITION BY thread_id ORDER BY id) - 1) // 500 AS part,
-        upper(role) || ': ' || substr(content, 1, 300) AS line FROM chat_messages) GROUP BY 1, 2"""),
+    "transcript": with_views(MESSAGES, body="""SELECT thread_id, row_number() OVER (PARTITION BY thread_id ORDER BY id) AS position, upper(role) || ': ' || content AS line FROM chat_messages"""),
     "unique_urls": listing_query(f""", b AS (SELECT id AS position, name, date, source, {HOT_URL} AS url FROM repeated),
         taken AS (SELECT origination_url FROM listings),
         c AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY position) = 1 AND url NOT IN (SELECT * FROM taken) AS keeps FROM b),
-        e AS (SELECT *, url || '#' || source || '-' || coalesce(strftime(date, '%Y-%m-%d'), 'nodate') || '-' || substr(name, 1, 60) AS derived FROM c),
+        e AS (SELECT *, url || '#' || source || '-' || coalesce(strftime(date, '%Y-%m-%d'), 'nodate') || '-' || coalesce(name, '') AS derived FROM c),
         r AS (SELECT *, row_number() OVER (PARTITION BY keeps, derived ORDER BY position) AS n FROM e)
         SELECT position, CASE WHEN keeps THEN url WHEN n = 1 THEN derived ELSE derived || '-' || position END AS origination_url FROM r""", REPEATED),
     "conversation_budget": with_views(MESSAGES, body="""

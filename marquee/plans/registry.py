@@ -9,11 +9,7 @@ SECTIONS = ["ingest", "predicates", "joins", "aggregates", "ordering", "merge",
 def _merged(attribute: str) -> dict:
     out = {}
     for section in SECTIONS:
-        try:
-            module = import_module(f"marquee.plans.{section}")
-        except ModuleNotFoundError:
-            continue
-        out.update(getattr(module, attribute))
+        out.update(getattr(import_module(f"marquee.plans.{section}"), attribute))
     return out
 
 

@@ -50,7 +50,7 @@ def pattern_sql(t, patterns):
 ALLOWED = "(" + " OR ".join(f"regexp_matches({{0}}, {q(p)})" for p in vocab.INJECTION_ALLOW) + ")"
 ASKED = f"asked AS (SELECT id, thread_id, concat({LEAD.format(id='id')}, content) AS content FROM chat_messages)"
 PATTERN = f"CASE WHEN NOT {ALLOWED.format('content')} THEN {pattern_sql('content', vocab.INJECTION)} END"
-CLEAN = r"CASE WHEN length({0}) > 2000 THEN substr({0}, 1, 2000) ELSE regexp_replace({0}, '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g') END"
+CLEAN = r"regexp_replace({0}, '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g')"
 SECRETS = f"WITH texts AS (SELECT doc_id AS id, concat({SECRET.format(id='doc_id')}, text) AS text FROM documents)"
 
 ORACLES = {

@@ -59,14 +59,19 @@ def _vectors(s, d):
     return table(s, d, "embeddings").selectExpr("vec_id AS id", "embedding")
 
 
+def _all_query_vectors(s, d):
+    return table(s, d, "embeddings").selectExpr("vec_id AS query_id", "embedding")
+
+
 def _query_vectors(s, d):
-    return table(s, d, "embeddings").where("vec_id < 20").selectExpr("vec_id AS query_id", "embedding")
+    """A share of the table as the requests, so that they grow with it."""
+    return _all_query_vectors(s, d).where("query_id % 50 = 0")
 
 
 def _windowed(s, d):
-    """Requests 0..19, with vectors of their own, some placed, some with a period."""
-    return s.range(20).selectExpr(
-        "id AS query_id", "CASE WHEN id % 3 = 0 THEN array('NATION_3', 'NATION_7', 'NATION_11') ELSE CAST(array() AS ARRAY<STRING>) END AS places",
+    """The same requests, some placed, some with a period."""
+    return _query_vectors(s, d).selectExpr("query_id", "query_id DIV 50 AS id").selectExpr(
+        "query_id", "CASE WHEN id % 3 = 0 THEN array('NATION_3', 'NATION_7', 'NATION_11') ELSE CAST(array() AS ARRAY<STRING>) END AS places",
         "CASE WHEN id % 2 = 0 THEN TIMESTAMP_NTZ '1998-06-06 15:00:00' END AS window_start",
         "CASE WHEN id % 2 = 0 THEN TIMESTAMP_NTZ '1999-12-31 23:59:59' END AS window_end")
 
@@ -84,7 +89,7 @@ def _ranked(s, d):
     """Structured candidates of every request, scored with the similarity of a stored vector where there is one."""
     found = S.structured_candidates(_catalog(s, d), neighborhoods(s, d), _requests(s), AS_OF)
     near = found.limit(0).withColumn("similarity", F.lit(None).cast("double"))
-    scored = S.scores_for(found.select("query_id", "id"), _query_vectors(s, d), _vectors(s, d))
+    scored = S.scores_for(found.select("query_id", "id"), _all_query_vectors(s, d), _vectors(s, d))
     candidates = M.candidate_union(found.join(scored, ["query_id", "id"], "left"), near)
     return S.rank_candidates(candidates, AS_OF)
 
@@ -118,7 +123,7 @@ QUERIES = {
     "embed_static": lambda s, d: _index(s, d).selectExpr(
         "id", "CAST(round(embedding[0], 5) AS DOUBLE) AS e0", f"CAST(round(embedding[{DIMS - 1}], 5) AS DOUBLE) AS e_last"),
     "nearest": lambda s, d: S.nearest(_query_vectors(s, d), _vectors(s, d)),
-    "scores_for": lambda s, d: S.scores_for(_pairs(s, d), _query_vectors(s, d), _vectors(s, d)),
+    "scores_for": lambda s, d: S.scores_for(_pairs(s, d), _all_query_vectors(s, d), _vectors(s, d)),
     "semantic_candidates": lambda s, d: _semantic(s, d).select("query_id", "id", "similarity", "position"),
     "relevance": lambda s, d: S.structured_candidates(_catalog(s, d), neighborhoods(s, d), _requests(s), AS_OF).withColumn(
         "similarity", F.expr("CAST(id % 60 AS DOUBLE) / 100 - 0.1")).select(
@@ -182,7 +187,7 @@ def relevance_sql(similarity):
 
 PAIR_SIM = f"round({COSINE.format('e.embedding', 'v.embedding')}, 6)"
 RANKED = f"""
-sims AS (SELECT c.query_id, c.id, {PAIR_SIM} AS similarity FROM candidates c JOIN embeddings e ON e.vec_id = c.id JOIN embeddings v ON v.vec_id = c.query_id AND v.vec_id < 20),
+sims AS (SELECT c.query_id, c.id, {PAIR_SIM} AS similarity FROM candidates c JOIN embeddings e ON e.vec_id = c.id JOIN embeddings v ON v.vec_id = c.query_id),
 scored AS (SELECT c.query_id, c.id, position, {relevance_sql('similarity')} AS confidence FROM candidates c LEFT JOIN sims USING (query_id, id)),
 ranked AS (SELECT * FROM (SELECT query_id, id, confidence, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, position, id) AS rank FROM scored) WHERE rank <= 5)"""
 
@@ -190,7 +195,7 @@ ranked AS (SELECT * FROM (SELECT query_id, id, confidence, row_number() OVER (PA
 def near_sql(k, floor):
     return f"""SELECT query_id, id, similarity, position FROM (SELECT v.vec_id AS query_id, e.vec_id AS id, {PAIR_SIM} AS similarity,
       row_number() OVER (PARTITION BY v.vec_id ORDER BY {PAIR_SIM} DESC, e.vec_id) AS position
-      FROM embeddings e, embeddings v WHERE v.vec_id < 20 AND {PAIR_SIM} >= {floor}) WHERE position <= {k}"""
+      FROM embeddings e, embeddings v WHERE v.vec_id % 50 = 0 AND {PAIR_SIM} >= {floor}) WHERE position <= {k}"""
 
 
 _DOC = "concat_ws('. ', nullif(name, ''), nullif(category, ''), nullif(venue_name, ''))"
@@ -216,11 +221,11 @@ ORACLES = {
         SELECT id, round(d0 / l, 5) AS e0, round(d{DIMS - 1} / l, 5) AS e_last FROM n"""),
     "nearest": near_sql(20, 0.25),
     "scores_for": f"""SELECT e.vec_id AS id, v.vec_id AS query_id, {PAIR_SIM} AS similarity FROM embeddings e JOIN embeddings v
-        ON v.vec_id = e.vec_id % 25 WHERE v.vec_id < 20""",
+        ON v.vec_id = e.vec_id % 25""",
     "semantic_candidates": listing_query(f""", m AS ({near_sql(20, 0.1)})
         SELECT query_id, m.id, similarity, position FROM m JOIN listings l ON l.id = m.id LEFT JOIN neighborhoods n ON n.id = l.neighborhood_id
-        WHERE {UP} AND (query_id % 3 <> 0 OR coalesce(n.name IN ('NATION_3', 'NATION_7', 'NATION_11'), false))
-          AND (query_id % 2 <> 0 OR date BETWEEN TIMESTAMP '1998-06-06' AND TIMESTAMP '1999-12-31 23:59:59')""", NEIGHBORHOODS),
+        WHERE {UP} AND (query_id // 50 % 3 <> 0 OR coalesce(n.name IN ('NATION_3', 'NATION_7', 'NATION_11'), false))
+          AND (query_id // 50 % 2 <> 0 OR date BETWEEN TIMESTAMP '1998-06-06' AND TIMESTAMP '1999-12-31 23:59:59')""", NEIGHBORHOODS),
     "relevance": listing_query(f"""SELECT query_id, id, {relevance_sql('(CAST(id % 60 AS DOUBLE) / 100 - 0.1)')} AS confidence FROM candidates""", NEIGHBORHOODS, ASKED),
     "rank_candidates": listing_query("SELECT query_id, id, confidence, rank FROM ranked", NEIGHBORHOODS, ASKED, RANKED),
     "route_search": listing_query("""SELECT query_id, count(id) AS results, coalesce(max(confidence), 0.0) AS best_confidence,

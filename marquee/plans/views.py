@@ -1,7 +1,7 @@
 """DuckDB text of the adapter views, as CTEs the oracle queries start from."""
 
 LISTINGS = """
-li AS (SELECT l_orderkey, min(l_partkey) AS pk, min(l_suppkey) AS sk, min(l_shipdate) AS ms FROM lineitem GROUP BY l_orderkey),
+li AS (SELECT l_orderkey, min(l_partkey) AS pk, min(l_suppkey) AS sk, max(l_shipdate) AS ms FROM lineitem GROUP BY l_orderkey),
 listings AS (SELECT b.*, CASE WHEN id % 7 = 0 THEN NULL
     ELSE list_filter([trim(category), CASE WHEN id % 10 = 4 THEN 'LGBTQ' END], lambda x: x IS NOT NULL) END AS categories FROM (
 SELECT o.o_orderkey AS id,

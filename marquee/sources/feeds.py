@@ -36,8 +36,8 @@ def _text(c) -> Column:
     return F.nullif(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
-def _cut(c, n: int) -> Column:
-    return F.substring(F.trim(_text(c)), 1, n)
+def _trimmed(c) -> Column:
+    return F.trim(_text(c))
 
 
 def _labelled(label: str, c) -> Column:
@@ -72,13 +72,13 @@ def flatten_ticketing_api(raw: DataFrame, event_url: str = "https://tickets.exam
     start = F.col("e.dates.start")
     local = iso_local(F.concat(_text(start["localDate"]), F.lit("T"), F.coalesce(_text(start["localTime"]), F.lit("00:00:00"))))
     first, venue = F.get("e.classifications", F.lit(0)), F.get("e._embedded.venues", F.lit(0))
-    note = _labelled("Note", _cut("e.pleaseNote", 300))
+    note = _labelled("Note", _trimmed("e.pleaseNote"))
     rows = e.select(
         F.col("e.id").alias("source_id"), F.trim("e.name").alias("name"),
         F.coalesce(local, iso_local(start["dateTime"])).alias("date"),
         F.coalesce(_meaningful(first["segment"]["name"]), F.lit("Other")).alias("category"),
         _joined(_meaningful(first["genre"]["name"]), _meaningful(first["subGenre"]["name"]), by=" ").alias("category_hint"),
-        _joined(_cut("e.info", 500), note, _labelled("Venue", venue["name"]),
+        _joined(_trimmed("e.info"), note, _labelled("Venue", venue["name"]),
                 _labelled("Location", _place(venue["city"]["name"], venue["state"]["name"]))).alias("details"),
         F.coalesce(_text("e.url"), F.concat(F.lit(event_url), F.col("e.id"))).alias("origination_url"),
         venue["name"].alias("venue_name"),
@@ -134,7 +134,7 @@ def flatten_ticket_search_api(raw: DataFrame, event_url: str = "https://search.e
     rows = e.where(F.col("id") != "").select(
         F.trim("name.text").alias("name"), iso_local(stamp).alias("date"),
         F.coalesce("category.name", F.lit("Other")).alias("category"),
-        _joined(_cut("description.text", 500), _labelled("Venue", F.col("venue.name"))).alias("details"),
+        _joined(_trimmed("description.text"), _labelled("Venue", F.col("venue.name"))).alias("details"),
         F.coalesce(_text("url"), F.concat(F.lit(event_url), F.col("id"))).alias("origination_url"))
     return _priced(keep_present(rows.where(F.col("name") != ""), "date"))
 
@@ -146,7 +146,7 @@ def flatten_artist_api(raw: DataFrame, event_url: str = "https://artists.example
         F.when(F.col("venue").isNotNull(), F.concat(artist, F.lit(" at "), venue)).otherwise(artist).alias("name"),
         iso_local("datetime").alias("date"), F.lit("Music").alias("category"),
         _joined(_labelled("Venue", F.col("venue.name")), _labelled("Location", _place("venue.city", "venue.region")),
-                _cut("description", 300)).alias("details"),
+                _trimmed("description")).alias("details"),
         F.coalesce(_text("url"), F.concat(F.lit(event_url), F.col("id"))).alias("origination_url"))
     return _priced(keep_present(rows.where(F.col("name").isNotNull()), "date"))
 
@@ -162,13 +162,14 @@ def flatten_blog_posts(raw: DataFrame) -> DataFrame:
     for tag, text in (("<p>", ""), ("</p>", ""), ("&nbsp;", " ")):
         excerpt = F.replace(excerpt, F.lit(tag), F.lit(text))
     rows = e.select(F.trim(_rendered("title")).alias("name"), iso_local("date").alias("date"), F.lit("Events").alias("category"),
-                    F.nullif(F.trim(F.substring(excerpt, 1, 500)), F.lit("")).alias("details"), _text("link").alias("origination_url"))
+                    F.nullif(F.trim(excerpt), F.lit("")).alias("details"), _text("link").alias("origination_url"))
     return _priced(keep_present(rows.where((F.length("name") >= 3) & F.col("origination_url").isNotNull()), "date"))
 
 
-def flatten_search_cards(raw: DataFrame, top: int = 10) -> DataFrame:
-    """The first cards of each search answer; an address list starts with the venue."""
-    cards = F.slice(F.from_json("payload", CARDS)["events_results"], 1, top)
+def flatten_search_cards(raw: DataFrame, top: int | None = None) -> DataFrame:
+    """The cards of each search answer, or the first `top`; an address list starts with the venue."""
+    cards = F.from_json("payload", CARDS)["events_results"]
+    cards = F.slice(cards, 1, top) if top else cards
     e = each(raw, ["query_id"], cards).select("query_id", "position", "e.*")
     listed = F.col("address").startswith("[")
     parts = F.filter(F.transform(F.from_json("address", "ARRAY<STRING>"), lambda x: F.trim(x)), lambda x: x != "")

@@ -41,20 +41,24 @@ def metrics(logs: DataFrame, width: str = "1 hour", slide: str | None = None, pe
         series("turns.completed", op == "turn_completed", one),
         series("tokens.used", F.col("tokens_used") > 0, F.col("tokens_used")),
         series("latency.ms", op == "turn_completed", F.col("duration_ms"))))
-    rows = logs.select("created_at", F.inline(points))
+    # an outer inline and a filter behind the aggregate: a row without points still moves a stream's watermark
+    rows = logs.select("created_at", F.inline_outer(points))
     extra = [F.percentile_approx("value", percentile).alias("percentile")] if percentile else []
     return rows.groupBy(_window(width, slide), "metric").agg(
         F.count("*").alias("n"), F.sum("value").alias("total"), F.min("value").alias("low"),
-        F.max("value").alias("high"), *extra).select(
+        F.max("value").alias("high"), *extra).where("metric IS NOT NULL").select(
         *_bounds(), "metric", "n", F.round("total", 4).alias("total"), "low", "high", *(["percentile"] if percentile else []))
 
 
 def security_alerts(logs: DataFrame, width: str = "1 hour") -> DataFrame:
-    """Blocked requests per window, with the newest of them."""
-    blocked = logs.where(F.col("operation") == "security_blocked")
-    return blocked.groupBy(_window(width, None)).agg(
-        F.count("*").alias("blocked"), F.max_by("id", F.struct("created_at", "id")).alias("newest_id")).select(
-        *_bounds(), "blocked", "newest_id")
+    """Blocked requests per window, with the newest of them.
+
+    All logs are aggregated and windows without a block dropped afterwards, so that any log closes a stream's window.
+    """
+    blocked = F.col("operation") == "security_blocked"
+    return logs.groupBy(_window(width, None)).agg(
+        F.count_if(blocked).alias("blocked"), F.max_by("id", F.when(blocked, F.struct("created_at", "id"))).alias("newest_id")).where(
+        F.col("blocked") > 0).select(*_bounds(), "blocked", "newest_id")
 
 
 def stream_sessions(messages: DataFrame, gap: str = f"{STALE_HOURS} hours") -> DataFrame:

@@ -188,7 +188,6 @@ LEAKS = [
 SECRET_ASSIGNMENT = r"(?i)(?:api_key|apikey|token|secret)\s*[=:]\s*['\"]?[a-zA-Z0-9_-]+['\"]?"
 PROMPT_LINE = r"(?i)(?:system prompt|instructions?|rules?)[:\s]*[^\n]*"
 BLOCK_AFTER = 3
-MAX_INPUT = 2000
 MAX_SAFE_INPUT = 5000
 
 # --- Fixed values: conversation budget ----------------------------------------------------------------
@@ -223,7 +222,6 @@ STREET_SUFFIXES = {
 # --- Fixed values: geocoder key limits ----------------------------------------------------------------
 MAX_ADDRESS_CHARS = 120
 MAX_ADDRESS_WORDS = 12
-MAX_KEY_CHARS = 400
 
 # --- Fixed values: answers that mean a page is gone ---------------------------------------------------
 GONE_CODES = [404, 410]

@@ -166,4 +166,14 @@ def test_redact(answers):
 
 
 def test_sanitize(answers):
-    check(answers, X.sanitize_input, {"a\x07b\tc\n\x1f": "ab\tc\n", "x" * 2001: "x" * 2000})
+    check(answers, X.sanitize_input, {"a\x07b\tc\n\x1f": "ab\tc\n", "\x01x" * 2001: "x" * 2001})
+
+
+def test_nothing_is_cut(answers):
+    from marquee.functions.documents import containers
+    from marquee.functions.labels import normalize_label
+    check(answers, normalize_label, {"w" * 1500: "W" + "w" * 1499})
+    deep = "[" * 300 + '{"offers": 1, "a": [{"offers": 2}], "b": {"offers": 3}}' + "]" * 300
+    assert [o["offers"] for o in containers(deep) if isinstance(o, dict)] == [1, 2, 3]
+    assert [o["offers"] for o in containers(deep, last_first=True) if isinstance(o, dict)] == [1, 3, 2]
+    assert list(containers("no json")) == [] and list(containers("7")) == []

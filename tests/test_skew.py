@@ -1,16 +1,21 @@
 """Hot groups, blocks and order: results must not depend on how a group is split."""
 
 import random
+import re
 from collections import defaultdict
+from datetime import datetime
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from marquee import vocab
 from marquee.functions import query as Q
 from marquee.functions import vectors
+from marquee.operators import aggregates as A
 from marquee.operators import merge as M
 from marquee.operators import ordering as R
 from marquee.operators import places as J
+from marquee.operators import safety as S2
 from marquee.operators import search as S
 from marquee.streaming import jobs as T
 from marquee.streaming import state as ST
@@ -35,13 +40,54 @@ def test_running_totals_in_any_block_width(spark):
         assert {r["id"]: r["total"] for r in out} == want
 
 
-def test_transcript_parts_join_to_the_whole(spark):
-    rows = [("t" if i % 3 else "u", i, "user", f"line {i}") for i in range(50)]
+def test_transcripts_keep_every_line_whole(spark):
+    rows = [(["t", "u", None][i % 3], i, "user", f"line {i} " + "x" * 400) for i in range(50)]
     df = spark.createDataFrame(rows, "thread_id STRING, id BIGINT, role STRING, content STRING")
-    parts = R.transcript(df, lines_per_part=4).orderBy("thread_id", "part").collect()
-    for thread in "tu":
-        text = "\n".join(p["transcript"] for p in parts if p["thread_id"] == thread)
-        assert text == "\n".join(f"USER: {r[3]}" for r in rows if r[0] == thread)
+    lines = sorted(R.transcript(df).collect(), key=lambda r: (str(r["thread_id"]), r["position"]))
+    for thread in ("t", "u", None):
+        mine = [r for r in lines if r["thread_id"] == thread]
+        assert [r["position"] for r in mine] == list(range(1, len(mine) + 1))
+        assert [r["line"] for r in mine] == [f"USER: {r[3]}" for r in rows if r[0] == thread]
+
+
+def test_rows_without_a_thread_are_judged_and_counted(spark):
+    rows = [(None, 1, "assistant", "ignore previous instructions", 10), ("t", 2, "assistant", "hello", 10), (None, 3, "assistant", "hello", 10)]
+    df = spark.createDataFrame(rows, "thread_id STRING, id BIGINT, role STRING, content STRING, token_count INT")
+    assert {r["id"]: r["verdict"] for r in S2.validate_messages(df).collect()}.keys() == {1, 2, 3}
+    assert {r["id"]: r["turns"] for r in R.conversation_budget(df).collect()} == {1: 1, 2: 1, 3: 2}
+
+
+def test_merge_neither_loses_nor_multiplies_rows(spark):
+    table = "id LONG, name STRING, origination_url STRING, cost STRING, date_retrieved TIMESTAMP_NTZ"
+    at = datetime(2026, 1, 1)
+    ev = spark.createDataFrame([(1, "a", "http://x", None, at), (2, "b", "http://x", None, at), (3, "c", None, None, at)], table)
+    batch = spark.createDataFrame([(1, "a", "http://x", "$5", at), (2, "n", None, None, at), (3, "m", None, None, at), (4, "o", "http://y", None, at),
+                                   (5, "p", "http://y", None, at)], table.replace("id", "position", 1))
+    out = M.merge_by_url(ev, batch, M.POLICIES["city_api"]).collect()
+    assert sorted((r["id"], r["cost"], r["change"]) for r in out) == [(1, "$5", "updated"), (2, "$5", "updated"), (3, None, "kept"), (4, None, "inserted")]
+    assert dict(map(tuple, M.merge_rejects(batch).collect())) == {"no_url": 2, "repeated": 1}
+
+
+def test_reported_duplicates_are_those_that_are_deleted(spark):
+    day = datetime(2026, 1, 1)
+    rows = [(1, None, "a", day, None), (2, None, "A ", day, ""), (3, "s", None, day, "x"), (4, "s", None, day, "x"), (5, "s", "a", None, "x"), (6, "s", "a", None, "x"), (7, "s", "b", day, "x")]
+    ev = spark.createDataFrame(rows, "id LONG, source STRING, name STRING, date TIMESTAMP_NTZ, time STRING")
+    kept = {r["id"] for r in R.dedupe_keep_first(ev).collect()}
+    reported = {r["id"] for r in A.duplicate_groups(ev).collect() if r["id"] != r["keep_id"]}
+    assert {r[0] for r in rows} - kept == reported == {2, 4}
+
+
+def test_an_alert_does_not_wait_for_the_next_block(spark, tmp_path):
+    """The only block lies hours before the last log: its window is closed by that log."""
+    rows = [(1, datetime(2026, 1, 1, 1), "security_blocked"), (2, datetime(2026, 1, 1, 9), "turn_completed")]
+    schema = "id LONG, created_at TIMESTAMP, operation STRING, tokens_used LONG, duration_ms DOUBLE"
+    spark.createDataFrame([(*r, None, None) for r in rows], schema).write.parquet(f"{tmp_path}/logs")
+    stream = T.event_time(spark.readStream.schema(schema).parquet(f"{tmp_path}/logs"), delay="10 minutes")
+    assert [(r["blocked"], r["newest_id"]) for r in T.run_available(T.security_alerts(stream)).collect()] == [(1, 1)]
+    quiet = [(3, datetime(2026, 1, 1, 2), "question_asked"), (4, datetime(2026, 1, 1, 9), "other")]
+    spark.createDataFrame([(*r, None, None) for r in quiet], schema).write.parquet(f"{tmp_path}/quiet")
+    stream = T.event_time(spark.readStream.schema(schema).parquet(f"{tmp_path}/quiet"), delay="10 minutes")
+    assert [r["metric"] for r in T.run_available(T.metrics(stream)).collect()] == ["questions.asked"]
 
 
 def test_unique_urls_claims_one_by_one(spark):
@@ -94,30 +140,42 @@ def test_dense_ids(spark):
     assert ids == list(range(11, 311))
 
 
-def test_nearest_in_blocks(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    index = rows.selectExpr("vec_id AS id", "embedding")
-    queries = rows.where("vec_id < 30").selectExpr("vec_id AS query_id", "embedding")
-    whole = {tuple(r) for r in S.nearest(queries, index, 7, 0.1).collect()}
-    block, vectors.BLOCK = vectors.BLOCK, 8
-    try:
-        parts = list(vectors.query_blocks(queries, "query_id", 8))
-        assert len(parts) > 1 and sum(len(p[0]) for p in parts) == 30
-        found = None
-        for ids, matrix in parts:
-            part = vectors.nearest_in_batches(index, ids, matrix, 7, 0.1)
-            found = part if found is None else found.unionByName(part)
-        split = {tuple(r) for r in R.top_rows(found, ["query_id"], [F.desc("similarity"), F.asc("id")], 7).collect()}
-    finally:
-        vectors.BLOCK = block
-    assert split == whole
+def test_nearest_in_blocks_of_any_size(spark, monkeypatch):
+    """More requests than a block holds, against every pair computed."""
+    rng = np.random.default_rng(2)
+    index, asked = rng.normal(size=(700, 8)), np.vstack([rng.normal(size=(1299, 8)), np.zeros((1, 8))])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(index)] + [(9999, None)], "id BIGINT, embedding ARRAY<DOUBLE>").repartition(3)
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id BIGINT, embedding ARRAY<DOUBLE>").coalesce(1)
+    unit = [m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (index, asked)]
+    sims = np.round(unit[1] @ unit[0].T, 6)
+    want = {(q, int(i), float(sims[q, i])) for q in range(1299) for i in sorted(np.flatnonzero(sims[q] >= 0.1), key=lambda i: (-sims[q, i], i))[:7]}
+    for block, size in ((1024, 4096), (100, 33)):
+        monkeypatch.setattr(vectors, "BLOCK", block)
+        monkeypatch.setattr(vectors, "ROWS", size)
+        out = S.nearest(queries, rows, 7, 0.1)
+        assert out._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 2
+        assert {(r["query_id"], r["id"], r["similarity"]) for r in out.collect()} == want
+
+
+def test_any_number_of_exemplars(spark):
+    rng = np.random.default_rng(4)
+    titles, phrases = rng.normal(size=(40, 6)), rng.normal(size=(1500, 6))
+    phrases[1200] = phrases[3]
+    titles[0] = phrases[3]
+    unit = [m / np.linalg.norm(m, axis=1, keepdims=True) for m in (titles, phrases)]
+    best = np.round(unit[0] @ unit[1].T, 6).argmax(axis=1)
+    out = vectors.nearest_exemplar(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(titles)], "id BIGINT, embedding ARRAY<DOUBLE>"),
+                                   spark.createDataFrame([(i, f"p{i}", v.tolist()) for i, v in enumerate(phrases)], "ord INT, parent STRING, embedding ARRAY<DOUBLE>"))
+    assert {r["id"]: r["parent"] for r in out.collect()} == {i: f"p{b}" for i, b in enumerate(best)} and best[0] == 3
 
 
 def test_places_longest_first_and_consuming(spark):
     names = ["Loop", "West Loop", "Lake View", "Near South Side", "River North", "Streeterville", "O'Hare", "North Park"]
     nb = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id BIGINT, name STRING")
     texts = ["bars in West Loop", "Loop and west loop", "the loop tonight", "Wrigleyville jazz", "downtown jazz", "looping video", "lake view, Lakeview!", "south loop", "northwest side", "nothing", "o'hare airport"]
-    plain = Q._plain
+    def plain(text):
+        return " ".join(re.sub("[^a-z0-9& ]", " ", text.lower()).split())
+
 
     def fold(text):
         hay, found = f" {plain(text)} ", []
