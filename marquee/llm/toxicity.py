@@ -27,6 +27,8 @@ ROWS = 3000
 FEATURES = 240
 STEMS = (4, 5, 6)
 FOLDS = 3
+#: Precision a threshold must have out of fold, and the least threshold: with few labels a lower one would say nothing.
+PRECISION, LEAST = 0.8, 0.3
 #: Occurrences of a feature in one text beyond which more say nothing more.
 MANY = 8
 RIDGE = 0.5
@@ -97,16 +99,20 @@ def fit_linear(values: np.ndarray, truth: np.ndarray, weights: np.ndarray, ridge
 
 
 def calibrate(p: np.ndarray, truth: np.ndarray, weights: np.ndarray) -> float:
-    """The cut of best F1 over the weighted rows, half way to the next probability below; above one if nothing is positive."""
+    """The cut of best F1 over the weighted rows among those of at least `PRECISION`, half way to the next probability below and at
+    least `LEAST`; above one, so that nothing is rejected, if no cut is that precise."""
     if not truth.any():
         return 2.0
     order = np.argsort(-p, kind="stable")
     p, hit, w = p[order], truth[order] * weights[order], weights[order]
-    f1 = 2 * np.cumsum(hit) / (np.cumsum(w) + hit.sum())
+    hits, seen = np.cumsum(hit), np.cumsum(w)
+    f1 = np.where(hits / seen >= PRECISION, 2 * hits / (seen + hits[-1]), -1)
     f1[:-1][p[:-1] == p[1:]] = -1  # rows of one probability are not cut apart
     best = int(f1.argmax())
+    if f1[best] < 0:
+        return 2.0
     below = p[best + 1] if best + 1 < len(p) else 0.0
-    return float(1 / (1 + math.exp(-(logit(p[best:best + 1])[0] + logit(np.array([below]))[0]) / 2)))
+    return max(LEAST, float(1 / (1 + math.exp(-(logit(p[best:best + 1])[0] + logit(np.array([below]))[0]) / 2))))
 
 
 def fit_chain(values: np.ndarray, truths: np.ndarray, weights: np.ndarray, categories: list[str], features: list[int],

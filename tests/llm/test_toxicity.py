@@ -91,4 +91,11 @@ def test_later_models_learn_from_out_of_fold_predictions():
 def test_calibration():
     p, truth = np.array([0.9, 0.8, 0.8, 0.2, 0.1]), np.array([1, 1, 1, 0, 0])
     assert 0.2 < toxicity.calibrate(p, truth, np.ones(5)) < 0.8
-    assert toxicity.calibrate(p, np.zeros(5), np.ones(5)) > 1
+    assert toxicity.calibrate(p, np.zeros(5), np.ones(5)) > 1 and toxicity.calibrate(p[::-1], truth, np.ones(5)) > 1
+    assert toxicity.calibrate(p / 10, truth, np.ones(5)) == toxicity.LEAST
+
+
+def test_few_labels_do_not_reject_clean_documents(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    rejected = toxicity.scores(docs, labels).where("rejected").join(labels, "doc_id", "left").collect()
+    assert sum(r.toxic == 0 for r in rejected) <= 2
