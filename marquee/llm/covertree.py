@@ -3,7 +3,8 @@
 Vectors are turned to whole numbers, floor(scale * x). Equal vectors are one point with its k + 1 smallest ids: by the tie rule no
 other id of that point can be among any query's k best. Points are dealt to the nearest of a bounded number of pivots and cut into
 blocks of about `BLOCK`, so a block lies together and no block grows with the data. A block's cover tree halves its
-radius from level to level (farthest-first nets: nested, covering, separated) and keeps each node's true covering radius.
+radius from level to level (farthest-first nets: nested, covering, separated) and keeps each node's true covering radius; where points
+are too spread out for a cover of few centres, a node is a leaf.
 
 The queries go against all blocks in blocks of their own. A pair of nodes is left when no point of one can reach, against any query of
 the other, the worst k-th score of that query group: q.d <= q0.d0 + rq|d0| + rd|q0| + rq rd. A query's first k-th score is that
@@ -26,7 +27,10 @@ SCALE = 1024
 BLOCK = 4096
 #: Rows the pivots are chosen from and first scores are taken over, and the number of pivots.
 SAMPLE, PIVOTS = 4096, 64
-LEAF = 48
+#: Points of a leaf: large enough that a pair of leaves is one matrix product worth its call.
+LEAF = 256
+#: A node whose cover at half its radius needs over a share of its points as centres stays a leaf, scanned by one product.
+SPREAD = 32
 #: Tasks that share the data blocks of one block of queries.
 GROUPS = 24
 
@@ -60,6 +64,8 @@ class Tree:
         centres, nearest = [self.centre[at]], np.zeros(len(members), np.int64)
         apart = np.linalg.norm(own - points[centres[0]], axis=1)
         while apart[far := int(apart.argmax())] > half:
+            if len(centres) >= len(members) // SPREAD:  # too spread out for a cover to help
+                return
             there = np.linalg.norm(own - own[far], axis=1)
             closer = there < apart
             nearest[closer], apart[closer] = len(centres), there[closer]
@@ -211,7 +217,7 @@ def nearest(data: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE,
     for row in drawn:
         by_dim.setdefault(row["dim"], []).append(row)
     known = {dim: np.array([r["point"] for r in some], dtype=np.float64) for dim, some in by_dim.items()}
-    known_ids = {dim: [r["ids"] for r in some] for dim, some in by_dim.items()}
+    place_of = {dim: {i: at for at, r in enumerate(some) for i in r["ids"]} for dim, some in by_dim.items()}
 
     placed = points.withColumn("pivot", _nearest(_pivots(known, pivots), F.col("point")))
     sizes = placed.groupBy("dim", "pivot").agg(F.count(F.lit(1)).alias("size"))
@@ -261,11 +267,12 @@ def nearest(data: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE,
             return out
         others = Side({"points": known[dim].astype("<i8").tobytes(), "ids": [], "radius": [], "centre": np.empty(0, np.int64),
                        "first": [], "last": [], "child": [], "children": []}, dim)
-        for at in range(len(ids)):
-            scores = products(side, slice(at, at + 1), others, slice(None))[0]
-            rest = np.array([s for s, some in zip(scores, known_ids[dim]) if ids[at] not in some])
-            if len(rest) >= k:
-                out[at] = np.partition(rest, -k)[-k]
+        scores = products(side, slice(None), others, slice(None)).astype(np.float64)
+        for at, own in enumerate(place_of[dim].get(i) for i in ids):
+            if own is not None:
+                scores[at, own] = -np.inf
+        if scores.shape[1] >= k:
+            out = np.partition(scores, -k, axis=1)[:, -k]
         return out
 
     found = pairs.mapInArrow(search, "query_id LONG, vec_id LONG, score LONG")

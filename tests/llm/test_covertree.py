@@ -50,8 +50,10 @@ def test_few_and_none(spark):
 
 
 def test_trees_cover_and_separate():
-    points = np.random.default_rng(1).normal(size=(500, 4))
+    rng = np.random.default_rng(1)
+    points = rng.normal(size=(10, 4))[rng.integers(10, size=800)] * 9 + rng.normal(size=(800, 4)) * 0.3
     tree = covertree.Tree(points, leaf=8)
+    assert len(tree.centre) > 10
     for n in range(len(tree.centre)):
         members = tree.order[tree.first[n]:tree.last[n]]
         assert tree.centre[n] in members
