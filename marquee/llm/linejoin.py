@@ -10,9 +10,9 @@ whether that earlier line stays or not. Lines without tokens stay.
 3. Similar sets share a token among their rarest |x| - ceil(0.8 |x|) + 1 (prefix filter). Rows (token, set) of the prefixes meet on the
    token, under the length filter, the positional filter (tokens left after this one must suffice) and a parity filter:
    64 bits, each turned over by every token that falls on it, differ in no more bits than the sets do in tokens.
-4. Pairs are verified on their words, read from the texts again; only lines that a fixed-size bitmap of the wanted ones lets through are read.
-   A first round holds each set only against the first few of those it meets under its rarest tokens, so of a crowd of
-   similar lines most are settled in proportion to their number. The second round joins what is left with all sets, which finds every match.
+4. Pairs are verified on all their tokens (64 bits of each), read from the texts again; only lines that a fixed-size bitmap of the wanted ones lets through are read.
+   A first round holds each set only against the first and the nearest of those it meets under its rarest token, so of a crowd of
+   similar lines most are settled in proportion to their number. Then what is left is joined with all sets, which finds every match.
 
 A token's rows may be many: joins on tokens are split by AQE, and nothing collects them.
 """
@@ -28,7 +28,9 @@ BUCKETS = 1 << 16
 #: Bits of the map of wanted lines, in words of 64.
 MAP_BITS = 1 << 21
 #: Rarest tokens and neighbours of the first round.
-ANCHOR_TOKENS, ANCHORS = 3, 2
+ANCHOR_TOKENS, ANCHORS = 1, 2
+#: The turn of lines without doc_id.
+LAST = (1 << 63) - 1
 
 
 def _left(value: Column, by: Column) -> Column:
@@ -63,7 +65,7 @@ def _ceil(numerator: Column, denominator: int) -> Column:
 
 
 def token_sets(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, buckets: int = BUCKETS) -> DataFrame:
-    """(id, doc, no, mark, n, parity, prefix): one row per distinct token set with its first line; `mark` is the line's hash, which tells
+    """(id, turn, doc, no, mark, n, parity, parity2, prefix): one row per distinct token set with its first line; `mark` is the line's hash, which tells
     apart the lines of rows that share a doc_id. `prefix` holds 32 bits of each of its rarest tokens' keys."""
     common = rarity(docs, buckets)
     above, below = similarity
@@ -75,12 +77,17 @@ def token_sets(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, bucket
     keys = F.sort_array(F.transform(F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))), key))
     lines = _lines(docs).select("doc", "no", F.hash("line").alias("mark"), keys.alias("keys")).where(F.size("keys") > 0)
     n = F.size("keys")
-    parity = F.aggregate("keys", F.lit(0).cast("long"), lambda p, k: p.bitwiseXOR(_left(F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+
+    def parity(shift: int) -> Column:
+        return F.aggregate("keys", F.lit(0).cast("long"), lambda p, k: p.bitwiseXOR(
+            _left(F.lit(1).cast("long"), F.shiftright(k, shift).bitwiseAND(F.lit(63)).cast("int"))))
+
     prefix = F.transform(F.slice("keys", F.lit(1), n - _ceil(n * above, below) + 1), lambda k: F.hash(k))
-    told = lines.select("doc", "no", "mark", F.xxhash64("keys").alias("print"), n.alias("n"), parity.alias("parity"), prefix.alias("prefix"))
-    place = F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("turn"), "no", "mark", "doc")
-    return (told.groupBy("print", "parity", "n").agg(F.min(place).alias("place"), F.first("prefix").alias("prefix"))
-            .select(F.monotonically_increasing_id().alias("id"), "place.*", "n", "parity", "prefix"))
+    told = lines.select("doc", "no", "mark", F.xxhash64("keys").alias("print"), n.alias("n"), parity(0).alias("parity"), parity(6).alias("parity2"), prefix.alias("prefix"))
+    place = F.struct(F.coalesce("doc", F.lit(LAST)).alias("turn"), "no", "mark")
+    return (told.groupBy("print", "parity", "parity2", "n").agg(F.min(place).alias("place"), F.first("prefix").alias("prefix"))
+            .select(F.monotonically_increasing_id().alias("id"), "place.*", "n", "parity", "parity2", "prefix")
+            .withColumn("doc", F.nullif("turn", F.lit(LAST))))
 
 
 def _needed(n, m, similarity: tuple[int, int]) -> Column:
@@ -94,7 +101,8 @@ def _may_match(a, b, similarity: tuple[int, int]) -> Column:
     needed = _needed(a("n"), b("n"), similarity)
     left = F.least(a("n") - a("at"), b("n") - b("at"))
     fits = (F.least(a("n"), b("n")) >= needed) & (left >= needed)
-    return fits & (F.bit_count(a("parity").bitwiseXOR(b("parity"))) <= a("n") + b("n") - 2 * needed)
+    apart = a("n") + b("n") - 2 * needed  # different sets differ in one token at least
+    return fits & (apart > 0) & (F.bit_count(a("parity").bitwiseXOR(b("parity"))) <= apart)
 
 
 def _bit_of(bits: dict[int, int], spot: Column) -> Column:
@@ -104,45 +112,73 @@ def _bit_of(bits: dict[int, int], spot: Column) -> Column:
     return _right(word, spot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
-def _later(docs: DataFrame, sets: DataFrame, pairs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The later one's id of each pair (a, b) whose words are as similar as asked for. Sets that begin at the same place, in rows that
-    share a doc_id, do not repeat each other."""
+def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The ids (late) of the pairs (late, early) whose tokens are as similar as asked for."""
     above, below = similarity
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    places = stored(sets.select("id", "turn", "no", "mark", "doc").join(wanted, "id", "left_semi"), "places")
+    wanted = pairs.select(F.col("late").alias("id")).union(pairs.select(F.col("early").alias("id"))).distinct()
+    places = stored(sets.select("id", "doc", "no", "mark").join(wanted, "id", "left_semi"), "places")
     spot = F.pmod(F.xxhash64("doc", "no", "mark"), F.lit(MAP_BITS))
     words = (places.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).cast("int").alias("at"))
              .agg(F.expr("bit_or(shiftleft(1L, CAST(spot & 63 AS INT)))").alias("bits")))
     lines = _lines(docs).withColumn("mark", F.hash("line"))
     seen = lines.where(_bit_of({r["at"]: r["bits"] for r in words.collect()}, spot))
-    texts = seen.select(F.col("doc").alias("d"), F.col("no").alias("o"), F.col("mark").alias("m"), F.array_distinct(_words(F.col("line"))).alias("words"))
+    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+    texts = seen.select(F.col("doc").alias("d"), F.col("no").alias("o"), F.col("mark").alias("m"), hashes.alias("words"))
     held = (places.join(texts, F.col("doc").eqNullSafe(F.col("d")) & (F.col("no") == F.col("o")) & (F.col("mark") == F.col("m")))
-            .groupBy("id").agg(F.first(F.struct("words", F.struct("turn", "no").alias("place"))).alias("set")))
-    a, b = held.select(F.col("id").alias("a"), F.col("set").alias("x")), held.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    met = F.size(F.array_intersect("x.words", "y.words"))
-    alike = pairs.join(a, "a").join(b, "b").where(met * (above + below) >= (F.size("x.words") + F.size("y.words")) * above)
-    later = F.when(F.col("x.place") > F.col("y.place"), F.col("a")).when(F.col("x.place") < F.col("y.place"), F.col("b"))
-    return alike.select(later.alias("id")).where("id IS NOT NULL").distinct()
+            .groupBy("id").agg(F.first("words").alias("words")))
+    late, early = held.select(F.col("id").alias("late"), F.col("words").alias("x")), held.select(F.col("id").alias("early"), F.col("words").alias("y"))
+    met = F.size(F.array_intersect("x", "y"))
+    return (pairs.select("late", "early").join(late, "late").join(early, "early")
+            .where(met * (above + below) >= (F.size("x") + F.size("y")) * above).select(F.col("late").alias("id")).distinct())
 
 
 def repeats(docs: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """The ids of `sets` that an earlier set is similar to."""
+    """The ids of `sets` that an earlier set is similar to. Sets that begin at the same place, in rows that share a doc_id, do not
+    repeat each other.
+
+    Three rounds, each with what the ones before it left: the neighbours under the rarest token; of all pairs that pass the filters, each
+    set's likeliest partner (fewest bits of parity apart); all other pairs.
+    """
+    place = F.struct("turn", "no")
     rare = sets.select("id", "turn", "no", "n", "parity", F.posexplode(F.slice("prefix", 1, ANCHOR_TOKENS)).alias("at", "token"))
     first = Window.partitionBy("token").orderBy("turn", "no", "id")
-    fields = F.struct("id", "n", "at", "parity")
+    fields = F.struct("id", "turn", "no", "n", "at", "parity")
     near = [F.first(fields).over(first), *(F.lag(fields, i).over(first) for i in range(1, ANCHORS))]
-    anchored = (rare.select("id", "n", "at", "parity", F.array(*near).alias("others"))
-                .select("id", "n", "at", "parity", F.explode("others").alias("other")).where("other.id <> id")
+    anchored = (rare.select("id", "turn", "no", "n", "at", "parity", F.array(*near).alias("others"))
+                .select("id", place.alias("place"), "n", "at", "parity", F.explode("others").alias("other"))
+                .where(F.struct("other.turn", "other.no") < F.col("place"))
                 .where(_may_match(F.col, lambda c: F.col(f"other.{c}"), similarity)))
-    pairs = stored(anchored.select(F.col("id").alias("a"), F.col("other.id").alias("b")).distinct(), "anchored")
-    settled = stored(_later(docs, sets, pairs, similarity), "settled")
-
-    every = sets.select("id", "n", "parity", F.posexplode("prefix").alias("at", "token"))
-    open_ones = every.join(settled, "id", "left_anti")
-    met = open_ones.alias("x").join(every.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.id") != F.col("y.id"))
-                                    & _may_match(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), similarity))
-    pairs = stored(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "pairs")
-    return settled.union(_later(docs, sets, pairs, similarity)).distinct()
+    pairs = stored(anchored.select(F.col("id").alias("late"), F.col("other.id").alias("early")).distinct(), "anchored")
+    settled = stored(_verified(docs, sets, pairs, similarity), "settled")
+
+    # one narrow row per prefix token, shuffled once for both sides of the join: n, position and whether the set is open in one number
+    marked = sets.join(settled.withColumn("settled", F.lit(True)), "id", "left")
+    shape = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 1)).bitwiseOR(
+        F.when(F.col("settled"), 0).otherwise(1).cast("long"))
+    every = marked.select("id", "n", "parity", "settled", F.posexplode("prefix").alias("at", "token")).select("token", "id", "parity", shape.alias("shape"))
+
+    def side(name: str):
+        told = {"n": F.shiftright(F.col(f"{name}.shape"), 32), "at": F.shiftright(F.col(f"{name}.shape"), 1).bitwiseAND(F.lit((1 << 31) - 1)),
+                "parity": F.col(f"{name}.parity")}
+        return told.__getitem__
+
+    either_open = F.col("x.shape").bitwiseOR(F.col("y.shape")).bitwiseAND(F.lit(1)) == 1
+    met = every.alias("x").join(every.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id"))
+                                & _may_match(side("x"), side("y"), similarity) & either_open)
+    bits = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
+    found = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), bits.alias("bits")).distinct()
+    # the places of both, and a second parity of other bits
+    a = sets.select(F.col("id").alias("a"), place.alias("p"), F.col("n").alias("n1"), F.col("parity2").alias("z1"))
+    b = sets.select(F.col("id").alias("b"), place.alias("q"), F.col("n").alias("n2"), F.col("parity2").alias("z2"))
+    after = F.col("p") > F.col("q")
+    likely = F.bit_count(F.col("z1").bitwiseXOR(F.col("z2"))) <= F.col("n1") + F.col("n2") - 2 * _needed(F.col("n1"), F.col("n2"), similarity)
+    pairs = (found.join(a, "a").join(b, "b").where("p <> q").where(likely)
+             .select(F.when(after, F.col("a")).otherwise(F.col("b")).alias("late"), F.when(after, F.col("b")).otherwise(F.col("a")).alias("early"), "bits"))
+    pairs = stored(pairs.join(settled, F.col("late") == F.col("id"), "left_anti"), "pairs")
+    likeliest = pairs.groupBy("late").agg(F.min_by("early", F.struct("bits", "early")).alias("early"))
+    more = stored(_verified(docs, sets, likeliest, similarity), "more")
+    rest = pairs.join(more, F.col("late") == F.col("id"), "left_anti").join(likeliest, ["late", "early"], "left_anti")
+    return settled.union(more).union(_verified(docs, sets, stored(rest, "rest"), similarity)).distinct()
 
 
 def _code(no: Column, mark: Column) -> Column:
