@@ -1,7 +1,7 @@
 """Byte-level BPE by recursive DuckDB queries inside the tasks: encoding and decoding by a file of ranks.
 
 A text is cut into the matches of a pattern, each encoded on its own. A match that is a token is that token. Any other starts as one
-row per byte (word, position, id); a recursive query joins neighbouring rows with the merge table, contracts each word's
+row per byte (word, position, id and its right neighbour); a recursive query joins them with the merge table, contracts each word's
 leftmost pair of minimum rank, and goes on with the words that changed until none does. Decoding joins ids with the vocabulary
 and aggregates their bytes in order.
 
@@ -19,25 +19,28 @@ from pyspark.sql import DataFrame
 
 from marquee.llm.common import LATIN, per_process, with_classes
 
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 SLICE = 1 << 19
-CHUNK = 1 << 17
+CHUNK = 1 << 18
 
 #: All white space, as the pattern's library sees it.
 SPACES = r"\t\n\x0b\x0c\r \x85\p{Zs}\p{Zl}\p{Zp}"
 
 MERGED = """
-WITH RECURSIVE state(w, pos, id, live) AS (
-    SELECT w, pos, id, true FROM bytes_in
+WITH RECURSIVE state(w, pos, id, next_id, next_pos, live) AS (
+    SELECT w, pos, id, lead(id) OVER neighbours, lead(pos) OVER neighbours, true
+    FROM bytes_in WINDOW neighbours AS (PARTITION BY w ORDER BY pos)
     UNION ALL
-    (WITH pairs AS (
-        SELECT w, pos, id, lead(id) OVER neighbours AS next_id, lead(pos) OVER neighbours AS next_pos
-        FROM state WHERE live WINDOW neighbours AS (PARTITION BY w ORDER BY pos)),
-    best AS (
+    (WITH best AS (
         SELECT w, min(rank << 32 | pos) AS found, arg_min(next_pos, rank << 32 | pos) AS gone
-        FROM pairs JOIN merges ON pairs.id = merges.a AND pairs.next_id = merges.b GROUP BY w)
-    SELECT s.w, s.pos, CASE WHEN s.pos = (found & 4294967295) THEN (found >> 32)::INTEGER ELSE s.id END, found IS NOT NULL
-    FROM state s LEFT JOIN best USING (w) WHERE s.live AND (gone IS NULL OR s.pos <> gone))
+        FROM state JOIN merges ON state.id = merges.a AND state.next_id = merges.b WHERE live GROUP BY w),
+    met AS (
+        SELECT best.w, found & 4294967295 AS pos, (found >> 32)::INTEGER AS id, gone, g.next_id AS after_id, g.next_pos AS after_pos
+        FROM best JOIN state g ON g.w = best.w AND g.pos = best.gone WHERE g.live)
+    SELECT s.w, s.pos, CASE WHEN s.pos = m.pos THEN m.id ELSE s.id END,
+           CASE WHEN s.pos = m.pos THEN m.after_id WHEN s.next_pos = m.pos THEN m.id ELSE s.next_id END,
+           CASE WHEN s.pos = m.pos THEN m.after_pos ELSE s.next_pos END, m.w IS NOT NULL
+    FROM state s LEFT JOIN met m ON s.w = m.w WHERE s.live AND (gone IS NULL OR s.pos <> gone))
 )
 SELECT w, list(id ORDER BY pos) AS ids FROM state WHERE NOT live GROUP BY w
 """
