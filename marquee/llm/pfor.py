@@ -45,13 +45,18 @@ FRAMES = ("part INT, frame INT, first LONG, n_ids LONG, payload BINARY, block_st
 def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     least = ids.min()
     rest = (ids - least).astype(np.uint32)
-    width = int(np.sort(rest)[(len(rest) - 1) * percentile // 100]).bit_length()
+    place = (len(rest) - 1) * percentile // 100
+    width = int(np.partition(rest, place)[place]).bit_length()
     patched = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.empty(0, np.int64)
     values, low = rest[patched], rest.copy()
     low[patched] = 0
-    bits = np.unpackbits(low.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little", count=width)
+    if width == 16:  # the same bits, without taking them apart
+        packed = low.astype("<u2").tobytes()
+    else:
+        bits = np.unpackbits(low.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little", count=width)
+        packed = np.packbits(bits, bitorder="little").tobytes()
     head = np.array([(len(ids), least, len(patched), width)], dtype=HEADER)
-    return b"".join([head.tobytes(), np.packbits(bits, bitorder="little").tobytes(), patched.astype("<u4").tobytes(),
+    return b"".join([head.tobytes(), packed, patched.astype("<u4").tobytes(),
                      values.astype("<u4").tobytes()])
 
 
@@ -59,10 +64,13 @@ def unpack_block(data: memoryview) -> np.ndarray:
     head = np.frombuffer(data, dtype=HEADER, count=1)[0]
     count, width, patched, at = int(head["count"]), int(head["width"]), int(head["patched"]), HEADER.itemsize
     size = (count * width + 7) // 8
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=count * width, bitorder="little").reshape(count, width)
-    wide = np.zeros((count, 32), np.uint8)
-    wide[:, :width] = bits
-    rest = np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
+    if width == 16:
+        rest = np.frombuffer(data, "<u2", count, at).astype(np.uint32)
+    else:
+        wide = np.zeros((count, 32), np.uint8)
+        bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=count * width, bitorder="little")
+        wide[:, :width] = bits.reshape(count, width)
+        rest = np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
     at += size
     rest[np.frombuffer(data, "<u4", patched, at)] = np.frombuffer(data, "<u4", patched, at + 4 * patched)
     return rest + head["least"]
