@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from marquee.lineage import checkpoint_root
-from marquee.llm import bpe, decontaminate, linejoin, simhash, toxicity
+from marquee.llm import bpe, decontaminate, linejoin, shinglejoin, toxicity
 from marquee.llm.common import table
 
 
@@ -20,7 +20,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs, width=5)
+    return shinglejoin.keep_first(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

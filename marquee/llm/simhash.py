@@ -28,18 +28,27 @@ BLOCKS = 6
 CHUNK = 8192
 
 
-def simhash(text: str | None, width: int = WIDTH) -> int:
-    """The fingerprint of one text, as a signed 64-bit number."""
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    shingles = zip(*(words[i:] for i in range(width))) if len(words) >= width else [words]
+    runs = zip(*(words[i:] for i in range(width))) if len(words) >= width else [words] if words else []
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(b" ".join(s), 42) for s in shingles], dtype="<u8")
+    return np.array([digest(b" ".join(s), 42) for s in runs], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles, as a signed 64-bit number."""
+    if not len(hashes):
+        return 0
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(bits * 2 > len(hashes)).view("<i8")[0])
 
 
+def simhash(text: str | None, width: int = WIDTH) -> int:
+    """The fingerprint of one text, as a signed 64-bit number."""
+    return majority(shingles(text, width))
+
+
 def fingerprint(text: Column, width: int = WIDTH) -> Column:
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
