@@ -1,7 +1,7 @@
 """Lines that repeat earlier lines, by an exact set-similarity join of DataFrame operations only.
 
 A line is what stands between line feeds; its tokens are the distinct pieces between blanks. Lines come in the order of (doc_id, line
-number). A line with tokens is removed if an earlier line's tokens have a Jaccard similarity of at least `SIMILARITY` with its own,
+number), rows without doc_id last, each by itself. A line with tokens is removed if an earlier line's tokens have a Jaccard similarity of at least `SIMILARITY` with its own,
 whether that earlier line stays or not. Lines without tokens stay.
 
 1. Rarity: occurrences of all tokens of all texts are counted in `BUCKETS` hash buckets. A token's key is its bucket's count, in steps
@@ -45,14 +45,25 @@ def _words(line: Column) -> Column:
     return F.array_remove(F.split(line, " "), "")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, no, line): every line of every text; null texts have none."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+def _turn() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+
+
+def _lines(docs: DataFrame, row: Column) -> DataFrame:
+    """(turn, row, no, line): every line of every text; null texts have none."""
+    return docs.select(_turn().alias("turn"), row.alias("row"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+
+
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """`docs` with a column `row` that tells rows without doc_id apart: zero where there is one, else a number from one, given once and stored."""
+    unnamed = F.col("doc_id").cast("long").isNull()
+    counted = stored(docs.where(unnamed).withColumn(row, F.monotonically_increasing_id() + 1), "unnamed")
+    return docs.where(~unnamed).withColumn(row, F.lit(0).cast("long")).unionByName(counted)
 
 
 def rarity(docs: DataFrame, buckets: int = BUCKETS) -> Column:
     """A literal array: for each hash bucket how common its tokens are over all texts, from 0 to 63. Its size is fixed."""
-    counts = (_lines(docs).select(F.explode(F.split("line", " ")).alias("word")).where("word <> ''")
+    counts = (_lines(docs, F.lit(0)).select(F.explode(F.split("line", " ")).alias("word")).where("word <> ''")
               .groupBy(F.pmod(F.xxhash64("word"), F.lit(buckets)).alias("bucket")).agg(F.count(F.lit(1)).alias("n")))
     steps = ["0"] * buckets
     for row in counts.select("bucket", F.least(F.lit(63), F.floor(F.log(1.5, F.col("n") + 1))).alias("step")).collect():
@@ -64,8 +75,8 @@ def _ceil(numerator: Column, denominator: int) -> Column:
     return F.floor((numerator + (denominator - 1)) / F.lit(denominator)).cast("int")
 
 
-def token_sets(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, buckets: int = BUCKETS) -> DataFrame:
-    """(id, turn, doc, no, mark, n, parity, parity2, prefix): one row per distinct token set with its first line; `mark` is the line's hash, which tells
+def token_sets(docs: DataFrame, row: Column, similarity: tuple[int, int] = SIMILARITY, buckets: int = BUCKETS) -> DataFrame:
+    """(id, turn, row, no, mark, n, parity, parity2, prefix): one row per distinct token set with its first line; `mark` is the line's hash, which tells
     apart the lines of rows that share a doc_id. `prefix` holds 32 bits of each of its rarest tokens' keys."""
     common = rarity(docs, buckets)
     above, below = similarity
@@ -75,7 +86,7 @@ def token_sets(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, bucket
         return F.shiftleft(step, 57).bitwiseOR(F.shiftrightunsigned(hashed, 7))
 
     keys = F.sort_array(F.transform(F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))), key))
-    lines = _lines(docs).select("doc", "no", F.hash("line").alias("mark"), keys.alias("keys")).where(F.size("keys") > 0)
+    lines = _lines(docs, row).select("turn", "row", "no", F.hash("line").alias("mark"), keys.alias("keys")).where(F.size("keys") > 0)
     n = F.size("keys")
 
     def parity(shift: int) -> Column:
@@ -83,11 +94,10 @@ def token_sets(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, bucket
             _left(F.lit(1).cast("long"), F.shiftright(k, shift).bitwiseAND(F.lit(63)).cast("int"))))
 
     prefix = F.transform(F.slice("keys", F.lit(1), n - _ceil(n * above, below) + 1), lambda k: F.hash(k))
-    told = lines.select("doc", "no", "mark", F.xxhash64("keys").alias("print"), n.alias("n"), parity(0).alias("parity"), parity(6).alias("parity2"), prefix.alias("prefix"))
-    place = F.struct(F.coalesce("doc", F.lit(LAST)).alias("turn"), "no", "mark")
+    told = lines.select("turn", "row", "no", "mark", F.xxhash64("keys").alias("print"), n.alias("n"), parity(0).alias("parity"), parity(6).alias("parity2"), prefix.alias("prefix"))
+    place = F.struct("turn", "row", "no", "mark")
     return (told.groupBy("print", "parity", "parity2", "n").agg(F.min(place).alias("place"), F.first("prefix").alias("prefix"))
-            .select(F.monotonically_increasing_id().alias("id"), "place.*", "n", "parity", "parity2", "prefix")
-            .withColumn("doc", F.nullif("turn", F.lit(LAST))))
+            .select(F.monotonically_increasing_id().alias("id"), "place.*", "n", "parity", "parity2", "prefix"))
 
 
 def _needed(n, m, similarity: tuple[int, int]) -> Column:
@@ -112,19 +122,19 @@ def _bit_of(bits: dict[int, int], spot: Column) -> Column:
     return _right(word, spot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
-def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+def _verified(docs: DataFrame, row: Column, sets: DataFrame, pairs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """The ids (late) of the pairs (late, early) whose tokens are as similar as asked for."""
     above, below = similarity
     wanted = pairs.select(F.col("late").alias("id")).union(pairs.select(F.col("early").alias("id"))).distinct()
-    places = stored(sets.select("id", "doc", "no", "mark").join(wanted, "id", "left_semi"), "places")
-    spot = F.pmod(F.xxhash64("doc", "no", "mark"), F.lit(MAP_BITS))
+    places = stored(sets.select("id", "turn", "row", "no", "mark").join(wanted, "id", "left_semi"), "places")
+    spot = F.pmod(F.xxhash64("turn", "row", "no", "mark"), F.lit(MAP_BITS))
     words = (places.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).cast("int").alias("at"))
              .agg(F.expr("bit_or(shiftleft(1L, CAST(spot & 63 AS INT)))").alias("bits")))
-    lines = _lines(docs).withColumn("mark", F.hash("line"))
+    lines = _lines(docs, row).withColumn("mark", F.hash("line"))
     seen = lines.where(_bit_of({r["at"]: r["bits"] for r in words.collect()}, spot))
     hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
-    texts = seen.select(F.col("doc").alias("d"), F.col("no").alias("o"), F.col("mark").alias("m"), hashes.alias("words"))
-    held = (places.join(texts, F.col("doc").eqNullSafe(F.col("d")) & (F.col("no") == F.col("o")) & (F.col("mark") == F.col("m")))
+    texts = seen.select("turn", "row", "no", "mark", hashes.alias("words"))
+    held = (places.join(texts, ["turn", "row", "no", "mark"])
             .groupBy("id").agg(F.first("words").alias("words")))
     late, early = held.select(F.col("id").alias("late"), F.col("words").alias("x")), held.select(F.col("id").alias("early"), F.col("words").alias("y"))
     met = F.size(F.array_intersect("x", "y"))
@@ -132,24 +142,24 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, similarity: tu
             .where(met * (above + below) >= (F.size("x") + F.size("y")) * above).select(F.col("late").alias("id")).distinct())
 
 
-def repeats(docs: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+def repeats(docs: DataFrame, row: Column, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """The ids of `sets` that an earlier set is similar to. Sets that begin at the same place, in rows that share a doc_id, do not
     repeat each other.
 
     Three rounds, each with what the ones before it left: the neighbours under the rarest token; of all pairs that pass the filters, each
     set's likeliest partner (fewest bits of parity apart); all other pairs.
     """
-    place = F.struct("turn", "no")
-    rare = sets.select("id", "turn", "no", "n", "parity", F.posexplode(F.slice("prefix", 1, ANCHOR_TOKENS)).alias("at", "token"))
-    first = Window.partitionBy("token").orderBy("turn", "no", "id")
-    fields = F.struct("id", "turn", "no", "n", "at", "parity")
+    place = F.struct("turn", "row", "no")
+    rare = sets.select("id", "turn", "row", "no", "n", "parity", F.posexplode(F.slice("prefix", 1, ANCHOR_TOKENS)).alias("at", "token"))
+    first = Window.partitionBy("token").orderBy("turn", "row", "no", "id")
+    fields = F.struct("id", "turn", "row", "no", "n", "at", "parity")
     near = [F.first(fields).over(first), *(F.lag(fields, i).over(first) for i in range(1, ANCHORS))]
-    anchored = (rare.select("id", "turn", "no", "n", "at", "parity", F.array(*near).alias("others"))
+    anchored = (rare.select("id", "turn", "row", "no", "n", "at", "parity", F.array(*near).alias("others"))
                 .select("id", place.alias("place"), "n", "at", "parity", F.explode("others").alias("other"))
-                .where(F.struct("other.turn", "other.no") < F.col("place"))
+                .where(F.struct("other.turn", "other.row", "other.no") < F.col("place"))
                 .where(_may_match(F.col, lambda c: F.col(f"other.{c}"), similarity)))
     pairs = stored(anchored.select(F.col("id").alias("late"), F.col("other.id").alias("early")).distinct(), "anchored")
-    settled = stored(_verified(docs, sets, pairs, similarity), "settled")
+    settled = stored(_verified(docs, row, sets, pairs, similarity), "settled")
 
     # one narrow row per prefix token, shuffled once for both sides of the join: n, position and whether the set is open in one number
     marked = sets.join(settled.withColumn("settled", F.lit(True)), "id", "left")
@@ -176,9 +186,9 @@ def repeats(docs: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMI
              .select(F.when(after, F.col("a")).otherwise(F.col("b")).alias("late"), F.when(after, F.col("b")).otherwise(F.col("a")).alias("early"), "bits"))
     pairs = stored(pairs.join(settled, F.col("late") == F.col("id"), "left_anti"), "pairs")
     likeliest = pairs.groupBy("late").agg(F.min_by("early", F.struct("bits", "early")).alias("early"))
-    more = stored(_verified(docs, sets, likeliest, similarity), "more")
+    more = stored(_verified(docs, row, sets, likeliest, similarity), "more")
     rest = pairs.join(more, F.col("late") == F.col("id"), "left_anti").join(likeliest, ["late", "early"], "left_anti")
-    return settled.union(more).union(_verified(docs, sets, stored(rest, "rest"), similarity)).distinct()
+    return settled.union(more).union(_verified(docs, row, sets, stored(rest, "rest"), similarity)).distinct()
 
 
 def _code(no: Column, mark: Column) -> Column:
@@ -189,20 +199,23 @@ def without_repeats(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, b
     """The rows and columns of `docs`, the text of each without its removed lines.
 
     Null texts stay null, empty ones empty; a text may lose all its lines and become empty. Rows that share a doc_id are told apart by
-    their lines' hashes; repeated rows come out alike. Lines of rows without doc_id come after all others.
+    their lines' hashes; repeated rows come out alike. Rows without doc_id are texts of their own, after all others and in the order in
+    which they are read once; each keeps a list of its own lines only.
     """
-    sets = stored(token_sets(docs, similarity, buckets), "sets")
-    stay = sets.select("id", "doc", "no", "mark").join(repeats(docs, sets, similarity), "id", "left_anti")
-    key, kept, lines = free_name(docs, "kept_of"), free_name(docs, "kept_lines"), free_name(docs, "text_lines")
-    of_doc = stay.groupBy("doc").agg(F.collect_list(_code(F.col("no"), F.col("mark"))).alias(kept)).withColumnRenamed("doc", key)
-    joined = (docs.join(of_doc, docs["doc_id"].cast("long").eqNullSafe(quoted(key)), "left")
+    row, key, kept, lines = (free_name(docs, name) for name in ("row_of", "kept_of", "kept_lines", "text_lines"))
+    columns, docs = docs.columns, numbered(docs, row)
+    sets = stored(token_sets(docs, quoted(row), similarity, buckets), "sets")
+    stay = sets.select("id", "turn", "row", "no", "mark").join(repeats(docs, quoted(row), sets, similarity), "id", "left_anti")
+    of_row = (stay.groupBy("turn", "row").agg(F.collect_list(_code(F.col("no"), F.col("mark"))).alias(kept))
+              .select(F.struct("turn", "row").alias(key), quoted(kept)))
+    joined = (docs.join(of_row, (_turn() == quoted(key)["turn"]) & (quoted(row) == quoted(key)["row"]), "left")
               .withColumn(lines, F.split("text", "\n")).withColumn(kept, F.coalesce(quoted(kept), F.array().cast("array<long>"))))
     codes = F.transform(quoted(lines), lambda line, no: _code(no, F.hash(line)))
     blank = F.filter(F.transform(quoted(lines), lambda line, no: F.when(F.trim(line) == "", _code(no, F.hash(line)))), lambda c: c.isNotNull())
     left = F.sort_array(F.array_union(F.array_intersect(codes, quoted(kept)), blank))
     numbers = F.transform(left, lambda c: F.shiftright(c, 32).cast("int"))
     text = F.when(F.col("text").isNotNull(), F.array_join(F.transform(numbers, lambda no: F.get(quoted(lines), no)), "\n"))
-    return joined.withColumn("text", text).select(*[quoted(c) for c in docs.columns])
+    return joined.withColumn("text", text).select(*[quoted(c) for c in columns])
 
 
 def line_report(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, buckets: int = BUCKETS) -> DataFrame:

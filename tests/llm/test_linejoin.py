@@ -75,6 +75,17 @@ def test_rows_that_share_an_id_keep_their_own_lines(spark):
     assert got(df) == sorted([(1, "one two three"), (1, "four five six"), (2, "new line"), (2, "")], key=str)
 
 
+def test_rows_without_id_are_texts_of_their_own(spark):
+    rng = random.Random(3)
+    texts = ["\n".join(" ".join(f"w{rng.randrange(30)}" for _ in range(rng.choice([1, 6, 12]))) for _ in range(4)) for _ in range(60)]
+    rows = [(None if i % 3 == 0 else i, t) for i, t in enumerate(texts + texts[:40])] + [(None, "a copy of all\nof it")] * 3
+    told = plain([(1000 + i if k is None else k, t) for i, (k, t) in enumerate(rows)])
+    df = spark.createDataFrame(rows, "doc_id LONG, text STRING").coalesce(1)
+    out = got(df)
+    assert out == sorted(((None if k >= 1000 else k, t) for k, t in told), key=str)
+    assert sum(t == "a copy of all\nof it" for _, t in out) == 1
+
+
 def test_crowds_of_similar_lines(spark):
     """A template with one changing word in a third of all documents."""
     words = [f"k{i}" for i in range(20)]
