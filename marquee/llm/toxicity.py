@@ -211,13 +211,16 @@ def probabilities(text: Column, model: Chain) -> Column:
 
 def by_language(docs: DataFrame, labels: DataFrame, most: int = 6) -> tuple[DataFrame, list[str]]:
     """The chain's categories from one toxic label: toxic at all, then toxic in each of the languages with most toxic labels
-    (at most `most`). Columns doc_id and the categories."""
+    (at most `most`), then toxic in any other language if there are more. Columns doc_id and the categories."""
     known = (labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
              .join(docs.groupBy("doc_id").agg(F.min("lang").alias("lang")), "doc_id"))
-    langs = [r[0] for r in known.where("toxic = 1 AND lang IS NOT NULL").groupBy("lang").count()
-             .orderBy(F.desc("count"), "lang").limit(most).collect()]
+    found = [r[0] for r in known.where("toxic = 1 AND lang IS NOT NULL").groupBy("lang").count()
+             .orderBy(F.desc("count"), "lang").limit(most + 1).collect()]
+    langs = found[:most]
     columns = {f"toxic_{i}": F.when(F.col("toxic").isNotNull(), (F.col("toxic") == 1) & F.col("lang").eqNullSafe(F.lit(lang)))
                for i, lang in enumerate(langs)}
+    if len(found) > most:
+        columns["toxic_other"] = F.when(F.col("toxic").isNotNull(), (F.col("toxic") == 1) & F.coalesce(~F.col("lang").isin(langs), F.lit(False)))
     return (known.select("doc_id", F.col("toxic"), *[c.cast("int").alias(n) for n, c in columns.items()]),
             ["toxic", *columns])
 

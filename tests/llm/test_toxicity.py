@@ -99,3 +99,16 @@ def test_few_labels_do_not_reject_clean_documents(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     rejected = toxicity.scores(docs, labels).where("rejected").join(labels, "doc_id", "left").collect()
     assert sum(r.toxic == 0 for r in rejected) <= 2
+
+
+def test_languages_past_the_sixth_have_a_category(spark):
+    langs = ["a", "b", "c", "d", "e", "f", "g", "h", None]
+    rows = [(10 * i + k, lang) for i, lang in enumerate(langs) for k in range(9 - i)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, lang STRING")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 10 < 5 AS INT) AS toxic")
+    known, categories = toxicity.by_language(docs, labels)
+    assert categories == ["toxic", *[f"toxic_{i}" for i in range(6)], "toxic_other"]
+    other = {r.doc_id for r in known.where("toxic_other = 1").collect()}
+    assert other == {i for i, lang in rows if lang in ("g", "h") and i % 10 < 5}
+    few = docs.where("lang < 'g'")
+    assert toxicity.by_language(few, labels)[1] == ["toxic", *[f"toxic_{i}" for i in range(6)]]
