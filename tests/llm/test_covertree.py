@@ -63,3 +63,17 @@ def test_trees_cover_and_separate():
         assert not len(middles) or tree.centre[n] in [tree.centre[c] for c in kids]
         for i in range(len(middles)):
             assert (np.linalg.norm(middles[:i] - middles[i], axis=1) > tree.radius[n] / 2).all()
+
+
+def test_trees_of_random_points_cover_and_separate(monkeypatch):
+    monkeypatch.setattr(covertree, "SPREAD", 1)  # random points are split as well
+    points = np.random.default_rng(1).normal(size=(500, 4))
+    tree = covertree.Tree(points, leaf=8)
+    assert len(tree.centre) > 10
+    for n in range(len(tree.centre)):
+        members = tree.order[tree.first[n]:tree.last[n]]
+        assert tree.centre[n] in members
+        assert np.linalg.norm(points[members] - points[tree.centre[n]], axis=1).max() <= tree.radius[n] + 1e-12
+        middles = points[[tree.centre[c] for c in range(tree.child[n], tree.child[n] + tree.children[n])]]
+        for i in range(len(middles)):
+            assert (np.linalg.norm(middles[:i] - middles[i], axis=1) > tree.radius[n] / 2).all()
