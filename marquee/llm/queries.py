@@ -3,7 +3,7 @@
 import public_tokenizers
 
 import corpus_pipeline
-from marquee.llm import bpe, covertree, decontaminate, linejoin, pfor, pii, quality, simhash, toxicity, warc
+from marquee.llm import bpe, covertree, decontaminate, linejoin, merkle, pfor, pii, quality, simhash, toxicity, warc
 from marquee.llm.common import table
 
 
@@ -49,10 +49,57 @@ def op10_personal_data(spark, sf_dir):
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.verified_rows(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_blocks, op3_warc, op4_quality, op5_byte_bpe, op6_line_dedup, op7_dual_tree, op8_toxicity,
-                                   op9_decontamination, op10_personal_data)} | {"pipeline": corpus_pipeline.run}
+                                   op9_decontamination, op10_personal_data, op13_merkle_manifest)} | {"pipeline": corpus_pipeline.run}
 
 ORACLES = {
+    "op13_merkle_manifest": """
+        WITH RECURSIVE
+        d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n,
+                     list_reduce(list_prepend(4294967295, list_transform(range(1, 1 + length(doc_id::VARCHAR)), lambda i: ord(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+                                 lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384))) AS crc
+              FROM documents),
+        leaves AS (
+            SELECT doc_id, lang, place, n, xor(crc, 4294967295) % 7 = 0 AS touched,
+                   coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                   || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+                   coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS count, coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') AS more,
+                   coalesce(strlen(text) || ':' || text, '-') AS body
+            FROM d),
+        hashed AS (SELECT doc_id, lang, place, n, sha256(head || count || body) AS leaf,
+                          sha256(head || CASE WHEN touched THEN more ELSE count END || body) AS given FROM leaves),
+        node AS (
+            SELECT lang, 0 AS level, place, n, leaf AS h FROM hashed
+            UNION ALL
+            SELECT lang, level + 1, place // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY place)) FROM node WHERE n > 1
+            GROUP BY lang, level + 1, place // 2, (n + 1) // 2),
+        subs AS (SELECT lang, h AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM node WHERE n = 1),
+        upper AS (
+            SELECT 0 AS level, place, n, subroot AS h FROM subs
+            UNION ALL
+            SELECT level + 1, place // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY place)) FROM upper WHERE n > 1
+            GROUP BY level + 1, place // 2, (n + 1) // 2),
+        steps AS (
+            SELECT doc_id, s.lang, height, t.step, CASE WHEN t.step < height THEN hashed.place >> t.step ELSE s.place >> (t.step - height) END AS place
+            FROM hashed JOIN subs s ON hashed.lang IS NOT DISTINCT FROM s.lang, (SELECT max(level) AS more FROM upper) u, unnest(range(height + more)) t(step)),
+        path AS (
+            SELECT doc_id, step, steps.place % 2 AS slot, coalesce(node.h, upper.h, '') AS h FROM steps
+            LEFT JOIN node ON step < height AND node.lang IS NOT DISTINCT FROM steps.lang AND node.level = step AND node.place = xor(steps.place, 1)
+            LEFT JOIN upper ON step >= height AND upper.level = step - height AND upper.place = xor(steps.place, 1)),
+        proofs AS (SELECT doc_id, sha256(string_agg(h, '' ORDER BY step)) AS proof_sha256, count(*) AS length FROM path GROUP BY doc_id),
+        fold AS (
+            SELECT doc_id, 0 AS step, given AS h FROM hashed
+            UNION ALL
+            SELECT fold.doc_id, fold.step + 1, sha256(CASE WHEN slot = 1 THEN path.h || fold.h ELSE fold.h || path.h END)
+            FROM fold JOIN path ON path.doc_id = fold.doc_id AND path.step = fold.step)
+        SELECT hashed.doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, fold.h AS folded_root, fold.h = root AS verified
+        FROM hashed JOIN subs ON hashed.lang IS NOT DISTINCT FROM subs.lang, (SELECT h AS root FROM upper WHERE n = 1) r,
+             fold LEFT JOIN proofs ON proofs.doc_id = fold.doc_id
+        WHERE fold.doc_id = hashed.doc_id AND fold.step = coalesce(length, 0)""",
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
