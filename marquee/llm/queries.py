@@ -3,7 +3,7 @@
 import public_tokenizers
 
 import corpus_pipeline
-from marquee.llm import bpe, covertree, decontaminate, linejoin, merkle, pfor, pii, quality, simhash, toxicity, warc
+from marquee.llm import bpe, covertree, decontaminate, hardneg, linejoin, merkle, pfor, pii, quality, simhash, toxicity, warc
 from marquee.llm.common import table
 
 
@@ -49,14 +49,33 @@ def op10_personal_data(spark, sf_dir):
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id", "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label", "embedding")
+    return hardneg.mine(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op13_merkle_manifest(spark, sf_dir):
     return merkle.verified_rows(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_blocks, op3_warc, op4_quality, op5_byte_bpe, op6_line_dedup, op7_dual_tree, op8_toxicity,
-                                   op9_decontamination, op10_personal_data, op13_merkle_manifest)} | {"pipeline": corpus_pipeline.run}
+                                   op9_decontamination, op10_personal_data, op12_hard_negatives, op13_merkle_manifest)} | {"pipeline": corpus_pipeline.run}
 
 ORACLES = {
+    "op12_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS p FROM embeddings
+                   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, list_inner_product(a.p::DOUBLE[], c.p::DOUBLE[])::BIGINT AS score
+              FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+        near AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+                 QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        far AS (SELECT n.*, s.vec_id AS negative_id, s.score AS negative_score,
+                       row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+                FROM near n JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+        SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM far WHERE rank <= 10""",
     "op13_merkle_manifest": """
         WITH RECURSIVE
         d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n,
