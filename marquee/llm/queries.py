@@ -3,7 +3,7 @@
 import public_tokenizers
 
 import corpus_pipeline
-from marquee.llm import bpe, covertree, decontaminate, hardneg, linejoin, merkle, pfor, pii, quality, simhash, toxicity, warc
+from marquee.llm import bpe, covertree, decontaminate, hardneg, linejoin, merkle, minhash, pfor, pii, quality, simhash, toxicity, warc
 from marquee.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op10_personal_data(spark, sf_dir):
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_minhash(spark, sf_dir):
+    return minhash.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").selectExpr(
         "vec_id", "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label", "embedding")
@@ -60,9 +64,25 @@ def op13_merkle_manifest(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_blocks, op3_warc, op4_quality, op5_byte_bpe, op6_line_dedup, op7_dual_tree, op8_toxicity,
-                                   op9_decontamination, op10_personal_data, op12_hard_negatives, op13_merkle_manifest)} | {"pipeline": corpus_pipeline.run}
+                                   op9_decontamination, op10_personal_data, op11_minhash, op12_hard_negatives, op13_merkle_manifest)} | {"pipeline": corpus_pipeline.run}
 
 ORACLES = {
+    "op11_minhash": r"""
+        WITH RECURSIVE
+        w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[^\x20\x09-\x0D]+') AS words FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingles FROM w),
+        e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+        pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS met, any_value(x.n + y.n) AS total
+                  FROM e x JOIN e y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM pairs WHERE 100 * met >= 85 * (total - met)),
+        reach AS (SELECT a AS doc_id, a AS other FROM (SELECT DISTINCT a FROM links)
+                  UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a),
+        least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+        SELECT doc_id, len(shingles)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+               doc_id = coalesce(component_id, doc_id) AS kept
+        FROM s LEFT JOIN least USING (doc_id)""",
     "op12_hard_negatives": """
         WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
                           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS p FROM embeddings
