@@ -82,7 +82,7 @@ def forest(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
         reached, rest = [rest[0]], rest[1:]
         while reached and rest.size:
             here = reached.pop()
-            close = np.bitwise_count(rest ^ here) <= radius
+            close = np.bitwise_count((rest ^ here).view(np.uint64)) <= radius  # of signed numbers it counts the absolute value's bits
             if close.any():
                 found = rest[close]
                 links += [(int(here), int(f)) for f in found]

@@ -42,6 +42,10 @@ def plain_groups(rows, radius=4):
     return sorted(((i, f"{p:016x}", least.get(find(p))) for i, p in prints), key=str)
 
 
+def bits(value):
+    return (value & (1 << 64) - 1).bit_count()
+
+
 def got(df, **options):
     return sorted((tuple(r) for r in simhash.near_groups(df, **options).collect()), key=str)
 
@@ -70,11 +74,11 @@ def test_empty(spark):
 def test_large_groups_are_cut_without_loss(spark, chunk):
     rng = np.random.default_rng(5)
     centre = int(rng.integers(1 << 62))
-    values = {centre ^ sum(1 << int(b) for b in rng.choice(62, size=rng.integers(0, 4), replace=False)) for _ in range(120)}
-    values |= {int(v) for v in rng.integers(1 << 62, size=80)}
+    values = {centre ^ sum(1 << int(b) for b in rng.choice(64, size=rng.integers(0, 4), replace=False)) for _ in range(120)}
+    values = {v - (1 << 64) if v >> 63 else v for v in values} | {int(v) for v in rng.integers(1 << 62, size=80)}
     prints = spark.createDataFrame([(v,) for v in values], "fp LONG")
     links = [tuple(r) for r in simhash.links_between(prints, "fp", chunk=chunk).collect()]
-    assert all((a ^ b).bit_count() <= 4 for a, b in links)
+    assert all(bits(a ^ b) <= 4 for a, b in links)
 
     def groups(pairs):
         root = {v: v for v in values}
@@ -92,7 +96,13 @@ def test_large_groups_are_cut_without_loss(spark, chunk):
         return sorted(map(sorted, out.values()))
 
     order = sorted(values)
-    assert groups(links) == groups((a, b) for i, a in enumerate(order) for b in order[:i] if (a ^ b).bit_count() <= 4)
+    assert groups(links) == groups((a, b) for i, a in enumerate(order) for b in order[:i] if bits(a ^ b) <= 4)
+
+
+def test_links_over_the_sign_bit():
+    top = np.iinfo(np.int64).min
+    assert {b for _, b in simhash.forest(np.array([5, top + 5, top + 4, 1 << 40]))} == {top + 5, top + 4, 1 << 40}
+    assert simhash.forest(np.array([-1, 0])) == []
 
 
 def test_chain_of_components(spark):
