@@ -114,7 +114,7 @@ def distinct_sets(rows: DataFrame) -> DataFrame:
 def _fit(x: str, y: str, similarity: tuple[int, int]) -> Column:
     """Whether sizes and sketches of two rows, named x and y, allow the similarity: |x & y| >= s / (1 + s) * (|x| + |y|)."""
     above, below = similarity
-    needed = f"(({x}.n + {y}.n) * {above} + {above + below - 1}) div {above + below}"
+    needed = f"((({x}.n + {y}.n) * {above} + {above + below - 1}) div {above + below})"
     bits = " + ".join(f"bit_count({x}.sketch[{i}] ^ {y}.sketch[{i}])" for i in range(BITS // 64))
     return F.expr(f"least({x}.n, {y}.n) >= {needed} AND {bits} <= {x}.n + {y}.n - 2 * {needed}")
 
