@@ -5,8 +5,14 @@ row per byte (word, position, id and its right neighbour); a recursive query joi
 leftmost pair of minimum rank, and goes on with the words that changed until none does. Decoding joins ids with the vocabulary
 and aggregates their bytes in order.
 
+Words of `LONG` bytes and more would take a round per pair. There a round contracts all pairs that are sure to be contracted anyhow: the
+bytes that stand left and right of a pair are known, so the ranks of all tokens that could ever reach over its ends have a least one; a
+pair whose rank is not above these, nor the least one over the new token's ends below it, commutes with all others. Of pairs of one rank
+side by side every other one is taken, from the left. Words without such a pair contract those of minimum rank, from the left up to the
+first whose new token might take part in a pair of lower rank.
+
 Spark partitions the documents; nothing is shuffled. A task looks at about `SLICE` characters (or one longer text) and
-about `CHUNK` bytes of unknown matches at a time, and remembers the ids of at most `REMEMBERED` matches.
+about `CHUNK` bytes of unknown matches (or one longer match) at a time, and remembers matches and their ids up to `REMEMBERED` bytes.
 """
 
 import base64
@@ -17,11 +23,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marquee.llm.common import LATIN, per_process, with_classes
+from marquee.llm.common import LATIN, Remembered, per_process, with_classes
 
-REMEMBERED = 1_000_000
-SLICE = 1 << 19
+REMEMBERED = 96 << 20
+SLICE = 1 << 21
 CHUNK = 1 << 18
+#: Bytes from which on a match contracts all sure pairs of a round.
+LONG = 128
+#: Ids that are decoded at a time.
+IDS = 1 << 19
+#: Memory of a worker's DuckDB in MB, and bytes more of it for each byte of a match longer than `CHUNK`.
+MEMORY, MORE = 160, 1000
 
 #: All white space, as the pattern's library sees it.
 SPACES = r"\t\n\x0b\x0c\r \x85\p{Zs}\p{Zl}\p{Zp}"
@@ -45,9 +57,50 @@ WITH RECURSIVE state(w, pos, id, next_id, next_pos, live) AS (
 SELECT w, list(id ORDER BY pos) AS ids FROM state WHERE NOT live GROUP BY w
 """
 
+#: As MERGED, with every sure pair of a round. What is no rank counts as 2147483647.
+MERGED_LONG = """
+WITH RECURSIVE state(w, pos, id, live) AS (
+    SELECT w, pos, id, true FROM bytes_in
+    UNION ALL
+    (WITH near AS (
+        SELECT w, pos, id, lag(id) OVER o AS before, lead(id) OVER o AS after, lead(id, 2) OVER o AS beyond, row_number() OVER o AS n
+        FROM state WHERE live WINDOW o AS (PARTITION BY w ORDER BY pos)),
+    met AS (
+        SELECT near.w, pos, near.id, n, rank, coalesce(l.least, 2147483647) > rank AS begins,
+               coalesce(coalesce(ll.least, 2147483647) > rank AND coalesce(rr.least, 2147483647) > rank, false) AS calm,
+               calm AND coalesce(l.least, 2147483647) >= rank AND coalesce(r.least, 2147483647) >= rank AS sure,
+               coalesce(rank = min(rank) OVER (PARTITION BY near.w), false) AS lowest
+        FROM near LEFT JOIN merges m ON near.id = m.a AND near.after = m.b
+        LEFT JOIN vocabulary p ON p.id = near.before LEFT JOIN over_left l ON l.last = p.last AND l.b = near.id
+        LEFT JOIN over_left ll ON ll.last = p.last AND ll.b = rank LEFT JOIN vocabulary q ON q.id = near.beyond
+        LEFT JOIN over_right r ON r.a = near.after AND r.first = q.first LEFT JOIN over_right rr ON rr.a = rank AND rr.first = q.first),
+    runs AS (
+        SELECT *, n - row_number() OVER (PARTITION BY w, sure ORDER BY n) AS run, n - row_number() OVER (PARTITION BY w, lowest ORDER BY n) AS low_run FROM met),
+    taken AS (
+        SELECT w, pos, id, n, rank, calm, sure AND first_value(begins) OVER g AND row_number() OVER g % 2 = 1 AS taken,
+               lowest AND row_number() OVER h % 2 = 1 AS next
+        FROM runs WINDOW g AS (PARTITION BY w, sure, run ORDER BY n), h AS (PARTITION BY w, lowest, low_run ORDER BY n)),
+    words AS (
+        SELECT w, bool_or(taken) AS sure_ones, min(n) FILTER (next) AS one, min(n) FILTER (next AND NOT calm) AS wild FROM taken GROUP BY w),
+    now AS (
+        SELECT t.w, pos, id, n, rank, taken OR (NOT sure_ones AND next AND (n = one OR n < coalesce(wild, n + 1))) AS now, one IS NOT NULL AS live
+        FROM taken t JOIN words USING (w)),
+    left_over AS (SELECT *, lag(now) OVER (PARTITION BY w ORDER BY n) AS gone FROM now)
+    SELECT w, pos, CASE WHEN now THEN rank::INTEGER ELSE id END, live FROM left_over WHERE NOT coalesce(gone, false))
+)
+SELECT w, list(id ORDER BY pos) AS ids FROM state WHERE NOT live GROUP BY w
+"""
+
 DECODED = "SELECT d, list(bytes ORDER BY pos) AS bytes FROM ids_in JOIN vocabulary USING (id) GROUP BY d"
 
 
+#: The least ranks that reach over a token's ends, by the byte there.
+PREPARED = """
+CREATE TABLE over_left AS SELECT last, b, min(rank) AS least FROM merges JOIN vocabulary ON id = a GROUP BY ALL;
+CREATE TABLE over_right AS SELECT a, first, min(rank) AS least FROM merges JOIN vocabulary ON id = b GROUP BY ALL
+"""
+
+
 class Ranks:
     """The vocabulary and its merge table in an in-memory DuckDB of this worker."""
 
@@ -60,13 +113,15 @@ class Ranks:
         self.pattern = regex.compile(with_classes(pattern, {r"\s": SPACES}))
         self.latin = re.compile(with_classes(pattern, LATIN))
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.known: dict[str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.known = Remembered(REMEMBERED)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY}MB", "temp_directory": ""})
         merges = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t))
                   if t[:i] in self.ranks and t[i:] in self.ranks]
         a, b, rank = (pa.array(x) for x in zip(*merges))
         self._load("merges", {"a": a.cast(pa.int32()), "b": b.cast(pa.int32()), "rank": rank.cast(pa.int64())})
-        self._load("vocabulary", {"id": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array(self.ranks, pa.binary())})
+        self._load("vocabulary", {"id": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array(self.ranks, pa.binary()),
+                                  "first": pa.array([t[0] for t in self.ranks], pa.int32()), "last": pa.array([t[-1] for t in self.ranks], pa.int32())})
+        self.db.execute(PREPARED)
 
     def _load(self, name: str, columns: dict[str, pa.Array]) -> None:
         self.db.register("given", pa.table(columns))
@@ -79,10 +134,10 @@ class Ranks:
         self.db.unregister(name)
         return out
 
-    def _contract(self, words: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+    def _contract(self, words: list[bytes], sql: str = MERGED) -> Iterator[tuple[int, np.ndarray]]:
         lengths = np.array([len(w) for w in words])
         starts = np.cumsum(lengths) - lengths
-        out = self._query(MERGED, "bytes_in", {
+        out = self._query(sql, "bytes_in", {
             "w": np.repeat(np.arange(len(words), dtype=np.int32), lengths),
             "pos": np.arange(lengths.sum()) - np.repeat(starts, lengths),
             "id": self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]})
@@ -92,23 +147,22 @@ class Ranks:
             yield w, flat[a:b]
 
     def _learn(self, words: list[str]) -> None:
-        rest, held = [], 0
+        short, long = [], []
         for word in words:
             data = word.encode()
             if data in self.ranks:
-                self.known[word] = self.ranks[data].to_bytes(4, "little")
-                continue
-            rest.append((word, data))
-            held += len(data)
-            if held >= CHUNK:
-                self._settle(rest)
-                rest, held = [], 0
-        if rest:
-            self._settle(rest)
-
-    def _settle(self, rest: list[tuple[str, bytes]]) -> None:
-        for w, ids in self._contract([data for _, data in rest]):
-            self.known[rest[w][0]] = ids.tobytes()
+                self.known.put(word, self.ranks[data].to_bytes(4, "little"))
+            else:
+                (long if len(data) >= LONG else short).append((len(data), word, data))
+        for rest, sql in ((short, MERGED), (long, MERGED_LONG)):
+            for some in _slices(rest, CHUNK, lambda x: x[0]):
+                size = sum(x[0] for x in some)
+                if size > 2 * CHUNK:
+                    self.db.execute(f"SET memory_limit = '{MEMORY + size * MORE // 1_000_000}MB'")
+                for w, ids in self._contract([data for _, _, data in some], sql):
+                    self.known.put(some[w][1], ids.tobytes())
+                if size > 2 * CHUNK:
+                    self.db.execute(f"SET memory_limit = '{MEMORY}MB'")
 
     def split(self, text: str) -> list[str]:
         """The matches of the pattern; in texts without characters beyond U+00FF by plain classes, which is faster."""
@@ -120,39 +174,38 @@ class Ranks:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian u4 bytes."""
-        words = [self.split(t) for t in texts]
-        wanted = set().union(*words)
-        missing = wanted.difference(self.known)
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-            missing = wanted
-        self._learn(list(missing))
-        get = self.known.__getitem__
-        return [b"".join(map(get, some)) for some in words]
+        return self.known.joined([self.split(t) for t in texts], self._learn)
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
         """The bytes that each list of ids stands for."""
-        lengths = np.array([len(e) // 4 for e in encoded])
-        out = [b""] * len(encoded)
-        if lengths.sum():
-            found = self._query(DECODED, "ids_in", {
-                "d": np.repeat(np.arange(len(encoded), dtype=np.int32), lengths), "pos": np.arange(lengths.sum()),
-                "id": np.frombuffer(b"".join(encoded), "<u4").astype(np.int32)})
-            tokens = found.column("bytes").combine_chunks()
-            flat = tokens.flatten()
-            _, starts, data = flat.buffers()
-            starts = np.frombuffer(starts, "<i4")[flat.offset:]
-            ends = np.cumsum(tokens.value_lengths().to_numpy())
-            for d, a, b in zip(found.column("d").to_pylist(), starts[np.concatenate([[0], ends[:-1]])].tolist(), starts[ends].tolist()):
-                out[d] = data[a:b].to_pybytes()
+        out: list[list[bytes]] = [[] for _ in encoded]
+        pieces = ((len(e[at:at + 4 * IDS]) // 4, d, e[at:at + 4 * IDS]) for d, e in enumerate(encoded) for at in range(0, len(e), 4 * IDS))
+        for some in _slices(pieces, IDS, lambda x: x[0]):
+            for (_, d, _), data in zip(some, self._decoded([ids for _, _, ids in some])):
+                out[d].append(data)
+        return [b"".join(x) for x in out]
+
+    def _decoded(self, pieces: list[bytes]) -> list[bytes]:
+        lengths = np.array([len(e) // 4 for e in pieces])
+        found = self._query(DECODED, "ids_in", {
+            "d": np.repeat(np.arange(len(pieces), dtype=np.int32), lengths), "pos": np.arange(lengths.sum()),
+            "id": np.frombuffer(b"".join(pieces), "<u4").astype(np.int32)})
+        out = [b""] * len(pieces)
+        tokens = found.column("bytes").combine_chunks()
+        flat = tokens.flatten()
+        _, starts, data = flat.buffers()
+        starts = np.frombuffer(starts, "<i4")[flat.offset:]
+        ends = np.cumsum(tokens.value_lengths().to_numpy())
+        for d, a, b in zip(found.column("d").to_pylist(), starts[np.concatenate([[0], ends[:-1]])].tolist(), starts[ends].tolist()):
+            out[d] = data[a:b].to_pybytes()
         return out
 
 
-def _slices(rows, size) -> Iterator[list]:
+def _slices(rows, size, weight=lambda row: len(row[1])) -> Iterator[list]:
     out, held = [], 0
     for row in rows:
         out.append(row)
-        held += len(row[1])
+        held += weight(row)
         if held >= size:
             yield out
             out, held = [], 0

@@ -28,13 +28,52 @@ def with_classes(pattern: str, classes: dict[str, str]) -> str:
 
 
 def per_process(key: Hashable, make: Callable[[], Any]) -> Any:
-    """What `make` returns, made once in each worker process: functions travel by value, so their globals don't last."""
-    kept = sys.modules.setdefault("_marquee_kept", types.ModuleType("_marquee_kept")).__dict__
+    """What `make` returns, made once in each worker process: functions travel by value, so their globals don't last. Workers serve one
+    stage after the other; only the last key's value is kept."""
+    kept = sys.modules.setdefault("_marquee_kept", types.ModuleType("_marquee_kept")).__dict__.setdefault("kept", {})
     if key not in kept:
+        kept.clear()
         kept[key] = make()
     return kept[key]
 
 
+class Remembered:
+    """Values of text pieces seen before, bounded by their bytes. Pieces that come up again outlive those that don't: when the younger
+    half is full it becomes the older one, and what is asked for from there moves back."""
+
+    #: Bytes that a piece and its value take up besides their own.
+    OVERHEAD = 200
+
+    def __init__(self, most: int):
+        self.half, self.held = most // 2, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def put(self, piece: str, value: bytes) -> None:
+        self.young[piece] = value
+        self.held += len(piece) + len(value) + self.OVERHEAD
+
+    def joined(self, split: list[list[str]], learn: Callable[[list[str]], None]) -> list[bytes]:
+        """For each list of pieces their values, one after the other; `learn` puts those of unknown pieces."""
+        if self.held > self.half:
+            self.old, self.young, self.held = self.young, {}, 0
+        out: list = [None] * len(split)
+        young, get, rest = self.young, self.young.__getitem__, []
+        for at, pieces in enumerate(split):
+            try:
+                out[at] = b"".join(map(get, pieces))
+            except KeyError:
+                rest.append(at)
+        if rest:
+            missing = set().union(*(split[at] for at in rest)).difference(young)
+            for piece in missing.intersection(self.old):
+                self.put(piece, self.old[piece])
+            learn(list(missing.difference(young)))
+            for at in rest:
+                out[at] = b"".join(map(get, split[at]))
+        return out
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written once as Parquet under the shared checkpoint folder, and read from there by every later branch.
     A lost executor costs nothing that is written already."""

@@ -24,14 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.common import LATIN, checkpoint_root, per_process, with_classes
+from marquee.llm.common import LATIN, Remembered, checkpoint_root, per_process, with_classes
 
 BLOCK = 1024
 PERCENTILE = 95
 #: Ids after which a frame is closed; it ends with the document that reaches it.
 FRAME = 1 << 18
-#: Text pieces whose ids a worker remembers; more pieces start the memory anew.
-REMEMBERED = 600_000
+#: Bytes of text pieces and their ids that a worker remembers.
+REMEMBERED = 160 << 20
 #: Characters that are looked up at a time.
 SLICE = 1 << 20
 #: The id that ends a document.
@@ -105,7 +105,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(REMEMBERED)
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
         steps = [s["type"] for s in (told["normalizer"] or {}).get("normalizers", [])]
@@ -123,16 +123,11 @@ class PieceEncoder:
         return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(t) for t in texts]
-        wanted = set().union(*split)
-        missing = list(wanted.difference(self.known))
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-            missing = list(wanted)
-        found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        self.known.update((m, array("I", e.ids).tobytes()) for m, e in zip(missing, found))
-        get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        return self.known.joined([self.split(t) for t in texts], self._learn)
+
+    def _learn(self, pieces: list[str]) -> None:
+        for piece, found in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
+            self.known.put(piece, array("I", found.ids).tobytes())
 
 
 def _sliced(rows, size: int = SLICE) -> Iterator[list]:

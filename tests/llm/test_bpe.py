@@ -67,3 +67,29 @@ def test_awkward_rows(spark, library):
 
 def test_empty(spark):
     assert bpe.round_trip(spark.createDataFrame([], "doc_id LONG, text STRING"), RANKS, PATTERN).collect() == []
+
+
+def test_long_words(worker, library):
+    """Words of every kind over `LONG`, where a round contracts many pairs; and over 100,000 bytes in seconds, not hours."""
+    import random
+
+    draw = random.Random(5)
+    alphabets = ["ab", "abcdefghijklmnopqrstuvwxyz", "eainst", "ACGT", "éàüßçñ漢字仮名", "aA", "ािीुकखग"]
+    words = ["".join(draw.choice(alphabets[k % 7]) for _ in range(draw.choice([130, 200, 400, 900]))) for k in range(70)]
+    words += ["".join(draw.choice(["the", "ing", "tion", "er", "ly", "aa", "aaaa"]) for _ in range(150)) for _ in range(20)]
+    words += ["a" * 30_000, "".join(chr(draw.randrange(0x4E00, 0x9000)) for _ in range(40_000))]
+    assert [ids_of(i) for i in worker.encode(words)] == [library.encode_ordinary(w) for w in words]
+
+
+def test_little_memory(worker, library):
+    """Pieces that were forgotten are learnt again."""
+    from marquee.llm.common import Remembered
+
+    kept, worker.known = worker.known, Remembered(20_000)
+    texts = [f"word{i % 700} und Straße{i % 90} {i}" for i in range(2000)]
+    try:
+        for at in range(0, len(texts), 50):
+            assert [ids_of(i) for i in worker.encode(texts[at:at + 50])] == [library.encode_ordinary(t) for t in texts[at:at + 50]]
+        assert worker.known.held < 40_000
+    finally:
+        worker.known = kept
