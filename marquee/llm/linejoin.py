@@ -86,7 +86,9 @@ def token_sets(docs: DataFrame, row: Column, similarity: tuple[int, int] = SIMIL
         return F.shiftleft(step, 57).bitwiseOR(F.shiftrightunsigned(hashed, 7))
 
     keys = F.sort_array(F.transform(F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))), key))
-    lines = _lines(docs, row).select("turn", "row", "no", F.hash("line").alias("mark"), keys.alias("keys")).where(F.size("keys") > 0)
+    # a filter on the keys would compute them a second time; a generator's output is a column like those of a table
+    lines = _lines(docs, row).select("turn", "row", "no", F.hash("line").alias("mark"), F.explode_outer(F.array(keys)).alias("keys"))
+    lines = lines.where(F.size("keys") > 0)
     n = F.size("keys")
 
     def parity(shift: int) -> Column:
