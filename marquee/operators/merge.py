@@ -45,11 +45,11 @@ def _settle(policy: str, old: Column, new: Column, kind: str) -> Column:
     raise ValueError(f"unknown policy {policy}")
 
 
-def merge_by_url(ev: DataFrame, batch: DataFrame, policy: dict[str, str], position: str = "position") -> DataFrame:
+def merge_by_url(ev: DataFrame, batch: DataFrame, policy: dict[str, str], position: str = "position", highest: Column | None = None) -> DataFrame:
     """The table with a batch merged in by URL; `change` says what happened to each row.
 
     The first batch row per URL counts. A stored row takes the batch's `date_retrieved` and the columns the policy
-    names; an unknown URL is inserted under the next ids. A row without URL matches nothing and is not inserted;
+    names; an unknown URL is inserted under the ids after `highest` (the table's own, unless `ev` is a part of one). A row without URL matches nothing and is not inserted;
     `merge_rejects` counts what a batch leaves out.
     """
     linked = batch.where(F.col("origination_url").isNotNull())
@@ -69,7 +69,7 @@ def merge_by_url(ev: DataFrame, batch: DataFrame, policy: dict[str, str], positi
         columns.append(value.alias(c))
     stored = old.join(new, F.col("old.origination_url") == F.col("new.origination_url"), "left").select(
         *columns, F.when(arrived, "updated").otherwise("kept").alias("change"))
-    return stored.unionByName(_inserted(tagged.where(F.col("_known").isNull()), ev, "origination_url"))
+    return stored.unionByName(_inserted(tagged.where(F.col("_known").isNull()), ev, "origination_url", highest))
 
 
 def merge_rejects(batch: DataFrame) -> DataFrame:
@@ -79,9 +79,9 @@ def merge_rejects(batch: DataFrame) -> DataFrame:
     return counts.selectExpr("stack(2, 'no_url', no_url, 'repeated', repeated) AS (reason, n)")
 
 
-def _inserted(rows: DataFrame, ev: DataFrame, key: str) -> DataFrame:
+def _inserted(rows: DataFrame, ev: DataFrame, key: str, highest: Column | None = None) -> DataFrame:
     """New rows in the shape of the table, under ids after its highest."""
-    placed = dense_ids(rows, key, _highest(ev)).withColumn("change", F.lit("inserted"))
+    placed = dense_ids(rows, key, _highest(ev) if highest is None else highest).withColumn("change", F.lit("inserted"))
     missing = {f.name: F.lit(None).cast(f.dataType) for f in ev.schema if f.name not in placed.columns}
     return placed.withColumns(missing).select(*ev.columns, "change")
 

@@ -16,6 +16,7 @@ from marquee.plans.views import AUDIT, MESSAGES, THREADS, with_views
 from marquee.session import SETTINGS
 from marquee.streaming import jobs as T
 from marquee.streaming import state as ST
+from marquee.streaming import upsert as U
 
 AS_OF = "2024-01-31 00:00:00"
 DELAY_MINUTES = 10
@@ -69,15 +70,18 @@ def _budgets(s, d):
 
 
 def _upsert(s, d):
-    """A catalogue kept up to date by a stream of landed batches; here one batch lands before the stream runs."""
-    root = checkpoint_root(s)
-    T.start_catalog(_table(s, d), f"{root}/catalog")
+    """A catalogue kept up to date by a stream of landed batches: one lands, is delivered again, and is replayed by a new checkpoint."""
+    s, root = _stream_session(s), checkpoint_root(s)
+    stored = _table(s, d)
+    U.start_catalog(stored, f"{root}/catalog")
     batch = s.sql(URL_BATCH.format(rel="{rel}"), rel=listings(s, d, *CATALOG)).withColumn("date_retrieved", F.lit(NEW).cast("timestamp_ntz"))
-    batch.write.parquet(f"{root}/landed")
-    landed = s.readStream.schema(batch.schema).parquet(f"{root}/landed")
-    query = T.stream_upsert(landed, f"{root}/catalog", POLICIES["city_api"], f"{root}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return s.read.parquet(f"{root}/catalog/version=1")
+    for state in ("state", "state", "replayed"):
+        if state == "state":
+            batch.write.mode("append").parquet(f"{root}/landed")
+        landed = s.readStream.schema(batch.schema).parquet(f"{root}/landed")
+        query = U.stream_upsert(landed, f"{root}/catalog", stored.schema, POLICIES["city_api"], f"{root}/{state}").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return U.read_version(s, f"{root}/catalog", stored.schema)
 
 
 def _close(s, d):
