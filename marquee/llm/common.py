@@ -82,6 +82,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(df: DataFrame) -> DataFrame:
+    """`df`, of rows that are stored: Spark deletes shuffle files once the driver's JVM has collected the plans they belong to, so long
+    chains of steps ask for that collection after each large one instead of keeping the shuffles of all."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

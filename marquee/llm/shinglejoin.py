@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm import simhash
-from marquee.llm.common import components, free_name, quoted, stored
+from marquee.llm.common import components, free_name, quoted, released, stored
 
 WIDTH = 5
 #: Similarity as a fraction.
@@ -36,17 +36,20 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 
 
 def rarity(texts: DataFrame, width: int) -> np.ndarray:
-    """For each hash bucket how common its shingles are, in steps of a power of 1.5. One row of fixed size per partition is collected."""
+    """For each hash bucket how common its shingles are, in steps of a power of 1.5. Spark sums the counts per bucket; `BUCKETS` numbers
+    are collected."""
     def counted(parts):
         seen = np.zeros(BUCKETS, np.int64)
         for part in parts:
             for text in part["text"]:
                 seen += np.bincount((shingle_set(text, width) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS) if text else 0
-        yield pd.DataFrame({"seen": [seen.astype("<i8").tobytes()]})
+        some = np.flatnonzero(seen)
+        yield pd.DataFrame({"bucket": some.astype(np.int32), "seen": seen[some]})
 
     total = np.zeros(BUCKETS, np.int64)
-    for row in texts.select("text").mapInPandas(counted, "seen BINARY").collect():
-        total += np.frombuffer(row["seen"], "<i8")
+    sums = texts.select("text").mapInPandas(counted, "bucket INT, seen LONG").groupBy("bucket").agg(F.sum("seen").alias("seen"))
+    for row in sums.collect():
+        total[row["bucket"]] = row["seen"]
     return np.floor(np.log(total + 1) / np.log(1.5)).astype(np.uint8)
 
 
@@ -97,7 +100,7 @@ def verified(texts: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, si
     pairs = stored(_likely(sets, pairs, similarity), "likely")
     wanted = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
     rows = sets.join(wanted, "set", "left_semi").select("set", F.col("first.row").alias("row"))
-    held = stored(texts.join(rows, "row").select("set", hashes("text").alias("held")), "held")
+    held = released(stored(texts.join(rows, "row").select("set", hashes("text").alias("held")), "held"))
     a, b = held.select(F.col("set").alias("a"), F.col("held").alias("x")), held.select(F.col("set").alias("b"), F.col("held").alias("y"))
     met = F.size(F.array_intersect("x", "y"))
     return (pairs.select("a", "b").join(a, "a").join(b, "b")
@@ -108,8 +111,8 @@ def links(texts: DataFrame, rows: DataFrame, sets: DataFrame, width: int, simila
     """(a, b): pairs of similar sets, enough to connect all that is connected."""
     every = rows.select("set", "n", F.posexplode("prefix").alias("at", "token"))
     crowds = every.groupBy("token").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low < high")
-    crowds = stored(crowds.select("token", F.col("low").alias("head")), "crowds")
-    shared = stored(every.join(crowds, "token").select("token", "set", "n", "at", "head").distinct(), "shared")
+    crowds = released(stored(crowds.select("token", F.col("low").alias("head")), "crowds"))
+    shared = released(stored(every.join(crowds, "token").select("token", "set", "n", "at", "head").distinct(), "shared"))
 
     def fits(x, y) -> Column:
         """Length and positional filters: as many shingles as needed must be left from the common one on."""
@@ -128,7 +131,7 @@ def links(texts: DataFrame, rows: DataFrame, sets: DataFrame, width: int, simila
             .join(heads.select(F.col("fp").alias("fb"), F.col("a").alias("sb")), F.col("l.b") == F.col("fb")).select("sa", "sb"))
     tried = stored(same.union(near).union(led).where("a <> b")
                    .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
-    known = stored(verified(texts, sets, tried, width, similarity), "known")
+    known = released(stored(verified(texts, sets, tried, width, similarity), "known"))
 
     roots = components(known, "a", "b")
     placed = stored(shared.join(roots, F.col("set") == F.col("node"), "left")
