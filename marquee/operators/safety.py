@@ -1,6 +1,6 @@
 """Text safety: injection and leak patterns, redaction, input cleaning, and the per-session verdict on messages."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee import vocab
@@ -69,3 +69,48 @@ def validate_messages(messages: DataFrame) -> DataFrame:
     return counted.withColumns({"verdict": verdict, "attempts": F.least(F.col("_attempts"), F.lit(limit))}).withColumn(
         "sanitized", F.when(F.col("verdict") == "clean", sanitize_input("content")).otherwise("")).drop(
         "_pattern", "_suspicious", "_attempts")
+
+
+#: Hours after which a conversation's attempts are forgotten, and the width of the blocks its messages are counted in.
+IDLE_HOURS = 24
+
+
+def rate_limit(messages: DataFrame, limit: int = vocab.BLOCK_AFTER, forgive: bool = True, idle_hours: int = IDLE_HOURS) -> DataFrame:
+    """(thread_id, id, verdict, attempts): the verdict on each message (thread_id, id, created_at, suspicious) in (time, id) order.
+
+    A suspicious message counts one attempt, a clean one takes one back, not below zero (with `forgive`), and from `limit` attempts on
+    the conversation is blocked. After `idle_hours` without a message it starts anew.
+
+    A count that adds steps of one and never falls below zero is s - min(0, least s so far), s being the sum of steps. So a
+    thread's messages are summed hour by hour: within an hour from zero, with four numbers for the hour as a whole (sum, least sum, highest
+    sum, highest rise); a window over hours gives what each begins with. No task holds more than a thread's hour, or its hours. A null thread is a
+    thread like any other.
+    """
+    rows = messages.select("thread_id", "id", "created_at", F.coalesce("suspicious", F.lit(False)).alias("suspicious")).withColumns({
+        "hour": F.date_trunc("hour", "created_at"), "step": F.when(F.col("suspicious"), 1).otherwise(-1 if forgive else 0)})
+    inside = Window.partitionBy("thread_id", "hour").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("sum", F.sum("step").over(inside)).withColumn("least", F.min("sum").over(inside))
+    told = rows.groupBy("thread_id", "hour").agg(
+        F.min("created_at").alias("first"), F.max("created_at").alias("last"), F.sum("step").alias("total"), F.min("sum").alias("low"),
+        F.max("sum").alias("top"), F.max(F.col("sum") - F.col("least")).alias("rise"))
+    order = Window.partitionBy("thread_id").orderBy("hour")
+    gap = F.make_dt_interval(F.lit(0), F.lit(idle_hours))
+    fresh = F.when(F.col("first") > F.lag("last").over(order) + gap, 1).otherwise(0)
+    told = told.withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(order))
+    session = Window.partitionBy("thread_id", "session").orderBy("hour")
+    before = session.rowsBetween(Window.unboundedPreceding, -1)
+    told = told.withColumn("so_far", F.coalesce(F.sum("total").over(before), F.lit(0)))
+    lowest = F.least(F.lit(0), F.coalesce(F.min(F.col("so_far") + F.col("low")).over(before), F.lit(0)))
+    told = told.withColumn("begin", F.col("so_far") - lowest)
+    reached = F.greatest(F.col("begin") + F.col("top"), F.col("rise")) >= limit
+    told = told.withColumn("over", F.coalesce(F.max(reached).over(before), F.lit(False)))
+    starts = told.select(F.col("thread_id").alias("_thread"), F.col("hour").alias("_hour"), "begin", "over")
+    out = rows.join(starts, F.col("thread_id").eqNullSafe(F.col("_thread")) & F.col("hour").eqNullSafe(F.col("_hour")))
+    out = out.withColumn("count", F.greatest(F.col("begin") + F.col("sum"), F.col("sum") - F.col("least")))
+    earlier = Window.partitionBy("thread_id", "hour").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    blocked = F.col("over") | F.coalesce(F.max(F.col("count") >= limit).over(earlier), F.lit(False))
+    out = out.withColumn("blocked", blocked)
+    verdict = (F.when(F.col("blocked"), "blocked").when(F.col("suspicious") & (F.col("count") >= limit), "too_many_attempts")
+               .when(F.col("suspicious"), "injection").otherwise("clean"))
+    attempts = F.when(F.col("blocked"), limit).otherwise(F.col("count"))
+    return out.select("thread_id", "id", verdict.alias("verdict"), attempts.cast("int").alias("attempts"))

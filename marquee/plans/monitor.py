@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from marquee.adapters import audit_logs, audit_view, chat_messages, chat_threads, listings, table
 from marquee.lineage import checkpoint_root
 from marquee.operators.merge import POLICIES
-from marquee.operators.safety import injection_pattern
+from marquee.operators.safety import injection_pattern, rate_limit
 from marquee.plans.merge import CATALOG, NEW, URL_BATCH, _table, _url_merge_sql
 from marquee.plans.safety import LEAD, PATTERN
 from marquee.plans.views import AUDIT, MESSAGES, THREADS, with_views
@@ -60,13 +60,18 @@ def _session_stream(s, d):
 
 def _limits(s, d):
     s = _stream_session(s)
-    rows = _message_columns(_stream(s, d, "conversations")).withColumn("suspicious", injection_pattern("content").isNotNull())
-    return T.run_available(ST.stream_rate_limit(rows))
+    rows = _message_columns(_stream(s, d, "conversations")).withWatermark("created_at", "10 minutes")
+    return T.run_available(ST.stream_rate_limit(rows.withColumn("suspicious", injection_pattern("content").isNotNull())))
+
+
+def _limits_of_table(s, d):
+    rows = _message_columns(table(s, d, "conversations")).withColumn("suspicious", injection_pattern("content").isNotNull())
+    return rate_limit(rows)
 
 
 def _budgets(s, d):
     s = _stream_session(s)
-    return T.run_available(ST.stream_budget(_message_columns(_stream(s, d, "conversations"))))
+    return T.run_available(ST.stream_budget(_message_columns(_stream(s, d, "conversations")).withWatermark("created_at", "10 minutes")))
 
 
 def _upsert(s, d):
@@ -97,6 +102,7 @@ QUERIES = {
     "stream_sessions": _session_stream,
     "sweep_threads": lambda s, d: T.sweep_threads(chat_threads(s, d), AS_OF),
     "close_threads": _close,
+    "rate_limit": _limits_of_table,
     "stream_rate_limit": _limits,
     "stream_budget": _budgets,
     "stream_upsert": _upsert,
@@ -130,6 +136,16 @@ def sessions_sql(rel):
     count(*) FILTER (role = 'assistant') AS turns, CAST(sum(token_count) AS BIGINT) AS tokens FROM numbered GROUP BY thread_id, n""".replace("WITH_ ", ", ")
 
 
+LIMITS = with_views(MESSAGES, body=f"""
+    , m AS (SELECT id, thread_id % 7 AS thread_id, created_at, concat({LEAD.format(id='id')}, content) AS content FROM chat_messages),
+    n AS (SELECT id, thread_id, coalesce({PATTERN} IS NOT NULL, false) AS bad, row_number() OVER w AS n, coalesce(created_at > lag(created_at) OVER w + INTERVAL 24 HOUR, true) AS fresh
+      FROM m WINDOW w AS (PARTITION BY thread_id ORDER BY created_at, id))
+    SELECT * FROM (WITH RECURSIVE f AS (SELECT DISTINCT thread_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, '' AS verdict, 0 AS attempts FROM n
+      UNION ALL SELECT thread_id, n, id, CASE WHEN was >= 3 THEN 'blocked' WHEN bad AND was = 2 THEN 'too_many_attempts' WHEN bad THEN 'injection' ELSE 'clean' END,
+        CASE WHEN was >= 3 THEN was WHEN bad THEN was + 1 ELSE greatest(0, was - 1) END
+      FROM (SELECT f.thread_id, n.n, n.id, bad, CASE WHEN fresh THEN 0 ELSE f.attempts END AS was FROM f JOIN n ON n.thread_id = f.thread_id AND n.n = f.n + 1))
+    SELECT thread_id, id, verdict, attempts FROM f WHERE id IS NOT NULL)""")
+
 ORACLES = {
     "metrics": with_views(AUDIT, POINTS, body=metrics_sql(HOUR)),
     "metrics_sliding": with_views(AUDIT, POINTS, f"slid AS (SELECT *, unnest([time_bucket(INTERVAL 30 MINUTE, created_at), time_bucket(INTERVAL 30 MINUTE, created_at) - INTERVAL 30 MINUTE]) AS start FROM points)",
@@ -143,14 +159,8 @@ ORACLES = {
         AND (updated_at < TIMESTAMP '2024-01-30 18:00:00' OR turn_count = 0) THEN 'abandoned' ELSE status END AS status FROM chat_threads"""),
     "close_threads": with_views(THREADS, body="""SELECT id, CASE WHEN status = 'active' AND id >= 0 AND id < 60 AND id % 2 = 0 THEN 'closed' ELSE status END AS status,
         status = 'active' AND id >= 0 AND id < 60 AND id % 2 = 0 AS changed FROM chat_threads"""),
-    "stream_rate_limit": with_views(MESSAGES, body=f"""
-        , m AS (SELECT id, thread_id % 7 AS thread_id, created_at, concat({LEAD.format(id='id')}, content) AS content FROM chat_messages),
-        n AS (SELECT id, thread_id, coalesce({PATTERN} IS NOT NULL, false) AS bad, row_number() OVER (PARTITION BY thread_id ORDER BY created_at, id) AS n FROM m)
-        SELECT * FROM (WITH RECURSIVE f AS (SELECT DISTINCT thread_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, '' AS verdict, 0 AS attempts FROM n
-          UNION ALL SELECT f.thread_id, n.n, n.id, CASE WHEN f.attempts >= 3 THEN 'blocked' WHEN bad AND f.attempts = 2 THEN 'too_many_attempts' WHEN bad THEN 'injection' ELSE 'clean' END,
-            CASE WHEN f.attempts >= 3 THEN f.attempts WHEN bad THEN f.attempts + 1 ELSE greatest(0, f.attempts - 1) END
-          FROM f JOIN n ON n.thread_id = f.thread_id AND n.n = f.n + 1)
-        SELECT thread_id, id, verdict, attempts FROM f WHERE id IS NOT NULL)"""),
+    "rate_limit": LIMITS,
+    "stream_rate_limit": LIMITS,
     "stream_budget": with_views(MESSAGES, body=f"""
         , m AS (SELECT id, thread_id % 7 AS thread_id, role, CAST(floor(length(content) / 4) AS INT) AS token_count, created_at FROM chat_messages),
         r AS (SELECT thread_id, id, role, 20000 - CAST(sum(token_count) OVER w AS BIGINT) AS tokens, 12 - count(*) FILTER (role = 'assistant') OVER w AS turns FROM m

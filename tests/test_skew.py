@@ -231,24 +231,3 @@ def test_sessions_split_on_the_gap_only(spark):
     keys = ["thread_id", "session_start", "session_end", "messages"]
     want = sorted(tuple(r) for r in T.stream_sessions(df).select(*keys).collect())
     assert sorted(tuple(r) for r in T.sessions(df).select(*keys).collect()) == want
-
-
-def test_rate_limit_stream_equals_counting(spark, tmp_path):
-    rng = random.Random(8)
-    rows = [(rng.randrange(4), i, rng.random() < 0.5) for i in range(120)]
-    for part in range(3):
-        spark.createDataFrame(rows[part * 40:part * 40 + 40], "thread_id BIGINT, id BIGINT, suspicious BOOLEAN").selectExpr(
-            "*", "timestamp_seconds(id) AS created_at").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    count, want = defaultdict(int), {}
-    for thread, i, bad in rows:
-        if count[thread] >= 3:
-            want[i] = "blocked"
-        elif bad:
-            count[thread] += 1
-            want[i] = "too_many_attempts" if count[thread] >= 3 else "injection"
-        else:
-            count[thread] = max(0, count[thread] - 1)
-            want[i] = "clean"
-    stream = spark.readStream.schema("thread_id BIGINT, id BIGINT, suspicious BOOLEAN, created_at TIMESTAMP").parquet(str(tmp_path / "in"))
-    out = T.run_available(ST.stream_rate_limit(stream))
-    assert {r["id"]: r["verdict"] for r in out.collect()} == want
