@@ -55,7 +55,7 @@ def _message_columns(rows):
 def _session_stream(s, d):
     s = _stream_session(s)
     rows = _message_columns(_stream(s, d, "conversations")).withWatermark("created_at", "10 minutes")
-    return T.run_available(T.stream_sessions(rows))
+    return T.run_available(ST.stream_sessions(rows))
 
 
 def _limits(s, d):

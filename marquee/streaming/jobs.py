@@ -59,28 +59,21 @@ def security_alerts(logs: DataFrame, width: str = "1 hour") -> DataFrame:
         F.col("blocked") > 0).select(*_bounds(), "blocked", "newest_id")
 
 
-def stream_sessions(messages: DataFrame, gap: str = f"{STALE_HOURS} hours") -> DataFrame:
-    """Bursts of a conversation, closed once nothing came for the gap."""
-    return messages.groupBy(F.session_window("created_at", gap), "thread_id").agg(
-        F.count("*").alias("messages"), F.count_if(F.col("role") == "assistant").alias("turns"),
-        F.sum("token_count").alias("tokens")).select(
-        "thread_id", F.col("session_window.start").cast("timestamp_ntz").alias("session_start"),
-        F.col("session_window.end").cast("timestamp_ntz").alias("session_end"), "messages", "turns", "tokens")
+def hours(messages: DataFrame, hour: Column) -> DataFrame:
+    """Messages of one hour are always one session, so each (thread, hour) is summed up first, map-side."""
+    return messages.groupBy(hour.alias("hour"), "thread_id").agg(
+        F.min("created_at").alias("first"), F.max("created_at").alias("last"), F.count("*").alias("messages"),
+        F.count_if(F.col("role") == "assistant").alias("turns"), F.sum("token_count").alias("tokens"))
 
 
 def sessions(messages: DataFrame, gap_hours: int = STALE_HOURS) -> DataFrame:
-    """The same sessions of a stored table, for a thread of any length.
-
-    Messages of one hour are always one session, so each (thread, hour) is summed up first, map-side; only those
-    hourly rows are put in order.
-    """
-    hours = messages.groupBy("thread_id", F.date_trunc("hour", "created_at").alias("hour")).agg(
-        F.min("created_at").alias("first"), F.max("created_at").alias("last"), F.count("*").alias("messages"),
-        F.count_if(F.col("role") == "assistant").alias("turns"), F.sum("token_count").alias("tokens"))
+    """Bursts of a conversation in a stored table, closed once nothing came for the gap, for a thread of any length: only hourly
+    rows are put in order."""
+    summed = hours(messages, F.date_trunc("hour", "created_at"))
     order = Window.partitionBy("thread_id").orderBy("hour")
     gap = F.make_dt_interval(F.lit(0), F.lit(gap_hours))
     starts = F.when(F.col("first") > F.lag("last").over(order) + gap, 1).otherwise(0)
-    numbered = hours.withColumn("_new", starts).withColumn("_session", F.sum("_new").over(order))
+    numbered = summed.withColumn("_new", starts).withColumn("_session", F.sum("_new").over(order))
     return numbered.groupBy("thread_id", "_session").agg(
         F.min("first").cast("timestamp_ntz").alias("session_start"),
         (F.max("last") + gap).cast("timestamp_ntz").alias("session_end"), F.sum("messages").alias("messages"),

@@ -1,4 +1,4 @@
-"""Streams with state per conversation: the attempt counter and the token budget.
+"""Streams with state per conversation: sessions, the attempt counter and the token budget.
 
 State is a few numbers per conversation and the time of its last message. An event-time timer removes it once the conversation was
 idle for long enough, and a message that comes later starts anew, whether or not the timer has run yet; so the results do not depend on
@@ -14,10 +14,12 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from marquee import vocab
 from marquee.operators.safety import IDLE_HOURS
+from marquee.streaming.jobs import STALE_HOURS, hours
 
 #: Hours after which a conversation's budget starts anew.
 BUDGET_HOURS = 30 * 24
 SECOND = 1_000_000
+HOUR = 3600 * SECOND
 
 
 class Conversation(StatefulProcessor):
@@ -103,6 +105,63 @@ class Budget(Conversation):
         return int(used[-1]), int(taken[-1]), out
 
 
+class Sessions(StatefulProcessor):
+    """Bursts of a conversation from its hourly rows: an hour that begins within the gap goes on with the session. A session is given
+    out when an hour begins after its end, or when the watermark has passed the hour its end falls into, which could still bring a row."""
+
+    schema = ["thread_id", "session_start", "session_end", "messages", "turns", "tokens"]
+
+    def __init__(self, gap_hours: int):
+        self.gap = gap_hours * HOUR
+
+    def init(self, handle):
+        self.handle = handle
+        self.state = handle.getValueState("open", "first LONG, last LONG, messages LONG, turns LONG, tokens LONG", None)
+
+    def _closed(self, key, sessions):
+        rows = [(key[0], np.datetime64(a, "us"), np.datetime64(b + self.gap, "us"), m, t, n) for a, b, m, t, n in sessions]
+        out = pd.DataFrame(rows, columns=self.schema)
+        return out.astype({"session_start": "datetime64[us]", "session_end": "datetime64[us]"})
+
+    def handleInputRows(self, key, rows, timerValues):
+        rows = pd.concat(list(rows), ignore_index=True)
+        first, last = (rows[c].to_numpy("datetime64[us]").astype(np.int64) for c in ("first", "last"))
+        sums = [rows[c].fillna(0).to_numpy(np.int64) for c in ("messages", "turns", "tokens")]
+        some = sorted(zip(first.tolist(), last.tolist(), *(s.tolist() for s in sums)))  # an hour each
+        closed, now = [], self.state.get() if self.state.exists() else None
+        for hour in some:
+            if now and hour[0] <= now[1] + self.gap:
+                now = (now[0], hour[1], *(a + b for a, b in zip(now[2:], hour[2:])))
+            else:
+                closed += [now] if now else []
+                now = hour
+        self.state.update(tuple(now))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(-(-(now[1] + self.gap) // HOUR) * HOUR // 1000)
+        if closed:
+            yield self._closed(key, closed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = self.state.get()
+        self.state.clear()
+        yield self._closed(key, [now])
+
+    def close(self):
+        pass
+
+
+def stream_sessions(messages: DataFrame, gap_hours: int = STALE_HOURS) -> DataFrame:
+    """Bursts of a conversation, closed once nothing came for the gap; `jobs.sessions` is the same of a table.
+
+    Two stateful operators in a chain: hourly sums per thread, combined before the shuffle, then sessions over those, so that a thread of
+    any length sends an hour's row at most.
+    """
+    summed = hours(messages, F.window("created_at", "1 hour"))
+    return summed.groupBy("thread_id").transformWithStateInPandas(
+        Sessions(gap_hours), "thread_id BIGINT, session_start TIMESTAMP_NTZ, session_end TIMESTAMP_NTZ, messages BIGINT, turns BIGINT, tokens BIGINT", "Append", "EventTime")
+
+
 def stream_rate_limit(messages: DataFrame, limit: int = vocab.BLOCK_AFTER, forgive: bool = True, idle_hours: int = IDLE_HOURS) -> DataFrame:
     """A verdict per message; `messages` has (thread_id, id, created_at, suspicious). `operators.safety.rate_limit` is the same of a table."""
     return messages.select("thread_id", "id", "created_at", "suspicious").groupBy("thread_id").transformWithStateInPandas(

@@ -221,13 +221,3 @@ def test_search_hits_once_and_complete(spark):
                   if (not ks and not cs) or any(k in r[1] for k in ks) or any(concept(c, r) for c in cs))
     got = sorted((r["query_id"], r["id"]) for r in S.search_hits(listings, nb, asked, "2026-10-07").collect())
     assert got == want
-
-
-def test_sessions_split_on_the_gap_only(spark):
-    rng = random.Random(5)
-    rows = [("hot" if i % 3 else f"k{i % 9}", i, rng.randrange(0, 60 * 24 * 12)) for i in range(300)]
-    df = spark.createDataFrame(rows, "thread_id STRING, id BIGINT, minute INT").selectExpr(
-        "thread_id", "id", "timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, minute) AS created_at", "'user' AS role", "1 AS token_count")
-    keys = ["thread_id", "session_start", "session_end", "messages"]
-    want = sorted(tuple(r) for r in T.stream_sessions(df).select(*keys).collect())
-    assert sorted(tuple(r) for r in T.sessions(df).select(*keys).collect()) == want

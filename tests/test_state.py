@@ -110,3 +110,45 @@ def test_state_is_gone_after_the_pause(own, tmp_path):
     query.awaitTermination()
     kept = own.read.format("statestore").option("stateVarName", "state").load(str(tmp_path / "state"))
     assert {r["key"][0] for r in kept.collect()} == {8}
+
+
+def burst_rows(rows, gap=360):
+    """(thread, start minute, end minute, messages, turns, tokens) of every burst."""
+    by_thread, out = defaultdict(list), []
+    for thread, i, minute, _, role, n in rows:
+        by_thread[thread].append((minute, role, n))
+    for thread, some in by_thread.items():
+        bursts = []
+        for minute, role, n in sorted(some):
+            if bursts and minute <= bursts[-1][1] + gap:
+                b = bursts[-1]
+                bursts[-1] = (b[0], minute, b[2] + 1, b[3] + (role == "assistant"), b[4] + n)
+            else:
+                bursts.append((minute, minute, 1, int(role == "assistant"), n))
+        out += [(thread, a, b + gap, *rest) for a, b, *rest in bursts]
+    return sorted(out)
+
+
+def got_bursts(df):
+    return sorted(tuple(r) for r in df.selectExpr(
+        "thread_id", "unix_micros(CAST(session_start AS TIMESTAMP)) div 60000000", "unix_micros(CAST(session_end AS TIMESTAMP)) div 60000000", "messages", "turns", "tokens").collect())
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_sessions_of_stream_and_table(own, tmp_path, parts):
+    draw, minute, rows = random.Random(5), 0, []
+    for i in range(300):
+        minute += draw.choice([0, 7, 30, 60, 360, 361])
+        rows.append((0 if i % 3 else draw.randrange(1, 4), i, minute, False, draw.choice(["user", "assistant"]), draw.randrange(90)))
+    want = burst_rows(rows)
+    assert got_bursts(T.sessions(frame(own, rows))) == want
+    got = got_bursts(streamed(own, rows, parts, ST.stream_sessions, tmp_path))
+    closed = [w for w in want if -(-w[2] // 60) * 60 <= minute - 10]
+    assert got == closed and len(got) > 20
+
+
+def test_hours_are_summed_before_sessions(own, tmp_path):
+    frame(own, messages()).write.parquet(str(tmp_path / "in"))
+    stream = own.readStream.schema(frame(own, messages()[:1]).schema).parquet(str(tmp_path / "in")).withWatermark("created_at", "10 minutes")
+    plan = ST.stream_sessions(stream)._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithStateInPySpark" in plan and "Aggregate [window#" in plan
