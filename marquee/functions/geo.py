@@ -15,14 +15,14 @@ def edges(ring: Column) -> Column:
         a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
 
 
-def in_ring(x: Column, y: Column, ring_edges: Column) -> Column:
-    """Even-odd ray casting: an odd number of edges is crossed to the right of the point."""
+def crossings(x: Column, y: Column, ring_edges: Column) -> Column:
+    """How many of the edges a ray from the point to the right crosses; an odd number of a whole ring's means that it is inside."""
     def crossed(e: Column) -> Column:
         spans = (e["y1"] > y) != (e["y2"] > y)
         at = (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]
         return F.when(spans, x < at).otherwise(F.lit(False))
 
-    return F.size(F.filter(ring_edges, crossed)) % 2 == 1
+    return F.size(F.filter(ring_edges, crossed))
 
 
 def mean_point(polygons) -> Column:

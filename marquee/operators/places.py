@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee import vocab
-from marquee.functions.geo import canonical_place, edges, geocode_key, in_ring, mean_point, park_key, street_key
+from marquee.functions.geo import canonical_place, crossings, edges, geocode_key, mean_point, park_key, street_key
 from marquee.functions.text import folded
 from marquee.lineage import settled
 from marquee.operators.ordering import stored_matches
@@ -21,21 +21,44 @@ def with_neighborhood(ev: DataFrame, nb: DataFrame, how: str = "left") -> DataFr
 
 
 def boundary_cells(boundaries: DataFrame, cell: float) -> DataFrame:
-    """Per grid cell, the polygons whose bounding box touches it, in boundary order.
+    """(cx, cy, candidates): per grid cell the polygons that reach into it, in boundary order, and of each ring only what the cell needs.
 
-    `boundaries` has (ord, name, polygon). The list of a cell is as long as polygons overlap there.
-    """
-    outer = F.col("polygon")[0]
+    `boundaries` has (ord, name, polygon). Whether a point is in a ring is the parity of the edges a ray to the right crosses. For the
+    points of a cell these are
 
-    def span(axis: str) -> Column:
-        low = F.array_min(F.transform(outer, lambda p: p[axis]))
-        high = F.array_max(F.transform(outer, lambda p: p[axis]))
-        return F.explode(F.sequence(F.floor(low / F.lit(cell)), F.floor(high / F.lit(cell))))
+    * `edges`: those with a column and a row in common with the cell, tested exactly;
+    * edges wholly in columns further right, whose parity telescopes: what counts is, for each edge that leads from this column or one before
+      it to one further right, whether its right end is above the point. Ends in rows above the cell are counted in `flips`, ends in
+      its row are listed in `turns`, ends below count for nothing.
 
-    prepared = boundaries.where(F.size("polygon") > 0).select(
-        "ord", "name", edges(outer).alias("outer"),
-        F.transform(F.slice("polygon", 2, F.greatest(F.size("polygon") - 1, F.lit(0))), edges).alias("holes"), span("x").alias("cx"), "polygon")
-    return prepared.select("ord", "name", "outer", "holes", "cx", span("y").alias("cy")).groupBy("cx", "cy").agg(
+    So a cell inside a ring away from its border holds one number, and no cell holds a ring.
+    """
+    def at(value: str) -> str:
+        return f"floor({value} / {cell!r}D)"
+
+    numbered = boundaries.where(F.size("polygon") > 0).withColumn("pid", F.monotonically_increasing_id())  # before the rings are dealt out
+    rings = numbered.select("pid", "ord", "name", F.posexplode("polygon").alias("ring", "points"))
+    edged = rings.select("pid", "ord", "name", "ring", F.expr(f"array_min(transform(points, p -> {at('p.y')}))").alias("low"), F.explode(edges(F.col("points"))).alias("e"))
+    placed = edged.selectExpr(
+        "*", f"least({at('e.x1')}, {at('e.x2')}) AS c1", f"greatest({at('e.x1')}, {at('e.x2')}) AS c2", f"least({at('e.y1')}, {at('e.y2')}) AS r1",
+        f"greatest({at('e.y1')}, {at('e.y2')}) AS r2", "IF(e.x2 > e.x1, e.y2, e.y1) AS end").withColumn("row", F.expr(at("end")))
+    none = "CAST(array() AS array<struct<cx:bigint,cy:bigint,edge:struct<x1:double,y1:double,x2:double,y2:double>,turn:double,flip:int>>)"
+    no_edge, columns = "CAST(NULL AS struct<x1:double,y1:double,x2:double,y2:double>)", "sequence(c1, c2 - 1)"
+
+    def record(cx: str, cy: str, edge: str = no_edge, turn: str = "CAST(NULL AS double)", flip: int = 0) -> str:
+        return f"named_struct('cx', {cx}, 'cy', {cy}, 'edge', {edge}, 'turn', {turn}, 'flip', {flip})"
+
+    crossed = f"IF(e.y1 <> e.y2, flatten(transform(sequence(c1, c2), i -> transform(sequence(r1, r2), j -> {record('i', 'j', 'e')}))), {none})"
+    turns = f"IF(c2 > c1, transform({columns}, i -> {record('i', 'row', turn='end')}), {none})"
+    flips = f"IF(c2 > c1 AND row > low, flatten(transform({columns}, i -> transform(sequence(low, row - 1), j -> {record('i', 'j', flip=1)}))), {none})"
+    parts = placed.select("pid", "ord", "name", "ring", F.explode(F.expr(f"concat({crossed}, {turns}, {flips})")).alias("p"))
+    of_ring = parts.groupBy("pid", "ord", "name", "ring", "p.cx", "p.cy").agg(
+        F.struct((F.sum("p.flip") % 2).alias("flips"), F.collect_list("p.turn").alias("turns"), F.collect_list("p.edge").alias("edges")).alias("r"))
+    matters = "(r.flips = 1 OR size(r.turns) > 0 OR size(r.edges) > 0)"
+    of_polygon = of_ring.groupBy("pid", "ord", "name", "cx", "cy").agg(
+        F.expr(f"first(IF(ring = 0 AND {matters}, r, NULL), true)").alias("outer"),
+        F.expr(f"collect_list(IF(ring > 0 AND {matters}, r, NULL))").alias("holes")).where("outer IS NOT NULL")
+    return of_polygon.groupBy("cx", "cy").agg(
         F.sort_array(F.collect_list(F.struct("ord", "name", "outer", "holes"))).alias("candidates"))
 
 
@@ -43,17 +66,18 @@ def point_in_polygon(points: DataFrame, boundaries: DataFrame, x: str = "longitu
                      out: str = "neighborhood", cell: float = 0.01) -> DataFrame:
     """Every point with the first boundary that contains it, null outside all of them.
 
-    Equi-join on the grid cell, then the exact test in the row: each point meets the few polygons of its own cell
-    and comes out once, so there is no theta join and nothing to regroup.
+    Equi-join on the grid cell, then the exact test in the row, on the few edges of the cell: each point comes out once, so there is no
+    theta join and nothing to regroup.
     """
     px, py = F.col(x), F.col(y)
     located = points.withColumns({"_cx": F.floor(px / F.lit(cell)), "_cy": F.floor(py / F.lit(cell))})
     cells = boundary_cells(boundaries, cell).withColumnsRenamed({"cx": "_cx", "cy": "_cy"})
 
-    def holds(c: Column) -> Column:
-        return in_ring(px, py, c["outer"]) & ~F.exists(c["holes"], lambda h: in_ring(px, py, h))
+    def inside(ring: Column) -> Column:
+        above = F.size(F.filter(ring["turns"], lambda turn: turn > py))
+        return (ring["flips"] + above + crossings(px, py, ring["edges"])) % 2 == 1
 
-    hit = F.get(F.filter("candidates", holds), F.lit(0))["name"]
+    hit = F.get(F.filter("candidates", lambda c: inside(c["outer"]) & ~F.exists(c["holes"], inside)), F.lit(0))["name"]
     return located.join(cells, ["_cx", "_cy"], "left").withColumn(out, hit).drop("_cx", "_cy", "candidates")
 
 
