@@ -172,9 +172,9 @@ def test_any_number_of_exemplars(spark):
 def test_places_longest_first_and_consuming(spark):
     names = ["Loop", "West Loop", "Lake View", "Near South Side", "River North", "Streeterville", "O'Hare", "North Park"]
     nb = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id BIGINT, name STRING")
-    texts = ["bars in West Loop", "Loop and west loop", "the loop tonight", "Wrigleyville jazz", "downtown jazz", "looping video", "lake view, Lakeview!", "south loop", "northwest side", "nothing", "o'hare airport"]
+    texts = ["bars in West Loop", "Loop and west loop", "the loop tonight", "Wrigleyville jazz", "downtown jazz", "looping video", "lake view, Lakeview!", "south loop", "northwest side", "nothing", "o'hare airport", "loop loop loop", "west loop west loop", "west loop, loop west loop", None, ""]
     def plain(text):
-        return " ".join(re.sub("[^a-z0-9& ]", " ", text.lower()).split())
+        return " ".join(re.sub("[^a-z0-9& ]", " ", (text or "").lower()).split())
 
 
     def fold(text):
@@ -199,6 +199,16 @@ def test_places_longest_first_and_consuming(spark):
     assert got == [fold(t) for t in texts]
 
 
+def test_any_number_of_place_names(spark):
+    """A hundred thousand names, none of them gathered in a value."""
+    nb = spark.range(100_000).selectExpr("id", "concat('Place ', id, IF(id % 2 = 0, ' North End', '')) AS name")
+    df = spark.createDataFrame([(1, "from place 17 to place 18 north end"), (2, "place 4"), (3, "place 99999, please")], "i INT, text STRING")
+    found = Q.extract_places(df, "text", nb)
+    assert {r["i"]: r["places"] for r in found.collect()} == {1: ["Place 18 North End", "Place 17"], 2: [], 3: ["Place 99999"]}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set(name" not in plan.split("scalar-subquery")[0] and "collect_list(name" not in plan
+
+
 def test_search_hits_once_and_complete(spark):
     """The token join finds what testing every pair would, each pair once."""
     rng = random.Random(3)
