@@ -15,7 +15,7 @@ from marquee.operators.predicates import concept_match, upcoming
 
 #: Letters of the pieces names and keywords meet on.
 PIECE = 3
-#: Shares of the listings for requests that no piece narrows down.
+#: Shares of the listings where requests without words are asked for all their hits.
 SALTS = 32
 
 
@@ -34,40 +34,19 @@ def _row_concepts() -> Column:
     return F.array_compact(F.array(*[F.when(concept_match(c), F.lit(c)) for c in vocab.CONCEPTS]))
 
 
-def search_hits(ev: DataFrame, nb: DataFrame, queries: DataFrame, as_of) -> DataFrame:
-    """Every (request, listing) pair that matches: a keyword in the name or a concept, and all the constraints.
-
-    Substring matching as an equi-join: a listing offers the three-letter pieces of its name and its concepts as
-    tokens, a request the first piece of each keyword and its concepts. Only (id, token) is exploded and meets the requests;
-    the distinct (request, id) pairs then take the listing and the request along and are checked in full. Requests that name
-    nothing, or a keyword shorter than a piece, are held against all listings, in `SALTS` shares of them.
-    """
-    low = F.lower("name")
-    pieces = F.when(F.length(low) >= PIECE, F.transform(
-        F.sequence(F.lit(1), F.length(low) - (PIECE - 1)), lambda i: F.substring(low, i, F.lit(PIECE)))).otherwise(
-        F.expr("CAST(array() AS ARRAY<STRING>)"))
-    rows = with_neighborhood(upcoming(ev, as_of), nb).withColumn("_concepts", _row_concepts())
+def _asked(queries: DataFrame) -> DataFrame:
+    named = queries.withColumnsRenamed({"category": "_category"}) if "category" in queries.columns else queries.withColumn(
+        "_category", F.lit(None).cast("string"))
+    return named.select("query_id", "keywords", "concepts", "places", "window_start", "window_end", "_category")
 
-    def marks(concepts) -> Column:
-        return F.transform(concepts, lambda c: F.concat(F.lit("#"), c))
 
-    asked = queries.withColumnsRenamed({"category": "_category"}) if "category" in queries.columns else queries.withColumn(
-        "_category", F.lit(None).cast("string"))
-    asked = asked.select("query_id", "keywords", "concepts", "places", "window_start", "window_end", "_category")
-    wanted = F.array_distinct(F.concat(F.transform("keywords", lambda k: F.substring(k, 1, PIECE)), marks("concepts")))
-    broad = F.coalesce((F.size(wanted) == 0) | F.exists("keywords", lambda k: F.length(k) < PIECE), F.lit(True))
+def _silent() -> Column:
+    """A request without words or concepts, which every listing answers that meets its constraints."""
+    return (F.size("keywords") == 0) & (F.size("concepts") == 0)
 
-    tokens = asked.where(~broad).select("query_id", F.explode(wanted).alias("_token"))
-    offered = rows.select("id", F.explode(F.array_distinct(F.concat(pieces, marks("_concepts")))).alias("_token"))
-    met = offered.join(tokens, "_token").select("query_id", "id").distinct()
-    named = rows.join(met, "id").join(asked, "query_id")
-    share = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_share")
-    everywhere = rows.withColumn("_share", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(
-        asked.where(broad).select("*", share), "_share").drop("_share")
-    pairs = named.unionByName(everywhere)
 
-    said = F.exists("keywords", lambda k: F.lower("name").contains(k)) | F.arrays_overlap("concepts", "_concepts")
-    unsaid = (F.size("keywords") == 0) & (F.size("concepts") == 0)
+def _met() -> Column:
+    """The constraints of a request, over a pair."""
     want = F.lower(F.trim("_category"))
     labelled = F.col("_category").isNull() | F.coalesce(F.lower(F.trim("category")) == want, F.lit(False)) | F.coalesce(
         F.exists("categories", lambda c: F.lower(c) == want), F.lit(False))
@@ -75,22 +54,81 @@ def search_hits(ev: DataFrame, nb: DataFrame, queries: DataFrame, as_of) -> Data
     opens = F.date_trunc("day", F.col("window_start")).cast("timestamp_ntz")
     within = F.col("window_start").isNull() | ((F.col("date") <= F.col("window_end")) & (
         (F.col("date_end") >= opens) | (F.col("date_end").isNull() & (F.col("date") >= opens))))
-    return pairs.where((said | unsaid) & labelled & placed & within).drop("_concepts", "_category")
+    return labelled & placed & within
+
+
+def _spoken_hits(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The pairs of requests that say something: a keyword in the name or a concept, and all the constraints.
+
+    Substring matching as an equi-join: a listing offers the pieces of its name, of three letters and of fewer where a keyword has
+    fewer, and its concepts as tokens, a request the first piece of each keyword and its concepts. Only (id, token) is exploded and
+    meets the requests; the distinct (request, id) pairs then take the listing and the request along and are checked in full.
+    """
+    spoken = asked.where(~_silent())
+    first = F.transform("keywords", lambda k: F.substring(k, 1, PIECE))
+    lengths = spoken.select(F.explode(F.array_union(F.transform(first, F.length), F.array(F.lit(PIECE)))).alias("n")).where("n > 0").agg(
+        F.collect_set("n").alias("n")).scalar()  # up to three numbers
+    low = F.lower("name")
+    pieces = F.flatten(F.transform(F.col("_lengths"), lambda n: F.when(F.length(low) >= n, F.transform(
+        F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, n))).otherwise(F.expr("CAST(array() AS ARRAY<STRING>)"))))
+
+    def marks(concepts) -> Column:
+        return F.transform(concepts, lambda c: F.concat(F.lit("#"), c))
+
+    tokens = spoken.select("query_id", F.explode(F.array_distinct(F.concat(first, marks("concepts")))).alias("_token"))
+    offers = F.array_distinct(F.concat(F.coalesce(pieces, F.array().cast("array<string>")), marks(_row_concepts())))
+    offered = each(rows.withColumn("_lengths", lengths), ["id"], offers, "_at", "_token").drop("_at")
+    met = offered.join(tokens, "_token").select("query_id", "id").distinct()
+    said = F.exists("keywords", lambda k: F.lower("name").contains(k)) | F.arrays_overlap("concepts", _row_concepts())
+    return rows.join(met, "id").join(spoken, "query_id").where(_met()).where(said)
+
+
+def search_hits(ev: DataFrame, nb: DataFrame, queries: DataFrame, as_of) -> DataFrame:
+    """Every (request, listing) pair that matches. Requests that say nothing meet all listings, in `SALTS` shares of them, as that is their
+    result; `search_feed` and `structured_candidates` give the first of them without."""
+    rows, asked = with_neighborhood(upcoming(ev, as_of), nb), _asked(queries)
+    share = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_share")
+    everywhere = rows.withColumn("_share", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(
+        asked.where(_silent()).select("*", share), "_share").drop("_share").where(_met())
+    return _spoken_hits(rows, asked).unionByName(everywhere).drop("_category")
+
+
+def _first_hits(ev: DataFrame, nb: DataFrame, queries: DataFrame, as_of, k: int) -> DataFrame:
+    """The first k hits of every request in feed order, with their position.
+
+    Requests that say nothing are told apart by which constraints they have, eight kinds at most. Of listings that are alike in all a kind
+    looks at, only the first k can be among any request's first k; they are cut to those before the shuffle, and only what is left
+    meets the requests of that kind.
+    """
+    rows, asked = with_neighborhood(upcoming(ev, as_of), nb), _asked(queries)
+    kind = F.concat(F.when(F.size("places") > 0, "p").otherwise(""), F.when(F.col("_category").isNotNull(), "c").otherwise(""),
+                    F.when(F.col("window_start").isNotNull(), "w").otherwise(""))
+    silent = asked.where(_silent()).withColumn("_kind", kind)
+    kinds = silent.agg(F.collect_set("_kind").alias("k")).scalar()
+
+    def seen(letter: str, value: Column) -> Column:
+        return F.when(F.col("_kind").contains(letter), value)
+
+    alike = each(rows.withColumn("_kinds", kinds), rows.columns, F.col("_kinds"), "_at", "_kind").drop("_at").withColumns({
+        "_p": seen("p", F.col("neighborhood")), "_c": seen("c", F.struct("category", "categories")), "_w": seen("w", F.struct("date", "date_end"))})
+    head = top_rows(alike, ["_kind", "_p", "_c", "_w"], feed_keys(as_of), k, "_n").drop("_n", "_p", "_c", "_w")
+    told = head.join(silent, "_kind").drop("_kind").where(_met())
+    hits = _spoken_hits(rows, asked).unionByName(told).drop("_category")
+    return top_rows(hits, ["query_id"], feed_keys(as_of), k)
 
 
 def search_feed(ev: DataFrame, nb: DataFrame, queries: DataFrame, as_of, skip: int = 0, limit: int = 20) -> DataFrame:
     """One page of feed-ordered hits per request."""
     if skip < 0 or not 1 <= limit <= 100:
         raise ValueError("skip must be >= 0 and limit between 1 and 100")
-    hits = search_hits(ev, nb, queries, as_of)
-    return top_rows(hits, ["query_id"], feed_keys(as_of), skip + limit).where(F.col("position") > skip)
+    return _first_hits(ev, nb, queries, as_of, skip + limit).where(F.col("position") > skip)
 
 
-def structured_candidates(ev: DataFrame, nb: DataFrame, queries: DataFrame, as_of) -> DataFrame:
-    """The head of the feed per request: 100 rows when it names a place, else 50."""
-    head = top_rows(search_hits(ev, nb, queries, as_of), ["query_id"], feed_keys(as_of), vocab.CEILING_PLACED)
-    ceiling = F.when(F.size("places") > 0, vocab.CEILING_PLACED).otherwise(vocab.CEILING_OPEN)
-    return head.where(F.col("position") <= ceiling)
+def structured_candidates(ev: DataFrame, nb: DataFrame, queries: DataFrame, as_of, placed: int = vocab.CEILING_PLACED,
+                          unplaced: int = vocab.CEILING_OPEN) -> DataFrame:
+    """The head of the feed per request: `placed` rows when it names a place, else `unplaced`."""
+    head = _first_hits(ev, nb, queries, as_of, max(placed, unplaced))
+    return head.where(F.col("position") <= F.when(F.size("places") > 0, placed).otherwise(unplaced))
 
 
 def event_document(name="name", category="category", venue="venue_name") -> Column:

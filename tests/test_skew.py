@@ -231,3 +231,25 @@ def test_search_hits_once_and_complete(spark):
                   if (not ks and not cs) or any(k in r[1] for k in ks) or any(concept(c, r) for c in cs))
     got = sorted((r["query_id"], r["id"]) for r in S.search_hits(listings, nb, asked, "2026-10-07").collect())
     assert got == want
+
+
+def test_first_hits_are_the_first_of_all_hits(spark):
+    """Requests without words, of every kind of constraint, and with keywords of one and two letters."""
+    rng = random.Random(6)
+    labels = [["LGBTQ"], None, ["Film", "Arts"], []]
+    ev = [(i, rng.choice(["jazz at dawn", "go game", "x", "open mic", None]), rng.choice(["Music", "Arts", None]), rng.choice(labels), f"2030-01-{rng.randrange(1, 9):02}",
+           rng.choice([None, "2030-01-09", "2030-01-05"]), rng.choice([1, 2, 3, None])) for i in range(400)]
+    qs = [(1, [], [], [], None, None, None), (2, [], [], ["a"], None, None, None), (3, [], [], [], "music", None, None), (4, [], [], [], None, "2030-01-04", "2030-01-06"),
+          (5, [], [], ["a", "b"], " ARTS", "2030-01-02", "2030-01-03"), (6, ["go"], [], [], None, None, None), (7, ["x", "jazz"], [], ["c"], None, None, None),
+          (8, [], ["film"], [], None, None, None), (9, [], [], ["nowhere"], None, None, None), (10, [], [], [], None, None, None), (11, ["zz"], [], [], None, None, None)]
+    listings = spark.createDataFrame(ev, "id BIGINT, name STRING, category STRING, categories ARRAY<STRING>, d STRING, e STRING, neighborhood_id BIGINT").selectExpr(
+        "*", "CAST(d AS TIMESTAMP_NTZ) AS date", "CAST(e AS TIMESTAMP_NTZ) AS date_end").drop("d", "e")
+    asked = spark.createDataFrame(qs, "query_id BIGINT, keywords ARRAY<STRING>, concepts ARRAY<STRING>, places ARRAY<STRING>, category STRING, a STRING, b STRING").selectExpr(
+        "*", "CAST(a AS TIMESTAMP_NTZ) AS window_start", "CAST(b AS TIMESTAMP_NTZ) AS window_end").drop("a", "b")
+    nb = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id BIGINT, name STRING")
+    keys = ["query_id", "position", "id"]
+    every = S.top_rows(S.search_hits(listings, nb, asked, "2026-10-07"), ["query_id"], S.feed_keys("2026-10-07"), 12)
+    want = sorted(tuple(r) for r in every.where("position > 4").select(*keys).collect())
+    found = S.search_feed(listings, nb, asked, "2026-10-07", 4, 8)
+    assert sorted(tuple(r) for r in found.select(*keys).collect()) == want and len(want) > 40
+    assert S.search_feed(listings, nb, asked.limit(0), "2026-10-07").count() == 0
