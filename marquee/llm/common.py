@@ -74,19 +74,24 @@ class Remembered:
         return out
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written once as Parquet under the shared checkpoint folder, and read from there by every later branch.
-    A lost executor costs nothing that is written already."""
-    path = f"{checkpoint_root(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: With it Spark deletes the shuffle files of a query when the query ends; else they stay until the driver collects its plan.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def released(df: DataFrame) -> DataFrame:
-    """`df`, of rows that are stored: Spark deletes shuffle files once the driver's JVM has collected the plans they belong to, so long
-    chains of steps ask for that collection after each large one instead of keeping the shuffles of all."""
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once as Parquet under the shared checkpoint folder, and read from there by every later branch.
+    A lost executor costs nothing that is written already, and the shuffle files behind the rows go."""
+    spark = df.sparkSession
+    path, before = f"{checkpoint_root(spark)}/{name}", spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ A token's rows may be many: joins on tokens are split by AQE, and nothing collec
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.common import free_name, quoted, released, stored
+from marquee.llm.common import free_name, quoted, stored
 
 #: Similarity as a fraction.
 SIMILARITY = (4, 5)
@@ -136,7 +136,7 @@ def _verified(docs: DataFrame, row: Column, sets: DataFrame, pairs: DataFrame, s
     seen = lines.where(_bit_of({r["at"]: r["bits"] for r in words.collect()}, spot))
     hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
     texts = seen.select("turn", "row", "no", "mark", hashes.alias("words"))
-    held = released(stored(places.join(texts, ["turn", "row", "no", "mark"]).groupBy("id").agg(F.first("words").alias("words")), "held"))
+    held = stored(places.join(texts, ["turn", "row", "no", "mark"]).groupBy("id").agg(F.first("words").alias("words")), "held")
     late, early = held.select(F.col("id").alias("late"), F.col("words").alias("x")), held.select(F.col("id").alias("early"), F.col("words").alias("y"))
     met = F.size(F.array_intersect("x", "y"))
     return (pairs.select("late", "early").join(late, "late").join(early, "early")
@@ -159,8 +159,8 @@ def repeats(docs: DataFrame, row: Column, sets: DataFrame, similarity: tuple[int
                 .select("id", place.alias("place"), "n", "at", "parity", F.explode("others").alias("other"))
                 .where(F.struct("other.turn", "other.row", "other.no") < F.col("place"))
                 .where(_may_match(F.col, lambda c: F.col(f"other.{c}"), similarity)))
-    pairs = released(stored(anchored.select(F.col("id").alias("late"), F.col("other.id").alias("early")).distinct(), "anchored"))
-    settled = released(stored(_verified(docs, row, sets, pairs, similarity), "settled"))
+    pairs = stored(anchored.select(F.col("id").alias("late"), F.col("other.id").alias("early")).distinct(), "anchored")
+    settled = stored(_verified(docs, row, sets, pairs, similarity), "settled")
 
     # one narrow row per prefix token, shuffled once for both sides of the join: n, position and whether the set is open in one number
     marked = sets.join(settled.withColumn("settled", F.lit(True)), "id", "left")
@@ -177,7 +177,7 @@ def repeats(docs: DataFrame, row: Column, sets: DataFrame, similarity: tuple[int
     met = every.alias("x").join(every.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id"))
                                 & _may_match(side("x"), side("y"), similarity) & either_open)
     bits = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
-    found = released(stored(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), bits.alias("bits")).distinct(), "found"))
+    found = stored(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), bits.alias("bits")).distinct(), "found")
     # the places of both, and a second parity of other bits
     a = sets.select(F.col("id").alias("a"), place.alias("p"), F.col("n").alias("n1"), F.col("parity2").alias("z1"))
     b = sets.select(F.col("id").alias("b"), place.alias("q"), F.col("n").alias("n2"), F.col("parity2").alias("z2"))
@@ -185,11 +185,12 @@ def repeats(docs: DataFrame, row: Column, sets: DataFrame, similarity: tuple[int
     likely = F.bit_count(F.col("z1").bitwiseXOR(F.col("z2"))) <= F.col("n1") + F.col("n2") - 2 * _needed(F.col("n1"), F.col("n2"), similarity)
     pairs = (found.join(a, "a").join(b, "b").where("p <> q").where(likely)
              .select(F.when(after, F.col("a")).otherwise(F.col("b")).alias("late"), F.when(after, F.col("b")).otherwise(F.col("a")).alias("early"), "bits"))
-    pairs = released(stored(pairs.join(settled, F.col("late") == F.col("id"), "left_anti"), "pairs"))
+    pairs = stored(pairs.join(settled, F.col("late") == F.col("id"), "left_anti"), "pairs")
     likeliest = pairs.groupBy("late").agg(F.min_by("early", F.struct("bits", "early")).alias("early"))
-    more = released(stored(_verified(docs, row, sets, likeliest, similarity), "more"))
+    more = stored(_verified(docs, row, sets, likeliest, similarity), "more")
     rest = pairs.join(more, F.col("late") == F.col("id"), "left_anti").join(likeliest, ["late", "early"], "left_anti")
-    return settled.union(more).union(_verified(docs, row, sets, stored(rest, "rest"), similarity)).distinct()
+    last = stored(_verified(docs, row, sets, stored(rest, "rest"), similarity), "last")
+    return settled.union(more).union(last).distinct()
 
 
 def _code(no: Column, mark: Column) -> Column:
@@ -205,7 +206,7 @@ def without_repeats(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, b
     """
     row, key, kept, lines = (free_name(docs, name) for name in ("row_of", "kept_of", "kept_lines", "text_lines"))
     columns, docs = docs.columns, numbered(docs, row)
-    sets = released(stored(token_sets(docs, quoted(row), similarity, buckets), "sets"))
+    sets = stored(token_sets(docs, quoted(row), similarity, buckets), "sets")
     stay = sets.select("id", "turn", "row", "no", "mark").join(repeats(docs, quoted(row), sets, similarity), "id", "left_anti")
     of_row = (stay.groupBy("turn", "row").agg(F.collect_list(_code(F.col("no"), F.col("mark"))).alias(kept))
               .select(F.struct("turn", "row").alias(key), quoted(kept)))
