@@ -89,6 +89,41 @@ def _upsert(s, d):
     return U.read_version(s, f"{root}/catalog", stored.schema)
 
 
+PERCENTILES = {"p50": 0.5, "p95": 0.95}
+
+
+def _held(sketched, logs, width, slide=None):
+    """Whether the sketches' percentiles lie between the exact ones of the ranks their error allows."""
+    ranks = {f"{name}_{side}": min(1.0, max(0.0, p + e)) for name, p in PERCENTILES.items() for side, e in (("least", -T.RANK_ERROR), ("most", T.RANK_ERROR))}
+    exact = T.points(logs).where("metric IS NOT NULL").groupBy(
+        F.window("created_at", width, slide or width).alias("w"), F.col("metric").alias("of")).agg(*[
+            F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)").alias(name) for name, p in ranks.items()])
+    rows = T.with_percentiles(sketched, PERCENTILES)
+    met = rows.join(exact, (F.col("window_start") == F.col("w.start").cast("timestamp_ntz")) & (F.col("metric") == F.col("of")))
+    return met.select("window_start", "window_end", "metric", "n", "total", *[
+        F.col(name).between(F.col(f"{name}_least"), F.col(f"{name}_most")).alias(f"{name}_holds") for name in PERCENTILES])
+
+
+def _percentiles(s, d):
+    logs = T.event_time(audit_logs(s, d))
+    return _held(T.sketches(logs), logs, "1 hour")
+
+
+def _percentiles_sliding(s, d):
+    logs = T.event_time(audit_logs(s, d))
+    return _held(T.sketches(logs, "1 hour", "30 minutes"), logs, "1 hour", "30 minutes")
+
+
+def _percentiles_of_days(s, d):
+    logs = T.event_time(audit_logs(s, d))
+    return _held(T.rolled_up(T.sketches(logs), "1 day"), logs, "1 day")
+
+
+def _stream_percentiles(s, d):
+    return T.run_available(T.with_percentiles(T.sketches(_log_stream(s, d), "1 hour", "30 minutes"), PERCENTILES)).select(
+        "window_start", "window_end", "metric", "n", "total", "low", "high", *[F.col(p).between(F.col("low"), F.col("high")).alias(f"{p}_holds") for p in PERCENTILES])
+
+
 def _close(s, d):
     ids = s.range(0, 60, 2).union(s.range(100000, 100002))
     return T.close_threads(chat_threads(s, d), ids).select("id", "status", "changed")
@@ -97,6 +132,10 @@ def _close(s, d):
 QUERIES = {
     "metrics": lambda s, d: T.metrics(T.event_time(audit_logs(s, d))),
     "metrics_sliding": lambda s, d: T.metrics(T.event_time(audit_logs(s, d)), "1 hour", "30 minutes"),
+    "metric_percentiles": _percentiles,
+    "metric_percentiles_sliding": _percentiles_sliding,
+    "metric_percentiles_of_days": _percentiles_of_days,
+    "stream_percentiles": _stream_percentiles,
     "stream_metrics": lambda s, d: T.run_available(T.metrics(_log_stream(s, d))),
     "sessions": lambda s, d: T.sessions(T.event_time(chat_messages(s, d))),
     "stream_sessions": _session_stream,
@@ -124,6 +163,8 @@ def metrics_sql(start, rel="points"):
       round(CAST(sum(value) AS DOUBLE), 4) AS total, CAST(min(value) AS DOUBLE) AS low, CAST(max(value) AS DOUBLE) AS high FROM {rel} GROUP BY ALL"""
 
 
+HOLDS = ", ".join(f"true AS {p}_holds" for p in PERCENTILES)
+SLID = "slid AS (SELECT *, unnest([time_bucket(INTERVAL 30 MINUTE, created_at), time_bucket(INTERVAL 30 MINUTE, created_at) - INTERVAL 30 MINUTE]) AS start FROM points)"
 CLOSED = f"window_end <= (SELECT max(created_at) FROM audit_logs) - INTERVAL {DELAY_MINUTES} MINUTE"
 ALERTS = f"""SELECT {HOUR} AS window_start, {HOUR} + INTERVAL 1 HOUR AS window_end, count(*) AS blocked, max_by(id, (created_at, id)) AS newest_id
   FROM audit_logs WHERE operation = 'security_blocked' GROUP BY ALL"""
@@ -148,8 +189,12 @@ LIMITS = with_views(MESSAGES, body=f"""
 
 ORACLES = {
     "metrics": with_views(AUDIT, POINTS, body=metrics_sql(HOUR)),
-    "metrics_sliding": with_views(AUDIT, POINTS, f"slid AS (SELECT *, unnest([time_bucket(INTERVAL 30 MINUTE, created_at), time_bucket(INTERVAL 30 MINUTE, created_at) - INTERVAL 30 MINUTE]) AS start FROM points)",
-                                  body=metrics_sql("start", "slid")),
+    "metrics_sliding": with_views(AUDIT, POINTS, SLID, body=metrics_sql("start", "slid")),
+    "metric_percentiles": with_views(AUDIT, POINTS, f"m AS ({metrics_sql(HOUR)})", body=f"SELECT * EXCLUDE (low, high), {HOLDS} FROM m"),
+    "metric_percentiles_sliding": with_views(AUDIT, POINTS, SLID, f"m AS ({metrics_sql('start', 'slid')})", body=f"SELECT * EXCLUDE (low, high), {HOLDS} FROM m"),
+    "metric_percentiles_of_days": with_views(AUDIT, POINTS, f"m AS ({metrics_sql('CAST(date_trunc(\'day\', created_at) AS TIMESTAMP)').replace('INTERVAL 1 HOUR', 'INTERVAL 1 DAY')})",
+                                             body=f"SELECT * EXCLUDE (low, high), {HOLDS} FROM m"),
+    "stream_percentiles": with_views(AUDIT, POINTS, SLID, f"m AS ({metrics_sql('start', 'slid')})", body=f"SELECT *, {HOLDS} FROM m WHERE {CLOSED}"),
     "stream_metrics": with_views(AUDIT, POINTS, f"m AS ({metrics_sql(HOUR)})", body=f"SELECT * FROM m WHERE {CLOSED}"),
     "sessions": with_views(MESSAGES, body=sessions_sql("chat_messages")),
     "stream_sessions": with_views(MESSAGES, "grouped AS (SELECT id, thread_id % 7 AS thread_id, role, token_count, created_at FROM chat_messages)",

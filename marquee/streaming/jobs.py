@@ -27,25 +27,60 @@ def _bounds() -> list[Column]:
             F.col("window.end").cast("timestamp_ntz").alias("window_end")]
 
 
-def metrics(logs: DataFrame, width: str = "1 hour", slide: str | None = None, percentile: float | None = None) -> DataFrame:
-    """Counters and histograms per window: how often, how much, and the extremes of each series."""
+#: Size of a quantile sketch; the rank of what it answers is off by less than `RANK_ERROR`, as a share of the values.
+SKETCH, RANK_ERROR = 400, 0.02
+
+
+def points(logs: DataFrame) -> DataFrame:
+    """(created_at, metric, value): what a log adds to each series. A row without any stays, so that it still moves a stream's watermark."""
     def series(name: str, when: Column, value: Column) -> Column:
         return F.when(when, F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value")))
 
     one, op = F.lit(1.0), F.col("operation")
-    points = F.array_compact(F.array(
+    some = F.array_compact(F.array(
         series("sessions.created", op == "chat_created", one),
         series("questions.asked", op == "question_asked", one),
         series("turns.completed", op == "turn_completed", one),
         series("tokens.used", F.col("tokens_used") > 0, F.col("tokens_used")),
         series("latency.ms", op == "turn_completed", F.col("duration_ms"))))
-    # an outer inline and a filter behind the aggregate: a row without points still moves a stream's watermark
-    rows = logs.select("created_at", F.inline_outer(points))
-    extra = [F.percentile_approx("value", percentile).alias("percentile")] if percentile else []
-    return rows.groupBy(_window(width, slide), "metric").agg(
+    return logs.select("created_at", F.inline_outer(some))
+
+
+def metrics(logs: DataFrame, width: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Counters and histograms per window: how often, how much, and the extremes of each series."""
+    return points(logs).groupBy(_window(width, slide), "metric").agg(
         F.count("*").alias("n"), F.sum("value").alias("total"), F.min("value").alias("low"),
-        F.max("value").alias("high"), *extra).where("metric IS NOT NULL").select(
-        *_bounds(), "metric", "n", F.round("total", 4).alias("total"), "low", "high", *(["percentile"] if percentile else []))
+        F.max("value").alias("high")).where("metric IS NOT NULL").select(
+        *_bounds(), "metric", "n", F.round("total", 4).alias("total"), "low", "high")
+
+
+def sketches(logs: DataFrame, width: str = "1 hour", slide: str | None = None, k: int = SKETCH) -> DataFrame:
+    """The same with a quantile sketch per window, (window, metric, n, total, low, high, sketch), for `with_percentiles`.
+
+    A sketch is a few kilobytes whatever it has seen. Sliding windows put together those of their slides in a second aggregation, so a
+    value is sketched once; `rolled_up` puts stored ones together to longer windows without the logs.
+    """
+    out = points(logs).groupBy(_window(slide or width, None), "metric").agg(
+        F.count("*").alias("n"), F.sum("value").alias("total"), F.min("value").alias("low"), F.max("value").alias("high"),
+        F.kll_sketch_agg_double("value", k).alias("sketch")).where("metric IS NOT NULL")
+    return _merged(out, F.window("window", width, slide)) if slide else out
+
+
+def _merged(rows: DataFrame, window: Column) -> DataFrame:
+    return rows.groupBy(window.alias("window"), "metric").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def rolled_up(rows: DataFrame, width: str) -> DataFrame:
+    """Sketches of windows that `width` is a multiple of, put together."""
+    return _merged(rows, F.window(F.col("window.start"), width))
+
+
+def with_percentiles(rows: DataFrame, percentiles: dict[str, float]) -> DataFrame:
+    """Sketches as rows of numbers: window_start, window_end, metric, n, total, low, high, and a column per percentile."""
+    return rows.select(*_bounds(), "metric", "n", F.round("total", 4).alias("total"), "low", "high", *[
+        F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(name) for name, p in percentiles.items()])
 
 
 def security_alerts(logs: DataFrame, width: str = "1 hour") -> DataFrame:
@@ -97,12 +132,17 @@ def close_threads(threads: DataFrame, ids: DataFrame, status: str = "closed") ->
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Everything available put through a stream into files, and those files read back."""
+    return run_counted(stream, mode)[0]
+
+
+def run_counted(stream: DataFrame, mode: str = "append") -> tuple[DataFrame, int]:
+    """The same with the number of rows that came too late to count."""
     spark = stream.sparkSession
     root = checkpoint_root(spark)
     query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{root}/state").option(
         "path", f"{root}/rows").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows"), late_rows(query)
 
 
 def late_rows(query) -> int:
