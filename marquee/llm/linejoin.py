@@ -17,10 +17,12 @@ whether that earlier line stays or not. Lines without tokens stay.
 A token's rows may be many: joins on tokens are split by AQE, and nothing collects them.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.common import free_name, quoted, stored
+from marquee.llm.common import forget, free_name, quoted, stored
 
 #: Similarity as a fraction.
 SIMILARITY = (4, 5)
@@ -29,6 +31,8 @@ BUCKETS = 1 << 16
 MAP_BITS = 1 << 21
 #: Rarest tokens and neighbours of the first round.
 ANCHOR_TOKENS, ANCHORS = 1, 2
+#: Shares of the pairs that are verified one after the other, to bound what is shuffled at a time.
+PASSES = 3
 #: The turn of lines without doc_id.
 LAST = (1 << 63) - 1
 
@@ -124,8 +128,8 @@ def _bit_of(bits: dict[int, int], spot: Column) -> Column:
     return _right(word, spot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
-def _verified(docs: DataFrame, row: Column, sets: DataFrame, pairs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The ids (late) of the pairs (late, early) whose tokens are as similar as asked for."""
+def _verified(docs: DataFrame, row: Column, sets: DataFrame, pairs: DataFrame, similarity: tuple[int, int], name: str) -> DataFrame:
+    """The ids (late) of the pairs (late, early) whose tokens are as similar as asked for, stored."""
     above, below = similarity
     wanted = pairs.select(F.col("late").alias("id")).union(pairs.select(F.col("early").alias("id"))).distinct()
     places = stored(sets.select("id", "turn", "row", "no", "mark").join(wanted, "id", "left_semi"), "places")
@@ -138,9 +142,13 @@ def _verified(docs: DataFrame, row: Column, sets: DataFrame, pairs: DataFrame, s
     texts = seen.select("turn", "row", "no", "mark", hashes.alias("words"))
     held = stored(places.join(texts, ["turn", "row", "no", "mark"]).groupBy("id").agg(F.first("words").alias("words")), "held")
     late, early = held.select(F.col("id").alias("late"), F.col("words").alias("x")), held.select(F.col("id").alias("early"), F.col("words").alias("y"))
-    met = F.size(F.array_intersect("x", "y"))
-    return (pairs.select("late", "early").join(late, "late").join(early, "early")
-            .where(met * (above + below) >= (F.size("x") + F.size("y")) * above).select(F.col("late").alias("id")).distinct())
+    met, found = F.size(F.array_intersect("x", "y")), []
+    for turn in range(PASSES):
+        mine = pairs.select("late", "early").where(F.pmod(F.xxhash64("late"), F.lit(PASSES)) == turn)
+        found.append(stored(mine.join(late, "late").join(early, "early").where(met * (above + below) >= (F.size("x") + F.size("y")) * above)
+                            .select(F.col("late").alias("id")).distinct(), name))
+    forget(places, held)
+    return reduce(DataFrame.union, found)
 
 
 def repeats(docs: DataFrame, row: Column, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -160,7 +168,8 @@ def repeats(docs: DataFrame, row: Column, sets: DataFrame, similarity: tuple[int
                 .where(F.struct("other.turn", "other.row", "other.no") < F.col("place"))
                 .where(_may_match(F.col, lambda c: F.col(f"other.{c}"), similarity)))
     pairs = stored(anchored.select(F.col("id").alias("late"), F.col("other.id").alias("early")).distinct(), "anchored")
-    settled = stored(_verified(docs, row, sets, pairs, similarity), "settled")
+    settled = _verified(docs, row, sets, pairs, similarity, "settled")
+    forget(pairs)
 
     # one narrow row per prefix token, shuffled once for both sides of the join: n, position and whether the set is open in one number
     marked = sets.join(settled.withColumn("settled", F.lit(True)), "id", "left")
@@ -186,10 +195,13 @@ def repeats(docs: DataFrame, row: Column, sets: DataFrame, similarity: tuple[int
     pairs = (found.join(a, "a").join(b, "b").where("p <> q").where(likely)
              .select(F.when(after, F.col("a")).otherwise(F.col("b")).alias("late"), F.when(after, F.col("b")).otherwise(F.col("a")).alias("early"), "bits"))
     pairs = stored(pairs.join(settled, F.col("late") == F.col("id"), "left_anti"), "pairs")
-    likeliest = pairs.groupBy("late").agg(F.min_by("early", F.struct("bits", "early")).alias("early"))
-    more = stored(_verified(docs, row, sets, likeliest, similarity), "more")
-    rest = pairs.join(more, F.col("late") == F.col("id"), "left_anti").join(likeliest, ["late", "early"], "left_anti")
-    last = stored(_verified(docs, row, sets, stored(rest, "rest"), similarity), "last")
+    forget(found)
+    likeliest = stored(pairs.groupBy("late").agg(F.min_by("early", F.struct("bits", "early")).alias("early")), "likeliest")
+    more = _verified(docs, row, sets, likeliest, similarity, "more")
+    rest = stored(pairs.join(more, F.col("late") == F.col("id"), "left_anti").join(likeliest, ["late", "early"], "left_anti"), "rest")
+    forget(pairs, likeliest)
+    last = _verified(docs, row, sets, rest, similarity, "last")
+    forget(rest)
     return settled.union(more).union(last).distinct()
 
 

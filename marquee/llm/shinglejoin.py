@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm import simhash
-from marquee.llm.common import components, free_name, quoted, stored
+from marquee.llm.common import components, forget, free_name, quoted, stored
 
 WIDTH = 5
 #: Similarity as a fraction.
@@ -90,7 +90,7 @@ def _likely(sets: DataFrame, pairs: DataFrame, similarity: tuple[int, int]) -> D
 
 
 def verified(texts: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose sets are as similar as asked for; only the texts of sets in `pairs` are read."""
+    """The pairs (a, b) whose sets are as similar as asked for, stored; only the texts of sets in `pairs` are read."""
     above, below = similarity
 
     @F.pandas_udf("array<long>")
@@ -103,8 +103,10 @@ def verified(texts: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, si
     held = stored(texts.join(rows, "row").select("set", hashes("text").alias("held")), "held")
     a, b = held.select(F.col("set").alias("a"), F.col("held").alias("x")), held.select(F.col("set").alias("b"), F.col("held").alias("y"))
     met = F.size(F.array_intersect("x", "y"))
-    return (pairs.select("a", "b").join(a, "a").join(b, "b")
-            .where(met * (above + below) >= (F.size("x") + F.size("y")) * above).select("a", "b"))
+    out = stored(pairs.select("a", "b").join(a, "a").join(b, "b")
+                 .where(met * (above + below) >= (F.size("x") + F.size("y")) * above).select("a", "b"), "verified")
+    forget(pairs, held)
+    return out
 
 
 def links(texts: DataFrame, rows: DataFrame, sets: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
@@ -131,18 +133,22 @@ def links(texts: DataFrame, rows: DataFrame, sets: DataFrame, width: int, simila
             .join(heads.select(F.col("fp").alias("fb"), F.col("a").alias("sb")), F.col("l.b") == F.col("fb")).select("sa", "sb"))
     tried = stored(same.union(near).union(led).where("a <> b")
                    .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
-    known = stored(verified(texts, sets, tried, width, similarity), "known")
+    forget(crowds)
+    known = verified(texts, sets, tried, width, similarity)
 
     roots = components(known, "a", "b")
     placed = stored(shared.join(roots, F.col("set") == F.col("node"), "left")
                     .select("token", "set", "n", "at", F.coalesce("root", "set").alias("root")), "placed")
+    forget(shared)
     mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
     apart = placed.join(mixed, "token", "left_semi")
     x, y = apart.alias("x"), apart.alias("y")
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & fits(side("x"), side("y")))
     rest = (met.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct()
             .join(tried, ["a", "b"], "left_anti"))
-    return known.union(verified(texts, sets, stored(rest, "rest"), width, similarity))
+    rest = stored(rest, "rest")
+    forget(placed, tried)
+    return known.union(verified(texts, sets, rest, width, similarity))
 
 
 def keep_first(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
