@@ -37,7 +37,6 @@ METRICS = """
     id BIGINT, metric_name STRING, metric_type STRING, value DOUBLE, attributes STRING, unit STRING,
     timestamp TIMESTAMP_NTZ"""
 
-# Parents before children: the order a copy has to follow.
 TABLES = {
     "neighborhoods": NEIGHBORHOODS,
     "venues": VENUES,
@@ -48,3 +47,11 @@ TABLES = {
     "audit_logs": AUDIT_LOGS,
     "metrics": METRICS,
 }
+
+# What a column refers to: the id of a row of another table. A copy follows these, parents first.
+REFERENCES = {
+    "venues": {"neighborhood_id": "neighborhoods"},
+    "events": {"neighborhood_id": "neighborhoods", "venue_id": "venues"},
+    "chat_messages": {"thread_id": "chat_threads"},
+    "audit_logs": {"thread_id": "chat_threads"},
+}

@@ -3,14 +3,17 @@
 Payloads and pages are built per listing by expression; the oracles state what each of them has to come out as.
 """
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from marquee.adapters import audit_logs, listings, neighborhoods, pages_events, table
+from marquee.adapters import audit_logs, chat_messages, chat_threads, geocode_cache, listings, neighborhoods, pages_events, table, venue_config
 from marquee.lineage import checkpoint_root
 from marquee.sources import catalog as C
 from marquee.sources import feeds as S
 from marquee.sources import pages as G
-from marquee.plans.views import AUDIT, LISTINGS, NEIGHBORHOODS, PAGES, listing_query, with_views
+from marquee.plans.joins import CACHE
+from marquee.plans.views import AUDIT, CONFIG as VENUE_CONFIG, LISTINGS, NEIGHBORHOODS, PAGES, THREADS, listing_query, with_views
 
 AS_OF = "1998-06-10 12:00:00"
 D2 = "lpad(CAST(1 + id % 28 AS STRING), 2, '0')"
@@ -97,6 +100,71 @@ def _copied(s, d):
     return C.read_table(s, root, "events").select("id", "date", "date_end", "latitude", F.array_join("categories", "; ").alias("categories"))
 
 
+# All eight tables as text, with values here and there that are not of the declared type, and some references that lead nowhere.
+LOOSE = {
+    "neighborhoods": "CAST(id AS STRING) AS id, name, region AS description",
+    "venues": """CAST(id AS STRING) AS id, CAST(CASE WHEN id % 8 = 0 THEN id + 5000 ELSE id % 25 END AS STRING) AS neighborhood_id, venue_name AS name, category,
+        CASE WHEN id % 10 = 3 THEN 'about 200' ELSE CAST(id * 3 AS STRING) END AS capacity, CASE WHEN id % 6 = 0 THEN 'maybe' WHEN id % 2 = 0 THEN 'true' ELSE 'false' END AS is_active""",
+    "geocode_cache": "CAST(id AS STRING) AS id, query, CASE WHEN id % 9 = 0 THEN '41,5' ELSE CAST(latitude AS STRING) END AS latitude, CAST(longitude AS STRING) AS longitude, CAST(resolved AS STRING) AS resolved",
+    "events": """CAST(id AS STRING) AS id, name, CASE WHEN id % 11 = 0 THEN 'next Friday' ELSE date_format(date, 'yyyy-MM-dd HH:mm:ss') END AS date, cost,
+        CAST(CASE WHEN id % 40 = 0 THEN 9000 + id % 3 ELSE neighborhood_id END AS STRING) AS neighborhood_id, to_json(categories) AS categories""",
+    "chat_threads": "CAST(id AS STRING) AS id, date_format(updated_at, 'yyyy-MM-dd') AS updated_at, CASE WHEN id % 7 = 0 THEN '1e' ELSE CAST(total_tokens AS STRING) END AS total_tokens, status",
+    "chat_messages": "CAST(id AS STRING) AS id, CAST(thread_id AS STRING) AS thread_id, role, content, CASE WHEN id % 19 = 0 THEN '?' ELSE CAST(token_count AS STRING) END AS token_count, date_format(created_at, 'yyyy-MM-dd HH:mm:ss') AS created_at",
+    "audit_logs": "CAST(id AS STRING) AS id, CAST(thread_id AS STRING) AS thread_id, operation, CASE WHEN id % 13 = 0 THEN 'n/a' ELSE CAST(duration_ms AS STRING) END AS duration_ms, CASE WHEN id % 5 = 0 THEN 'now' ELSE date_format(created_at, 'yyyy-MM-dd HH:mm:ss') END AS created_at",
+    "metrics": "CAST(id AS STRING) AS id, operation AS metric_name, CASE WHEN id % 17 = 0 THEN '-' ELSE CAST(duration_ms AS STRING) END AS value, date_format(created_at, 'yyyy-MM-dd HH:mm:ss') AS timestamp",
+}
+
+
+def _loose_catalog(s, d):
+    ev = listings(s, d, "id", "name", "date", "cost", "neighborhood_id", "categories")
+    whole = {"neighborhoods": neighborhoods(s, d), "venues": venue_config(s, d), "geocode_cache": geocode_cache(s, d), "events": ev,
+             "chat_threads": chat_threads(s, d), "chat_messages": chat_messages(s, d), "audit_logs": audit_logs(s, d), "metrics": audit_logs(s, d)}
+    return {name: whole[name].selectExpr(*_split(text)) for name, text in LOOSE.items()}
+
+
+def _split(text):
+    """The columns of a select list; commas inside brackets and quotes stay."""
+    out, depth, quoted = [""], 0, False
+    for c in text:
+        quoted ^= c == "'"
+        depth += (c == "(") - (c == ")") if not quoted else 0
+        if c == "," and not depth and not quoted:
+            out.append("")
+        else:
+            out[-1] += c
+    return [part.strip() for part in out]
+
+
+def _land(s, d):
+    root = checkpoint_root(s)
+    for name, rows in _loose_catalog(s, d).items():
+        rows.write.parquet(f"{root}/{name}")
+    return root
+
+
+def _read_back(s, d):
+    """All eight tables through the reader: rows, and rows that have an id and the values named, per table."""
+    tables = C.read_catalog(s, _land(s, d))
+    told = {"neighborhoods": "name", "venues": "capacity", "geocode_cache": "latitude", "events": "date", "chat_threads": "total_tokens",
+            "chat_messages": "token_count", "audit_logs": "created_at", "metrics": "value"}
+    return reduce(lambda a, b: a.unionAll(b), [tables[name].agg(F.lit(name).alias("table"), F.count("*").alias("n"), F.count("id").alias("ids"), F.count(c).alias("values"))
+                                               for name, c in told.items()])
+
+
+def _rejected(s, d):
+    return C.read_rejected(s, _land(s, d)).groupBy("table", "column").agg(F.count("*").alias("n"), F.min("text").alias("text"), F.min(F.col("id").cast("bigint")).alias("first_id"))
+
+
+def _copied_whole(s, d):
+    """Children named first; rows without a parent are copied with the rest here, `catalog_orphans` reports them."""
+    loose = _loose_catalog(s, d)
+    return C.copy_tables(s, {name: loose[name] for name in reversed(loose)}, checkpoint_root(s), keep_orphans=True)
+
+
+def _orphans(s, d):
+    return C.orphans({name: C.coerce_table(rows, name) for name, rows in _loose_catalog(s, d).items()})
+
+
 def _written(s, d):
     path = f"{checkpoint_root(s)}/events"
     C.write_catalog(listings(s, d, "id", "name", "date"), path)
@@ -155,6 +223,10 @@ def _geojson(s, d):
 QUERIES = {
     "flatten_geojson": _geojson,
     "read_catalog": _stored,
+    "read_whole_catalog": _read_back,
+    "catalog_rejects": _rejected,
+    "copy_catalog": _copied_whole,
+    "catalog_orphans": _orphans,
     "copy_tables": lambda s, d: C.copy_tables(s, _loose(s, d), checkpoint_root(s)),
     "coerce_table": _copied,
     "flatten_ticketing_api": lambda s, d: S.flatten_ticketing_api(_raw(s, d, TICKETING)),
@@ -206,11 +278,40 @@ def _reader_sql():
 _INFO = """concat_ws(' | ', CASE WHEN id % 2 = 0 THEN 'Tickets $10-25' END, CASE WHEN id % 5 = 0 THEN 'Note: 21+ only' END,
     CASE WHEN id % 8 <> 7 THEN 'Venue: Hall ' || (id % 40) || ' | Location: Chicago, Illinois' END)"""
 
+EIGHT = (LISTINGS, AUDIT, NEIGHBORHOODS, VENUE_CONFIG, CACHE, THREADS)
+
 ORACLES = {
     "flatten_geojson": listing_query("""SELECT id AS source_id, 0 AS ord, 'Area ' || (id % 40) AS name, 1 AS parts, 2 AS rings, CAST(id % 9 + 30 AS DOUBLE) AS total FROM listings
         UNION ALL SELECT id, 1, 'Twin', 2, 2, CAST(3 + 27 + id % 7 AS DOUBLE) FROM listings UNION ALL SELECT id, 2, NULL, NULL, NULL, NULL FROM listings"""),
     "read_catalog": listing_query("""SELECT l.id, l.name, date, date_end, cost, latitude, n.name AS neighborhood, array_to_string(categories, '; ') AS categories
         FROM listings l LEFT JOIN neighborhoods n ON n.id = l.neighborhood_id""", NEIGHBORHOODS),
+    "read_whole_catalog": with_views(*EIGHT, body="""SELECT 'neighborhoods' AS "table", count(*) AS n, count(id) AS ids, count(name) AS values FROM neighborhoods
+        UNION ALL SELECT 'venues', count(*), count(id), count(*) FILTER (id % 10 <> 3) FROM venue_config
+        UNION ALL SELECT 'geocode_cache', count(*), count(id), count(latitude) FILTER (id % 9 <> 0) FROM geocode_cache
+        UNION ALL SELECT 'events', count(*), count(id), count(date) FILTER (id % 11 <> 0) FROM listings
+        UNION ALL SELECT 'chat_threads', count(*), count(id), count(*) FILTER (id % 7 <> 0) FROM chat_threads
+        UNION ALL SELECT 'chat_messages', count(*), count(id), count(*) FILTER (id % 19 <> 0) FROM chat_messages
+        UNION ALL SELECT 'audit_logs', count(*), count(id), count(*) FILTER (id % 5 <> 0) FROM audit_logs
+        UNION ALL SELECT 'metrics', count(*), count(id), count(duration_ms) FILTER (id % 17 <> 0) FROM audit_logs"""),
+    "catalog_rejects": with_views(*EIGHT, body="""SELECT * FROM (
+        SELECT 'venues' AS "table", 'capacity' AS "column", count(*) AS n, 'about 200' AS text, min(id) AS first_id FROM venue_config WHERE id % 10 = 3
+        UNION ALL SELECT 'venues', 'is_active', count(*), 'maybe', min(id) FROM venue_config WHERE id % 6 = 0
+        UNION ALL SELECT 'geocode_cache', 'latitude', count(*), '41,5', min(id) FROM geocode_cache WHERE id % 9 = 0
+        UNION ALL SELECT 'events', 'date', count(*), 'next Friday', min(id) FROM listings WHERE id % 11 = 0
+        UNION ALL SELECT 'chat_threads', 'total_tokens', count(*), '1e', min(id) FROM chat_threads WHERE id % 7 = 0
+        UNION ALL SELECT 'chat_messages', 'token_count', count(*), '?', min(id) FROM chat_messages WHERE id % 19 = 0
+        UNION ALL SELECT 'audit_logs', 'duration_ms', count(*), 'n/a', min(id) FROM audit_logs WHERE id % 13 = 0
+        UNION ALL SELECT 'audit_logs', 'created_at', count(*), 'now', min(id) FROM audit_logs WHERE id % 5 = 0
+        UNION ALL SELECT 'metrics', 'value', count(*), '-', min(id) FROM audit_logs WHERE id % 17 = 0) WHERE n > 0"""),
+    "copy_catalog": with_views(*EIGHT, body=" UNION ALL ".join(
+        f"""SELECT '{name}' AS "table", count(*) AS source_rows, count(*) AS copied_rows FROM {rel}""" for name, rel in {
+            "neighborhoods": "neighborhoods", "venues": "venue_config", "geocode_cache": "geocode_cache", "events": "listings", "chat_threads": "chat_threads",
+            "chat_messages": "chat_messages", "audit_logs": "audit_logs", "metrics": "audit_logs"}.items())),
+    "catalog_orphans": with_views(*EIGHT, body="""SELECT 'venues' AS "table", 'neighborhood_id' AS "column", 'neighborhoods' AS parent, count(*) AS rows, count(DISTINCT id) AS missing, min(CAST(id + 5000 AS VARCHAR)) AS example FROM venue_config WHERE id % 8 = 0
+        UNION ALL SELECT 'events', 'neighborhood_id', 'neighborhoods', count(*), count(DISTINCT id % 3), min(CAST(9000 + id % 3 AS VARCHAR)) FROM listings WHERE id % 40 = 0
+        UNION ALL SELECT 'events', 'venue_id', 'venues', 0, 0, NULL
+        UNION ALL SELECT 'chat_messages', 'thread_id', 'chat_threads', 0, 0, NULL
+        UNION ALL SELECT 'audit_logs', 'thread_id', 'chat_threads', count(*), count(DISTINCT thread_id), min(CAST(thread_id AS VARCHAR)) FROM audit_logs WHERE thread_id NOT IN (SELECT id FROM chat_threads)"""),
     "copy_tables": with_views(LISTINGS, AUDIT, NEIGHBORHOODS, body="""SELECT 'events' AS "table", count(*) AS source_rows, count(*) AS copied_rows FROM listings
         UNION ALL SELECT 'audit_logs', count(*), count(*) FROM audit_logs UNION ALL SELECT 'neighborhoods', count(*), count(*) FROM neighborhoods"""),
     "coerce_table": listing_query("SELECT id, date, CAST(NULL AS TIMESTAMP) AS date_end, latitude, array_to_string(categories, '; ') AS categories FROM listings"),

@@ -11,7 +11,7 @@ PYTHON = {"page_price", "pages_embedded_state_events", "pages_dated_blocks", "re
           "hybrid_category", "nearest", "semantic_candidates"}
 # Streams and written results are read back from files; their plans say nothing about the operator.
 WRITTEN = {n for n in QUERIES if n.startswith("stream_")} | {
-    "write_catalog", "copy_tables", "coerce_table", "read_catalog", "merge_venue_batch", "insert_only", "get_or_create_dim",
+    "write_catalog", "copy_tables", "coerce_table", "read_catalog", "read_whole_catalog", "catalog_rejects", "copy_catalog", "merge_venue_batch", "insert_only", "get_or_create_dim",
     *[n for n in QUERIES if n.startswith("merge_by_url")]}
 
 
