@@ -9,10 +9,11 @@ Jaccard, sum of the smaller over sum of the greater weights, of at least `SIMILA
 item hold is what similarity counts, so windows without a shingle of any item are not fingerprinted: their similarity is zero.
 
 `RADIUS` follows from the similarity: weighted Jaccard 0.8 is a cosine of at least 0.89, an angle of 27 degrees, 9.7 of 64 bits
-expected with a deviation of 2.9; 20 bits are over three and a half deviations away. Items with fewer than five words match nothing.
+expected with a deviation of 2.9; 20 bits are over three and a half deviations away. An item with fewer than five words is one shingle of
+all of them, found word for word in windows of as many words. Items without words match nothing.
 
 Documents are never shuffled. The items travel with the tasks in blocks of at most `ITEMS` items and `ITEM_WORDS` words; a longer
-benchmark takes one pass over the documents per block.
+benchmark takes one pass over the documents per block, and what a block found is stored before the next one's index is made.
 """
 
 import re
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import free_name, quoted
+from marquee.llm.common import free_name, quoted, stored
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -40,18 +41,27 @@ WORDS = re.compile(r"\w+")
 FOUND = "array<struct<item_id:long,window_start:int,window_words:int,distance:int,similarity:double>>"
 
 
-def shingles(text: str | None, width: int = WIDTH) -> tuple[int, np.ndarray]:
-    """Number of words, and one 64-bit hash per shingle."""
+def word_hashes(text: str | None) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
-    words = np.array([digest(w) for w in WORDS.findall((text or "").lower())], dtype=np.uint64)
-    if len(words) < width:
-        return len(words), np.empty(0, np.uint64)
+    return np.array([digest(w) for w in WORDS.findall((text or "").lower())], dtype=np.uint64)
+
+
+def runs(words: np.ndarray, width: int) -> np.ndarray:
+    """One 64-bit hash per run of `width` words."""
+    if not 0 < width <= len(words):
+        return np.empty(0, np.uint64)
     out = np.zeros(len(words) - width + 1, np.uint64)
     for i in range(width):
         out = out * np.uint64(0x9E3779B97F4A7C15) + words[i:len(words) - width + 1 + i]
     out ^= out >> np.uint64(29)  # low bits of a sum of products depend on low bits only
     out *= np.uint64(0xBF58476D1CE4E5B9)
-    return len(words), out ^ (out >> np.uint64(32))
+    return out ^ (out >> np.uint64(32))
+
+
+def shingles(text: str | None, width: int = WIDTH) -> tuple[int, np.ndarray]:
+    """Number of words, and one 64-bit hash per shingle."""
+    words = word_hashes(text)
+    return len(words), runs(words, width)
 
 
 def fingerprints(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -73,8 +83,12 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]], width: int, similarity: float, radius: int):
         self.width, self.similarity, self.radius = width, similarity, radius
         self.sizes: dict[int, list] = defaultdict(list)
+        self.short: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))  # by number of words, then by their hash
         for key, text in rows:
-            _, hashes = shingles(text, width)
+            words = word_hashes(text)
+            hashes = runs(words, width)
+            if 0 < len(words) < width:
+                self.short[len(words)][int(runs(words, len(words))[0])].append(key)
             if len(hashes):
                 self.sizes[len(hashes)].append((key, Counter(hashes.tolist()), fingerprints(hashes, len(hashes))[0]))
         held = {h for some in self.sizes.values() for _, weights, _ in some for h in weights}
@@ -102,13 +116,25 @@ class Items:
 
     def found(self, text: str | None) -> list[dict]:
         """The best window of each item that the text holds: highest similarity, then the first."""
-        words, hashes = shingles(text, self.width)
-        if not len(hashes) or not len(self.held):
-            return []
+        every = word_hashes(text)
+        words, hashes = len(every), runs(every, self.width)
+        best = {(-n, place): m for n, known in self.short.items() for place, m in enumerate(self._whole(every, n, known))}
+        if len(hashes) and len(self.held):
+            best |= self._best(words, hashes)
+        return sorted(best.values(), key=lambda x: (x["item_id"] is None, x["item_id"], x["window_start"]))
+
+    @staticmethod
+    def _whole(words: np.ndarray, n: int, known: dict[int, list]) -> list[dict]:
+        """The first place of each item of n words, fewer than a shingle's: its one shingle is all of them."""
+        distinct, first = np.unique(runs(words, n), return_index=True)
+        return [{"item_id": key, "window_start": int(at), "window_words": n, "distance": 0, "similarity": 1.0}
+                for h, at in zip(distinct.tolist(), first) if h in known for key in known[h]]
+
+    def _best(self, words: int, hashes: np.ndarray) -> dict[tuple, dict]:
         place = np.minimum(np.searchsorted(self.held, hashes), len(self.held) - 1)
         shared = np.concatenate([[0], np.cumsum(self.held[place] == hashes)])
         if not shared[-1]:
-            return []
+            return {}
         best: dict[tuple, dict] = {}
         for n, items in self.sizes.items():
             size = min(n, len(hashes))
@@ -127,7 +153,7 @@ class Items:
                         if similarity >= self.similarity and (not known or similarity > known["similarity"]):
                             best[n, item] = {"item_id": key, "window_start": start, "window_words": min(size + self.width - 1, words),
                                              "distance": int(distance), "similarity": similarity}
-        return sorted(best.values(), key=lambda x: (x["item_id"] is None, x["item_id"], x["window_start"]))
+        return best
 
 
 def blocks(items: DataFrame, most: int = ITEMS, most_words: int = ITEM_WORDS):
@@ -163,13 +189,14 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, similarity: flo
     out = docs.sparkSession.createDataFrame([], "doc_id LONG, item_id LONG, window_start INT, window_words INT, distance INT, similarity DOUBLE")
     for rows in blocks(items):
         found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(found_in(F.col("text"), rows, width, similarity, radius)).alias("m"))
-        out = out.union(found.select("doc_id", "m.*"))
+        out = out.union(stored(found.select("doc_id", "m.*"), "leaks"))
     return out
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The rows of `docs`, all columns, that hold no benchmark item."""
     mark = free_name(docs, "held")
-    for rows in blocks(items):
+    for number, rows in enumerate(blocks(items)):
+        docs = stored(docs, "clean") if number else docs
         docs = docs.withColumn(mark, F.size(found_in(F.col("text"), rows, width, similarity, radius))).where(quoted(mark) == 0).drop(mark)
     return docs

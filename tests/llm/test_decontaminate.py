@@ -10,17 +10,19 @@ import pytest
 from marquee.llm import decontaminate
 
 
-def grams(words):
-    return [tuple(words[i:i + 5]) for i in range(len(words) - 4)]
+def grams(words, width=5):
+    return [tuple(words[i:i + width]) for i in range(len(words) - width + 1)]
 
 
 def plain(rows, items, least=0.8):
     """(doc, item): some item-sized window's weighted Jaccard reaches `least`."""
     out = []
     for key, text in rows:
-        own = grams(re.findall(r"\w+", (text or "").lower()))
+        words = re.findall(r"\w+", (text or "").lower())
         for item, passage in items:
-            theirs = Counter(grams(re.findall(r"\w+", (passage or "").lower())))
+            asked = re.findall(r"\w+", (passage or "").lower())
+            width = min(5, len(asked)) or 5  # a shorter item is one shingle
+            own, theirs = grams(words, width), Counter(grams(asked, width))
             n = sum(theirs.values())
             if not n or not own or not theirs.keys() & set(own):
                 continue
@@ -71,7 +73,35 @@ def test_awkward_rows(spark):
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id LONG, text STRING, item_id INT")
     given = spark.createDataFrame(items, "item_id LONG, text STRING")
     assert got(docs, given) == plain(rows, items)
-    assert sorted((r.doc_id for r in decontaminate.without_leaks(docs, given).collect()), key=str) == [1, 2, 5, 7]
+    assert sorted((r.doc_id for r in decontaminate.without_leaks(docs, given).collect()), key=str) == [1, 2, 5]
+
+
+def test_short_items(spark):
+    """Items of one and four words are found word for word, and only so."""
+    items = [(1, "Zyzzyva"), (2, "four words stand here"), (3, "two  words"), (4, "..."), (5, "zyzzyva!")]
+    rows = [(1, "a zyzzyva flies"), (2, "here FOUR words, stand here today"), (3, "four words stand there"), (4, "two"), (5, "words two words two words"),
+            (6, "zyzzyvas"), (7, "four words stand here and two words and " + "more " * 50 + "zyzzyva"), (8, None), (None, "Two words")]
+    docs, given = spark.createDataFrame(rows, "doc_id LONG, text STRING"), spark.createDataFrame(items, "item_id LONG, text STRING")
+    assert got(docs, given) == plain(rows, items)
+    found = {(r.doc_id, r.item_id): (r.window_start, r.window_words, r.similarity) for r in decontaminate.leaks(docs, given).collect()}
+    assert found[2, 2] == (1, 4, 1.0) and found[5, 3] == (1, 2, 1.0)
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, given).collect()) == [3, 4, 6, 8]
+
+
+def test_fingerprints_of_similar_windows_are_within_the_radius():
+    """Recall of the search before verification, at similarities from 0.8 on: windows with words exchanged, held against brute force."""
+    rng, met, close = np.random.default_rng(9), 0, 0
+    for size in (8, 12, 30, 60, 120, 300):
+        for _ in range(300):
+            words = rng.integers(1 << 62, size=size, dtype=np.uint64)
+            other = words.copy()
+            other[rng.choice(size, rng.integers(1, max(2, size // 20)), replace=False)] = rng.integers(1 << 62, dtype=np.uint64)
+            a, b = decontaminate.runs(words, 5), decontaminate.runs(other, 5)
+            both = len(np.intersect1d(a, b))
+            if both / (2 * len(a) - both) >= 0.8:
+                met += 1
+                close += int(np.bitwise_count(decontaminate.fingerprints(a, len(a))[0] ^ decontaminate.fingerprints(b, len(b))[0]) <= decontaminate.RADIUS)
+    assert met > 200 and close >= 0.999 * met
 
 
 def test_empty(spark):
