@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm.common import checkpoint_root
+from marquee.llm.common import checkpoint_root, stored
 
 LEAST = 100
 END = "\r\n"
-#: Records in one file at most, so that a file stays small enough to be read by one task.
-FILE_RECORDS = 30_000
+#: (payload bytes from, pages of one file): a file holds 256 MB of payload at most, or one larger page, so that a task can read it.
+FILES = ((0, 4096), (1 << 16, 256), (1 << 20, 1))
 DATE = "2026-01-01T00:00:00Z"
 
 RECORD = ("kind STRING, record_id STRING, concurrent_to STRING, page_id LONG, target_uri STRING, refers_to LONG, "
@@ -48,15 +48,16 @@ def marked(pages: DataFrame, least: int = LEAST) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"),
                         F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html, 256).alias("payload_digest"))
-    shared = (rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest")
-              .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-              .where("copies > 1 AND first IS NOT NULL").drop("copies"))
+    shared = stored(rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest")
+                    .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+                    .where("copies > 1 AND first IS NOT NULL").drop("copies"), "shared")
     repeats = ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.join(shared, "payload_digest", "left").withColumn("refers_to", F.when(repeats, F.col("first"))).drop("first")
 
 
-def write_warc(pages: DataFrame, path: str, least: int = LEAST) -> None:
-    """Gzipped archives of three records per row of `pages` (page_id, url, html) in the folder `path`."""
+def write_warc(pages: DataFrame, path: str, least: int = LEAST, files: tuple = FILES) -> None:
+    """Gzipped archives of three records per row of `pages` (page_id, url, html) in the folder `path`. Pages are written by size, as many to
+    a file as `files` says for theirs."""
     uri = F.regexp_replace("url", r"[\x00-\x20]", "%20")
     host = F.regexp_extract(uri, "^[a-zA-Z]+://([^/?#]*)", 1)
     asked = F.regexp_extract(uri, "^[a-zA-Z]+://[^/?#]*([^#]*)", 1)
@@ -81,9 +82,11 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST) -> None:
     metadata = _record("metadata", [("WARC-Record-ID", name["metadata"]), ("WARC-Concurrent-To", name["response"]), *page,
                                     ("Content-Type", F.lit("application/warc-fields"))],
                        F.concat(F.lit("payload-bytes: "), F.col("payload_bytes").cast("string"), F.lit(END)))
-    records = made.select(F.explode(F.array(request, F.when(F.col("refers_to").isNull(), response).otherwise(revisit), metadata)))
-    (records.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS)
-     .text(path))
+    records = F.explode(F.array(request, F.when(F.col("refers_to").isNull(), response).otherwise(revisit), metadata))
+    for (size, count), (end, _) in zip(files, [*files[1:], (None, 0)]):
+        mine = (F.col("payload_bytes") >= size) & (F.col("payload_bytes") < end if end else F.lit(True))
+        (made.where(mine).select(records).write.mode("append").option("lineSep", END + END).option("compression", "gzip")
+         .option("maxRecordsPerFile", 3 * count).text(path))
 
 
 def parse(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:

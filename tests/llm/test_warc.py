@@ -69,3 +69,17 @@ def test_foreign_archives(spark, tmp_path):
     assert rows["<s>"].request is None and rows["<s>"].payload_bytes == 0
     with pytest.raises(ValueError):
         list(warc.parse(io.BytesIO(text[:-20].encode())))
+
+
+def test_large_pages_are_spread_over_files(spark, tmp_path):
+    """Pages of megabytes get files of their own; small ones share files up to their number."""
+    import gzip
+
+    rows = [(i, f"http://x/{i}", ("abcdefgh" * 140_000 + str(i)) if i < 4 else "y" * 70_000 + str(i) if i < 14 else f"small {i} " * 20) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING").coalesce(1)
+    path = str(tmp_path / "warc")
+    warc.write_warc(pages, path, files=((0, 10), (1 << 16, 3), (1 << 20, 1)))
+    counts = sorted(gzip.open(f).read().count(b"WARC-Type: response") + gzip.open(f).read().count(b"WARC-Type: revisit") for f in (tmp_path / "warc").glob("*.gz"))
+    assert counts == [1, 1, 1, 1, 1, 3, 3, 3, 6, 10, 10]
+    back = {r.page_id: r.payload_bytes for r in warc.captures(warc.read_records(spark, path)).collect()}
+    assert back == {i: len(html) for i, _, html in rows}
