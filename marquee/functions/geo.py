@@ -1,5 +1,7 @@
 """Geometry columns. A polygon is an array of rings, a ring an array of (x, y), the outer ring first."""
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,10 +50,14 @@ def geocode_key(address, venue_name) -> Column:
     return F.coalesce(_place_key(address), _place_key(venue_name))
 
 
+def replaced(c, steps: list[tuple[str, str]]) -> Column:
+    """The lower-cased text after (pattern, replacement) steps."""
+    return reduce(lambda text, step: F.regexp_replace(text, *step), steps, F.lower(F.coalesce(col(c), F.lit(""))))
+
+
 def street_key(c) -> Column:
     """A street address without city, ZIP and punctuation, suffixes in their shortest form."""
-    text = F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), r"(?s),?\s*chicago\b.*", "")
-    text = F.regexp_replace(F.regexp_replace(text, r"\b\d{5}(?:-\d{4})?\b", " "), "[^a-z0-9 ]", " ")
+    text = replaced(c, vocab.STREET_KEY)
     lookup = literal_map(vocab.STREET_SUFFIXES)
     words = F.split(collapse(text), " ")
     return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(lookup, w), w)), " ")
@@ -59,9 +65,7 @@ def street_key(c) -> Column:
 
 def park_key(c) -> Column:
     """A park name without what the other side leaves out."""
-    text = F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), r"\(.*?\)", " ")
-    text = F.regexp_replace(text, r"\b(park|playlot|playground|field ?house|th)\b", " ")
-    return collapse(F.regexp_replace(text, "[^a-z0-9 ]", " "))
+    return collapse(replaced(c, vocab.PARK_KEY))
 
 
 def canonical_place(name, aliases=vocab.PLACE_ALIASES) -> Column:

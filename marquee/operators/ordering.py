@@ -65,10 +65,11 @@ def dedupe_batch(batch: DataFrame, position: str = "position") -> DataFrame:
     return top_rows(keyed, ["_name", "_date", "_time"], [F.asc(position)], 1, "_n").drop("_name", "_date", "_time", "_n")
 
 
-def pick_per_category(ev: DataFrame, as_of, k: int = 3, seed: int = 0, pool: int = 60,
+def pick_per_category(ev: DataFrame, as_of, k: int = 3, seed: int = 0, pool: int | None = None,
                       priority=tuple(vocab.GREETING_CATEGORIES)) -> DataFrame:
-    """A few things soon, each of another kind: one pseudo-random pick per category among the head of the feed."""
-    head = feed_order(upcoming(ev, as_of).where(F.col("name").isNotNull()), as_of).limit(pool)
+    """A few things, each of another kind: one pseudo-random pick per category among the feed, or its first `pool` rows where that is given."""
+    feed = upcoming(ev, as_of).where(F.col("name").isNotNull())
+    head = feed_order(feed, as_of).limit(pool) if pool else feed
     fit = head.where(F.col("category").isin(list(priority)) & reads_like_title("name"))
     draw = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))))
     one = top_rows(fit, ["category"], [draw.asc(), F.asc("id")], 1, "_n").drop("_n")

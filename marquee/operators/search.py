@@ -19,10 +19,10 @@ PIECE = 3
 SALTS = 32
 
 
-def understand(queries: DataFrame, as_of, nb: DataFrame | None = None, text: str = "text") -> DataFrame:
-    """What each request asks for. With `nb` the places it names become filters and leave the keywords."""
+def understand(queries: DataFrame, as_of, nb: DataFrame | None = None, text: str = "text", most: int | None = None) -> DataFrame:
+    """What each request asks for. With `nb` the places it names become filters and leave the keywords, of which the first `most` count."""
     start, end = extract_window(text, as_of)
-    out = queries.withColumns({"keywords": extract_keywords(text), "concepts": concepts_in(text),
+    out = queries.withColumns({"keywords": extract_keywords(text, most), "concepts": concepts_in(text),
                                "window_start": start, "window_end": end})
     if nb is None:
         return out.withColumn("places", F.expr("CAST(array() AS ARRAY<STRING>)"))

@@ -47,8 +47,7 @@ def manifest_sql(rel):
 def venue_key_sql(c):
     """The venue key in DuckDB."""
     key = rf"regexp_replace(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9 ]+', '', 'g'), '\btheatre\b', 'theater', 'g'), '^the\s+', '')"
-    for _ in range(2):
-        key = rf"regexp_replace({key}, '\s*\b(il|illinois|chicago)\s*$', '')"
+    key = rf"regexp_replace({key}, '(?:\s*\b(?:il|illinois|chicago))+\s*$', '')"
     return rf"trim(regexp_replace({key}, '\s+', ' ', 'g'))"
 
 

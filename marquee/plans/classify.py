@@ -62,7 +62,7 @@ def labels_ctes(rel, title, fallback, hint, out):
 {out}_4 AS (SELECT *, list_filter(list_transform(list_concat([_primary], _named, CASE WHEN _fall <> '' AND NOT _over
     AND (_fall <> 'Events' OR _primary IS NOT DISTINCT FROM _fall) THEN [_fall] ELSE {NO_LIST} END), lambda l: {norm_sql('l')}), lambda l: l IS NOT NULL) AS _clean FROM {out}_3),
 {out} AS (SELECT * EXCLUDE (_fall, _rule, _text, _named, _ruled, _primary, _over, _clean),
-  CASE WHEN _primary = 'Sports' AND _primary IS DISTINCT FROM _fall THEN ['Sports'] ELSE {distinct_sql('_clean')}[1:3] END AS labels FROM {out}_4)"""
+  CASE WHEN _primary = 'Sports' AND _primary IS DISTINCT FROM _fall THEN ['Sports'] ELSE {distinct_sql('_clean')} END AS labels FROM {out}_4)"""
 
 
 def parents_sql(x):

@@ -53,7 +53,7 @@ ORACLES = {
     "dedupe_batch": listing_query(f""", b AS (SELECT id AS position, {BATCH_NAME} AS name, strftime(date, '%Y-%m-%d') AS date_text, time FROM repeated)
         SELECT position, name, date_text, time FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(name)), coalesce(date_text, ''),
         lower(trim(coalesce(time, ''))) ORDER BY position) AS n FROM b) WHERE n = 1""", REPEATED),
-    "pick_per_category": listing_query(rf""", head AS (SELECT * FROM listings WHERE {UP} ORDER BY {FEED_DAY} NULLS LAST, lower(name), id LIMIT 60),
+    "pick_per_category": listing_query(rf""", head AS (SELECT * FROM listings WHERE {UP}),
         fit AS (SELECT *, list_position([{', '.join(q(c) for c in vocab.GREETING_CATEGORIES)}], category) AS priority FROM head
           WHERE length(trim(name)) BETWEEN 4 AND 44 AND contains(trim(name), ' ') AND regexp_matches(trim(name), '^[\p{{L}}\p{{Nd}}]')
           AND {no_match('trim(name)', [vocab.TITLE_LEAD_WORDS, vocab.TITLE_STATUS])})

@@ -142,7 +142,7 @@ def keywords_sql(t):
     words = f"string_split(trim(regexp_replace(lower({t}), '\\s+', ' ', 'g')), ' ')"
     bare = f"list_transform({words}, lambda w: regexp_replace(regexp_replace(w, {_EDGE}, '', 'g'), {_ENDING}, '\\1'))"
     stop = ", ".join(q(w) for w in vocab.STOP_WORDS)
-    return f"{distinct_sql(f'list_filter({bare}, lambda w: length(w) > 2 AND NOT list_contains([{stop}], w))')}[1:5]"
+    return f"{distinct_sql(f'list_filter({bare}, lambda w: length(w) > 2 AND NOT list_contains([{stop}], w))')}"
 
 
 def window_sql(t, clock, day):

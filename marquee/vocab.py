@@ -69,7 +69,6 @@ UNINFORMATIVE = ["events", "miscellaneous", "other", "uncategorized"]
 PLACEHOLDER = "undefined"
 GENERIC_CATEGORY = "Events"
 GENERIC_PARENT = "Other"
-MAX_LABELS = 3
 JUNK_CATEGORIES = ["undefined", "miscellaneous", "events", "other", "online search"]
 CATEGORY_DATE_PATTERNS = [
     r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)",
@@ -93,16 +92,17 @@ TITLE_RULES = [
 ]
 
 # --- Fixed values: query language ---------------------------------------------------------------------
-STOP_WORDS = (
-    "whats wheres whos hows thats dont doesnt didnt cant wont isnt arent im ive ill id youre its lets theres "
-    "heres who how the a an and or is are in on at this that these those what when where why find get search "
-    "show tell give all want looking events event i to for any chicago city illinois windy area town region "
-    "like would see me my please can could need there some something anything know about happening going got "
-    "have has near around list today tonight tomorrow weekend week month year next upcoming soon now weekends "
-    "nights night"
-).split()
+STOP_WORDS = [
+    "whats", "wheres", "whos", "hows", "thats", "dont", "doesnt", "didnt", "cant", "wont", "isnt", "arent", "im",
+    "ive", "ill", "id", "youre", "its", "lets", "theres", "heres", "who", "how", "the", "a", "an", "and", "or",
+    "is", "are", "in", "on", "at", "this", "that", "these", "those", "what", "when", "where", "why", "find", "get",
+    "search", "show", "tell", "give", "all", "want", "looking", "events", "event", "i", "to", "for", "any",
+    "chicago", "city", "illinois", "windy", "area", "town", "region", "like", "would", "see", "me", "my", "please",
+    "can", "could", "need", "there", "some", "something", "anything", "know", "about", "happening", "going", "got",
+    "have", "has", "near", "around", "list", "today", "tonight", "tomorrow", "weekend", "week", "month", "year",
+    "next", "upcoming", "soon", "now", "weekends", "nights", "night",
+]
 CONTRACTIONS = ["'s", "'ll", "'re", "'ve", "'d", "'m", "n't", "'t"]
-MAX_KEYWORDS = 5
 
 # --- Fixed values: place names ------------------------------------------------------------------------
 PLACE_ALIASES = {
@@ -296,3 +296,8 @@ SECTION_HEADINGS = [
 PICKER_LEADS = ["today ", "tomorrow ", "this week", "this month"]
 TITLE_CUT = r"\s*[►▶‣]\s*|\s+DATE:\s*|\s+TIME:\s*"
 GLUED_WEEKDAY = r"(?:Mon|Tues?|Wed(?:nes)?|Thu(?:rs)?|Fri|Sat(?:ur)?|Sun)(?:day)?\.?$"
+
+# --- Fixed values: keys that names and addresses meet on, as (pattern, replacement) steps ----------------
+VENUE_KEY = [(r"[^a-z0-9 ]+", ""), (r"\btheatre\b", "theater"), (r"^the\s+", ""), (r"(?:\s*\b(?:il|illinois|chicago))+\s*$", "")]
+STREET_KEY = [(r"(?s),?\s*chicago\b.*", ""), (r"\b\d{5}(?:-\d{4})?\b", " "), (r"[^a-z0-9 ]", " ")]
+PARK_KEY = [(r"\(.*?\)", " "), (r"\b(park|playlot|playground|field ?house|th)\b", " "), (r"[^a-z0-9 ]", " ")]

@@ -92,7 +92,9 @@ def test_labels(spark):
              ("Sewing Class", "Music", None, "Arts & Crafts;Community"), ("Unclear", "Events", None, "Events"),
              ("The big game", "Events", None, "Sports"), ("Yoga and jazz lecture", "Events", "film", "Music;Film;Health & Wellness")]
     rows = spark.createDataFrame(cases, "title STRING, fallback STRING, hint STRING, want STRING")
-    out = L.with_labels(rows, "title", "fallback", "hint").collect()
+    out = L.with_labels(rows, "title", "fallback", "hint", most=3).collect()
+    whole = {r["title"]: r["labels"] for r in L.with_labels(rows, "title", "fallback", "hint").collect()}
+    assert whole["Yoga and jazz lecture"][:3] == ["Music", "Film", "Health & Wellness"] and len(whole["Yoga and jazz lecture"]) > 3
     assert [(r["title"], ";".join(r["labels"])) for r in out] == [(c[0], c[3]) for c in cases]
 
 
@@ -151,7 +153,8 @@ def test_windows(answers):
 
 def test_keywords(answers):
     got = answers(lambda t: F.array_join(Q.extract_keywords(t), " "), ["What's on? Jazz, jazz & 'blues'!", "I don't want the city", "a b cd", "one two three four five six"])
-    assert got == ["jazz blues", "", "", "one two three four five"]
+    assert got == ["jazz blues", "", "", "one two three four five six"]
+    assert answers(lambda t: F.array_join(Q.extract_keywords(t, 5), " "), ["one two three four five six"]) == ["one two three four five"]
 
 
 def test_injection(answers):
