@@ -8,7 +8,7 @@ QUERIES, ORACLES = registry.queries(), registry.oracles()
 
 # Queries whose core reads a document of unknown depth or multiplies matrices, on Arrow batches.
 PYTHON = {"page_price", "pages_embedded_state_events", "pages_dated_blocks", "read_pages", "semantic_category",
-          "hybrid_category", "nearest", "semantic_candidates"}
+          "hybrid_category", "classifier_scores", "classifier_sweep", "classifier_errors", "nearest", "semantic_candidates"}
 # Streams and written results are read back from files; their plans say nothing about the operator.
 WRITTEN = {n for n in QUERIES if n.startswith("stream_")} | {
     "write_catalog", "copy_tables", "coerce_table", "read_catalog", "read_whole_catalog", "catalog_rejects", "copy_catalog", "merge_venue_batch", "insert_only", "get_or_create_dim",
