@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from marquee.functions.text import col
 
-#: Requests or exemplars of one block, rows of an index in one, and the shares blocks meet in.
+#: Requests or exemplars of one block, and rows of an index in one.
 BLOCK = 1024
 ROWS = 4096
-SHARES = 16
 
 
 def dot(a, b) -> Column:
@@ -48,23 +47,37 @@ def _batch_matrix(column: pa.Array) -> np.ndarray:
 
 
 def packed(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """(ids, matrix): up to `size` rows of (key, embedding) in one, the vectors at unit length."""
+    """(ids, matrix): `size` rows of (key, embedding) in one, the vectors at unit length. A task fills blocks over its batches and input
+    files, so it leaves one smaller block at most."""
     def pack(batches):
+        def block():
+            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([np.concatenate(parts).tobytes()], pa.binary())],
+                                              names=["ids", "matrix"])
+
+        ids, parts = [], []
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([_batch_matrix(part.column(1)).tobytes()], pa.binary())],
-                    names=["ids", "matrix"])
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, size - len(ids))
+                ids += part.column(0).to_pylist()
+                parts.append(_batch_matrix(part.column(1)))
+                at += part.num_rows
+                if len(ids) == size:
+                    yield block()
+                    ids, parts = [], []
+        if ids:
+            yield block()
 
     return rows.where(F.col("embedding").isNotNull()).select(F.col(key).cast("bigint"), "embedding").mapInArrow(pack, "ids ARRAY<BIGINT>, matrix BINARY")
 
 
 def block_pairs(rows: DataFrame, others: DataFrame) -> DataFrame:
-    """Every block of `rows` with every block of `others` (other_ids, other_matrix): blocks meet in the shares of the first."""
-    shares = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share")
-    told = others.select(F.col("ids").alias("other_ids"), F.col("matrix").alias("other_matrix"), shares)
-    return rows.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(SHARES)).cast("int")).join(told, "share").drop("share")
+    """Every block of `rows` with every block of `others` (other_ids, other_matrix): blocks meet in shares of the first, as many as the
+    session has shuffle partitions."""
+    shares = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")
+    told = others.select(F.col("ids").alias("other_ids"), F.col("matrix").alias("other_matrix"), dealt)
+    return rows.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int")).join(told, "share").drop("share")
 
 
 def _pairs_of(batches):

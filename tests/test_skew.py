@@ -169,6 +169,21 @@ def test_any_number_of_exemplars(spark):
     assert {r["id"]: r["parent"] for r in out.collect()} == {i: f"p{b}" for i, b in enumerate(best)} and best[0] == 3
 
 
+def test_blocks_are_filled_over_batches(spark):
+    """Small batches and files make no small blocks, and every row is in one."""
+    rows = spark.range(5000).selectExpr("id", "array(CAST(id AS DOUBLE), 1.0D) AS embedding").coalesce(2)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        blocks = vectors.packed(rows, "id", 1000).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(i for b in blocks for i in b["ids"]) == list(range(5000)) and len(blocks) <= 6
+    for b in blocks:
+        matrix = np.frombuffer(b["matrix"]).reshape(len(b["ids"]), 2)
+        assert np.allclose(matrix[:, 0], [i / np.hypot(i, 1) for i in b["ids"]])
+
+
 def test_places_longest_first_and_consuming(spark):
     names = ["Loop", "West Loop", "Lake View", "Near South Side", "River North", "Streeterville", "O'Hare", "North Park"]
     nb = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id BIGINT, name STRING")
