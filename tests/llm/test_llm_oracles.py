@@ -9,7 +9,7 @@ from marquee.llm import queries
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_query(name, spark, sf_dir):
     con = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     cursor = con.execute(queries.ORACLES[name])
     names = [d[0] for d in cursor.description]
