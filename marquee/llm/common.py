@@ -145,7 +145,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         large = tidy(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(tidy(small.union(low.select("u", F.col("m").alias("v")))), "links")
+        old, edges = edges, stored(tidy(small.union(low.select("u", F.col("m").alias("v")))), "links")
+        forget(old)
         after = _state(edges)
         if after == before:
             break

@@ -142,13 +142,14 @@ def _verified(docs: DataFrame, row: Column, sets: DataFrame, pairs: DataFrame, s
     texts = seen.select("turn", "row", "no", "mark", hashes.alias("words"))
     held = stored(places.join(texts, ["turn", "row", "no", "mark"]).groupBy("id").agg(F.first("words").alias("words")), "held")
     late, early = held.select(F.col("id").alias("late"), F.col("words").alias("x")), held.select(F.col("id").alias("early"), F.col("words").alias("y"))
-    met, found = F.size(F.array_intersect("x", "y")), []
+    met, parts = F.size(F.array_intersect("x", "y")), []
     for turn in range(PASSES):
         mine = pairs.select("late", "early").where(F.pmod(F.xxhash64("late"), F.lit(PASSES)) == turn)
-        found.append(stored(mine.join(late, "late").join(early, "early").where(met * (above + below) >= (F.size("x") + F.size("y")) * above)
-                            .select(F.col("late").alias("id")).distinct(), name))
-    forget(places, held)
-    return reduce(DataFrame.union, found)
+        parts.append(stored(mine.join(late, "late").join(early, "early").where(met * (above + below) >= (F.size("x") + F.size("y")) * above)
+                            .select(F.col("late").alias("id")).distinct(), f"{name}_part"))
+    out = stored(reduce(DataFrame.union, parts), name)
+    forget(places, held, *parts)
+    return out
 
 
 def repeats(docs: DataFrame, row: Column, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -202,7 +203,9 @@ def repeats(docs: DataFrame, row: Column, sets: DataFrame, similarity: tuple[int
     forget(pairs, likeliest)
     last = _verified(docs, row, sets, rest, similarity, "last")
     forget(rest)
-    return settled.union(more).union(last).distinct()
+    out = stored(settled.union(more).union(last).distinct(), "repeats")
+    forget(settled, more, last)
+    return out
 
 
 def _code(no: Column, mark: Column) -> Column:
@@ -219,7 +222,9 @@ def without_repeats(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, b
     row, key, kept, lines = (free_name(docs, name) for name in ("row_of", "kept_of", "kept_lines", "text_lines"))
     columns, docs = docs.columns, numbered(docs, row)
     sets = stored(token_sets(docs, quoted(row), similarity, buckets), "sets")
-    stay = sets.select("id", "turn", "row", "no", "mark").join(repeats(docs, quoted(row), sets, similarity), "id", "left_anti")
+    repeated = repeats(docs, quoted(row), sets, similarity)
+    stay = stored(sets.select("id", "turn", "row", "no", "mark").join(repeated, "id", "left_anti"), "stay")
+    forget(sets, repeated)
     of_row = (stay.groupBy("turn", "row").agg(F.collect_list(_code(F.col("no"), F.col("mark"))).alias(kept))
               .select(F.struct("turn", "row").alias(key), quoted(kept)))
     joined = (docs.join(of_row, (_turn() == quoted(key)["turn"]) & (quoted(row) == quoted(key)["row"]), "left")

@@ -110,7 +110,7 @@ def verified(texts: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, si
 
 
 def links(texts: DataFrame, rows: DataFrame, sets: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
-    """(a, b): pairs of similar sets, enough to connect all that is connected."""
+    """(a, b): pairs of similar sets, enough to connect all that is connected, stored."""
     every = rows.select("set", "n", F.posexplode("prefix").alias("at", "token"))
     crowds = every.groupBy("token").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low < high")
     crowds = stored(crowds.select("token", F.col("low").alias("head")), "crowds")
@@ -148,7 +148,10 @@ def links(texts: DataFrame, rows: DataFrame, sets: DataFrame, width: int, simila
             .join(tried, ["a", "b"], "left_anti"))
     rest = stored(rest, "rest")
     forget(placed, tried)
-    return known.union(verified(texts, sets, rest, width, similarity))
+    more = verified(texts, sets, rest, width, similarity)
+    out = stored(known.union(more), "linked")
+    forget(rest, known, more)
+    return out
 
 
 def keep_first(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -162,10 +165,12 @@ def keep_first(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int]
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     sets = stored(rows.groupBy("set").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"),
                                           F.first("sketch").alias("sketch")), "sets")
-    roots = components(links(texts.select("row", "text"), rows, sets, width, similarity), "a", "b")
+    linked = links(texts.select("row", "text"), rows, sets, width, similarity)
+    roots = components(linked, "a", "b")
     grouped = (sets.join(roots, F.col("set") == F.col("node"), "left")
                .select("set", "first", F.coalesce("root", "set").alias("root")))
     best = grouped.groupBy("root").agg(F.min("first").alias("best"))
     kept = grouped.join(best, "root").select("set", F.col("best.row").alias("kept"))
-    gone = rows.join(kept, "set").where("row <> kept").select("row")
+    gone = stored(rows.join(kept, "set").where("row <> kept").select("row"), "gone")
+    forget(rows, sets, linked)
     return numbered.join(gone, quoted(row) == F.col("row"), "left_anti").select(*[quoted(c) for c in docs.columns])
