@@ -11,8 +11,8 @@ whether that earlier line stays or not. Lines without tokens stay.
    token, under the length filter, the positional filter (tokens left after this one must suffice) and a parity filter:
    64 bits, each turned over by every token that falls on it, differ in no more bits than the sets do in tokens.
 4. Pairs are verified on all their tokens (64 bits of each), read from the texts again; only lines that a fixed-size bitmap of the wanted ones lets through are read.
-   A first round holds each set only against the first and the nearest of those it meets under its rarest token, so of a crowd of
-   similar lines most are settled in proportion to their number. Then what is left is joined with all sets, which finds every match.
+   A first round holds each set only against the likeliest of the first and the nearest ones it meets under its rarest tokens (the very
+   rarest may be its own), so of a crowd of similar lines most are settled in proportion to their number. Then what is left is joined with all sets, which finds every match.
 
 A token's rows may be many: joins on tokens are split by AQE, and nothing collects them.
 """
@@ -30,7 +30,7 @@ BUCKETS = 1 << 16
 #: Bits of the map of wanted lines, in words of 64.
 MAP_BITS = 1 << 21
 #: Rarest tokens and neighbours of the first round.
-ANCHOR_TOKENS, ANCHORS = 1, 2
+ANCHOR_TOKENS, ANCHORS = 3, 2
 #: Shares of the pairs that are verified one after the other, to bound what is shuffled at a time.
 PASSES = 3
 #: The turn of lines without doc_id.
@@ -156,7 +156,7 @@ def repeats(docs: DataFrame, row: Column, sets: DataFrame, similarity: tuple[int
     """The ids of `sets` that an earlier set is similar to. Sets that begin at the same place, in rows that share a doc_id, do not
     repeat each other.
 
-    Three rounds, each with what the ones before it left: the neighbours under the rarest token; of all pairs that pass the filters, each
+    Three rounds, each with what the ones before it left: the likeliest neighbour under the rarest tokens; of all pairs that pass the filters, each
     set's likeliest partner (fewest bits of parity apart); all other pairs.
     """
     place = F.struct("turn", "row", "no")
@@ -168,7 +168,9 @@ def repeats(docs: DataFrame, row: Column, sets: DataFrame, similarity: tuple[int
                 .select("id", place.alias("place"), "n", "at", "parity", F.explode("others").alias("other"))
                 .where(F.struct("other.turn", "other.row", "other.no") < F.col("place"))
                 .where(_may_match(F.col, lambda c: F.col(f"other.{c}"), similarity)))
-    pairs = stored(anchored.select(F.col("id").alias("late"), F.col("other.id").alias("early")).distinct(), "anchored")
+    bits = F.bit_count(F.col("parity").bitwiseXOR(F.col("other.parity")))
+    pairs = stored(anchored.select(F.col("id").alias("late"), F.col("other.id").alias("early"), bits.alias("bits"))
+                   .groupBy("late").agg(F.min_by("early", F.struct("bits", "early")).alias("early")), "anchored")
     settled = _verified(docs, row, sets, pairs, similarity, "settled")
     forget(pairs)
 
