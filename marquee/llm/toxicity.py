@@ -14,11 +14,12 @@ by Spark over the sample. The driver sees a matrix of at most 2 * ROWS by FEATUR
 
 import math
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.common import free_name, per_process, quoted, stored
@@ -142,10 +143,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], rows: int =
     shares = {r[0]: r[1] for r in clean.groupBy(categories[0]).count().collect()}
     if not {0, 1} <= set(shares):
         return None
-    order = Window.partitionBy(categories[0]).orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = clean.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows)
+    turned = clean.withColumn("turn", F.xxhash64("doc_id"))
+    # a sorted limit per class keeps `rows` in every task, before anything is shuffled
+    drawn = reduce(DataFrame.union, [turned.where(F.col(categories[0]) == c).orderBy("turn", "doc_id").limit(rows) for c in sorted(shares)])
     sample = stored(docs.select(F.col("doc_id"), "text").join(F.broadcast(drawn), "doc_id")  # at most 2 * rows ids
-                    .groupBy("doc_id", "place", *categories).agg(F.min("text").alias("text")), "labelled")
+                    .groupBy("doc_id", "turn", *categories).agg(F.min("text").alias("text")), "labelled")
 
     @F.pandas_udf("array<long>")
     def held(texts: pd.Series) -> pd.Series:
@@ -170,8 +172,13 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], rows: int =
     def places(texts: pd.Series) -> pd.Series:
         return pd.Series([{place[f]: n for f, n in text_features(t).items() if f in place} for t in texts])
 
-    found = sample.select("doc_id", "place", *categories, places("text").alias("at")).collect()
-    found.sort(key=lambda r: (r["place"], r["doc_id"]))
+    found = sample.select("doc_id", "turn", *categories, places("text").alias("at")).collect()
+    found.sort(key=lambda r: (r["turn"], r["doc_id"]))
+    seen, order = Counter(), {}
+    for r in found:  # the first of each class, then the second of each
+        order[r["doc_id"]] = seen[r[categories[0]]]
+        seen[r[categories[0]]] += 1
+    found.sort(key=lambda r: (order[r["doc_id"]], r["doc_id"]))
     values = np.zeros((len(found), len(names)))
     for i, r in enumerate(found):
         values[i, list(r["at"])] = list(r["at"].values())
