@@ -114,8 +114,7 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").selectExpr(
         "conv_id * 100 + turn AS id", "conv_id AS thread_id", "turn", "role", "text AS content",
         "CAST(floor(length(text) / 4) AS INT) AS token_count",
-        """CAST(concat('2024-01-', lpad(CAST(1 + conv_id % 28 AS STRING), 2, '0'), ' ',
-           lpad(CAST(turn AS STRING), 2, '0'), ':00:00') AS TIMESTAMP_NTZ) AS created_at""")
+        "make_timestamp_ntz(2024, 1, CAST(1 + conv_id % 28 AS INT), 0, 0, 0) + make_dt_interval(0, CAST(turn AS INT)) AS created_at")
 
 
 def chat_threads(spark: SparkSession, sf_dir: str) -> DataFrame:

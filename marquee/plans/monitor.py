@@ -23,8 +23,8 @@ DELAY_MINUTES = 10
 
 
 def _stream(s, d, name):
-    schema = table(s, d, name).schema
-    return s.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    """A table as a file stream, whether it is one file or a folder of them: only a path with a pattern may be either."""
+    return s.readStream.schema(table(s, d, name).schema).parquet(f"{d}/{name}.[p]arquet")
 
 
 def _stream_session(s):
@@ -49,7 +49,7 @@ def _message_columns(rows):
     return rows.selectExpr(
         "conv_id * 100 + turn AS id", "conv_id % 7 AS thread_id", "role", f"concat({LEAD.format(id='(conv_id * 100 + turn)')}, text) AS content",
         "CAST(floor(length(text) / 4) AS INT) AS token_count",
-        """CAST(concat('2024-01-', lpad(CAST(1 + conv_id % 28 AS STRING), 2, '0'), ' ', lpad(CAST(turn AS STRING), 2, '0'), ':00:00') AS TIMESTAMP) AS created_at""")
+        "make_timestamp(2024, 1, CAST(1 + conv_id % 28 AS INT), 0, 0, 0) + make_dt_interval(0, CAST(turn AS INT)) AS created_at")
 
 
 def _session_stream(s, d):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marquee import vocab
 from marquee.operators.safety import rate_limit
+from marquee.plans.monitor import QUERIES
 from marquee.session import SETTINGS
 from marquee.streaming import jobs as T
 from marquee.streaming import state as ST
@@ -152,3 +153,14 @@ def test_hours_are_summed_before_sessions(own, tmp_path):
     stream = own.readStream.schema(frame(own, messages()[:1]).schema).parquet(str(tmp_path / "in")).withWatermark("created_at", "10 minutes")
     plan = ST.stream_sessions(stream)._jdf.queryExecution().analyzed().toString()
     assert "TransformWithStateInPySpark" in plan and "Aggregate [window#" in plan
+
+
+@pytest.mark.parametrize("name", ["stream_budget", "stream_rate_limit", "stream_sessions"])
+def test_a_stream_reads_a_table_in_one_file_and_in_a_folder_of_files(spark, sf_dir, tmp_path, name):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("text", F.repeat("text", F.lit(40)))
+    rows = rows.unionByName(rows.withColumn("turn", F.col("turn") + 30))  # later than the day's last hour
+    (tmp_path / "file").mkdir()
+    rows.toPandas().to_parquet(tmp_path / "file" / "conversations.parquet")
+    rows.repartition(3).write.parquet(f"{tmp_path}/folder/conversations.parquet")
+    whole, dealt = (sorted(QUERIES[name](spark, f"{tmp_path}/{d}").collect()) for d in ("file", "folder"))
+    assert whole and whole == dealt
