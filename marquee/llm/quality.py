@@ -1,25 +1,30 @@
 """Quality by hierarchical empirical Bayes: a document's own evidence, its host and its path within the host.
 
-Evidence. A logistic model over counts taken from the whole text gives each document a probability of being good. It is
-fitted on at most `ROWS` labelled rows, those with the smallest hash of doc_id.
+Evidence. A logistic model over counts taken from the whole text gives each document a probability of being good. Spark fits it
+on all labelled documents; the counts are taken once and stored.
 
 Sites. A host's share of good documents has a Beta prior with the mean of all documents; a path's has one with its host's
 posterior as mean. Each prior's strength (how many documents it counts as) is estimated by moments from how much the groups
 differ beyond what their sizes explain, so sparse hosts and paths shrink towards the level above them. All sums are
 grouped aggregates over all documents. A document's posterior log-odds are its evidence plus what its path (without the document itself)
-says beyond the overall mean. The threshold keeps the share `KEEP` of the labelled good documents of the sample.
+says beyond the overall mean. The threshold keeps the share `KEEP` of all labelled good documents.
 """
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.common import free_name, quoted, stored
-from marquee.llm.toxicity import fit_linear, predict
+from marquee.llm.toxicity import predict
 
-ROWS = 10_000
 KEEP = 0.99
+#: Weight of the model's ridge penalty, as rows.
+RIDGE = 1.0
+#: How many measures there are, and how many deviations from the mean count.
+MEASURES, FAR = 11, 8.0
 #: A prior counts as at least and at most so many documents.
 STRENGTH = (1.0, 1e6)
 
@@ -33,7 +38,7 @@ def measures(text: str | None) -> list[float]:
     """Counts of a text, as shares and logarithms; all zero for a text without words."""
     words = (text or "").split()
     if not words:
-        return [0.0] * 11
+        return [0.0] * MEASURES
     data, n = text.encode("utf-8", "surrogatepass"), len(words)
 
     def share(characters: bytes) -> float:
@@ -56,30 +61,40 @@ def evidence(text: Column) -> Column:
 class Evidence:
     """A fitted model: features are centred and scaled, then weighed."""
 
-    def __init__(self, values: np.ndarray, truth: np.ndarray):
-        self.middle, self.scale = values.mean(axis=0), values.std(axis=0) + 1e-9
-        self.model = fit_linear(self._known(values), truth.astype(float), np.ones(len(values)), ridge=1.0, steps=25)
-
-    def _known(self, values):
-        z = np.clip((values - self.middle) / self.scale, -8, 8)
-        return np.hstack([z, z ** 2])
+    def __init__(self, middle: np.ndarray, scale: np.ndarray, model: np.ndarray):
+        self.middle, self.scale, self.model = middle, scale, model
 
     def probability(self, values: np.ndarray) -> np.ndarray:
-        return np.clip(predict(self.model, self._known(values)), 1e-6, 1 - 1e-6)
+        z = np.clip((values - self.middle) / self.scale, -FAR, FAR)
+        return np.clip(predict(self.model, np.hstack([z, z ** 2])), 1e-6, 1 - 1e-6)
+
+
+def agreed(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) of all documents whose labels agree."""
+    return (labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id")
+            .agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most"))
+
+
+def train(measured: DataFrame, known: DataFrame) -> Evidence | None:
+    """The model, fitted on every row of `measured` (doc_id, measures) that `known` has a label for, an id's repeats once. None without
+    labels of both classes."""
+    rows = stored(measured.join(known, "doc_id").groupBy("doc_id", "quality").agg(F.min("measures").alias("measures")), "labelled")
+    good = (F.col("quality") == 1).cast("double")
+    told = rows.agg(F.count(F.lit(1)), F.min(good), F.max(good), *[
+        f(F.col("measures")[i]) for f in (F.avg, F.stddev_pop) for i in range(MEASURES)]).first()
+    if told[1] is None or told[1] == told[2]:
+        return None
+    middle, scale = np.array(told[3:3 + MEASURES]), np.array(told[3 + MEASURES:]) + 1e-9
 
+    def fixed(values: np.ndarray) -> Column:
+        return F.array(*[F.lit(float(v)) for v in values])
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[Evidence | None, DataFrame]:
-    """The model, and the sample it was fitted on (doc_id, quality). No model without labels of both classes."""
-    clean = (labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id")
-             .agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most"))
-    drawn = clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = (docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "quality")  # at most `rows` ids
-              .agg(F.min("text").alias("text")).select("doc_id", "quality", evidence(F.col("text")).alias("measures")))
-    found = sorted(sample.collect(), key=lambda r: r["doc_id"])
-    truth = np.array([r["quality"] for r in found])
-    if len(set(truth.tolist())) < 2:
-        return None, drawn
-    return Evidence(np.array([r["measures"] for r in found]), truth), drawn
+    z = F.transform(F.arrays_zip(F.col("measures").alias("x"), fixed(middle).alias("m"), fixed(scale).alias("s")),
+                    lambda v: F.least(F.greatest((v["x"] - v["m"]) / v["s"], F.lit(-FAR)), F.lit(FAR)))
+    features = rows.select(good.alias("label"), z.alias("z")).select(
+        "label", array_to_vector(F.concat("z", F.transform("z", lambda x: x * x))).alias("features"))
+    fitted = LogisticRegression(maxIter=100, regParam=RIDGE / told[0], standardization=False, tol=1e-9).fit(features)
+    return Evidence(middle, scale, np.append(fitted.coefficients.toArray(), fitted.intercept))
 
 
 def strength(groups: DataFrame, mean: Column) -> float:
@@ -113,14 +128,17 @@ def posteriors(docs: DataFrame, labels: DataFrame, host: str = "source", path: s
     Null hosts and paths are groups of their own; null and empty texts have the evidence the model gives to no words; repeated rows
     count as often as they come; null ids stay. Without labels of both classes every evidence is one half and everything is kept.
     """
-    model, drawn = train(docs, labels)
+    known = agreed(labels)
+    rows = stored(docs.select("doc_id", quoted(host).cast("string").alias("host"), quoted(path).cast("string").alias("path"),
+                              evidence(F.col("text")).alias("measures")), "measured")
+    model = train(rows.select("doc_id", "measures"), known)
 
     @F.pandas_udf("double")
     def probability(values: pd.Series) -> pd.Series:
         return pd.Series(model.probability(np.stack(values.to_list())) if len(values) else [], dtype=float)
 
-    p = probability(evidence(F.col("text"))) if model else F.lit(0.5)
-    scored = stored(docs.select("doc_id", quoted(host).cast("string").alias("host"), quoted(path).cast("string").alias("path"), p.alias("p")), "scored")
+    p = probability(F.col("measures")) if model else F.lit(0.5)
+    scored = stored(rows.select("doc_id", "host", "path", p.alias("p")), "scored")
     sites, mean, _, of_path = site_posteriors(scored)
     sites = sites.select(F.col("host").alias("h"), F.col("path").alias("q"), "n", "total", "host_posterior")
     joined = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
@@ -135,7 +153,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, host: str = "source", path: s
                         (1 / (1 + F.exp(-together))).alias("posterior"))
     cut = 0.0
     if model:
-        good = out.join(F.broadcast(drawn.where("quality = 1").select("doc_id")), "doc_id", "left_semi")
+        good = out.join(known.where("quality = 1").select("doc_id"), "doc_id", "left_semi")
         cut = good.agg(F.percentile_approx("posterior", 1 - keep, 100_000)).first()[0] or 0.0
     return out.withColumn("keep", F.col("posterior") >= cut)
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marquee.llm import quality
+from marquee.llm.toxicity import fit_linear, predict
 
 LARGER = "/root/testdata/sf0.1"
 
@@ -67,3 +68,18 @@ def test_without_labels_everything_is_kept(spark):
     for some in (labels, labels.limit(0)):
         assert {(r.evidence, r.keep) for r in quality.posteriors(docs, some).collect()} == {(0.5, True)}
     assert quality.posteriors(docs.limit(0), labels).collect() == []
+
+
+def test_every_labelled_document_counts(spark):
+    # 12,000 labelled documents of one kind, and 300 of another that are all bad: left out of a sample or not, each must move the fit
+    rows = spark.range(12_300).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 12_000, F.concat(F.lit("Plain words stand here "), F.col("id").cast("string")))
+                                      .otherwise(F.lit("$$$ ||| !!")).alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang"))
+    labels = rows.select("doc_id", F.when(F.col("doc_id") < 12_000, (F.col("doc_id") % 5 > 0).cast("int")).otherwise(0).alias("quality"))
+    measured = rows.select("doc_id", quality.evidence(F.col("text")).alias("measures"))
+    model = quality.train(measured, quality.agreed(labels))
+    told = measured.join(labels, "doc_id").toPandas().sort_values("doc_id")
+    values = np.stack(told["measures"].to_list())
+    z = np.clip((values - values.mean(axis=0)) / (values.std(axis=0) + 1e-9), -8, 8)
+    whole = fit_linear(np.hstack([z, z ** 2]), told["quality"].to_numpy(float), np.ones(len(told)), ridge=1.0, steps=25)
+    assert model.middle == pytest.approx(values.mean(axis=0))
+    assert model.probability(values) == pytest.approx(predict(whole, np.hstack([z, z ** 2])), abs=2e-3)
