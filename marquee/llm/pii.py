@@ -4,7 +4,7 @@ Base spans are the leftmost non-overlapping matches of one pattern per kind; mat
 dropped. Looser patterns with high recall propose further spans, which may overlap each other and the base. Gradient-boosted
 trees judge each from its format (lengths, digits, separators, grouping) and its context (the characters and cue words around
 it), not from the kinds' tests. They learn from the base: a candidate that overlaps a base span of its kind is personal data, any other is
-not. They are fitted on at most `ROWS` candidates, those with the smallest hash; on other `ROWS` at most, the threshold is
+not. They are fitted by Spark on every candidate of one half, told by a hash; on all of the other half the threshold is
 calibrated: the lowest score from which on the share of true candidates is at least `PRECISION`. Candidates that reach it are added.
 
 Start and end are code points, end exclusive. A pattern's matches and the gaps between them are taken from the whole text;
@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from marquee.llm.common import stored
 
 KINDS = ("email", "ip", "card", "phone")
-ROWS = 20_000
 PRECISION = 0.95
 CONTEXT = 24
 TREES, DEPTH = 8, 3
+#: Ranges of scores that are summed up by themselves.
+RANGES = 1024
 
 # Loops that nothing behind them could make shorter are possessive: the same matches, without stack or retries. A start within a run is only
 # tried where the last match ended, for the run's first character would have matched as well.
@@ -131,31 +132,43 @@ def _features(candidates: DataFrame) -> tuple[DataFrame, list[str]]:
     return candidates.withColumns({f"f_{n}": F.coalesce(c.cast("double"), F.lit(0.0)) for n, c in features.items()}), [f"f_{n}" for n in features]
 
 
-def _selected(candidates: DataFrame, rows: int, precision: float, trees: int, depth: int) -> DataFrame:
+def _cut(scored: DataFrame, precision: float) -> float | None:
+    """The lowest score from which on the share of true rows is at least `precision`; none if there is none. `scored` has truth and score.
+
+    Rows are counted per score, scores put in order within `RANGES` ranges, and each range moved by what the ones above it hold, so no
+    task sees more than a range's scores or the ranges' sums.
+    """
+    counts = (scored.groupBy("score").agg(F.sum("truth").alias("hits"), F.count(F.lit(1)).alias("n"))
+              .withColumn("range", F.floor(F.col("score") * RANGES)))
+    inside = Window.partitionBy("range").orderBy(F.desc("score"))
+    above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy("range").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n")).select(
+        "range", F.coalesce(F.sum("hits").over(above), F.lit(0.0)).alias("hits_above"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n_above"))
+    so_far = counts.select("range", "score", F.sum("hits").over(inside).alias("hits"), F.sum("n").over(inside).alias("n")).join(totals, "range")
+    share = (F.col("hits") + F.col("hits_above")) / (F.col("n") + F.col("n_above"))
+    return so_far.where(share >= precision).agg(F.min("score")).first()[0]
+
+
+def _selected(candidates: DataFrame, precision: float, trees: int, depth: int) -> DataFrame:
     """The candidates (with `truth`) whose score reaches the calibrated threshold; none if only one class is there to learn from."""
     known, names = _features(candidates)
-    order = F.xxhash64("match", "before", "after", "kind", "start", "row")
-    drawn = stored(known.select("truth", *names, order.alias("order")).orderBy("order").limit(2 * rows), "candidates")
-    fold = F.pmod(F.col("order"), F.lit(2)) == 0
-    learn, check = drawn.where(fold), drawn.where(~fold)
+    fold = F.pmod(F.xxhash64("match", "before", "after", "kind", "start", "row"), F.lit(2)) == 0
+    known = stored(known.withColumn("learn", fold), "candidates")
+    learn = known.where("learn").select("truth", *names)
     classes = learn.agg(F.min("truth"), F.max("truth")).first()
     if classes[0] is None or classes[0] == classes[1]:
         return candidates.limit(0)
     assemble = VectorAssembler(inputCols=names, outputCol="features")
     model = GBTClassifier(labelCol="truth", maxIter=trees, maxDepth=depth, maxBins=64, seed=7).fit(assemble.transform(learn))
-
-    def scored(df: DataFrame) -> DataFrame:
-        return model.transform(assemble.transform(df)).withColumn("score", F.round(vector_to_array("probability")[1], 9))
-
-    above = Window.orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, 0)  # at most 2 * rows rows
-    cut = (scored(check).select("truth", "score").withColumn("share", F.avg("truth").over(above))
-           .where(F.col("share") >= precision).agg(F.min("score")).first()[0])
+    scored = stored(model.transform(assemble.transform(known)).withColumn("score", F.round(vector_to_array("probability")[1], 9))
+                    .select(*candidates.columns, "learn", "score"), "scored")
+    cut = _cut(scored.where("NOT learn"), precision)
     if cut is None:
         return candidates.limit(0)
-    return scored(known).where(F.col("score") >= cut).select(*candidates.columns)
+    return scored.where(F.col("score") >= cut).select(*candidates.columns)
 
 
-def spans(rows: DataFrame, most: int = ROWS, precision: float = PRECISION, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+def spans(rows: DataFrame, precision: float = PRECISION, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """(row, kind, base, start, end, match) of all spans of `rows`, the result of `proposed`.
 
     Added spans do not overlap base spans. Of added spans of one text, one that begins before an earlier one's end is left out.
@@ -163,7 +176,7 @@ def spans(rows: DataFrame, most: int = ROWS, precision: float = PRECISION, trees
     """
     placed = _placed(rows).withColumn("truth", _touches("row", "kind").cast("double")).withColumn("touches", _touches("row"))
     found = stored(placed, "spans")
-    added = _selected(found.where("NOT base"), most, precision, trees, depth).where("NOT touches")
+    added = _selected(found.where("NOT base"), precision, trees, depth).where("NOT touches")
     earlier = Window.partitionBy("row").orderBy("start", F.desc("end"), "kind").rowsBetween(Window.unboundedPreceding, -1)
     free = added.withColumn("reach", F.max("end").over(earlier)).where("reach IS NULL OR start >= reach")
     columns = ["row", "kind", "base", "start", "end", "match"]

@@ -87,3 +87,28 @@ def test_candidates_that_look_like_personal_data_are_added(spark):
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = pii.personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow", "CartesianProduct"))
+
+
+def test_every_candidate_counts_for_the_threshold(spark):
+    # counted score by score over all 60,000 rows
+    rows = spark.range(60_000).select(((F.col("id") % 5_000) / 5_000).alias("score"), F.col("id").alias("i"))
+    rows = rows.withColumn("truth", ((F.col("score") >= 0.3) | (F.col("i") % 2 == 0)).cast("double"))
+    told = rows.groupBy("score").agg(F.sum("truth").alias("hits"), F.count("*").alias("n")).toPandas().sort_values("score", ascending=False)
+    for precision in (0.8, 0.95, 0.999):
+        share = told["hits"].cumsum() / told["n"].cumsum()
+        assert pii._cut(rows, precision) == told["score"][share >= precision].min()
+    assert pii._cut(rows.where("truth = 0"), 0.5) is None and pii._cut(rows.limit(0), 0.5) is None
+
+
+def test_the_trees_are_fitted_on_half_of_all_candidates(spark, monkeypatch):
+    seen = []
+
+    class Counted(pii.GBTClassifier):
+        def fit(self, df):
+            seen.append(df.count())
+            return super().fit(df)
+
+    monkeypatch.setattr(pii, "GBTClassifier", Counted)
+    rows = [(i, " ".join(f"1.2.{i}.{j} and 1.2.{j} is it" for j in range(30))) for i in range(2000)]
+    pii.personal_data(spark.createDataFrame(rows, "doc_id LONG, text STRING")).count()
+    assert len(seen) == 1 and seen[0] > 50_000
