@@ -9,6 +9,7 @@ from marquee.functions.labels import concepts_in
 from marquee.functions.query import extract_keywords, extract_places, extract_window, strip_places
 from marquee.functions.text import col, each, let
 from marquee.functions.vectors import cosine, nearest_in_blocks, norm, unit
+from marquee.lineage import settled
 from marquee.operators.ordering import feed_keys, top_rows
 from marquee.operators.places import with_neighborhood
 from marquee.operators.predicates import concept_match, upcoming
@@ -17,6 +18,8 @@ from marquee.operators.predicates import concept_match, upcoming
 PIECE = 3
 #: Shares of the listings where requests without words are asked for all their hits.
 SALTS = 32
+#: Tokens at most that are common enough to meet their vectors by broadcast.
+COMMON = 4096
 
 
 def understand(queries: DataFrame, as_of, nb: DataFrame | None = None, text: str = "text", most: int | None = None) -> DataFrame:
@@ -149,14 +152,21 @@ def tokens_of(text) -> Column:
     return F.filter(F.split(F.lower(col(text)), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def embed_static(docs: DataFrame, vectors: DataFrame, dims: int, text: str = "text") -> DataFrame:
+def embed_static(docs: DataFrame, vectors: DataFrame, dims: int, text: str = "text", most: int = COMMON) -> DataFrame:
     """Documents as the unit-length mean of their tokens' vectors.
 
-    The mean is one sum per dimension, combined map-side; a token every document holds is joined by broadcast while
-    the table is small and by AQE's split of the hot key beyond that.
+    The mean is one sum per dimension, combined map-side. Documents are split once and stored. Tokens that make up a share of 1 / `most` of
+    all occurrences, `most` of them at most, meet their vectors by broadcast, without a shuffle; only the rarer ones are shuffled to
+    theirs, and none of them fills a task.
     """
-    tokens = each(docs, ["id"], tokens_of(text), "_at", "token").drop("_at").join(vectors, "token")
-    pooled = tokens.groupBy("id").agg(*[F.avg(F.get("vector", F.lit(j))).alias(f"d{j}") for j in range(dims)])
+    split = settled(docs.select("id", tokens_of(text).alias("tokens")))
+    tokens = each(split, ["id"], F.col("tokens"), "_at", "token").drop("_at")
+    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    least = split.agg(F.sum(F.size("tokens")) / most).scalar()
+    common = [r["token"] for r in counts.where(F.col("n") >= least).select("token").collect()]  # `most` at most
+    known = F.col("token").isin(common)
+    met = tokens.where(~known).join(vectors, "token").unionByName(tokens.where(known).join(F.broadcast(vectors.where(known)), "token"))
+    pooled = met.groupBy("id").agg(*[F.avg(F.get("vector", F.lit(j))).alias(f"d{j}") for j in range(dims)])
     return pooled.select("id", unit(F.array(*[F.col(f"d{j}") for j in range(dims)])).alias("embedding"))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from marquee import vocab
 from marquee.adapters import LISTINGS_AS_OF, listings, neighborhoods, table
 from marquee.functions import query as Q
+from marquee.lineage import settled
 from marquee.operators import merge as M
 from marquee.operators import search as S
 from marquee.plans.classify import COSINE, NO_LIST, concepts_sql, distinct_sql, words_sql
@@ -50,7 +51,7 @@ def _documents(s, d):
 
 
 def _index(s, d):
-    docs = _documents(s, d)
+    docs = settled(_documents(s, d).select("id", "text"))
     words = docs.select(F.explode(S.tokens_of("text")).alias("token"))
     return S.embed_static(docs, S.token_vectors(words, DIMS), DIMS)
 

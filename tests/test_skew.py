@@ -268,3 +268,22 @@ def test_first_hits_are_the_first_of_all_hits(spark):
     found = S.search_feed(listings, nb, asked, "2026-10-07", 4, 8)
     assert sorted(tuple(r) for r in found.select(*keys).collect()) == want and len(want) > 40
     assert S.search_feed(listings, nb, asked.limit(0), "2026-10-07").count() == 0
+
+
+def test_common_tokens_meet_their_vectors_without_a_shuffle(spark):
+    texts = [(i, "every word" + f" only{i}" * (i % 3) + (" every" if i % 2 else "")) for i in range(40)] + [(40, ""), (41, None), (42, "unknown")]
+    docs = spark.createDataFrame(texts, "id BIGINT, text STRING")
+    told = {"every": [1.0, 0.0], "word": [0.0, 2.0], **{f"only{i}": [float(i), -1.0] for i in range(40)}}
+    vectors_of = spark.createDataFrame(list(told.items()), "token STRING, vector ARRAY<DOUBLE>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = S.embed_static(docs, vectors_of, 2, most=4)
+        rows = {r["id"]: r["embedding"] for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and set(rows) == set(range(40))
+    for i, text in texts[:40]:
+        mean = np.mean([told[t] for t in text.split()], axis=0)
+        assert np.allclose(rows[i], mean / np.linalg.norm(mean))
