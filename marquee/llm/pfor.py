@@ -16,7 +16,7 @@ the full differences u4 of the exceptions, whose packed bits are zero. The width
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,13 +88,29 @@ def unpack(payload: bytes, starts: list[int]) -> np.ndarray:
     return np.concatenate([unpack_block(view[s:]) for s in starts]) if len(starts) else np.empty(0, np.uint32)
 
 
+class Known(dict):
+    """Ids of the pieces asked for. A piece not in here comes from the older ones or, if it is new, from `ids_of`."""
+
+    def __init__(self, ids_of: Callable[[str], bytes], older: dict[str, bytes]):
+        self.ids_of, self.older, self.held = ids_of, older, 0
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.ids_of(piece)
+        self[piece] = ids
+        self.held += len(piece) + len(ids) + Remembered.OVERHEAD
+        return ids
+
+
 class PieceEncoder:
     """Ids of texts by a `tokenizers` file, as little-endian u4 bytes.
 
     A text's ids are those of its pieces, one after the other, and each piece is given to the library once while it is remembered.
     Blanks and line breaks always are borders. If the file lower-cases and splits by a pattern, its matches in the lower-cased text
     are pieces too, in texts where composition and case are sure to be one to one: those without characters beyond U+00FF
-    or the sign that begins special tokens.
+    or the sign that begins special tokens. A piece that is one such match of printable lower-case
+    characters is, with its bytes spelled by `ByteLevel`, what the steps before the library's model would make of it, so the model gets it.
     """
 
     def __init__(self, path: str):
@@ -103,15 +119,21 @@ class PieceEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = Remembered(REMEMBERED)
+        self.known = Known(self._ids, {})
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
         steps = [s["type"] for s in (told["normalizer"] or {}).get("normalizers", [])]
-        splits = [s for s in (told["pre_tokenizer"] or {}).get("pretokenizers", []) if s["type"] == "Split" and s["invert"]]
+        cuts = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
+        splits = [s for s in cuts if s["type"] == "Split" and s["invert"]]
         sure = steps == ["NFC", "Replace", "Lowercase"] and len(splits) == 1 and splits[0]["behavior"] == "Removed"
         self.pattern = re.compile(with_classes(splits[0]["pattern"]["Regex"], LATIN)) if sure else None
+        plain = len(cuts) == 2 and cuts[0] in splits and cuts[1]["type"] == "ByteLevel" and not (cuts[1]["add_prefix_space"] or cuts[1]["use_regex"])
+        self.model = self.tokenizer.model if sure and plain else None
+        spelled = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelled = {c: spelled.pre_tokenize_str(chr(c))[0][0] for c in range(256)}
 
     def split(self, text: str) -> list[str]:
         if self.pattern and "<" not in text:
@@ -123,11 +145,16 @@ class PieceEncoder:
         return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return self.known.joined([self.split(t) for t in texts], self._learn)
-
-    def _learn(self, pieces: list[str]) -> None:
-        for piece, found in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            self.known.put(piece, array("I", found.ids).tobytes())
+        if self.known.held > REMEMBERED // 2:
+            self.known.older, self.known = {}, Known(self._ids, self.known)
+        get = self.known.__getitem__
+        return [b"".join(map(get, self.split(t))) for t in texts]
+
+    def _ids(self, piece: str) -> bytes:
+        latin = piece.isascii() or max(piece) <= "\xff"
+        if self.model and latin and piece.isprintable() and piece == piece.lower() and self.pattern.fullmatch(piece):
+            return array("I", [token.id for token in self.model.tokenize(piece.translate(self.spelled))]).tobytes()
+        return array("I", self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids).tobytes()
 
 
 def _sliced(rows, size: int = SLICE) -> Iterator[list]:

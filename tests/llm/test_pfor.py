@@ -77,3 +77,18 @@ def test_blocks_can_be_read_alone(spark, tmp_path):
     whole = pfor.unpack(row.payload, row.block_starts)
     assert len(row.block_starts) > 1
     assert np.array_equal(pfor.unpack(row.payload, row.block_starts[1:2]), whole[pfor.BLOCK:2 * pfor.BLOCK])
+
+
+def test_plain_pieces_skip_the_steps_before_the_model():
+    encoder, library, given = pfor.PieceEncoder(VOCABULARY), Tokenizer.from_file(VOCABULARY), []
+    signs = [chr(c) for c in range(256)]
+    pieces = sorted({p for a in signs for b in signs for p in (a + b).split()} | {"'song", "''s", "i̇", "a\xadb", "<|endoftext|>", "été", "x" * 3000, "字"})
+
+    class Counted:
+        def encode_batch_fast(self, some, **told):
+            given.extend(some)
+            return library.encode_batch_fast(some, **told)
+
+    encoder.tokenizer = Counted()
+    assert encoder.encode(pieces) == [np.array(library.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in pieces]
+    assert "字" in given and not {"été", "x" * 3000, "öß", "a", "''"} & set(given)
