@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 
 from marquee.llm.common import LATIN, Remembered, per_process, with_classes
 
-REMEMBERED = 96 << 20
-SLICE = 1 << 21
-CHUNK = 1 << 18
+REMEMBERED = 64 << 20
+SLICE = 1 << 19
+CHUNK = 1 << 16
 #: Bytes from which on a match contracts all sure pairs of a round.
 LONG = 128
 #: Ids that are decoded at a time.
-IDS = 1 << 19
+IDS = 1 << 17
 #: Memory of a worker's DuckDB in MB, and bytes more of it for each byte of a match longer than `CHUNK`.
 MEMORY, MORE = 160, 1000
 
@@ -115,15 +115,14 @@ class Ranks:
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.known = Remembered(REMEMBERED)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY}MB", "temp_directory": ""})
-        merges = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t))
-                  if t[:i] in self.ranks and t[i:] in self.ranks]
-        a, b, rank = (pa.array(x) for x in zip(*merges))
-        self._load("merges", {"a": a.cast(pa.int32()), "b": b.cast(pa.int32()), "rank": rank.cast(pa.int64())})
+        merges = np.fromiter((x for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks
+                              for x in (self.ranks[t[:i]], self.ranks[t[i:]], r)), np.int64).reshape(-1, 3)
+        self._load("merges", {"a": merges[:, 0].astype(np.int32), "b": merges[:, 1].astype(np.int32), "rank": merges[:, 2].copy()})
         self._load("vocabulary", {"id": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array(self.ranks, pa.binary()),
                                   "first": pa.array([t[0] for t in self.ranks], pa.int32()), "last": pa.array([t[-1] for t in self.ranks], pa.int32())})
         self.db.execute(PREPARED)
 
-    def _load(self, name: str, columns: dict[str, pa.Array]) -> None:
+    def _load(self, name: str, columns: dict[str, pa.Array | np.ndarray]) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
