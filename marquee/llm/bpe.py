@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 
 from marquee.llm.common import LATIN, Remembered, per_process, with_classes
 
-REMEMBERED = 64 << 20
-SLICE = 1 << 19
+REMEMBERED = 96 << 20
+SLICE = 1 << 21
 CHUNK = 1 << 16
 #: Bytes from which on a match contracts all sure pairs of a round.
 LONG = 128
 #: Ids that are decoded at a time.
-IDS = 1 << 17
+IDS = 1 << 19
 #: Memory of a worker's DuckDB in MB, and bytes more of it for each byte of a match longer than `CHUNK`.
 MEMORY, MORE = 160, 1000
 
