@@ -7,18 +7,17 @@ whether that earlier line stays or not. Lines without tokens stay.
 1. Rarity: occurrences of all tokens of all texts are counted in `BUCKETS` hash buckets. A token's key is its bucket's count, in steps
    of a power of 1.5, above 57 bits of its hash: the same total order, rare tokens first, for every line.
 2. Lines with the same tokens are one set, with the first of its lines; all others of them repeat it.
-3. Similar sets share a token among their rarest |x| - ceil(0.8 |x|) + 1 (prefix filter). Rows (token, set) of the prefixes meet on the
+3. Similar sets share two tokens among their rarest |x| - ceil(0.8 |x|) + 2 (prefix filter). Rows (token, set) of the prefixes meet on the
    token, under the length filter, the positional filter (tokens left after this one must suffice) and a parity filter:
-   64 bits, each turned over by every token that falls on it, differ in no more bits than the sets do in tokens.
+   64 bits, each turned over by every token that falls on it, differ in no more bits than the sets do in tokens. On long lines nearly half the
+   bits differ anyhow and parity rules out little; there the second token does.
 4. Pairs are verified on all their tokens (64 bits of each), read from the texts again; only lines that a fixed-size bitmap of the wanted ones lets through are read.
    A first round holds each set only against the likeliest of the first and the nearest ones it meets under its rarest tokens (the very
-   rarest may be its own), so of a crowd of similar lines most are settled in proportion to their number. Then what is left is joined with all sets, which finds every match.
+   rarest may be its own), so of a crowd of similar lines most are settled in proportion to their number. Then what is left is joined with all earlier sets, which finds every match.
 
 A token's rows may be many: joins on tokens are split by AQE, and nothing collects them.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,10 +30,10 @@ BUCKETS = 1 << 16
 MAP_BITS = 1 << 21
 #: Rarest tokens and neighbours of the first round.
 ANCHOR_TOKENS, ANCHORS = 3, 2
-#: Shares of the pairs that are verified one after the other, to bound what is shuffled at a time.
-PASSES = 3
-#: The turn of lines without doc_id.
-LAST = (1 << 63) - 1
+#: Rarest tokens that similar sets are sure to share in their prefixes. Different similar sets share four tokens at least.
+SHARED = 2
+#: The turn of lines without doc_id, and a number before all turns.
+LAST, NEVER = (1 << 63) - 1, -(1 << 63)
 
 
 def _left(value: Column, by: Column) -> Column:
@@ -80,7 +79,7 @@ def _ceil(numerator: Column, denominator: int) -> Column:
 
 
 def token_sets(docs: DataFrame, row: Column, similarity: tuple[int, int] = SIMILARITY, buckets: int = BUCKETS) -> DataFrame:
-    """(id, turn, row, no, mark, n, parity, parity2, prefix): one row per distinct token set with its first line; `mark` is the line's hash, which tells
+    """(id, turn, row, no, mark, n, parity, prefix): one row per distinct token set with its first line; `mark` is the line's hash, which tells
     apart the lines of rows that share a doc_id. `prefix` holds 32 bits of each of its rarest tokens' keys."""
     common = rarity(docs, buckets)
     above, below = similarity
@@ -95,15 +94,13 @@ def token_sets(docs: DataFrame, row: Column, similarity: tuple[int, int] = SIMIL
     lines = lines.where(F.size("keys") > 0)
     n = F.size("keys")
 
-    def parity(shift: int) -> Column:
-        return F.aggregate("keys", F.lit(0).cast("long"), lambda p, k: p.bitwiseXOR(
-            _left(F.lit(1).cast("long"), F.shiftright(k, shift).bitwiseAND(F.lit(63)).cast("int"))))
-
-    prefix = F.transform(F.slice("keys", F.lit(1), n - _ceil(n * above, below) + 1), lambda k: F.hash(k))
-    told = lines.select("turn", "row", "no", "mark", F.xxhash64("keys").alias("print"), n.alias("n"), parity(0).alias("parity"), parity(6).alias("parity2"), prefix.alias("prefix"))
+    parity = F.aggregate("keys", F.lit(0).cast("long"), lambda p, k: p.bitwiseXOR(
+        _left(F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+    prefix = F.transform(F.slice("keys", F.lit(1), n - _ceil(n * above, below) + SHARED), lambda k: F.hash(k))
+    told = lines.select("turn", "row", "no", "mark", F.xxhash64("keys").alias("print"), n.alias("n"), parity.alias("parity"), prefix.alias("prefix"))
     place = F.struct("turn", "row", "no", "mark")
-    return (told.groupBy("print", "parity", "parity2", "n").agg(F.min(place).alias("place"), F.first("prefix").alias("prefix"))
-            .select(F.monotonically_increasing_id().alias("id"), "place.*", "n", "parity", "parity2", "prefix"))
+    return (told.groupBy("print", "parity", "n").agg(F.min(place).alias("place"), F.first("prefix").alias("prefix"))
+            .select(F.monotonically_increasing_id().alias("id"), "place.*", "n", "parity", "prefix"))
 
 
 def _needed(n, m, similarity: tuple[int, int]) -> Column:
@@ -113,10 +110,11 @@ def _needed(n, m, similarity: tuple[int, int]) -> Column:
 
 
 def _may_match(a, b, similarity: tuple[int, int]) -> Column:
-    """Length, positional and parity filters of two prefix rows with the same token; a function of a column's name gives each side."""
+    """Length, positional and parity filters of two prefix rows with the same token, one of the first `SHARED` in common; a function of a
+    column's name gives each side."""
     needed = _needed(a("n"), b("n"), similarity)
     left = F.least(a("n") - a("at"), b("n") - b("at"))
-    fits = (F.least(a("n"), b("n")) >= needed) & (left >= needed)
+    fits = (F.least(a("n"), b("n")) >= needed) & (left > needed - SHARED)
     apart = a("n") + b("n") - 2 * needed  # different sets differ in one token at least
     return fits & (apart > 0) & (F.bit_count(a("parity").bitwiseXOR(b("parity"))) <= apart)
 
@@ -128,9 +126,8 @@ def _bit_of(bits: dict[int, int], spot: Column) -> Column:
     return _right(word, spot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
-def _verified(docs: DataFrame, row: Column, sets: DataFrame, pairs: DataFrame, similarity: tuple[int, int], name: str) -> DataFrame:
-    """The ids (late) of the pairs (late, early) whose tokens are as similar as asked for, stored."""
-    above, below = similarity
+def _held(docs: DataFrame, row: Column, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, words): the tokens, 64 bits of each, of the sets in the pairs (late, early), stored."""
     wanted = pairs.select(F.col("late").alias("id")).union(pairs.select(F.col("early").alias("id"))).distinct()
     places = stored(sets.select("id", "turn", "row", "no", "mark").join(wanted, "id", "left_semi"), "places")
     spot = F.pmod(F.xxhash64("turn", "row", "no", "mark"), F.lit(MAP_BITS))
@@ -141,15 +138,17 @@ def _verified(docs: DataFrame, row: Column, sets: DataFrame, pairs: DataFrame, s
     hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
     texts = seen.select("turn", "row", "no", "mark", hashes.alias("words"))
     held = stored(places.join(texts, ["turn", "row", "no", "mark"]).groupBy("id").agg(F.first("words").alias("words")), "held")
+    forget(places)
+    return held
+
+
+def _verified(held: DataFrame, pairs: DataFrame, similarity: tuple[int, int], name: str) -> DataFrame:
+    """The ids (late) of the pairs (late, early) whose tokens are as similar as asked for, stored."""
+    above, below = similarity
     late, early = held.select(F.col("id").alias("late"), F.col("words").alias("x")), held.select(F.col("id").alias("early"), F.col("words").alias("y"))
-    met, parts = F.size(F.array_intersect("x", "y")), []
-    for turn in range(PASSES):
-        mine = pairs.select("late", "early").where(F.pmod(F.xxhash64("late"), F.lit(PASSES)) == turn)
-        parts.append(stored(mine.join(late, "late").join(early, "early").where(met * (above + below) >= (F.size("x") + F.size("y")) * above)
-                            .select(F.col("late").alias("id")).distinct(), f"{name}_part"))
-    out = stored(reduce(DataFrame.union, parts), name)
-    forget(places, held, *parts)
-    return out
+    met = F.size(F.array_intersect("x", "y"))
+    similar = pairs.select("late", "early").join(late, "late").join(early, "early").where(met * (above + below) >= (F.size("x") + F.size("y")) * above)
+    return stored(similar.select(F.col("late").alias("id")).distinct(), name)
 
 
 def repeats(docs: DataFrame, row: Column, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -171,40 +170,41 @@ def repeats(docs: DataFrame, row: Column, sets: DataFrame, similarity: tuple[int
     bits = F.bit_count(F.col("parity").bitwiseXOR(F.col("other.parity")))
     pairs = stored(anchored.select(F.col("id").alias("late"), F.col("other.id").alias("early"), bits.alias("bits"))
                    .groupBy("late").agg(F.min_by("early", F.struct("bits", "early")).alias("early")), "anchored")
-    settled = _verified(docs, row, sets, pairs, similarity, "settled")
-    forget(pairs)
+    held = _held(docs, row, sets, pairs)
+    settled = _verified(held, pairs, similarity, "settled")
+    forget(pairs, held)
 
     # one narrow row per prefix token, shuffled once for both sides of the join: n, position and whether the set is open in one number
     marked = sets.join(settled.withColumn("settled", F.lit(True)), "id", "left")
     shape = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 1)).bitwiseOR(
         F.when(F.col("settled"), 0).otherwise(1).cast("long"))
-    every = marked.select("id", "n", "parity", "settled", F.posexplode("prefix").alias("at", "token")).select("token", "id", "parity", shape.alias("shape"))
+    every = (marked.select("id", "turn", "n", "parity", "settled", F.posexplode("prefix").alias("at", "token"))
+             .select("token", "id", "turn", "parity", shape.alias("shape")))
 
     def side(name: str):
         told = {"n": F.shiftright(F.col(f"{name}.shape"), 32), "at": F.shiftright(F.col(f"{name}.shape"), 1).bitwiseAND(F.lit((1 << 31) - 1)),
                 "parity": F.col(f"{name}.parity")}
         return told.__getitem__
 
-    either_open = F.col("x.shape").bitwiseOR(F.col("y.shape")).bitwiseAND(F.lit(1)) == 1
-    met = every.alias("x").join(every.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id"))
-                                & _may_match(side("x"), side("y"), similarity) & either_open)
+    # only open sets look for an earlier one; said of both sides at once, and without a null check that one of them gets alone, so that they stay one shuffle
+    turn = F.coalesce(F.col("x.turn"), F.lit(LAST))
+    due = F.when(F.col("y.shape").bitwiseAND(F.lit(1)) == 1, F.col("y.turn")).otherwise(F.lit(NEVER))
+    met = every.alias("x").join(every.alias("y"), (F.col("x.token") == F.col("y.token")) & (turn <= due)
+                                & (F.col("x.id") != F.col("y.id")) & _may_match(side("x"), side("y"), similarity))
     bits = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
-    found = stored(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), bits.alias("bits")).distinct(), "found")
-    # the places of both, and a second parity of other bits
-    a = sets.select(F.col("id").alias("a"), place.alias("p"), F.col("n").alias("n1"), F.col("parity2").alias("z1"))
-    b = sets.select(F.col("id").alias("b"), place.alias("q"), F.col("n").alias("n2"), F.col("parity2").alias("z2"))
-    after = F.col("p") > F.col("q")
-    likely = F.bit_count(F.col("z1").bitwiseXOR(F.col("z2"))) <= F.col("n1") + F.col("n2") - 2 * _needed(F.col("n1"), F.col("n2"), similarity)
-    pairs = (found.join(a, "a").join(b, "b").where("p <> q").where(likely)
-             .select(F.when(after, F.col("a")).otherwise(F.col("b")).alias("late"), F.when(after, F.col("b")).otherwise(F.col("a")).alias("early"), "bits"))
-    pairs = stored(pairs.join(settled, F.col("late") == F.col("id"), "left_anti"), "pairs")
+    found = met.select(F.col("y.id").alias("late"), F.col("x.id").alias("early"), bits.alias("bits"))
+    found = stored(found.groupBy("late", "early", "bits").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= SHARED)
+                   .select("late", "early", "bits"), "found")
+    p, q = sets.select(F.col("id").alias("early"), place.alias("p")), sets.select(F.col("id").alias("late"), place.alias("q"))
+    pairs = stored(found.join(p, "early").join(q, "late").where("p < q").select("late", "early", "bits"), "pairs")
     forget(found)
     likeliest = stored(pairs.groupBy("late").agg(F.min_by("early", F.struct("bits", "early")).alias("early")), "likeliest")
-    more = _verified(docs, row, sets, likeliest, similarity, "more")
+    held = _held(docs, row, sets, pairs)
+    more = _verified(held, likeliest, similarity, "more")
     rest = stored(pairs.join(more, F.col("late") == F.col("id"), "left_anti").join(likeliest, ["late", "early"], "left_anti"), "rest")
     forget(pairs, likeliest)
-    last = _verified(docs, row, sets, rest, similarity, "last")
-    forget(rest)
+    last = _verified(held, rest, similarity, "last")
+    forget(rest, held)
     out = stored(settled.union(more).union(last).distinct(), "repeats")
     forget(settled, more, last)
     return out

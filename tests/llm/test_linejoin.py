@@ -103,3 +103,34 @@ def test_empty(spark):
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = linejoin.line_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow", "CartesianProduct", "BroadcastNestedLoop"))
+
+
+def sizes(monkeypatch):
+    """The rows of each table that the join stores, by name."""
+    rows, stored = {}, linejoin.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(linejoin, "stored", counted)
+    return rows
+
+
+def test_long_lines_with_one_rare_word_in_common_are_no_pairs(spark, monkeypatch):
+    """Half of the 64 bits of parity differ between any two lines of 160 words, which is about as many as similar ones may."""
+    stored = sizes(monkeypatch)
+    rows = [(i, " ".join([f"rare{i // 4}"] + [f"c{i}x{k}" for k in range(159)] * 6)) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    assert got(df) == plain(rows)
+    assert stored["pairs"] < 5
+
+
+def test_settled_members_of_a_crowd_look_for_no_earlier_line(spark, monkeypatch):
+    """Ten lines that are not similar to each other, and then a crowd that is similar to all of them."""
+    stored, words = sizes(monkeypatch), [f"k{i}" for i in range(20)]
+    rows = [(i, " ".join([*words, f"a{i}", f"b{i}", f"c{i}"])) for i in range(10)] + [(i, " ".join([*words, f"m{i}"])) for i in range(10, 160)]
+    df = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    assert got(df) == plain(rows)
+    assert stored["found"] < 300
