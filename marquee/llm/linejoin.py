@@ -7,15 +7,16 @@ whether that earlier line stays or not. Lines without tokens stay.
 1. Rarity: occurrences of all tokens of all texts are counted in `BUCKETS` hash buckets. A token's key is its bucket's count, in steps
    of a power of 1.5, above 57 bits of its hash: the same total order, rare tokens first, for every line.
 2. Lines with the same tokens are one set, with the first of its lines; all others of them repeat it.
-3. Similar sets share two tokens among their rarest |x| - ceil(0.8 |x|) + 2 (prefix filter). Rows (token, set) of the prefixes meet on the
-   token, under the length filter, the positional filter (tokens left after this one must suffice) and a parity filter:
-   64 bits, each turned over by every token that falls on it, differ in no more bits than the sets do in tokens. On long lines nearly half the
-   bits differ anyhow and parity rules out little; there the second token does.
+3. In that order two tokens stand next to each other in both of two similar sets, and do so `SHARED` times among the first tokens of either: each
+   token that only one of them has parts one pair of common neighbours at most (prefix filter on neighbours; two tokens say far more than one, and
+   what rare neighbours meet are few). Rows (neighbours, set) meet once, under the length filter: each set with the first that has the same
+   neighbours and with the one before it. Where more than three meet, the others are left for the second round.
+   A parity filter follows: 128 bits, each turned over by every token that falls on it, differ in no more bits than the sets do in tokens.
 4. Pairs are verified on all their tokens (64 bits of each), read from the texts again; only lines that a fixed-size bitmap of the wanted ones lets through are read.
-   A first round holds each set only against the likeliest of the first and the nearest ones it meets under its rarest tokens (the very
-   rarest may be its own), so of a crowd of similar lines most are settled in proportion to their number. Then what is left is joined with all earlier sets, which finds every match.
+   A first round holds each set only against the likeliest of those it met, so of a crowd of similar lines most are settled in proportion to
+   their number. Then what is left is joined with all earlier sets, which finds every match.
 
-A token's rows may be many: joins on tokens are split by AQE, and nothing collects them.
+Rows of the same neighbours may be many: joins on them are split by AQE, and nothing collects them.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,12 +29,12 @@ SIMILARITY = (4, 5)
 BUCKETS = 1 << 16
 #: Bits of the map of wanted lines, in words of 64.
 MAP_BITS = 1 << 21
-#: Rarest tokens and neighbours of the first round.
-ANCHOR_TOKENS, ANCHORS = 3, 2
-#: Rarest tokens that similar sets are sure to share in their prefixes. Different similar sets share four tokens at least.
+#: Neighbours that similar sets are sure to share in their prefixes.
 SHARED = 2
-#: The turn of lines without doc_id, and a number before all turns.
-LAST, NEVER = (1 << 63) - 1, -(1 << 63)
+#: Similar sets of fewer tokens are equal.
+LEAST = 4
+#: The turn of lines without doc_id.
+LAST = (1 << 63) - 1
 
 
 def _left(value: Column, by: Column) -> Column:
@@ -65,9 +66,9 @@ def numbered(docs: DataFrame, row: str) -> DataFrame:
 
 
 def rarity(docs: DataFrame, buckets: int = BUCKETS) -> Column:
-    """A literal array: for each hash bucket how common its tokens are over all texts, from 0 to 63. Its size is fixed."""
-    counts = (_lines(docs, F.lit(0)).select(F.explode(F.split("line", " ")).alias("word")).where("word <> ''")
-              .groupBy(F.pmod(F.xxhash64("word"), F.lit(buckets)).alias("bucket")).agg(F.count(F.lit(1)).alias("n")))
+    """A literal array: for each hash bucket how common its tokens are over all texts, from 0 to 63. Its size is fixed, a power of two."""
+    counts = (docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("word")).where("word <> ''")
+              .groupBy(F.xxhash64("word").bitwiseAND(F.lit(buckets - 1)).alias("bucket")).agg(F.count(F.lit(1)).alias("n")))
     steps = ["0"] * buckets
     for row in counts.select("bucket", F.least(F.lit(63), F.floor(F.log(1.5, F.col("n") + 1))).alias("step")).collect():
         steps[row["bucket"]] = str(row["step"])
@@ -79,13 +80,12 @@ def _ceil(numerator: Column, denominator: int) -> Column:
 
 
 def token_sets(docs: DataFrame, row: Column, similarity: tuple[int, int] = SIMILARITY, buckets: int = BUCKETS) -> DataFrame:
-    """(id, turn, row, no, mark, n, parity, prefix): one row per distinct token set with its first line; `mark` is the line's hash, which tells
+    """(id, turn, row, no, mark, n, parity, odd, prefix): one row per distinct token set with its first line, ids in the order of these; `mark` is the line's hash, which tells
     apart the lines of rows that share a doc_id. `prefix` holds 32 bits of each of its rarest tokens' keys."""
     common = rarity(docs, buckets)
-    above, below = similarity
 
     def key(hashed: Column) -> Column:
-        step = F.get(common, F.pmod(hashed, F.lit(buckets)).cast("int")).cast("long")
+        step = F.get(common, hashed.bitwiseAND(F.lit(buckets - 1)).cast("int")).cast("long")
         return F.shiftleft(step, 57).bitwiseOR(F.shiftrightunsigned(hashed, 7))
 
     keys = F.sort_array(F.transform(F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))), key))
@@ -94,13 +94,16 @@ def token_sets(docs: DataFrame, row: Column, similarity: tuple[int, int] = SIMIL
     lines = lines.where(F.size("keys") > 0)
     n = F.size("keys")
 
-    parity = F.aggregate("keys", F.lit(0).cast("long"), lambda p, k: p.bitwiseXOR(
-        _left(F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    prefix = F.transform(F.slice("keys", F.lit(1), n - _ceil(n * above, below) + SHARED), lambda k: F.hash(k))
-    told = lines.select("turn", "row", "no", "mark", F.xxhash64("keys").alias("print"), n.alias("n"), parity.alias("parity"), prefix.alias("prefix"))
+    # of 128 bits: the parity of all tokens on 64, and of those that the seventh bit moves to the other 64
+    bit, moved = F.lit(63), lambda k: _right(k, F.lit(6)).bitwiseAND(F.lit(1))
+    parity, odd = (F.aggregate("keys", F.lit(0).cast("long"), lambda p, k: p.bitwiseXOR(_left(one(k), k.bitwiseAND(bit).cast("int"))))
+                   for one in (lambda k: F.lit(1).cast("long"), moved))
+    prefix = F.transform(F.slice("keys", F.lit(1), F.when(n < LEAST, 0).otherwise(_prefix(n, similarity))), lambda k: F.hash(k))
+    told = lines.select("turn", "row", "no", "mark", F.xxhash64("keys").alias("print"), n.alias("n"), parity.alias("parity"), odd.alias("odd"),
+                        prefix.alias("prefix"))
     place = F.struct("turn", "row", "no", "mark")
-    return (told.groupBy("print", "parity", "n").agg(F.min(place).alias("place"), F.first("prefix").alias("prefix"))
-            .select(F.monotonically_increasing_id().alias("id"), "place.*", "n", "parity", "prefix"))
+    return (told.groupBy("print", "parity", "odd", "n").agg(F.min(place).alias("place"), F.first("prefix").alias("prefix"))
+            .select("place.*", "n", "parity", "odd", "prefix").sort("turn", "row", "no", "mark").select(F.monotonically_increasing_id().alias("id"), "*"))
 
 
 def _needed(n, m, similarity: tuple[int, int]) -> Column:
@@ -109,14 +112,40 @@ def _needed(n, m, similarity: tuple[int, int]) -> Column:
     return _ceil((n + m) * above, above + below)
 
 
-def _may_match(a, b, similarity: tuple[int, int]) -> Column:
-    """Length, positional and parity filters of two prefix rows with the same token, one of the first `SHARED` in common; a function of a
-    column's name gives each side."""
-    needed = _needed(a("n"), b("n"), similarity)
-    left = F.least(a("n") - a("at"), b("n") - b("at"))
-    fits = (F.least(a("n"), b("n")) >= needed) & (left > needed - SHARED)
-    apart = a("n") + b("n") - 2 * needed  # different sets differ in one token at least
-    return fits & (apart > 0) & (F.bit_count(a("parity").bitwiseXOR(b("parity"))) <= apart)
+def _prefix(n: Column, similarity: tuple[int, int]) -> Column:
+    """The tokens of a set of n that hold `SHARED` pairs of neighbours of every similar set. Of a similar set of m, u tokens are only in the
+    first, v only in the second and c in both: up to u + v pairs of common tokens are parted, u tokens stand between, so 2u + v + SHARED
+    pairs suffice, and 2u + v = 2n + m - 3c, which is greatest for the least or the greatest m."""
+    above, below = similarity
+    if 5 * above < 4 * below:
+        raise ValueError("similarities under 4/5 leave small sets with fewer common neighbours")
+    most = [F.floor(((2 * n + m) * (above + below) - 3 * above * (n + m)) / F.lit(above + below))
+            for m in (_ceil(n * above, below), F.floor(n * below / F.lit(above)))]
+    return (F.greatest(*most) + (SHARED + 1)).cast("int")
+
+
+def _fit(n, m, similarity: tuple[int, int]) -> Column:
+    """Length filter."""
+    return F.least(n, m) >= _needed(n, m, similarity)
+
+
+def _apart(a: str, b: str) -> Column:
+    """How many of the 128 bits differ."""
+    odd, parity = (F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in ("odd", "parity"))
+    return F.bit_count(odd) + F.bit_count(parity.bitwiseXOR(odd))
+
+
+def _may_match(a: str, b: str, similarity: tuple[int, int]) -> Column:
+    """Length and parity filters: sets differ in one token for each bit at least."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return _fit(n, m, similarity) & (_apart(a, b) <= n + m - 2 * _needed(n, m, similarity))
+
+
+def _bits(places: DataFrame, spot: Column) -> dict[int, int]:
+    """The map of the spots: words of 64 bits, those that are not zero."""
+    words = (places.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).cast("int").alias("at"))
+             .agg(F.expr("bit_or(shiftleft(1L, CAST(spot & 63 AS INT)))").alias("bits")))
+    return {r["at"]: r["bits"] for r in words.collect()}
 
 
 def _bit_of(bits: dict[int, int], spot: Column) -> Column:
@@ -130,11 +159,9 @@ def _held(docs: DataFrame, row: Column, sets: DataFrame, pairs: DataFrame) -> Da
     """(id, words): the tokens, 64 bits of each, of the sets in the pairs (late, early), stored."""
     wanted = pairs.select(F.col("late").alias("id")).union(pairs.select(F.col("early").alias("id"))).distinct()
     places = stored(sets.select("id", "turn", "row", "no", "mark").join(wanted, "id", "left_semi"), "places")
-    spot = F.pmod(F.xxhash64("turn", "row", "no", "mark"), F.lit(MAP_BITS))
-    words = (places.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).cast("int").alias("at"))
-             .agg(F.expr("bit_or(shiftleft(1L, CAST(spot & 63 AS INT)))").alias("bits")))
-    lines = _lines(docs, row).withColumn("mark", F.hash("line"))
-    seen = lines.where(_bit_of({r["at"]: r["bits"] for r in words.collect()}, spot))
+    text, spot = (F.pmod(F.xxhash64(*of), F.lit(MAP_BITS)) for of in (["turn", "row"], ["turn", "row", "no", "mark"]))
+    some = docs.where(_bit_of(_bits(places, text), F.pmod(F.xxhash64(_turn(), row), F.lit(MAP_BITS))))
+    seen = _lines(some, row).withColumn("mark", F.hash("line")).where(_bit_of(_bits(places, spot), spot))
     hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
     texts = seen.select("turn", "row", "no", "mark", hashes.alias("words"))
     held = stored(places.join(texts, ["turn", "row", "no", "mark"]).groupBy("id").agg(F.first("words").alias("words")), "held")
@@ -151,62 +178,58 @@ def _verified(held: DataFrame, pairs: DataFrame, similarity: tuple[int, int], na
     return stored(similar.select(F.col("late").alias("id")).distinct(), name)
 
 
+def _likely(sets: DataFrame, pairs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(late, early): the pairs that places, sizes and parities leave."""
+    told = F.struct(F.struct("turn", "row", "no").alias("place"), "n", "parity", "odd")
+    x, y = sets.select(F.col("id").alias("early"), told.alias("x")), sets.select(F.col("id").alias("late"), told.alias("y"))
+    return (pairs.join(x, "early").join(y, "late").where((F.col("x.place") < F.col("y.place")) & _may_match("x", "y", similarity))
+            .select("late", "early"))
+
+
 def repeats(docs: DataFrame, row: Column, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """The ids of `sets` that an earlier set is similar to. Sets that begin at the same place, in rows that share a doc_id, do not
     repeat each other.
 
-    Three rounds, each with what the ones before it left: the likeliest neighbour under the rarest tokens; of all pairs that pass the filters, each
-    set's likeliest partner (fewest bits of parity apart); all other pairs.
+    Two rounds: the likeliest of the sets that a set met first (most neighbours in common); then, for those that leaves, all pairs that
+    pass the filters.
     """
-    place = F.struct("turn", "row", "no")
-    rare = sets.select("id", "turn", "row", "no", "n", "parity", F.posexplode(F.slice("prefix", 1, ANCHOR_TOKENS)).alias("at", "token"))
-    first = Window.partitionBy("token").orderBy("turn", "row", "no", "id")
-    fields = F.struct("id", "turn", "row", "no", "n", "at", "parity")
-    near = [F.first(fields).over(first), *(F.lag(fields, i).over(first) for i in range(1, ANCHORS))]
-    anchored = (rare.select("id", "turn", "row", "no", "n", "at", "parity", F.array(*near).alias("others"))
-                .select("id", place.alias("place"), "n", "at", "parity", F.explode("others").alias("other"))
-                .where(F.struct("other.turn", "other.row", "other.no") < F.col("place"))
-                .where(_may_match(F.col, lambda c: F.col(f"other.{c}"), similarity)))
-    bits = F.bit_count(F.col("parity").bitwiseXOR(F.col("other.parity")))
-    pairs = stored(anchored.select(F.col("id").alias("late"), F.col("other.id").alias("early"), bits.alias("bits"))
-                   .groupBy("late").agg(F.min_by("early", F.struct("bits", "early")).alias("early")), "anchored")
+    pair = _left(F.col("token").cast("long"), F.lit(32)).bitwiseOR(F.get("prefix", F.col("at") + 1).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    every = (sets.select("id", "n", "prefix", F.posexplode("prefix").alias("at", "token"))
+             .where(F.col("at") < F.size("prefix") - 1).select(pair.alias("pair"), "id", "n"))
+    order = Window.partitionBy("pair").orderBy("id")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = every.select("pair", "id", "n", F.row_number().over(order).alias("nth"),
+                          F.struct(F.first("id").over(so_far).alias("id"), F.first("n").over(so_far).alias("n")).alias("first"))
+    met = stored(ranked.where(F.col("nth") > 1).withColumn("before", F.lag(F.struct("id", "n")).over(order))
+                 .withColumn("more", F.lead("nth", 2).over(order).isNotNull()), "met")
+
+    others = F.when(F.col("nth") == 2, F.array("first")).otherwise(F.array("first", "before"))
+    near = (met.select("id", "n", F.explode(others).alias("other")).select("id", "n", F.col("other.id").alias("early"), F.col("other.n").alias("m"))
+            .where(_fit(F.col("n"), F.col("m"), similarity)))
+    near = stored(near.groupBy(F.col("id").alias("late"), "early").agg(F.count(F.lit(1)).alias("shared")), "near")
+    first = near.where(F.col("shared") >= SHARED).groupBy("late").agg(F.max_by("early", F.struct("shared", -F.col("early"))).alias("early"))
+    pairs = stored(_likely(sets, first, similarity), "anchored")
     held = _held(docs, row, sets, pairs)
     settled = _verified(held, pairs, similarity, "settled")
     forget(pairs, held)
 
-    # one narrow row per prefix token, shuffled once for both sides of the join: n, position and whether the set is open in one number
-    marked = sets.join(settled.withColumn("settled", F.lit(True)), "id", "left")
-    shape = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 1)).bitwiseOR(
-        F.when(F.col("settled"), 0).otherwise(1).cast("long"))
-    every = (marked.select("id", "turn", "n", "parity", "settled", F.posexplode("prefix").alias("at", "token"))
-             .select("token", "id", "turn", "parity", shape.alias("shape")))
-
-    def side(name: str):
-        told = {"n": F.shiftright(F.col(f"{name}.shape"), 32), "at": F.shiftright(F.col(f"{name}.shape"), 1).bitwiseAND(F.lit((1 << 31) - 1)),
-                "parity": F.col(f"{name}.parity")}
-        return told.__getitem__
-
-    # only open sets look for an earlier one; said of both sides at once, and without a null check that one of them gets alone, so that they stay one shuffle
-    turn = F.coalesce(F.col("x.turn"), F.lit(LAST))
-    due = F.when(F.col("y.shape").bitwiseAND(F.lit(1)) == 1, F.col("y.turn")).otherwise(F.lit(NEVER))
-    met = every.alias("x").join(every.alias("y"), (F.col("x.token") == F.col("y.token")) & (turn <= due)
-                                & (F.col("x.id") != F.col("y.id")) & _may_match(side("x"), side("y"), similarity))
-    bits = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
-    found = met.select(F.col("y.id").alias("late"), F.col("x.id").alias("early"), bits.alias("bits"))
-    found = stored(found.groupBy("late", "early", "bits").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= SHARED)
-                   .select("late", "early", "bits"), "found")
-    p, q = sets.select(F.col("id").alias("early"), place.alias("p")), sets.select(F.col("id").alias("late"), place.alias("q"))
-    pairs = stored(found.join(p, "early").join(q, "late").where("p < q").select("late", "early", "bits"), "pairs")
+    # only open sets look for an earlier one; of those under the same neighbours the first and the one before are in `near`
+    gone = settled.withColumnRenamed("id", "late")
+    crowds = stored(met.where("more OR nth > 3").select("pair", "id", "nth").join(sets.select("id", "n", "parity", "odd"), "id")
+                    .join(settled.withColumn("settled", F.lit(True)), "id", "left"), "crowds")
+    x, y = crowds.drop("settled").alias("x"), crowds.where("nth > 3 AND settled IS NULL").drop("settled").alias("y")
+    far = x.join(y, (F.col("x.pair") == F.col("y.pair")) & (F.col("x.nth") < F.col("y.nth") - 1) & _may_match("x", "y", similarity))
+    far = far.groupBy(F.col("y.id").alias("late"), F.col("x.id").alias("early")).agg(F.count(F.lit(1)).alias("shared"))
+    found = stored(near.join(gone, "late", "left_anti").union(far).groupBy("late", "early").agg(F.sum("shared").alias("shared"))
+                   .where(F.col("shared") >= SHARED).select("late", "early"), "found")
+    forget(met, near, crowds)
+    pairs = stored(_likely(sets, found, similarity), "pairs")
     forget(found)
-    likeliest = stored(pairs.groupBy("late").agg(F.min_by("early", F.struct("bits", "early")).alias("early")), "likeliest")
     held = _held(docs, row, sets, pairs)
-    more = _verified(held, likeliest, similarity, "more")
-    rest = stored(pairs.join(more, F.col("late") == F.col("id"), "left_anti").join(likeliest, ["late", "early"], "left_anti"), "rest")
-    forget(pairs, likeliest)
-    last = _verified(held, rest, similarity, "last")
-    forget(rest, held)
-    out = stored(settled.union(more).union(last).distinct(), "repeats")
-    forget(settled, more, last)
+    more = _verified(held, pairs, similarity, "more")
+    forget(pairs, held)
+    out = stored(settled.union(more).distinct(), "repeats")
+    forget(settled, more)
     return out
 
 
@@ -229,7 +252,8 @@ def without_repeats(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, b
     forget(sets, repeated)
     of_row = (stay.groupBy("turn", "row").agg(F.collect_list(_code(F.col("no"), F.col("mark"))).alias(kept))
               .select(F.struct("turn", "row").alias(key), quoted(kept)))
-    joined = (docs.join(of_row, (_turn() == quoted(key)["turn"]) & (quoted(row) == quoted(key)["row"]), "left")
+    # over more than a few hundred MB this join is shuffled anyhow; said here, small tables run as large ones do
+    joined = (docs.join(of_row.hint("merge"), (_turn() == quoted(key)["turn"]) & (quoted(row) == quoted(key)["row"]), "left")
               .withColumn(lines, F.split("text", "\n")).withColumn(kept, F.coalesce(quoted(kept), F.array().cast("array<long>"))))
     codes = F.transform(quoted(lines), lambda line, no: _code(no, F.hash(line)))
     blank = F.filter(F.transform(quoted(lines), lambda line, no: F.when(F.trim(line) == "", _code(no, F.hash(line)))), lambda c: c.isNotNull())

@@ -134,3 +134,24 @@ def test_settled_members_of_a_crowd_look_for_no_earlier_line(spark, monkeypatch)
     df = spark.createDataFrame(rows, "doc_id LONG, text STRING")
     assert got(df) == plain(rows)
     assert stored["found"] < 300
+
+
+def test_long_lines_with_three_rare_words_in_common_are_no_pairs(spark, monkeypatch):
+    """They share tokens of their prefixes, and of 64 bits of parity no more differ than between similar lines."""
+    stored = sizes(monkeypatch)
+    rows = [(i, " ".join([f"rare{k}in{i // 4}" for k in range(3)] + [f"c{i}x{k}" for k in range(157)] * 6)) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    assert got(df) == plain(rows)
+    assert stored["pairs"] < 5
+
+
+def test_every_similar_pair_shares_neighbours(spark, monkeypatch):
+    """Lines as far apart as similar ones may be, with the words that differ anywhere in the order."""
+    rng, rows = random.Random(5), []
+    for k in range(120):
+        c = rng.randrange(4, 40)
+        words, apart = [f"w{k}x{i}" for i in range(c)], c // 4
+        u = rng.randrange(apart + 1)
+        rows += [(2 * k, " ".join(words + [f"u{k}x{i}" for i in range(u)])), (2 * k + 1, " ".join(words + [f"v{k}x{i}" for i in range(apart - u)]))]
+    df = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    assert got(df) == plain(rows) and sum(text == "" for _, text in got(df)) == 120
