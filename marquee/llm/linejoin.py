@@ -13,7 +13,7 @@ whether that earlier line stays or not. Lines without tokens stay.
    neighbours and with the one before it. Where more than three meet, the others are left for the second round.
    A parity filter follows: 128 bits, each turned over by every token that falls on it, differ in no more bits than the sets do in tokens.
 4. Pairs are verified on all their tokens (64 bits of each), read from the texts again; only lines that a fixed-size bitmap of the wanted ones lets through are read.
-   A first round holds each set only against the likeliest of those it met, so of a crowd of similar lines most are settled in proportion to
+   A first round holds each set only against those it met so, and of a crowd of similar lines most are settled in proportion to
    their number. Then what is left is joined with all earlier sets, which finds every match.
 
 Rows of the same neighbours may be many: joins on them are split by AQE, and nothing collects them.
@@ -190,8 +190,8 @@ def repeats(docs: DataFrame, row: Column, sets: DataFrame, similarity: tuple[int
     """The ids of `sets` that an earlier set is similar to. Sets that begin at the same place, in rows that share a doc_id, do not
     repeat each other.
 
-    Two rounds: the likeliest of the sets that a set met first (most neighbours in common); then, for those that leaves, all pairs that
-    pass the filters.
+    Two rounds: each set with the first and the nearest ones under its neighbours, in proportion to the input; then, for those that leaves,
+    all other pairs that pass the filters.
     """
     pair = _left(F.col("token").cast("long"), F.lit(32)).bitwiseOR(F.get("prefix", F.col("at") + 1).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     every = (sets.select("id", "n", "prefix", F.posexplode("prefix").alias("at", "token"))
@@ -207,21 +207,20 @@ def repeats(docs: DataFrame, row: Column, sets: DataFrame, similarity: tuple[int
     near = (met.select("id", "n", F.explode(others).alias("other")).select("id", "n", F.col("other.id").alias("early"), F.col("other.n").alias("m"))
             .where(_fit(F.col("n"), F.col("m"), similarity)))
     near = stored(near.groupBy(F.col("id").alias("late"), "early").agg(F.count(F.lit(1)).alias("shared")), "near")
-    first = near.where(F.col("shared") >= SHARED).groupBy("late").agg(F.max_by("early", F.struct("shared", -F.col("early"))).alias("early"))
-    pairs = stored(_likely(sets, first, similarity), "anchored")
+    pairs = stored(_likely(sets, near.where(F.col("shared") >= SHARED).select("late", "early"), similarity), "anchored")
     held = _held(docs, row, sets, pairs)
     settled = _verified(held, pairs, similarity, "settled")
     forget(pairs, held)
 
     # only open sets look for an earlier one; of those under the same neighbours the first and the one before are in `near`
-    gone = settled.withColumnRenamed("id", "late")
     crowds = stored(met.where("more OR nth > 3").select("pair", "id", "nth").join(sets.select("id", "n", "parity", "odd"), "id")
                     .join(settled.withColumn("settled", F.lit(True)), "id", "left"), "crowds")
     x, y = crowds.drop("settled").alias("x"), crowds.where("nth > 3 AND settled IS NULL").drop("settled").alias("y")
     far = x.join(y, (F.col("x.pair") == F.col("y.pair")) & (F.col("x.nth") < F.col("y.nth") - 1) & _may_match("x", "y", similarity))
     far = far.groupBy(F.col("y.id").alias("late"), F.col("x.id").alias("early")).agg(F.count(F.lit(1)).alias("shared"))
-    found = stored(near.join(gone, "late", "left_anti").union(far).groupBy("late", "early").agg(F.sum("shared").alias("shared"))
-                   .where(F.col("shared") >= SHARED).select("late", "early"), "found")
+    both = near.withColumn("new", F.lit(0)).union(far.withColumn("new", F.lit(1))).groupBy("late", "early")
+    found = stored(both.agg(F.sum("shared").alias("shared"), F.max("new").alias("new")).where((F.col("shared") >= SHARED) & (F.col("new") == 1))
+                   .select("late", "early"), "found")
     forget(met, near, crowds)
     pairs = stored(_likely(sets, found, similarity), "pairs")
     forget(found)
