@@ -251,7 +251,7 @@ def without_repeats(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, b
     forget(sets, repeated)
     of_row = (stay.groupBy("turn", "row").agg(F.collect_list(_code(F.col("no"), F.col("mark"))).alias(kept))
               .select(F.struct("turn", "row").alias(key), quoted(kept)))
-    # over more than a few hundred MB this join is shuffled anyhow; said here, small tables run as large ones do
+    # once the lists are over the broadcast threshold this join is shuffled anyhow; said here, small tables run as large ones do
     joined = (docs.join(of_row.hint("merge"), (_turn() == quoted(key)["turn"]) & (quoted(row) == quoted(key)["row"]), "left")
               .withColumn(lines, F.split("text", "\n")).withColumn(kept, F.coalesce(quoted(kept), F.array().cast("array<long>"))))
     codes = F.transform(quoted(lines), lambda line, no: _code(no, F.hash(line)))
